@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op7_packing
 
 QUERIES = {
+    "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
 }
 
 SQL = {"op6_exact_dedup": OP6_SQL}
