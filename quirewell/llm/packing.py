@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, partitions, pieces, work_dir
 
+SMOOTH = 0.9  # weight of the best dual prices so far
 #: Words that a worker remembers the ids of; beyond that it starts anew.
 REMEMBER, REMEMBER_BYTES = 300_000, 64
 
@@ -104,60 +105,74 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids:
 # ---- cutting stock --------------------------------------------------------
 
 
-def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best multiset of items (any number of each) that fits, by dynamic programming over the capacity."""
-    worth = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        fit = np.searchsorted(sizes, c, side="right")
-        worth[c] = worth[c - 1]
-        if fit:
-            got = worth[c - sizes[:fit]] + value[:fit]
-            k = int(got.argmax())
-            if got[k] > worth[c] + 1e-12:
-                worth[c], took[c] = got[k], k
-    pattern, c = np.zeros(len(sizes)), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[took[c]] += 1
-            c -= sizes[took[c]]
-    return float(worth[capacity]), pattern
-
-
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, most: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int, most: int) -> list[tuple[float, np.ndarray]]:
+    """The best multisets of items (any number of each) that fit, by dynamic programming over the capacity.
+
+    The first is the best of all; the others, ``most`` at most, are the best that hold a given item.
+    """
+    worth, took, fits = [0.0] * (capacity + 1), [-1] * (capacity + 1), np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    table = np.zeros(capacity + 1)
+    for c in range(int(sizes[0]), capacity + 1):
+        got = table[c - sizes[: fits[c]]] + value[: fits[c]]
+        k = int(got.argmax())
+        table[c] = worth[c] = max(worth[c - 1], float(got[k]))
+        if got[k] > worth[c - 1] + 1e-12:
+            took[c] = k
+    forced = table[capacity - sizes] + value
+    out = []
+    for k in np.argsort(-forced)[:most]:
+        pattern, c = np.zeros(len(sizes)), capacity - int(sizes[k])
+        pattern[k] = 1
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+            else:
+                pattern[took[c]] += 1
+                c -= int(sizes[took[c]])
+        out.append((float(forced[k]), pattern))
+    return out
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, most: int = 400, columns: int = 48) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used, in the linear program that covers the demand with the fewest sequences.
 
     A revised simplex: the basis starts with one pattern for each size; each
-    round prices a new one by ``knapsack``. It ends at the optimum, or once the
-    dual bound shows the value to be within ``gap`` of it. The result is exact
-    in either case as to demand: used patterns meet it with equality.
+    round prices new ones by ``knapsack``. It ends at the optimum, or once the
+    dual bound shows the value to be within ``gap`` of it, or after ``most``
+    rounds. In each case the used patterns meet the demand with equality.
     """
-    m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     used = inverse @ demand
+    bound, centre = 0.0, None  # the best dual prices so far; pricing near them needs fewer rounds
     for round_ in range(most):
-        if round_ % 500 == 499:  # rounding errors gather
+        if round_ % 20 == 19:  # rounding errors gather
             inverse = np.linalg.inv(basis)
             used = np.maximum(inverse @ demand, 0)
-        price = inverse.sum(axis=0)
-        best, pattern = knapsack(np.maximum(price, 0), sizes, capacity)
-        if best <= 1 + 1e-9 or used.sum() * (1 - 1 / best) <= gap * used.sum():
-            break
-        way = inverse @ pattern
-        ratio = np.where(way > 1e-10, used / np.where(way > 1e-10, way, 1), np.inf)
-        out = int(ratio.argmin())
-        step = ratio[out]
-        if not np.isfinite(step):
+        price = np.maximum(inverse.sum(axis=0), 0)
+        if centre is None:
+            centre = sizes / capacity
+        smooth = SMOOTH * centre + (1 - SMOOTH) * price
+        found = knapsack(smooth, sizes, capacity, columns)
+        if demand @ smooth / found[0][0] > bound:
+            bound, centre = demand @ smooth / found[0][0], smooth / found[0][0]
+        if used.sum() - bound <= gap * used.sum():
             break
-        used = np.maximum(used - step * way, 0)
-        used[out] = step
-        basis[:, out] = pattern
-        row = inverse[out] / way[out]
-        inverse -= np.outer(way, row)
-        inverse[out] = row
+        for _, pattern in found:
+            if inverse.sum(axis=0) @ pattern <= 1 + 1e-9:
+                continue
+            way = inverse @ pattern
+            ratio = np.where(way > 1e-9, used / np.where(way > 1e-9, way, 1), np.inf)
+            out = int(ratio.argmin())
+            step = ratio[out]
+            if not np.isfinite(step):
+                continue
+            used = np.maximum(used - step * way, 0)
+            used[out] = step
+            basis[:, out] = pattern
+            row = inverse[out] / way[out]
+            inverse -= np.outer(way, row)
+            inverse[out] = row
     return basis, used
 
 
@@ -234,7 +249,7 @@ def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size", "lo", "hi", "first", "each", "slot"]).sort_values(["size", "lo"], ignore_index=True)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, most_classes: int = 256, unit: int = 4, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, most_classes: int = 256, unit: int = 8, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]``.
 
     Lengths are rounded up to at most ``most_classes`` sizes, whole numbers of
