@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .near_dedup import op1_minhash
 from .packing import op7_packing
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
