@@ -6,12 +6,14 @@ from .bpe import op5_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .near_dedup import op1_minhash
 from .packing import op7_packing
+from .substring_dedup import op8_substring
 
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_substring": op8_substring,
 }
 
 SQL = {"op6_exact_dedup": OP6_SQL}
