@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .html_extract import op2_html
 from .near_dedup import op1_minhash
 from .packing import op7_packing
 from .substring_dedup import op8_substring
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_html": op2_html,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_substring": op8_substring,
+    "op10_warc": op10_warc,
 }
 
-SQL = {"op6_exact_dedup": OP6_SQL}
+SQL = {"op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL}
