@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,9 @@ from .common import keep, partitions, pieces, work_dir
 
 SMOOTH = 0.9  # weight of the best dual prices so far
 #: Words that a worker remembers the ids of; beyond that it starts anew.
-REMEMBER, REMEMBER_BYTES = 300_000, 64
+REMEMBER, REMEMBER_BYTES = 500_000, 64
+#: A full stop or comma between a letter and white space: a token of its own.
+STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 # ---- tokenising -----------------------------------------------------------
@@ -49,11 +53,15 @@ class WordIds:
 
     def of(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, each as a little-endian unsigned 32-bit number."""
-        words = text.encode().split()
+        data = text.encode()
+        # lower-casing A-Z first changes nothing but where a combining mark (U+0300 to U+036F) or a special token stands
+        if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
+            data = STOP.sub(rb" \1", data.lower())
+        words = data.split()
         if len(self.known) > REMEMBER:
             self.known.clear()
         new = list(set(words).difference(self.known))

@@ -7,6 +7,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_extract import op2_html
 from .near_dedup import op1_minhash
 from .packing import op7_packing
+from .quality import op9_quality
 from .substring_dedup import op8_substring
 from .warc import OP10_SQL, op10_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_substring": op8_substring,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
 
