@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .graph_ann import op3_ann
 from .html_extract import op2_html
 from .language_id import op4_language
 from .near_dedup import op1_minhash
@@ -15,6 +16,7 @@ from .warc import OP10_SQL, op10_warc
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_html": op2_html,
+    "op3_ann": op3_ann,
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
