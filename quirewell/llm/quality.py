@@ -138,6 +138,17 @@ def classify(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, i
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose whole text scores ``threshold`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, text_col):
+                yield batch.filter(pa.array([model.score(t) >= threshold for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: F.Column, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
