@@ -169,7 +169,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         for _, pattern in found:
             if inverse.sum(axis=0) @ pattern <= 1 + 1e-9:
                 continue
-            way = inverse @ pattern
+            way = np.einsum("ij,j->i", inverse, pattern)  # small: threads of a linear algebra library would only wait for each other
             ratio = np.where(way > 1e-9, used / np.where(way > 1e-9, way, 1), np.inf)
             out = int(ratio.argmin())
             step = ratio[out]
