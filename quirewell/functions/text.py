@@ -20,11 +20,17 @@ def normalize_search(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), NOT_ALNUM, "")
 
 
+def char_pairs(text: Column) -> Column:
+    """All two-character windows in turn, by splitting once: a substring at each place would be quadratic."""
+    letters = F.split(text, "")
+    n = F.size(letters)
+    pairs = F.zip_with(F.slice(letters, F.lit(1), n - 1), F.slice(letters, F.lit(2), n - 1), lambda a, b: F.concat(a, b))
+    return F.when(F.char_length(text) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(text: Column) -> Column:
     """Distinct two-character windows in order; none for shorter texts."""
-    n = F.char_length(text)
-    each = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(n >= 2, F.array_sort(F.array_distinct(each))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(char_pairs(text)))
 
 
 def occurrences(text: Column, term: str | Column, most: int = 4) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, cosine, normalize_search
+from ..functions.text import bigrams, char_pairs, cosine, normalize_search
 
 
 def posting_pairs(postings: DataFrame, key: str, node: str, least: int = 2, most: int = 50, *carry: str) -> DataFrame:
@@ -107,8 +107,7 @@ def degree_cap(edges: DataFrame, cap: int) -> DataFrame:
 
 def bigram_candidates(texts: DataFrame, text: str, least: int = 2, top: int = 60) -> DataFrame:
     """Frequent two-character windows with a Han character, most frequent first."""
-    n = F.char_length(text)
-    each = F.explode(F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(text), i, F.lit(2)))))
+    each = F.explode(char_pairs(F.col(text)))
     g = texts.select(each.alias("term")).where(F.col("term").rlike("[\\u4e00-\\u9fff]")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return g.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(top)
 

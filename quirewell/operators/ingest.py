@@ -14,19 +14,19 @@ WINDOW, OVERLAP, MOST = 1200, 150, 5000
 
 
 def chunk_text(text: str, window: int = WINDOW, overlap: int = OVERLAP, most: int = MOST) -> list[str]:
-    """Overlapping windows that end after the last line break inside them, if there is one."""
+    """Windows that end after the last line break inside them, if it isn't their first character.
+
+    The next window begins ``overlap`` characters before that end, or right at
+    it if the window was no longer than the overlap.
+    """
     out, at, n = [], 0, len(text)
     while at < n and len(out) < most:
-        stop = min(n, at + window)
-        if stop < n:
-            line = text.rfind("\n", at + 1, stop)
-            stop = line + 1 if line > at else stop
+        line = text.rfind("\n", at + 1, at + window)
+        stop = line + 1 if line >= 0 else min(n, at + window)
         piece = text[at:stop].strip()
         if piece:
             out.append(piece)
-        if stop >= n:
-            break
-        at = max(at + 1, stop - overlap)
+        at = stop if stop >= n or stop - at <= overlap else stop - overlap
     return out
 
 
@@ -62,23 +62,23 @@ def classify(title: Column, redirect: Column, text: Column, disambiguation: Colu
 def resolve_redirects(pages: DataFrame, depth: int = 10) -> DataFrame:
     """``page_id, final, outcome`` of each redirect: ok, loop, too_deep or broken.
 
-    A fixed number of joins on the page's key; a walk that comes back to its start
-    or to a page that points to itself is a loop once its depth is used up. Only
-    the ids of redirects take part.
+    A walk begins at the redirect's target and takes ``depth`` steps at most,
+    each a join on the page's key; a page met twice is a loop, and a walk that
+    stands on a redirect after its last step is too deep. Only ids take part.
     """
-    hop = pages.select(F.col("page_id").alias("at"), F.col("target").alias("next"))
+    hop = pages.where("target IS NOT NULL").select(F.col("page_id").alias("at"), F.col("target").alias("next"))
     known = pages.select(F.col("page_id").alias("at"), F.lit(True).alias("known"))
-    walk = pages.where("target IS NOT NULL").select("page_id", F.col("target").alias("at"), F.array("page_id").alias("seen"), F.lit(None).cast("string").alias("outcome"))
-    for _ in range(depth):
+    walk = hop.select(F.col("at").alias("page_id"), F.col("next").alias("at"), F.array("next").alias("seen"), F.lit(None).cast("string").alias("outcome"))
+    for i in range(depth + 1):
         step = walk.join(hop, "at", "left")
-        back = F.array_contains("seen", F.col("at"))
-        walk = step.select(
-            "page_id", F.when(F.col("outcome").isNull() & ~back & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("at")).alias("at"),
-            F.when(F.col("outcome").isNull(), F.array_append("seen", F.col("at"))).otherwise(F.col("seen")).alias("seen"),
-            F.coalesce("outcome", F.when(back, F.lit("loop")).when(F.col("next").isNull(), F.lit("ok"))).alias("outcome"),
+        state = F.when(F.col("next").isNull(), "ok")
+        state = state.when(F.array_contains("seen", F.col("next")), "loop") if i < depth else state.otherwise("too_deep")
+        walk = step.withColumn("outcome", F.coalesce("outcome", state)).select(
+            "page_id", F.when(F.col("outcome").isNull(), F.col("next")).otherwise(F.col("at")).alias("at"),
+            F.when(F.col("outcome").isNull(), F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"), "outcome",
         )
     done = walk.join(known, "at", "left")
-    outcome = F.when((F.col("outcome") == "ok") & F.col("known").isNull(), "broken").otherwise(F.coalesce("outcome", F.lit("too_deep")))
+    outcome = F.when((F.col("outcome") == "ok") & F.col("known").isNull(), "broken").otherwise(F.col("outcome"))
     return done.select("page_id", F.col("at").alias("final"), outcome.alias("outcome"))
 
 

@@ -319,9 +319,9 @@ def _(s, d):
     return G.mean_vectors(V.note_embeddings(s, d)).select("book_id", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("g_semantic", EMB + " SELECT a.book_id AS a, b.book_id AS b, round(list_cosine_similarity(a.mean, b.mean), 6) AS score FROM m a JOIN m b ON a.book_id < b.book_id WHERE list_cosine_similarity(a.mean, b.mean) >= 0.35", base=False)
+@query("g_semantic", EMB + " SELECT a.book_id AS a, b.book_id AS b, round(list_cosine_similarity(a.mean, b.mean), 6) AS score FROM m a JOIN m b ON a.book_id < b.book_id WHERE list_cosine_similarity(a.mean, b.mean) >= 0.1", base=False)
 def _(s, d):
-    return G.semantic_edges(V.note_embeddings(s, d))
+    return G.semantic_edges(V.note_embeddings(s, d), 0.1)
 
 
 @query("g_author", "SELECT a.book_id AS a, b.book_id AS b, a.author, 0.92::DOUBLE AS score FROM books a JOIN books b ON a.author = b.author AND a.book_id < b.book_id")
