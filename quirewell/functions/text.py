@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: The unicode classes that search keeps, and where a title's core ends.
 NOT_ALNUM = r"[^\p{IsAlphabetic}\p{N}]"
@@ -59,7 +60,7 @@ def normalize_name(name: Column, most: int = 40) -> Column:
     return F.substring(F.trim(F.regexp_replace(name, r"\s+", " ")), 1, most)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical composition, which has no built-in."""
     for x in parts:

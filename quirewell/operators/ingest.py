@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Fixed values of chunking: characters of a window, of the overlap, and chunks of a document.
 WINDOW, OVERLAP, MOST = 1200, 150, 5000
@@ -30,7 +31,7 @@ def chunk_text(text: str, window: int = WINDOW, overlap: int = OVERLAP, most: in
     return out
 
 
-@udtf(returnType="position int, content string")
+@udtf(returnType=StructType([StructField("position", IntegerType()), StructField("content", StringType())]))
 class Chunks:
     """Table function of ``chunk_text`` for LATERAL joins."""
 
