@@ -153,11 +153,6 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def fewest_shared(size: int, threshold_pct: int) -> int:
-    """Least number of common items two sets need, one of them of ``size``, for Jaccard >= threshold_pct / 100."""
-    return -(-size * threshold_pct // 100)
-
-
 def tail_share(k: int, threshold_pct: int) -> int:
     """Items that two bottom-k sketches share at least, save with a chance of about 1e-8, if Jaccard is at the threshold."""
     p = threshold_pct / 100

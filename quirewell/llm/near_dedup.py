@@ -12,7 +12,7 @@ values, they share one of their k - t + 1 rarest (prefix filter); t comes from
 the threshold and is only missed with a chance of about 1e-8. Each list first
 links its members to its smallest one, so a group of n copies makes n links;
 only members that are still in different components are compared afterwards.
-Lists too long for that are compared in blocks of bounded size.
+Longer lists are compared by their smallest member, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fewest_shared, keep, mix, only_ids, pieces, raw, tail_share, windows, work_dir, words_of
+from .common import keep, mix, only_ids, pieces, raw, tail_share, windows, work_dir, words_of
 from .components import components
 
-#: Members of a list that are joined with each other; longer lists are compared in blocks of so many.
-BLOCK = 256
+#: Members of a list that are joined with each other; longer lists are compared in blocks of so many members and bytes of sets.
+SHORT_LIST, BLOCK, BLOCK_BYTES = 16, 512, 8 << 20
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 5.0
 
@@ -138,33 +138,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, pct: int, path: str)
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_pairs(members: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
-    """Candidate pairs of lists too long to join: blocks of bounded size against each other, filtered by sketch on the spot."""
-    blocks = members.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    each = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component").join(nodes.select("node", "n_shingles", "sketch"), "node")
+def _block_links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links ``a, b`` between ``node, component, n_shingles`` of one ``centre``, counted exactly in blocks of bounded size.
+
+    Blocks meet in pairs; each pair of blocks gives a spanning forest of the
+    links it finds, so the result is linear in its members.
+    """
+    total = members.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    each = members.join(total, "centre").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component").join(sets.withColumnRenamed("doc_id", "node"), "node")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        out = []
         f = f.drop_duplicates("node").sort_values("node", ignore_index=True)
-        node, comp, n = f["node"].to_numpy(), f["component"].to_numpy(), f["n_shingles"].to_numpy()
-        sets = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in f["sketch"]]
-        values, place = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
-        ends = np.cumsum(np.bincount(place, minlength=len(values)))
-        shared = np.zeros((len(sets), len(sets)), dtype=np.int32)
-        for s, e in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            if e - s > 1:
+        node, comp = f["node"].to_numpy(), f["component"].to_numpy()
+        out: list[tuple[int, int]] = []
+        if len(set(comp)) > 1:
+            items = [np.frombuffer(x, np.uint64) for x in f["items"]]
+            size = np.array([len(x) for x in items])
+            everything = np.concatenate(items)
+            order = np.argsort(everything, kind="stable")
+            owner, value = np.repeat(np.arange(len(items)), size)[order], everything[order]
+            begin = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            stop = np.append(begin[1:], len(value))
+            shared = np.zeros((len(items), len(items)), dtype=np.int32)
+            for s, e in zip(begin[stop - begin > 1], stop[stop - begin > 1], strict=True):
                 o = owner[s:e]
                 shared[np.ix_(o, o)] += 1
-        least = np.array([fewest_shared(int(m), pct) if m <= k * pct // 100 else min(int(m), k) // 2 for m in n])
-        for a, b in zip(*np.nonzero(np.triu(shared >= np.minimum.outer(least, least), 1)), strict=True):
-            if comp[a] != comp[b] and _estimate_passes(sets[a], sets[b], n[a], n[b], k, pct):
-                out.append((node[a], node[b]))
+            union = size[:, None] + size[None, :] - shared
+            root = {c: c for c in comp}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for x, y in zip(*np.nonzero(np.triu(100 * shared >= pct * union, 1)), strict=True):
+                p, q = find(comp[x]), find(comp[y])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((node[x], node[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return each.groupBy("value", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return each.groupBy("centre", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,14 +224,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80,
     members = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     members = keep(members.join(mixed, "value", "left_semi"), f"{home}/members")
-    x = members.where(f"count <= {BLOCK}")
+    x = members.where(f"count <= {SHORT_LIST}")
     y = x.select("value", F.col("node").alias("b"), F.col("component").alias("other"))
     rest = x.withColumnRenamed("node", "a").join(y, "value").where("a < b AND component <> other").select("a", "b").distinct()
-    rest = _passing(rest, nodes, k, pct).union(_block_pairs(members.where(f"count > {BLOCK}"), nodes, k, pct)).distinct().join(stars, ["a", "b"], "left_anti")
-    more = keep(_verified(keep(rest, f"{home}/rest"), docs, shingle, pct, f"{home}/v2"), f"{home}/edges2")
-    # equal sets hang on their node; only rows that are not their own component are joined
-    links = keep(edges.union(more), f"{home}/edges")
+    rest = keep(_passing(rest.join(stars, ["a", "b"], "left_anti"), nodes, k, pct), f"{home}/rest")
+    more = keep(_verified(rest, docs, shingle, pct, f"{home}/v2"), f"{home}/edges2")
+    # a group of near copies fills many lists with the same smallest member: it is compared once
+    long = members.where(f"count > {SHORT_LIST}").join(centre.withColumnRenamed("a", "centre"), "value").select("centre", "node", "component").distinct()
+    long = keep(long.join(nodes.select("node", "n_shingles"), "node"), f"{home}/long")
+    ids = keep(long.select(F.col("node").alias("doc_id")).distinct(), f"{home}/long_ids")
+    sets = keep(full_sets(only_ids(docs, ids, "doc_id"), shingle).dropDuplicates(["doc_id"]), f"{home}/long_sets")
+    most = keep(_block_links(long, sets, pct), f"{home}/edges3")
+    links = keep(edges.union(more).union(most), f"{home}/edges")
     found = components(links, f"{home}/c2")
+    # equal sets hang on their node; only rows that are not their own component are joined
     own = some.select("doc_id", "same").distinct()
     same = own.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
     moved = same.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).where("n > 1 OR component <> node").select("same", "component")

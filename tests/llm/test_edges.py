@@ -73,8 +73,9 @@ def naive_components(texts, size, pct):
     return [find(i) for i in range(len(sets))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("size,block", [(2, 256), (5, 4)])
-def test_near_is_exhaustive(spark, monkeypatch, size, block):
+@pytest.mark.parametrize("size,short,block", [(2, 16, 512), (5, 2, 4)])
+def test_near_is_exhaustive(spark, monkeypatch, size, short, block):
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", short)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = np.random.default_rng(size)
     texts = []
