@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quirewell.plans.catalog import QUERIES, SQL
+from quirewell.plans import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 
