@@ -183,7 +183,7 @@ def _shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def _regions(docs: DataFrame, window: int) -> DataFrame:
-    """Regions around the wanted anchors of ``doc_id, text, anchors``: ``anchor, region, doc_id, start, words``; region is a digest."""
+    """Regions around the wanted anchors of ``doc_id, text, anchors``: ``anchor, region, doc_id, start, windows, words``; region is a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -200,9 +200,9 @@ def _regions(docs: DataFrame, window: int) -> DataFrame:
                     held = [words[b : b + c + window - 1].tobytes() for b, c in zip(begin, count, strict=True)]
                     region = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in held]
                 ids = batch.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(region, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(begin - first[row], pa.int64()), pa.array(held, pa.binary())], ["anchor", "region", "doc_id", "start", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(region, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(begin - first[row], pa.int64()), pa.array(count, pa.int32()), pa.array(held, pa.binary())], ["anchor", "region", "doc_id", "start", "windows", "words"])
 
-    return docs.mapInArrow(run, "anchor bigint, region bigint, doc_id bigint, start bigint, words binary")
+    return docs.mapInArrow(run, "anchor bigint, region bigint, doc_id bigint, start bigint, windows int, words binary")
 
 
 def _shards(regions: DataFrame, window: int) -> DataFrame:
@@ -301,6 +301,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, with_text: bool =
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = keep(_sequences(docs.where("doc_id IS NOT NULL"), window), f"{home}/rows")
     same = rows.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    same = keep(same, f"{home}/same")  # a table of its own, so that a hot text's rows can be split in the join
     copies = keep(rows.join(same, "same").where("doc_id > first").select("doc_id").distinct(), f"{home}/copies")
     few = copies.count() <= BROADCAST_IDS
     minus = lambda x, ids, small: x.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
@@ -310,11 +311,13 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, with_text: bool =
     ids = lists.select("doc_id")
     with_lists = only_ids(first_ones, ids, "doc_id").join(lists, "doc_id")
     regions = keep(_regions(with_lists, window), f"{home}/regions")
-    distinct = keep(regions.groupBy("anchor", "region").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), f"{home}/distinct")
-    counts = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    sized = keep(distinct.join(counts, "anchor"), f"{home}/sized")
-    several = sized.where(f"n > 1 AND n <= {MANY_REGIONS}").select("anchor", "region", "least", "words").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    alone = sized.where("n = 1").select("anchor", "region", F.array_repeat("least", (F.octet_length("words") / 8 - window + 1).cast("int")).alias("least"))
+    keys = keep(regions.groupBy("anchor", "region").agg(F.min("doc_id").alias("least"), F.first("windows").alias("windows")), f"{home}/keys")
+    counts = keep(keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{home}/counts")
+    # an anchor with one region needs no words: all its windows have the same smallest id
+    alone = keys.join(counts, "anchor", "left_anti").select("anchor", "region", F.array_repeat("least", F.col("windows")).alias("least"))
+    differing = only_ids(regions, counts.select("anchor"), "anchor").groupBy("anchor", "region").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"))
+    sized = keep(differing.join(counts, "anchor"), f"{home}/sized")
+    several = sized.where(f"n <= {MANY_REGIONS}").select("anchor", "region", "least", "words").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     found = alone.union(_shards(several, window)).union(_one_by_one(sized.where(f"n > {MANY_REGIONS}"), window))
     found = keep(found, f"{home}/found")
     spans = keep(_spans(regions.select("anchor", "region", "doc_id", "start"), found, window), f"{home}/spans")
