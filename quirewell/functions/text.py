@@ -98,3 +98,31 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(F.lit(0.0))
+
+
+def reader_id(book_id: Column) -> Column:
+    """The id of a book in reader addresses: parts of the MD5 around the id in hex, padded, with a checksum.
+
+    Digits go in groups of nine, other ids as the code points of their characters.
+    """
+    digest, text = F.md5(book_id), F.coalesce(book_id, F.lit(""))
+    digits = text.rlike("^[0-9]*$")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.char_length(text), F.lit(1)) - 1) / 9).cast("int")), lambda i: F.lower(F.conv(F.substring(text, i * 9 + 1, F.lit(9)), 10, 16)))
+    letters = F.array(F.array_join(F.transform(F.split(text, ""), lambda c: F.lower(F.hex(F.ascii(c)))), ""))
+    parts = F.when(digits, groups).otherwise(letters)
+    body = F.array_join(F.transform(parts, lambda p: F.concat(F.lpad(F.lower(F.hex(F.char_length(p))), 2, "0"), p)), "g")
+    whole = F.concat(F.substring(digest, 1, 3), F.when(digits, "3").otherwise("4"), F.lit("2"), F.substring(digest, 31, 2), body)
+    padded = F.concat(whole, F.substring(digest, F.lit(1), F.greatest(F.lit(0), 20 - F.char_length(whole))))
+    return F.concat(padded, F.substring(F.md5(padded), 1, 3))
+
+
+def title_key(title: Column) -> Column:
+    """A work's name without brackets, punctuation and volume or edition marks."""
+    x = F.regexp_replace(F.lower(title), r"[（(【\[《].*?[）)】\]》]", "")
+    x = F.regexp_replace(x, r"(第?[一二三四五六七八九十百0-9]+[卷册冊部版])|(vol\.?\s*[0-9]+)|(修订版|全集|珍藏版)", "")
+    return F.regexp_replace(x, r"[^\p{L}\p{N}]", "")
+
+
+def clean_cjk_space(text: Column) -> Column:
+    """No blanks between Han characters or around their punctuation."""
+    return F.regexp_replace(text, r"(?<=[\u4e00-\u9fff，。！？；：、]) +(?=[\u4e00-\u9fff，。！？；：、])", "")

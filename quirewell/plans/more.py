@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import graph as G
 from ..operators import library as L
 from ..operators import retrieval as R
+from ..operators import wikitext as W
 from ..sources import documents as D
 from ..sources import views as V
 from .catalog import LEX, _listed, _weights, query
@@ -289,3 +290,13 @@ def _(s, d):
 def _(s, d):
     w = F.window(F.col("ts"), "1 day")
     return V.table(s, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count_distinct("event_id").alias("n")).select("w.start", "event_type", "n")
+
+
+@query("e_summary")
+def _(s, d):
+    return W.summaries(V.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
+
+
+@query("p_reader_id")
+def _(s, d):
+    return V.books(s, d).select("book_id", T.reader_id(F.col("book_id")).alias("reader_id")).union(V.table(s, d, "part").select(F.col("p_partkey").cast("string"), T.reader_id(F.col("p_partkey").cast("string"))))

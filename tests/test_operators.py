@@ -70,3 +70,22 @@ def test_unknown_sort():
 
     with pytest.raises(ValueError):
         L.book_page(None, sort_by="nothing")
+
+
+def test_reader_id(spark):
+    import hashlib
+
+    def plain(book):
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        parts = [f"{int(book[i : i + 9]):x}" for i in range(0, len(book), 9)] if book.isdigit() else ["".join(f"{ord(c):x}" for c in book)]
+        out = md5(book)[:3] + ("3" if book.isdigit() else "4") + "2" + md5(book)[-2:] + "g".join(f"{len(p):02x}{p}" for p in parts)
+        out += md5(book)[: max(0, 20 - len(out))]
+        return out + md5(out)[:3]
+
+    for book in ("22806910", "1234567890123", "CB_a1", "书é"):
+        assert one(spark, T.reader_id(F.col("t")), t=book) == plain(book), book
+
+
+def test_titles(spark):
+    assert one(spark, T.title_key(F.col("t")), t="三体（全集）第2部") == "三体"
+    assert one(spark, T.clean_cjk_space(F.col("t")), t="中 文 a b。 是") == "中文 a b。是"
