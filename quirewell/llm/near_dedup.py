@@ -210,13 +210,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80,
     held = F.least(F.col("n_shingles"), F.lit(k))
     short = F.when(F.col("n_shingles") <= k * pct // 100, F.col("n_shingles") - F.ceil(F.col("n_shingles") * pct / 100) + 1).otherwise(held - F.least(F.lit(t), F.floor(held / 2)) + 1)
     shared = listed.join(common, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("values"))  # k at most
-    shared = shared.join(nodes.select("node", held.alias("held"), short.alias("short")), "node")
+    shared = shared.join(nodes.select("node", F.col("n_shingles").alias("size"), held.alias("held"), short.alias("short")), "node")
     take = (F.col("short") - (F.col("held") - F.size("values"))).cast("int")
-    lists = shared.where(take > 0).select("node", F.explode(F.slice("values", 1, take)).alias("v")).select("node", "v.value", "v.count")
+    lists = shared.where(take > 0).select("node", "size", F.explode(F.slice("values", 1, take)).alias("v")).select("node", "size", "v.value", "v.count")
     lists = keep(lists, f"{home}/lists")
     # every list's members against its smallest one
-    centre = lists.groupBy("value").agg(F.min("node").alias("a"))
-    stars = lists.join(centre, "value").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    centre = lists.groupBy("value").agg(F.min(F.struct("node", "size")).alias("c")).select("value", F.col("c.node").alias("a"), F.col("c.size").alias("size_a"))
+    alike = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(pct) * F.greatest(x, y)  # noqa: E731  else the sizes rule the pair out
+    stars = lists.join(centre, "value").where(F.col("a") < F.col("node")).where(alike("size", "size_a")).select("a", F.col("node").alias("b")).distinct()
     stars = keep(_passing(stars, nodes, k, pct), f"{home}/stars")
     edges = keep(_verified(stars, docs, shingle, pct, f"{home}/v1"), f"{home}/edges1")
     found = keep(components(edges, f"{home}/c1"), f"{home}/found1")
@@ -225,12 +226,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80,
     mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     members = keep(members.join(mixed, "value", "left_semi"), f"{home}/members")
     x = members.where(f"count <= {SHORT_LIST}")
-    y = x.select("value", F.col("node").alias("b"), F.col("component").alias("other"))
-    rest = x.withColumnRenamed("node", "a").join(y, "value").where("a < b AND component <> other").select("a", "b").distinct()
+    y = x.select("value", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("size_b"))
+    rest = x.withColumnRenamed("node", "a").join(y, "value").where("a < b AND component <> other").where(alike("size", "size_b")).select("a", "b").distinct()
     rest = keep(_passing(rest.join(stars, ["a", "b"], "left_anti"), nodes, k, pct), f"{home}/rest")
     more = keep(_verified(rest, docs, shingle, pct, f"{home}/v2"), f"{home}/edges2")
     # a group of near copies fills many lists with the same smallest member: it is compared once
-    long = members.where(f"count > {SHORT_LIST}").join(centre.withColumnRenamed("a", "centre"), "value").select("centre", "node", "component").distinct()
+    long = members.where(f"count > {SHORT_LIST}").join(centre.select("value", F.col("a").alias("centre")), "value").select("centre", "node", "component").distinct()
     long = keep(long.join(nodes.select("node", "n_shingles"), "node"), f"{home}/long")
     ids = keep(long.select(F.col("node").alias("doc_id")).distinct(), f"{home}/long_ids")
     sets = keep(full_sets(only_ids(docs, ids, "doc_id"), shingle).dropDuplicates(["doc_id"]), f"{home}/long_sets")
