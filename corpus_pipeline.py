@@ -27,8 +27,8 @@ def _without(docs: DataFrame, decisions: DataFrame, home: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the classifier's threshold go."""
-    model = quality.fit(quality.labelled_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.keep_good(docs, model)
+    rows, total = quality.labelled_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, quality.fit(rows, total=total))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

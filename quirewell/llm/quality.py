@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import keep, pieces, work_dir
 
 #: Labelled rows of each class, and bytes of each, that the model is fitted on at most.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1200, 8000
@@ -88,16 +88,21 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(slope[0]), float(slope[1]), float(w[2] - slope @ mean)
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> CompressionModel:
+def _class_counts(rows: DataFrame) -> dict[int, int]:
+    return {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, total: dict[int, int] | None = None) -> CompressionModel:
     """Fit on ``doc_id, text, quality``: a bounded sample of each class, the same at every run.
 
     Dictionaries come from two thirds of the sample, the calibration from the
-    rest, weighted by the classes' shares of all labelled rows. Null labels and
+    rest, weighted by the classes' shares of all labelled rows: ``total`` if
+    ``labelled`` is only what can be sampled of them. Null labels and
     texts are left out. With one class only, every score is that class's
     share; without labels it is one half.
     """
     rows = labelled.where("quality IN (0, 1) AND text IS NOT NULL")
-    total = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = _class_counts(rows) if total is None else total
     sample: dict[int, list[bytes]] = {}
     for q in (0, 1):
         # the rows with the smallest hashes; of a text, some of its start, middle and end
@@ -153,20 +158,20 @@ def held_out(doc_id: F.Column, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, quality`` of labelled documents outside the held-out fold."""
-    own = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").dropDuplicates()
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Of labelled documents outside the held-out fold: ``doc_id, text, quality`` of those that can be sampled, and the number of all in each class."""
+    own = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").dropDuplicates()
     own = own.where(~held_out(F.col("doc_id"), 5, 0))
-    # only labels among the smallest hashes can be sampled: twice the bound, for labels without a document
-    from pyspark.sql import Window
-
+    known = keep(docs.where("text IS NOT NULL").select("doc_id").join(own, "doc_id"), f"{work_dir(docs.sparkSession)}/labelled")
+    # only ids among the smallest hashes can be sampled
     w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    own = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2 * SAMPLE_ROWS).drop("rank")
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # 4 * SAMPLE_ROWS rows at most
+    few = known.dropDuplicates().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLE_ROWS).drop("rank")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), _class_counts(known)  # 2 * SAMPLE_ROWS ids at most
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(labelled_rows(docs, labels))
+    rows, total = labelled_rows(docs, labels)
+    model = fit(rows, total=total)
     scored = classify(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
