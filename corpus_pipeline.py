@@ -16,13 +16,20 @@ from quirewell.llm.common import keep, only_ids, work_dir
 
 #: A passage of so many words that an earlier document has goes.
 PASSAGE_WORDS = 50
+#: A column beside those of ``docs`` that tells rows of one doc_id apart.
+KEY = "__row"
 
 
-def _without(docs: DataFrame, decisions: DataFrame, home: str) -> DataFrame:
-    """The rows of ``docs`` whose id is not among those that ``decisions`` drops."""
-    gone = keep(decisions.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), f"{home}/gone")
+def _without(docs: DataFrame, gone: DataFrame, home: str) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``gone``, a table of one column that both have."""
+    key = gone.columns[0]
+    gone = keep(gone.distinct(), f"{home}/gone")
     small = gone.count() <= 500_000
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
+
+
+def _dropped(decisions: DataFrame) -> DataFrame:
+    return decisions.where("NOT kept AND doc_id IS NOT NULL")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,24 +40,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original, then the smallest id, stays."""
-    return _without(docs, exact_dedup.decide(docs), work_dir(spark))
+    # a doc_id may have several texts: only the one decided on goes
+    key = lambda digest: F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", digest)).alias(KEY)
+    gone = _dropped(exact_dedup.decide(docs)).select(key(F.col("text_sha256")))
+    return _without(docs.select("*", key(exact_dedup.digest(F.col("text")))), gone, work_dir(spark)).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the smallest id stays."""
-    return _without(docs, near_dedup.near_duplicates(docs), work_dir(spark))
+    return _without(docs, _dropped(near_dedup.near_duplicates(docs)).select("doc_id"), work_dir(spark))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE_WORDS words or more that an earlier document has go; a text of which nothing is left stays as an empty one."""
     home = work_dir(spark)
     changed = substring_dedup.deduplicate_substrings(docs, window=PASSAGE_WORDS, with_text=True).where("n_removed > 0")
-    changed = keep(changed.select("doc_id", "kept_text").distinct(), f"{home}/changed")
-    ids = changed.select("doc_id").distinct()
+    changed = keep(changed.select(F.col("row").alias(KEY), "kept_text").distinct(), f"{home}/changed")
+    keys = changed.select(KEY).distinct()
     count = "n_chars" in docs.columns
     columns = [F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and count else F.col(c) for c in docs.columns]
-    touched = only_ids(docs, ids, "doc_id").join(changed, "doc_id").select(*columns)
-    return _without(docs, ids.withColumn("kept", F.lit(False)), home).select(*docs.columns).unionByName(touched)
+    keyed = docs.withColumn(KEY, substring_dedup.row_key())
+    touched = only_ids(keyed, keys, KEY).join(changed, KEY).select(*columns)
+    return _without(keyed, keys, home).select(*docs.columns).unionByName(touched)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, keep, mix, only_ids, partitions, pieces, raw, windows, work_dir, words_of
@@ -31,6 +31,11 @@ MANY_REGIONS = 1000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells rows of one doc_id with different texts apart: a hash of both, null for a null id."""
+    return F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
+
+
 class SuffixAutomaton:
     """Suffix automaton of several sequences; each state has the smallest owner of its occurrences."""
 
@@ -120,7 +125,7 @@ def _anchors(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
 
 
 def _sequences(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, n_words, same``: a digest of the word sequence where it has a window."""
+    """``doc_id, row, n_words, same``: a digest of the word sequence where it has a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,9 +134,9 @@ def _sequences(docs: DataFrame, window: int) -> DataFrame:
                     words, first = words_of(*raw(batch.column("text")), lower=False)
                 n = np.diff(first)
                 same = [hashlib.blake2b(words[s:e].tobytes(), digest_size=16).digest() if e - s >= window else None for s, e in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary())], ["doc_id", "n_words", "same"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(same, pa.binary())], ["doc_id", "row", "n_words", "same"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, same binary")
+    return docs.mapInArrow(run, "doc_id bigint, row bigint, n_words bigint, same binary")
 
 
 def _shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -183,7 +188,7 @@ def _shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def _regions(docs: DataFrame, window: int) -> DataFrame:
-    """Regions around the wanted anchors of ``doc_id, text, anchors``: ``anchor, region, doc_id, start, windows, words``; region is a digest."""
+    """Regions around the wanted anchors of ``doc_id, row, text, anchors``: ``anchor, region, doc_id, row, start, windows, words``; region is a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -199,10 +204,10 @@ def _regions(docs: DataFrame, window: int) -> DataFrame:
                     anchor, row, begin, count = (x[wanted] for x in (anchor, row, begin, count))
                     held = [words[b : b + c + window - 1].tobytes() for b, c in zip(begin, count, strict=True)]
                     region = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in held]
-                ids = batch.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(region, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(begin - first[row], pa.int64()), pa.array(count, pa.int32()), pa.array(held, pa.binary())], ["anchor", "region", "doc_id", "start", "windows", "words"])
+                ids, keys = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(region, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64()), pa.array(begin - first[row], pa.int64()), pa.array(count, pa.int32()), pa.array(held, pa.binary())], ["anchor", "region", "doc_id", "row", "start", "windows", "words"])
 
-    return docs.mapInArrow(run, "anchor bigint, region bigint, doc_id bigint, start bigint, windows int, words binary")
+    return docs.mapInArrow(run, "anchor bigint, region bigint, doc_id bigint, row bigint, start bigint, windows int, words binary")
 
 
 def _shards(regions: DataFrame, window: int) -> DataFrame:
@@ -251,14 +256,14 @@ def _one_by_one(regions: DataFrame, window: int) -> DataFrame:
 
 
 def _spans(occurrences: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """``doc_id, spans``: the word ranges that go, a list for each document."""
+    """``row, at``: the windows that go, a list for each row."""
     hit = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    rows = occurrences.join(found, ["anchor", "region"]).select("doc_id", hit.alias("at")).where(F.size("at") > 0)
-    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))  # a document's own windows
+    rows = occurrences.join(found, ["anchor", "region"]).select("row", hit.alias("at")).where(F.size("at") > 0)
+    return rows.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"))  # a row's own windows
 
 
 def _apply(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """The rows of ``doc_id, text, at``: what is left of each text without the words that the windows starting at ``at`` cover."""
+    """The rows of ``doc_id, row, text, at``: what is left of each text without the words that the windows starting at ``at`` cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -278,33 +283,33 @@ def _apply(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
                     gone.append(n[-1] - len(words))
                     sha.append(hashlib.sha256(kept).hexdigest())
                     left.append((text if not gone[-1] else kept.decode()) if with_text else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(left, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(left, pa.string()), batch.column("row")], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "row"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, row bigint")
 
 
 def deduplicate_substrings(docs: DataFrame, window: int = 13, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256, kept_text``.
+    """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256, kept_text, row``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. kept_text is filled with
     ``with_text``: the text as it was if nothing goes, else the kept words
-    joined by one space.
+    joined by one space. row is the ``row_key`` of the row.
 
     Null and blank texts have no words. A word sequence that a document with a
     smaller id has as a whole goes altogether. Rows of one doc_id are one
-    document: they keep what only they have. A null doc_id takes no part and
+    document: each keeps what only they have. A null doc_id takes no part and
     loses nothing. Other columns are not read. An empty table gives an empty
     result.
     """
     spark = docs.sparkSession
     home = work_dir(spark)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", row_key())
     rows = keep(_sequences(docs.where("doc_id IS NOT NULL"), window), f"{home}/rows")
     same = rows.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     same = keep(same, f"{home}/same")  # a table of its own, so that a hot text's rows can be split in the join
-    copies = keep(rows.join(same, "same").where("doc_id > first").select("doc_id").distinct(), f"{home}/copies")
+    copies = keep(rows.join(same, "same").where("doc_id > first").select("row").distinct(), f"{home}/copies")
     few = copies.count() <= BROADCAST_IDS
-    minus = lambda x, ids, small: x.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+    minus = lambda x, ids, small: x.join(F.broadcast(ids) if small else ids, "row", "left_anti")
     first_ones = minus(docs.where("doc_id IS NOT NULL"), copies, few)
     shared = keep(_shared_anchors(first_ones, window, 2 * partitions(spark)), f"{home}/shared")
     lists = keep(shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), f"{home}/lists")
@@ -320,15 +325,15 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, with_text: bool =
     several = sized.where(f"n <= {MANY_REGIONS}").select("anchor", "region", "least", "words").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
     found = alone.union(_shards(several, window)).union(_one_by_one(sized.where(f"n > {MANY_REGIONS}"), window))
     found = keep(found, f"{home}/found")
-    spans = keep(_spans(regions.select("anchor", "region", "doc_id", "start"), found, window), f"{home}/spans")
+    spans = keep(_spans(regions.select("anchor", "region", "doc_id", "row", "start"), found, window), f"{home}/spans")
     # copies lose all, documents with spans are joined with them, the others are taken as they are
-    hit = keep(spans.select("doc_id"), f"{home}/hit")
-    touched = only_ids(first_ones, hit, "doc_id").join(spans, "doc_id").select("doc_id", "text", "at")
+    hit = keep(spans.select("row"), f"{home}/hit")
+    touched = only_ids(first_ones, hit, "row").join(spans, "row").select("doc_id", "row", "text", "at")
     small = hit.count() <= BROADCAST_IDS
-    clean = minus(minus(docs, copies, few), hit, small).select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("at"))
-    all_gone = only_ids(rows, copies, "doc_id").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("" if with_text else None).cast("string").alias("kept_text"))
+    clean = minus(minus(docs, copies, few), hit, small).select("doc_id", "row", "text", F.lit(None).cast("array<bigint>").alias("at"))
+    all_gone = only_ids(rows, copies, "row").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("" if with_text else None).cast("string").alias("kept_text"), "row")
     return _apply(clean, window, with_text).union(_apply(touched, window, with_text)).union(all_gone)
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    return deduplicate_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text", "row")

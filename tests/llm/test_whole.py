@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from quirewell.llm import quality
+from quirewell.llm import quality, substring_dedup
 
 
 @pytest.mark.parametrize("query", [quality.op9_quality, lambda s, d: corpus_pipeline.quality_stage(s, s.read.parquet(f"{d}/documents.parquet"), d)])
@@ -28,3 +28,17 @@ def test_quality_prior(spark, tmp_path, monkeypatch, query):
     query(spark, str(tmp_path)).count()
     count = [sum(i in trained and t is not None and q == c for i, t, q in rows) for c in (0, 1)]
     assert seen[0][0] == pytest.approx(count[1] / count[0])
+
+
+def test_rows_of_one_id(spark):
+    """Of rows with one doc_id and different texts only the one decided on changes."""
+    copied, own, passage = (" ".join(f"{c}{i}" for i in range(80)) for c in "aou")
+    rows = [(1, copied), (1, passage), (2, copied), (2, own), (3, "x " + passage + " y"), (3, own + " z"), (3, "x " + passage + " y"), (None, copied)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = lambda df: sorted(((r[0], r[1]) for r in df.collect()), key=repr)
+    got = substring_dedup.deduplicate_substrings(docs, with_text=True).select("doc_id", "kept_text")
+    want = [(1, copied), (1, passage), (2, ""), (2, own), (3, "x y"), (3, "z"), (3, "x y"), (None, copied)]
+    assert texts(got) == sorted(want, key=repr)
+    assert texts(corpus_pipeline.passage_stage(spark, docs, "")) == sorted(want, key=repr)
+    left = corpus_pipeline.exact_stage(spark, docs, "")
+    assert texts(left) == sorted([r for r in rows if r != (2, copied)], key=repr)
