@@ -63,9 +63,11 @@ class Page:
     """Elements of a page in arrays, and its texts in order."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.path, self.parent, self.drop, self.good = ["#root"], [""], [-1], [False], [False]
+        self.tag, self.path, self.parent, self.drop, self.other, self.good = ["#root"], [""], [-1], [False], [False], [False]
         self.texts: list[tuple[int, str]] = []  # of an element; a None text is a break
         self._parse(source)
+        if any(self.other):
+            self._drop_other()
 
     def _open(self, at: int, tag: str, attributes: str) -> int:
         name, other, hidden, good = tag, False, False, False
@@ -87,9 +89,43 @@ class Page:
         self.path.append(f"{self.path[at]}>{name}")
         self.parent.append(at)
         self.good.append(good)
-        self.drop.append(self.drop[at] or tag in DROP or other or hidden or (tag == "header" and not self._within_article(at)))
+        self.other.append(other)
+        self.drop.append(self.drop[at] or tag in DROP or hidden or (tag == "header" and not self._within_article(at)))
         return len(self.tag) - 1
 
+    def _drop_other(self) -> None:
+        """Containers go by their words, but for those around main, or around the largest article if every article would go; if no text were left, none goes."""
+        hard, n = self.drop, len(self.tag)
+        size = [0] * n
+        for at, text in self.texts:
+            if not hard[at]:
+                size[at] += len(text.strip())
+        for x in range(n - 1, 0, -1):
+            size[self.parent[x]] += size[x]
+        spared: set[int] = set()
+
+        def spare(x: int) -> None:
+            while x > 0:
+                spared.add(x)
+                x = self.parent[x]
+
+        def dropped() -> list[bool]:
+            drop = [False] * n
+            for x in range(1, n):
+                drop[x] = hard[x] or drop[self.parent[x]] or (self.other[x] and x not in spared)
+            return drop
+
+        found = [x for x in range(n) if self.tag[x] in ("article", "main") and size[x]]
+        for x in found:
+            if self.tag[x] == "main":
+                spare(x)
+        self.drop = dropped()
+        if found and all(self.drop[x] for x in found):
+            spare(max(found, key=lambda x: (size[x], -x)))
+            self.drop = dropped()
+        if not any(text.strip() and not self.drop[at] for at, text in self.texts):
+            self.drop = hard
+
     def _within_article(self, at: int) -> bool:
         while at > 0:
             if self.tag[at] in ("article", "main"):
@@ -227,7 +263,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A page is extracted along the first winning path of its host that it has,
     else from its own best container. Null, empty and tagless html is taken as
-    it is; a page without article text has an empty one. Pages with a null url,
+    it is; a page without text outside menus and the like has an empty one. Pages with a null url,
     or one without a host, form a host of their own. Repeated rows and null ids
     are kept; other columns are not read. An empty table gives an empty result.
     """

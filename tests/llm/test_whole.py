@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from quirewell.llm import quality, substring_dedup
+from quirewell.llm import html_extract, quality, substring_dedup
 
 
 @pytest.mark.parametrize("query", [quality.op9_quality, lambda s, d: corpus_pipeline.quality_stage(s, s.read.parquet(f"{d}/documents.parquet"), d)])
@@ -42,3 +42,21 @@ def test_rows_of_one_id(spark):
     assert texts(corpus_pipeline.passage_stage(spark, docs, "")) == sorted(want, key=repr)
     left = corpus_pipeline.exact_stage(spark, docs, "")
     assert texts(left) == sorted([r for r in rows if r != (2, copied)], key=repr)
+
+
+COMMENTS = "<div id='comments'><article class='comment'><p>a comment that is longer than the text itself</p></article></div>"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<div class='content-sidebar-wrap'><main><p>the text of the page, of some length</p></main><div class='sidebar'>more</div></div><p>copyright</p>", "the text of the page, of some length"),
+        (f"<div class='has-sidebar'><article><p>the text of the page is here, in an article of some length</p></article>{COMMENTS}</div><p>copyright</p>", "the text of the page is here, in an article of some length"),
+        ("<div class='has-sidebar'><div><p>the text</p></div><nav>menu</nav></div>", "the text"),
+        (f"<article><p>the text</p></article>{COMMENTS}", "the text"),
+        ("<div class='content'><p>the text of the page</p></div><div class='related'><article>card</article></div>", "the text of the page"),
+    ],
+)
+def test_layout_wrappers(html, want):
+    page = html_extract.Page(f"<html><body>{html}</body></html>")
+    assert page.text({page.best()}) == want
