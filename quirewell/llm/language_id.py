@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-#: Training rows that the weights are fitted on at most, in all and for each language, and the code points of each.
-SAMPLE_ROWS, SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 8000, 1500, 3000
+#: Training rows that the weights are fitted on at most, in all and for each language; their texts are taken whole.
+SAMPLE_ROWS, SAMPLE_PER_LANGUAGE = 8000, 1500
 BITS, ORDERS, EPOCHS = 15, 3, 3
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 1e-4, 1e-5
 UNKNOWN = "und"
@@ -142,10 +142,8 @@ def fit(rows: DataFrame) -> LanguageModel:
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(languages)))
     w = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
     chosen = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.length("text").alias("size")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= each)
-    third = SAMPLE_CHARS // 3  # start, middle and end of a long text
-    part = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.concat(F.substring("text", 1, third), F.expr(f"substring(text, cast(length(text) / 2 as int), {third})"), F.expr(f"substring(text, -{third}, {third})")))
     picked = rows.withColumn("size", F.length("text")).join(F.broadcast(chosen.select("doc_id", "lang", "size").distinct()), ["doc_id", "lang", "size"])  # SAMPLE_ROWS at most
-    texts = [(r["text"], languages.index(r["lang"])) for r in picked.select("doc_id", "lang", part.alias("text")).orderBy("doc_id", "lang", "text").collect()]
+    texts = [(r["text"], languages.index(r["lang"])) for r in picked.select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").collect()]
     data = [(*tf_idf(t, idf), y) for t, y in texts if LETTER.search(t)]
     fitted, held = [x for i, x in enumerate(data) if i % 5], data[::5]
     weights, bias = follow_the_leader(fitted, len(languages))

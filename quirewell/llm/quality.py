@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import keep, pieces, work_dir
 
-#: Labelled rows of each class, and bytes of each, that the model is fitted on at most.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1200, 8000
+#: Labelled rows of each class that the model is fitted on at most; their texts are taken whole.
+SAMPLE_ROWS = 1200
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 2048
 LEVEL = 3
@@ -105,10 +105,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, total: dict[int, in
     total = _class_counts(rows) if total is None else total
     sample: dict[int, list[bytes]] = {}
     for q in (0, 1):
-        # the rows with the smallest hashes; of a text, some of its start, middle and end
-        third = SAMPLE_TEXT_BYTES // 3
-        part = F.when(F.length("text") <= SAMPLE_TEXT_BYTES, F.col("text")).otherwise(F.concat(F.substring("text", 1, third), F.expr(f"substring(text, cast(length(text) / 2 as int), {third})"), F.expr(f"substring(text, -{third}, {third})")))
-        chosen = rows.where(F.col("quality") == q).select("doc_id", F.xxhash64("doc_id").alias("h"), part.alias("text")).orderBy("h", "doc_id", "text").limit(sample_rows)
+        # the rows with the smallest hashes
+        chosen = rows.where(F.col("quality") == q).select("doc_id", F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "doc_id", "text").limit(sample_rows)
         sample[q] = [r["text"].encode() for r in chosen.collect()]
     good, bad = sample[1], sample[0]
     n = sum(total.values())

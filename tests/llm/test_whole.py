@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from quirewell.llm import html_extract, quality, substring_dedup
+from quirewell.llm import html_extract, language_id, quality, substring_dedup
 
 
 @pytest.mark.parametrize("query", [quality.op9_quality, lambda s, d: corpus_pipeline.quality_stage(s, s.read.parquet(f"{d}/documents.parquet"), d)])
@@ -60,3 +60,17 @@ COMMENTS = "<div id='comments'><article class='comment'><p>a comment that is lon
 def test_layout_wrappers(html, want):
     page = html_extract.Page(f"<html><body>{html}</body></html>")
     assert page.text({page.best()}) == want
+
+
+def test_fitting_on_whole_texts(spark, monkeypatch):
+    rows = [(i, f"{'ab' if i % 2 else 'xy'} {i} " * 3000, "aa" if i % 2 else "zz", i % 2) for i in range(40)]
+    rows = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    seen = {"language": [], "quality": []}
+    weigh, features = language_id.tf_idf, quality.CompressionModel.features
+    monkeypatch.setattr(language_id, "tf_idf", lambda t, idf: seen["language"].append(t) or weigh(t, idf))
+    monkeypatch.setattr(quality.CompressionModel, "features", lambda m, d: seen["quality"].append(d.decode()) or features(m, d))
+    language_id.fit(rows)
+    quality.fit(rows)
+    whole = {r["text"] for r in rows.collect()}
+    assert set(seen["language"]) == whole
+    assert seen["quality"] and set(seen["quality"]) <= whole
