@@ -1,7 +1,10 @@
 """What is bounded is the fitting sample only: statistics, texts and rows are taken whole."""
 
+import zlib
+
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
 
 from quirewell.llm import html_extract, language_id, quality, substring_dedup
@@ -74,3 +77,47 @@ def test_fitting_on_whole_texts(spark, monkeypatch):
     whole = {r["text"] for r in rows.collect()}
     assert set(seen["language"]) == whole
     assert seen["quality"] and set(seen["quality"]) <= whole
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """Each stage's rows against a plain version, on planted copies, near copies and passages."""
+    from test_edges import naive_components, naive_substrings
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    say = lambda n, mark="": " ".join(f"w{x}{mark}" for x in rng.integers(0, 4000, n))
+    texts = [say(120) for _ in range(20)] + [say(60, "###") for _ in range(8)]
+    texts += [texts[1], texts[2].replace(" ", "  "), " ".join([*texts[3].split()[:60], "other", *texts[3].split()[61:]])]
+    shared = say(55)
+    texts += [f"{say(70)} {shared} {say(70)}", f"{say(80)} {shared} {say(60)}", f"{shared} {say(90)}"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame([(i, int("###" not in t)) for i, t in rows], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    stage = lambda k, rows: sorted(tuple(r) for r in corpus_pipeline.STAGES[k][1](spark, frame(rows), str(tmp_path)).collect())
+
+    labelled, total = quality.labelled_rows(frame(rows), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    model = quality.fit(labelled, total=total)
+    got = stage(0, rows)
+    assert got == [r for r in rows if model.score(r[1]) >= 0.3]
+    best = {}
+    for i, t in rows:
+        best.setdefault("".join(t.split()), []).append((-len(t), i, t))
+    want = sorted((i, t) for _, i, t in map(min, best.values()))
+    assert len(want) == len(rows) - 2 and stage(1, rows) == want
+    rows = want
+    root, _ = naive_components([t for _, t in rows], 5, 80)
+    want = [r for k, r in enumerate(rows) if root[k] == k]
+    assert len(want) < len(rows) and stage(2, rows) == want
+    rows = want
+    cut = naive_substrings(rows, 50)
+    want = [(i, t if len(cut[i].split()) == len(t.split()) else cut[i].decode()) for i, t in rows]
+    assert want != rows and stage(3, rows) == want
+    rows = want
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = corpus_pipeline.packing_stage(spark, frame(rows), "").collect()
+    for i, text in rows:
+        ids, at = [*t.encode(text, add_special_tokens=False).ids, 2], 0
+        for r in sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
