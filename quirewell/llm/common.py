@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import shutil
 import tempfile
@@ -21,17 +22,49 @@ BROADCAST_IDS = 500_000
 ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
 _own: dict[str, str] = {}
+_made: dict[str, SparkSession] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """A new folder below ``spark.checkpoint.dir`` for what an operator keeps between its stages.
+
+    Where that is unset a temporary folder is used in local mode; on a cluster it
+    is an error, as executors don't see each other's disks. The folder goes
+    with ``clean`` or when the driver ends; results that are still to be read
+    lie in it until then.
+
+    From here on the session's Arrow batches hold BATCH_BYTES each, so that a
+    Python worker's memory doesn't grow with the rows' sizes.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith(("local[", "local")) or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if "dir" not in _own:
             _own["dir"] = tempfile.mkdtemp(prefix="quirewell-")
             atexit.register(shutil.rmtree, _own["dir"], True)
         base = "file://" + _own["dir"]
-    return f"{base.rstrip('/')}/quirewell-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quirewell-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clean)
+    _made[path] = spark
+    return path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that no result is read from any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean() -> None:
+    """Delete the work folders of this driver; results that are read from them end with them."""
+    for path, spark in list(_made.items()):
+        del _made[path]
+        with contextlib.suppress(Exception):  # the session may have ended
+            drop(spark, path)
 
 
 def keep(df: DataFrame, path: str) -> DataFrame:
@@ -157,3 +190,36 @@ def tail_share(k: int, threshold_pct: int) -> int:
     """Items that two bottom-k sketches share at least, save with a chance of about 1e-8, if Jaccard is at the threshold."""
     p = threshold_pct / 100
     return max(1, math.floor(k * p - 5.7 * math.sqrt(k * p * (1 - p))))
+
+
+def by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``run`` on each group of integer ``keys`` as one Arrow table; its tables side by side.
+
+    Groups must be of bounded size. They are read from sorted partitions, many
+    to a batch, which suits many small groups better than a batch for each.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(n, dtype=bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            new[0] = last is not None and last != tuple(c[0] for c in columns)
+            start = 0
+            for edge in np.flatnonzero(new).tolist():
+                if edge > start:
+                    held.append(batch.slice(start, edge - start))
+                yield from run(pa.Table.from_batches(held)).to_batches()
+                held, start = [], edge
+            held.append(batch.slice(start))
+            last = tuple(c[-1] for c in columns)
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)

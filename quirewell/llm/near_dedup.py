@@ -5,14 +5,15 @@ inverted lists of the retained values give the documents that overlap; the
 sketch of the union of two documents estimates their Jaccard similarity, and
 documents that pass are compared on their full sets.
 
-Scale. Of equal sets one represents all. A value that many documents retain
-(a common word pair) would make a long list, so each document is listed only
-under the rarest of its retained values: if two sketches share at least t of k
-values, they share one of their k - t + 1 rarest (prefix filter); t comes from
-the threshold and is only missed with a chance of about 1e-8. Each list first
-links its members to its smallest one, so a group of n copies makes n links;
-only members that are still in different components are compared afterwards.
-Longer lists are compared by their smallest member, in blocks of bounded size.
+Scale. Equal sets are one node. A value that many documents retain (a common
+word pair) would make a long list, so each node is listed only under the rarest
+of its retained values: if two sketches share at least t of k values, they
+share one of their k - t + 1 rarest (prefix filter); t comes from the threshold
+and is only missed with a chance of about 1e-8. Each list first links its
+members to its smallest one, so a group of n copies makes n links. Members of a
+list that are still in different components then meet in blocks of bounded
+size, those of sizes too different not at all: on their sketches first, and on
+their full sets only if the sketches left a partner.
 """
 
 from __future__ import annotations
@@ -21,18 +22,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, mix, only_ids, pieces, raw, tail_share, windows, work_dir, words_of
+from .common import by_group, drop, keep, mix, only_ids, pieces, raw, tail_share, windows, work_dir, words_of
 from .components import components
 
-#: Members of a list that are joined with each other; longer lists are compared in blocks of so many members and bytes of sets.
-SHORT_LIST, BLOCK, BLOCK_BYTES = 16, 512, 8 << 20
+#: Members of a block and bytes of their sets.
+BLOCK, BLOCK_BYTES = 128, 2 << 20
 #: Standard errors by which an estimate may fall short of the threshold.
-SLACK = 5.0
+SLACK = 6.0
+#: Cells of a matrix of sketches that are handled at once.
+CELLS = 1 << 19
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -59,7 +61,7 @@ def _set_digest(x: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """``doc_id, n_shingles, same binary, sketch array<bigint>`` of each row; ``same`` is a digest of the whole set."""
+    """``doc_id, row, n_shingles, same binary, sketch array<bigint>`` of each row; ``same`` is a digest of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -70,37 +72,62 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
                         n.append(len(x))
                         same.append(_set_digest(x) if len(x) else None)
                         low.append(x[:k].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "same", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "row", "n_shingles", "same", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, same binary, sketch array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, same binary, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, items binary``: the sorted 64-bit shingle hashes of each text."""
+    """``same, items binary``: the sorted 64-bit shingle hashes of each text and their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 with np.errstate(over="ignore"):
                     items = [x.tobytes() for x in _sets(batch, size)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.binary())], ["doc_id", "items"])
-
-    return docs.mapInArrow(run, "doc_id bigint, items binary")
-
-
-def _estimate_passes(x: np.ndarray, y: np.ndarray, nx: int, ny: int, k: int, pct: int) -> bool:
-    """Whether the sketch of the union leaves room for the threshold; exact where the sketches are whole sets."""
-    if 100 * min(nx, ny) < pct * max(nx, ny):
-        return False
-    both = np.sort(np.concatenate([x, y]))  # values are distinct within each
-    twice = both[1:][both[1:] == both[:-1]]
-    union = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    if nx <= k and ny <= k:
-        return 100 * len(twice) >= pct * len(union)
-    union = union[:k]
-    hits = int(np.searchsorted(twice, union[-1], side="right"))
-    p, n = pct / 100, len(union)
-    return hits >= n * p - SLACK * np.sqrt(n * p * (1 - p))
+                same = [hashlib.blake2b(x, digest_size=16).digest() for x in items]
+                yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), pa.array(items, pa.binary())], ["same", "items"])
+
+    return docs.mapInArrow(run, "same binary, items binary")
+
+
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the n + 1 places where its lists begin."""
+    at = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths(), dtype=np.int64))])
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), at
+
+
+def _padded(values: np.ndarray, at: np.ndarray, chosen: np.ndarray, width: int, odd: int) -> np.ndarray:
+    """The chosen lists as rows of ``width`` values; what is missing are large numbers that occur once."""
+    size = (at[1:] - at[:-1])[chosen]
+    out = np.broadcast_to(np.uint64(2**64 - 1 - odd) - 2 * np.arange(width, dtype=np.uint64), (len(chosen), width)).copy()
+    place = np.arange(width)[None, :] < size[:, None]
+    out[place] = values[(at[:-1][chosen][:, None] + np.arange(width)[None, :])[place]]
+    return out
+
+
+def union_passes(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, nx: np.ndarray, ny: np.ndarray, k: int, pct: int) -> np.ndarray:
+    """For each pair of list i of x and list j of y: whether the sketch of their union leaves room for the threshold; exact where both sketches are whole sets."""
+    ok = np.zeros(len(i), dtype=bool)
+    nx, ny = nx[i], ny[j]
+    todo = np.flatnonzero(100 * np.minimum(nx, ny) >= pct * np.maximum(nx, ny))
+    held = np.minimum(np.maximum(nx, ny), k)
+    todo = todo[np.argsort(held[todo], kind="stable")]
+    p, s = pct / 100, 0
+    most = lambda at: max(1, CELLS // (2 * int(held[todo[at]])))
+    while s < len(todo):
+        e = min(s + most(s), len(todo))
+        e = min(s + most(e - 1), e)
+        at, width = todo[s:e], int(held[todo[e - 1]])
+        both = np.concatenate([_padded(*x, i[at], width, 0), _padded(*y, j[at], width, 1)], axis=1)
+        both.sort(axis=1)
+        twice = both[:, 1:] == both[:, :-1]  # values are distinct within each sketch
+        place = np.arange(2, 2 * width + 1)[None, :] - np.cumsum(twice, axis=1)  # among the values of the union
+        shared, hits = twice.sum(axis=1), (twice & (place <= k)).sum(axis=1)
+        whole = (nx[at] <= k) & (ny[at] <= k)
+        ok[at] = np.where(whole, 100 * shared >= pct * (nx[at] + ny[at] - shared), hits >= k * p - SLACK * np.sqrt(k * p * (1 - p)))
+        s = e
+    return ok
 
 
 def _passing(pairs: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
@@ -108,10 +135,8 @@ def _passing(pairs: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c) for c in ("na", "nb")]
-            nx, ny = (c.to_numpy() for c in cols)
-            sx, sy = batch.column("sa"), batch.column("sb")
-            ok = [_estimate_passes(sx[i].values.to_numpy(zero_copy_only=False).view(np.uint64), sy[i].values.to_numpy(zero_copy_only=False).view(np.uint64), nx[i], ny[i], k, pct) for i in range(batch.num_rows)]
+            each = np.arange(batch.num_rows)
+            ok = union_passes(_rows(batch.column("sa")), _rows(batch.column("sb")), each, each, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), k, pct)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one = nodes.select("node", "n_shingles", "sketch")
@@ -119,10 +144,16 @@ def _passing(pairs: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, pct: int, path: str) -> DataFrame:
+def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, path: str) -> DataFrame:
+    """``node, items`` of the nodes in ``wanted``, from the rows of their smallest doc_id."""
+    named = keep(nodes.select("node", "same", "first").join(wanted.select("node").distinct(), "node", "left_semi"), f"{path}-names")
+    ids = keep(named.select(F.col("first").alias("doc_id")).distinct(), f"{path}-ids")
+    sets = full_sets(only_ids(docs, ids, "doc_id").select("doc_id", "text"), size).join(named.select("same", "node"), "same")
+    return keep(sets.groupBy("node").agg(F.min("items").alias("items")), path)  # a doc_id may have the text twice
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """Of the pairs ``a, b`` those whose full sets are similar enough."""
-    ids = keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{path}/ids")
-    sets = keep(full_sets(only_ids(docs, ids, "doc_id"), size).dropDuplicates(["doc_id"]), f"{path}/sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,35 +169,104 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, pct: int, path: str)
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Links ``a, b`` between ``node, component, n_shingles`` of one ``centre``, counted exactly in blocks of bounded size.
+def _blocks(members: DataFrame, pct: int, weight: int) -> DataFrame:
+    """Deal ``centre, node, size, component`` into groups ``centre, c, kind, i, j`` of two blocks at most; ``side`` tells the two apart.
 
-    Blocks meet in pairs; each pair of blocks gives a spanning forest of the
-    links it finds, so the result is linear in its members.
+    Every two members of a centre whose sizes allow the similarity meet in one
+    group. Classes of sizes are as wide as the threshold allows, so that a
+    class meets itself and the next one only; a class is cut into blocks of
+    BLOCK members and, at ``weight`` bytes for each shingle, of BLOCK_BYTES.
     """
-    total = members.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    each = members.join(total, "centre").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component").join(sets.withColumnRenamed("doc_id", "node"), "node")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("node").sort_values("node", ignore_index=True)
-        node, comp = f["node"].to_numpy(), f["component"].to_numpy()
-        out: list[tuple[int, int]] = []
-        if len(set(comp)) > 1:
-            items = [np.frombuffer(x, np.uint64) for x in f["items"]]
-            size = np.array([len(x) for x in items])
-            everything = np.concatenate(items)
-            order = np.argsort(everything, kind="stable")
-            owner, value = np.repeat(np.arange(len(items)), size)[order], everything[order]
-            begin = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-            stop = np.append(begin[1:], len(value))
-            shared = np.zeros((len(items), len(items)), dtype=np.int32)
-            for s, e in zip(begin[stop - begin > 1], stop[stop - begin > 1], strict=True):
-                o = owner[s:e]
-                shared[np.ix_(o, o)] += 1
-            union = size[:, None] + size[None, :] - shared
-            root = {c: c for c in comp}
+    step = max(float(np.log(100 / pct)) * 1.0001, 1e-3)
+    members = members.withColumn("c", F.floor(F.log("size") / step).cast("int"))
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * weight / BLOCK_BYTES)).cast("int")
+    count = members.groupBy("centre", "c").agg(n.alias("n"), (F.count(F.lit(1)) > 1).alias("several"))
+    near = lambda by, name: count.select("centre", (F.col("c") + by).alias("c"), F.col("n").alias(name))
+    each = members.join(count, ["centre", "c"]).join(near(-1, "up"), ["centre", "c"], "left").join(near(1, "down"), ["centre", "c"], "left")
+    each = each.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    group = lambda c, kind, i, j, side: F.struct(c.cast("int").alias("c"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    none = F.array().cast("array<struct<c:int,kind:int,i:int,j:int,side:int>>")
+    others = lambda n: F.sequence(F.lit(0), n - 1)
+    mine, c = F.col("mine"), F.col("c")
+    same = F.when(F.col("several"), F.transform(others(F.col("n")), lambda o: group(c, 0, F.least(mine, o), F.greatest(mine, o), mine > o))).otherwise(none)
+    up = F.when(F.col("up").isNotNull(), F.transform(others(F.col("up")), lambda o: group(c, 1, mine, o, F.lit(0)))).otherwise(none)
+    down = F.when(F.col("down").isNotNull(), F.transform(others(F.col("down")), lambda o: group(c - 1, 1, o, mine, F.lit(1)))).otherwise(none)
+    return each.select("centre", "node", "size", "component", F.explode(F.concat(same, up, down)).alias("g")).select("centre", "g.*", "node", "size", "component")
+
+
+GROUP = ["centre", "c", "kind", "i", "j"]
+
+
+def _shared(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many values each two of the lists have in common: products of slices of their incidence matrix."""
+    m = len(at) - 1
+    owner = np.repeat(np.arange(m), np.diff(at))
+    _, number, count = np.unique(values, return_inverse=True, return_counts=True)
+    several = count[number] > 1
+    number, owner = (np.cumsum(count > 1) - 1)[number[several]], owner[several]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    out, wide = np.zeros((m, m), dtype=np.int64), 4096
+    edges = np.searchsorted(number, np.arange(0, int(number[-1]) + 1 + wide, wide)) if len(number) else [0]
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        has = np.zeros((wide, m), dtype=np.float32)
+        has[number[s:e] % wide, owner[s:e]] = 1
+        out += (has.T @ has).astype(np.int64)
+    return out
+
+
+def _pairs(table: pa.Table, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of a group that are to be compared: of different sides if there are two, different components, and sizes that allow it."""
+    side, component, size = (table.column(c).to_numpy() for c in ("side", "component", "size"))
+    ok = component[:, None] != component[None, :]
+    ok &= 100 * np.minimum(size[:, None], size[None, :]) >= pct * np.maximum(size[:, None], size[None, :])
+    if table.column("i")[0].as_py() != table.column("j")[0].as_py() or table.column("kind")[0].as_py():
+        ok &= side[:, None] != side[None, :]
+    return np.nonzero(np.triu(ok, 1))
+
+
+def _with_partner(members: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
+    """``centre, node`` of the members that have another one, of another component, whose union sketch with them passes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = _pairs(table, pct)
+        found = np.zeros(0, np.int64)
+        if len(i):
+            lists = _rows(table.column("sketch").combine_chunks())
+            size = table.column("size").to_numpy()
+            shared = _shared(*lists)[i, j]
+            p = pct / 100
+            room = np.where((size[i] <= k) & (size[j] <= k), 100 * shared >= pct * (size[i] + size[j] - shared), shared >= k * p - SLACK * np.sqrt(k * p * (1 - p)))
+            order = np.argsort(-shared[room], kind="stable")
+            i, j = i[room][order], j[room][order]  # what both sketches hold is no less than what their union's does
+            has = np.zeros(table.num_rows, dtype=bool)
+            while len(i):  # the most promising first; pairs of members that have a partner already need no look
+                ok = union_passes(lists, lists, i[:2048], j[:2048], size, size, k, pct)
+                has[i[:2048][ok]] = has[j[:2048][ok]] = True
+                i, j = i[2048:], j[2048:]
+                still = ~(has[i] & has[j])
+                i, j = i[still], j[still]
+            found = np.flatnonzero(has)
+        return table.select(["centre", "node"]).take(pa.array(found))
+
+    dealt = _blocks(members, pct, 0).join(nodes.select("node", "sketch"), "node")
+    return by_group(dealt, GROUP, run, "centre bigint, node bigint")
+
+
+def _links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links ``a, b`` between members of one centre on their full sets: of those in a group as many as join its components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        i, j = _pairs(table, pct)
+        if len(i):
+            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in items])])
+            size = at[1:] - at[:-1]
+            shared = _shared(np.concatenate(items), at)[i, j]
+            ok = 100 * shared >= pct * (size[i] + size[j] - shared)
+            node, component = table.column("node").to_pylist(), table.column("component").to_pylist()
+            root = {c: c for c in component}
 
             def find(c):
                 while root[c] != c:
@@ -174,36 +274,43 @@ def _block_links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                     c = root[c]
                 return c
 
-            for x, y in zip(*np.nonzero(np.triu(100 * shared >= pct * union, 1)), strict=True):
-                p, q = find(comp[x]), find(comp[y])
+            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                p, q = find(component[x]), find(component[y])
                 if p != q:
                     root[max(p, q)] = min(p, q)
-                    out.append((node[x], node[y]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    a.append(node[x])
+                    b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return each.groupBy("centre", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return by_group(_blocks(members, pct, 8).join(sets, "node"), GROUP, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept, row``.
 
     component_id is the smallest doc_id reachable over links of Jaccard
     similarity ``threshold_pct`` / 100 or more; kept says whether it is the
     row's own. Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and shingles
-    runs of ``shingle`` words; a text of fewer words is one shingle.
+    runs of ``shingle`` words; a text of fewer words is one shingle. row is
+    ``xxhash64`` of the text.
+
+    A link at the threshold is missed with a chance of 4e-8 at most (README); with
+    ``k`` no less than the largest set every sketch is the whole set and none is.
 
     Null, empty and blank texts have no shingles and are linked with nothing.
-    Rows of one doc_id are one document. A null doc_id has a null component, is
-    kept, and links nothing. Other columns are not read. An empty table gives
-    an empty result.
+    Rows of one doc_id with different texts are nodes of their own: a link of
+    one is none of the other, and each has the smallest doc_id that its own
+    text reaches. A null doc_id has a null component, is kept, and links
+    nothing. Other columns are not read. An empty table gives an empty result.
     """
     spark, pct, t = docs.sparkSession, threshold_pct, tail_share(k, threshold_pct)
     home = work_dir(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = keep(sketches(docs, shingle, k), f"{home}/rows")
+    rows = keep(sketches(docs.withColumn("row", F.xxhash64("text")), shingle, k), f"{home}/rows")
     some = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # one node for equal sets: the smallest doc_id
-    nodes = keep(some.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).drop("same"), f"{home}/nodes")
+    # one node for equal sets, numbered as it is written
+    equal = some.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    nodes = keep(equal.withColumn("node", F.monotonically_increasing_id()), f"{home}/nodes")
     listed = nodes.select("node", F.explode("sketch").alias("value"))
     common = keep(listed.groupBy("value").count().where("count > 1"), f"{home}/common")
     # the rarest values: those of one document come first and link nothing
@@ -212,47 +319,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80,
     shared = listed.join(common, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "value"))).alias("values"))  # k at most
     shared = shared.join(nodes.select("node", F.col("n_shingles").alias("size"), held.alias("held"), short.alias("short")), "node")
     take = (F.col("short") - (F.col("held") - F.size("values"))).cast("int")
-    lists = shared.where(take > 0).select("node", "size", F.explode(F.slice("values", 1, take)).alias("v")).select("node", "size", "v.value", "v.count")
-    lists = keep(lists, f"{home}/lists")
+    lists = keep(shared.where(take > 0).select("node", "size", F.explode(F.slice("values", 1, take)).alias("v")).select("node", "size", "v.value"), f"{home}/lists")
     # every list's members against its smallest one
-    centre = lists.groupBy("value").agg(F.min(F.struct("node", "size")).alias("c")).select("value", F.col("c.node").alias("a"), F.col("c.size").alias("size_a"))
-    alike = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(pct) * F.greatest(x, y)  # noqa: E731  else the sizes rule the pair out
-    stars = lists.join(centre, "value").where(F.col("a") < F.col("node")).where(alike("size", "size_a")).select("a", F.col("node").alias("b")).distinct()
-    stars = keep(_passing(stars, nodes, k, pct), f"{home}/stars")
-    edges = keep(_verified(stars, docs, shingle, pct, f"{home}/v1"), f"{home}/edges1")
-    found = keep(components(edges, f"{home}/c1"), f"{home}/found1")
-    # then members in different components
-    members = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    members = keep(members.join(mixed, "value", "left_semi"), f"{home}/members")
-    x = members.where(f"count <= {SHORT_LIST}")
-    y = x.select("value", F.col("node").alias("b"), F.col("component").alias("other"), F.col("size").alias("size_b"))
-    rest = x.withColumnRenamed("node", "a").join(y, "value").where("a < b AND component <> other").where(alike("size", "size_b")).select("a", "b").distinct()
-    rest = keep(_passing(rest.join(stars, ["a", "b"], "left_anti"), nodes, k, pct), f"{home}/rest")
-    more = keep(_verified(rest, docs, shingle, pct, f"{home}/v2"), f"{home}/edges2")
-    # a group of near copies fills many lists with the same smallest member: it is compared once
-    long = members.where(f"count > {SHORT_LIST}").join(centre.select("value", F.col("a").alias("centre")), "value").select("centre", "node", "component").distinct()
-    long = keep(long.join(nodes.select("node", "n_shingles"), "node"), f"{home}/long")
-    ids = keep(long.select(F.col("node").alias("doc_id")).distinct(), f"{home}/long_ids")
-    sets = keep(full_sets(only_ids(docs, ids, "doc_id"), shingle).dropDuplicates(["doc_id"]), f"{home}/long_sets")
-    most = keep(_block_links(long, sets, pct), f"{home}/edges3")
-    links = keep(edges.union(more).union(most), f"{home}/edges")
-    found = components(links, f"{home}/c2")
-    # equal sets hang on their node; only rows that are not their own component are joined
-    own = some.select("doc_id", "same").distinct()
-    same = own.groupBy("same").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    moved = same.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).where("n > 1 OR component <> node").select("same", "component")
-    moved = keep(moved, f"{home}/moved")
-    out = rows.select("doc_id", "n_shingles", "same").join(moved, "same", "left")
-    # rows of one doc_id with different texts are one document
-    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.countDistinct("same").alias("texts")).where("texts > 1")
-    if not repeated.isEmpty():
-        both = out.where("same IS NOT NULL").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.coalesce("component", "doc_id").alias("b"))
-        joined = keep(components(both, f"{home}/c3"), f"{home}/joined").withColumnRenamed("component", "lower")
-        out = out.withColumn("node", F.coalesce("component", "doc_id")).join(joined, "node", "left").withColumn("component", F.coalesce("lower", "node"))
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    centre = lists.groupBy("value").agg(F.min(F.struct("node", "size")).alias("c")).select("value", F.col("c.node").alias("centre"), F.col("c.size").alias("size_a"))
+    members = keep(lists.join(centre, "value").where(F.col("centre") < F.col("node")).select("centre", "size_a", "node", "size").distinct(), f"{home}/members")
+    alike = F.lit(100) * F.least("size", "size_a") >= F.lit(pct) * F.greatest("size", "size_a")  # else the sizes rule the pair out
+    stars = keep(_passing(members.where(alike).select(F.col("centre").alias("a"), F.col("node").alias("b")), nodes, k, pct), f"{home}/stars")
+    sets = _sets_of(stars.select(F.col("a").alias("node")).union(stars.select("b")), docs, nodes, shingle, f"{home}/sets")
+    edges = keep(_verified(stars, sets, pct), f"{home}/edges")
+    drop(spark, *(f"{home}/{x}" for x in ("common", "lists", "sets", "stars")))
+    found = keep(components(edges, f"{home}/c1"), f"{home}/found")
+    # then members in different components; the smallest one has met them all
+    members = members.select("centre", "node", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("centre")
+    members = keep(members.join(mixed, "centre", "left_semi"), f"{home}/mixed")
+    left = keep(_with_partner(members, nodes, k, pct).distinct(), f"{home}/left")
+    members = keep(members.join(left, ["centre", "node"], "left_semi"), f"{home}/open")
+    sets = _sets_of(members, docs, nodes, shingle, f"{home}/open_sets")
+    links = keep(edges.union(_links(members, sets, pct)), f"{home}/links")
+    drop(spark, *(f"{home}/{x}" for x in ("members", "mixed", "left", "open", "open_sets")))
+    found = keep(components(links, f"{home}/c2"), f"{home}/components")
+    # rows whose component is not their own doc_id alone are joined with it
+    lead = found.join(nodes.select("node", "first"), "node")
+    lead = lead.join(lead.groupBy("component").agg(F.min("first").alias("lead")), "component").select("node", "lead")
+    moved = nodes.select("node", "same", "first", "n").join(lead, "node", "left").where("n > 1 OR lead IS NOT NULL")
+    moved = keep(moved.select("same", F.coalesce("lead", "first").alias("lead")), f"{home}/moved")
+    out = rows.select("doc_id", "n_shingles", "same", "row").join(moved, "same", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lead", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "row")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2).drop("row")

@@ -5,11 +5,13 @@ in a document with a smaller id. Sending every automaton to every document would
 cost documents times shards, so text is routed instead: the anchor of a window
 is the smallest hash of the shorter runs of words inside it, equal windows have
 equal anchors, and only anchors of two documents or more matter. The regions
-around such anchors are the references. Equal regions are one (with the
-smallest id that has it), so copies and hot passages shrink before they are
-shuffled. Regions that share an anchor but differ meet in a shard of bounded
-size; its suffix automaton, each state carrying the smallest id of its
-occurrences, gives matching statistics for the regions streamed through it.
+around such anchors are both the references and what is streamed through them.
+Equal regions are one (with the smallest id that has it), so copies and hot
+passages shrink before they are shuffled. Regions of one anchor meet in a shard
+of bounded size; its suffix automaton, each state carrying the smallest id of
+its occurrences, gives matching statistics for the regions streamed through it.
+The regions of an anchor that fills more than a shard are cut into their
+windows first, equal ones are one again, and these are dealt to shards by hash.
 """
 
 from __future__ import annotations
@@ -22,18 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, keep, mix, only_ids, partitions, pieces, raw, windows, work_dir, words_of
+from .common import BROADCAST_IDS, drop, keep, mix, only_ids, partitions, pieces, raw, windows, work_dir, words_of
 
-#: Words of a reference shard, unless the regions of one anchor are more.
+#: Words of a reference shard, twice as many at most.
 SHARD_WORDS = 20_000
-#: Distinct regions of an anchor beyond which its windows are routed one by one.
-MANY_REGIONS = 1000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Tells rows of one doc_id with different texts apart: a hash of both, null for a null id."""
-    return F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
+def row_key(text_col: str = "text") -> Column:
+    """With the doc_id, tells rows with different texts apart."""
+    return F.xxhash64(F.col(text_col))
 
 
 class SuffixAutomaton:
@@ -210,56 +210,61 @@ def _regions(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor bigint, region bigint, doc_id bigint, row bigint, start bigint, windows int, words binary")
 
 
-def _shards(regions: DataFrame, window: int) -> DataFrame:
-    """``anchor, region, least array<bigint>`` of regions dealt and sorted by anchor: the smallest id that has each window."""
+def _solve(pieces_: DataFrame, window: int) -> DataFrame:
+    """``anchor, piece, least array<bigint>``: the smallest id that has each window of the distinct pieces ``anchor, bucket, piece, least, words``."""
 
-    def solve(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
-        _, ids = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
-        ends = np.cumsum([len(r[3]) for r in rows])
-        texts = [ids[e - len(r[3]) : e].tolist() for r, e in zip(rows, ends, strict=True)]
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        _, ids = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
+        ends = np.cumsum([len(r[4]) for r in rows])
+        texts = [ids[e - len(r[4]) : e].tolist() for r, e in zip(rows, ends, strict=True)]
         automaton = SuffixAutomaton()
         for r, text in zip(rows, texts, strict=True):
-            automaton.add(text, r[2])
+            automaton.add(text, r[3])
         automaton.finish()
         least = [automaton.least_owners(text, window) for text in texts]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["anchor", "region", "least"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["anchor", "piece", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for a, r, d, w in zip(*(batch.column(c).to_pylist() for c in ("anchor", "region", "least", "words")), strict=True):
-                if size > SHARD_WORDS and rows[-1][0] != a:
+            for a, b, p, d, w in zip(*(batch.column(c).to_pylist() for c in ("anchor", "bucket", "piece", "least", "words")), strict=True):
+                if size > SHARD_WORDS and rows[-1][:2] != (a, b):
                     yield solve(rows)
                     rows, size = [], 0
                 words = np.frombuffer(w, np.uint64)
-                rows.append((a, r, d, words))
+                rows.append((a, b, p, d, words))
                 size += len(words)
         if rows:
             yield solve(rows)
 
-    return regions.mapInArrow(run, "anchor bigint, region bigint, least array<bigint>")
+    dealt = pieces_.repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket")
+    return dealt.select("anchor", "bucket", "piece", "least", "words").mapInArrow(run, "anchor bigint, piece bigint, least array<bigint>")
 
 
-def _one_by_one(regions: DataFrame, window: int) -> DataFrame:
-    """As ``_shards`` for anchors with very many regions: the windows themselves are grouped, with partial sums."""
+def _cut(regions: DataFrame, window: int) -> DataFrame:
+    """``anchor, region, i, piece, least, words``: the windows of regions ``anchor, region, least, words``; piece is a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                hashes = [windows(np.frombuffer(w.as_buffer(), np.uint64), window).view(np.int64) for w in batch.column("words")]
-            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("region"), batch.column("least"), pa.array(hashes, pa.list_(pa.int64()))], ["anchor", "region", "least", "hashes"])
+        for whole in batches:
+            for batch in pieces(whole, "words", 256 << 10):
+                each = [np.frombuffer(w.as_buffer(), np.uint64) for w in batch.column("words")]
+                count = np.array([len(w) - window + 1 for w in each])
+                with np.errstate(over="ignore"):
+                    hashes = np.concatenate([windows(w, window) for w in each]).view(np.int64)
+                held = [x.tobytes() for w in each for x in np.lib.stride_tricks.sliding_window_view(w, window)]
+                row = pa.array(np.repeat(np.arange(len(each)), count))
+                place = np.concatenate([np.arange(c) for c in count])
+                yield pa.RecordBatch.from_arrays([batch.column("anchor").take(row), batch.column("region").take(row), pa.array(place, pa.int32()), pa.array(hashes), batch.column("least").take(row), pa.array(held, pa.binary())], ["anchor", "region", "i", "piece", "least", "words"])
 
-    each = regions.mapInArrow(run, "anchor bigint, region bigint, least bigint, hashes array<bigint>").select("anchor", "region", "least", F.posexplode("hashes").alias("i", "hash"))
-    best = each.groupBy("hash").agg(F.min("least").alias("best"))
-    found = each.join(best, "hash").groupBy("anchor", "region").agg(F.array_sort(F.collect_list(F.struct("i", "best"))).alias("x"))
-    return found.select("anchor", "region", F.col("x.best").alias("least"))
+    return regions.mapInArrow(run, "anchor bigint, region bigint, i int, piece bigint, least bigint, words binary")
 
 
-def _spans(occurrences: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """``row, at``: the windows that go, a list for each row."""
+def _spans(occurrences: DataFrame, found: DataFrame, single: DataFrame) -> DataFrame:
+    """``doc_id, row, at``: the windows that go, a list for each row; ``found`` has the regions' smallest ids as lists, ``single`` one by one."""
     hit = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    rows = occurrences.join(found, ["anchor", "region"]).select("row", hit.alias("at")).where(F.size("at") > 0)
-    return rows.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"))  # a row's own windows
+    rows = occurrences.join(found, ["anchor", "region"]).select("doc_id", "row", hit.alias("at")).where(F.size("at") > 0)
+    more = occurrences.join(single.withColumnRenamed("least", "x"), ["anchor", "region"]).where("x < doc_id").select("doc_id", "row", F.array(F.col("start") + F.col("i")).alias("at"))
+    return rows.union(more).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("at")).alias("at"))  # a row's own windows
 
 
 def _apply(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -301,37 +306,42 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, with_text: bool =
     loses nothing. Other columns are not read. An empty table gives an empty
     result.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, ["doc_id", "row"]
     home = work_dir(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", row_key())
     rows = keep(_sequences(docs.where("doc_id IS NOT NULL"), window), f"{home}/rows")
     same = rows.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     same = keep(same, f"{home}/same")  # a table of its own, so that a hot text's rows can be split in the join
-    copies = keep(rows.join(same, "same").where("doc_id > first").select("row").distinct(), f"{home}/copies")
+    copies = keep(rows.join(same, "same").where("doc_id > first").select(*key).distinct(), f"{home}/copies")
     few = copies.count() <= BROADCAST_IDS
-    minus = lambda x, ids, small: x.join(F.broadcast(ids) if small else ids, "row", "left_anti")
+    minus = lambda x, ids, small: x.join(F.broadcast(ids) if small else ids, key, "left_anti")
     first_ones = minus(docs.where("doc_id IS NOT NULL"), copies, few)
     shared = keep(_shared_anchors(first_ones, window, 2 * partitions(spark)), f"{home}/shared")
     lists = keep(shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), f"{home}/lists")
-    ids = lists.select("doc_id")
-    with_lists = only_ids(first_ones, ids, "doc_id").join(lists, "doc_id")
+    with_lists = only_ids(first_ones, lists.select("doc_id"), "doc_id").join(lists, "doc_id")
     regions = keep(_regions(with_lists, window), f"{home}/regions")
-    keys = keep(regions.groupBy("anchor", "region").agg(F.min("doc_id").alias("least"), F.first("windows").alias("windows")), f"{home}/keys")
-    counts = keep(keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{home}/counts")
-    # an anchor with one region needs no words: all its windows have the same smallest id
-    alone = keys.join(counts, "anchor", "left_anti").select("anchor", "region", F.array_repeat("least", F.col("windows")).alias("least"))
-    differing = only_ids(regions, counts.select("anchor"), "anchor").groupBy("anchor", "region").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"))
-    sized = keep(differing.join(counts, "anchor"), f"{home}/sized")
-    several = sized.where(f"n <= {MANY_REGIONS}").select("anchor", "region", "least", "words").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    found = alone.union(_shards(several, window)).union(_one_by_one(sized.where(f"n > {MANY_REGIONS}"), window))
-    found = keep(found, f"{home}/found")
-    spans = keep(_spans(regions.select("anchor", "region", "doc_id", "row", "start"), found, window), f"{home}/spans")
+    drop(spark, f"{home}/shared", f"{home}/lists")
+    keys = keep(regions.groupBy("anchor", "region").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), f"{home}/keys")
+    words = (F.octet_length("words") / 8).cast("bigint")
+    large = keys.groupBy("anchor").agg(F.sum(words).alias("n"), F.sum(words - window + 1).alias("windows")).where(F.col("n") > SHARD_WORDS)
+    large = keep(large.select("anchor", F.ceil(F.col("windows") * window / SHARD_WORDS).cast("int").alias("buckets")), f"{home}/large")
+    spread = large.count() <= BROADCAST_IDS
+    large_too = F.broadcast(large) if spread else large
+    plain = keys.join(large_too, "anchor", "left_anti").select("anchor", F.lit(0).alias("bucket"), F.col("region").alias("piece"), "least", "words")
+    cut = keep(_cut(keys.join(large_too.select("anchor"), "anchor", "left_semi"), window), f"{home}/cut")
+    single = cut.groupBy("anchor", "piece").agg(F.min("least").alias("least"), F.first("words").alias("words"))
+    single = single.join(large_too, "anchor").select("anchor", F.pmod("piece", "buckets").cast("int").alias("bucket"), "piece", "least", "words")
+    found = keep(_solve(plain, window).withColumnRenamed("piece", "region"), f"{home}/found")
+    single = keep(_solve(single, window).select("anchor", "piece", F.element_at("least", 1).alias("least")), f"{home}/single")
+    single = keep(cut.select("anchor", "region", "i", "piece").join(single, ["anchor", "piece"]).select("anchor", "region", "i", "least"), f"{home}/placed")
+    spans = keep(_spans(regions.select("anchor", "region", "doc_id", "row", "start"), found, single), f"{home}/spans")
+    drop(spark, *(f"{home}/{x}" for x in ("regions", "keys", "cut", "found", "single", "placed")))
     # copies lose all, documents with spans are joined with them, the others are taken as they are
-    hit = keep(spans.select("row"), f"{home}/hit")
-    touched = only_ids(first_ones, hit, "row").join(spans, "row").select("doc_id", "row", "text", "at")
+    hit = keep(spans.select(*key), f"{home}/hit")
     small = hit.count() <= BROADCAST_IDS
-    clean = minus(minus(docs, copies, few), hit, small).select("doc_id", "row", "text", F.lit(None).cast("array<bigint>").alias("at"))
-    all_gone = only_ids(rows, copies, "row").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("" if with_text else None).cast("string").alias("kept_text"), "row")
+    touched = first_ones.join(F.broadcast(hit) if small else hit, key, "left_semi").join(spans, key).select(*key, "text", "at")
+    clean = minus(minus(docs, copies, few), hit, small).select(*key, "text", F.lit(None).cast("array<bigint>").alias("at"))
+    all_gone = rows.join(F.broadcast(copies) if few else copies, key, "left_semi").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("" if with_text else None).cast("string").alias("kept_text"), "row")
     return _apply(clean, window, with_text).union(_apply(touched, window, with_text)).union(all_gone)
 
 

@@ -73,10 +73,10 @@ def naive_components(texts, size, pct):
     return [find(i) for i in range(len(sets))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("size,short,block", [(2, 16, 512), (5, 2, 4)])
-def test_near_is_exhaustive(spark, monkeypatch, size, short, block):
-    monkeypatch.setattr(near_dedup, "SHORT_LIST", short)
+@pytest.mark.parametrize("size,block,k", [(2, 128, 64), (5, 4, 64), (2, 3, 1000), (2, 4, 16)])
+def test_near_is_exhaustive(spark, monkeypatch, size, block, k):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CELLS", 1000)
     rng = np.random.default_rng(size)
     texts = []
     for _ in range(12):
@@ -86,7 +86,7 @@ def test_near_is_exhaustive(spark, monkeypatch, size, short, block):
             for _ in range(int(rng.integers(0, 1 + len(t) // 12))):
                 t[int(rng.integers(len(t)))] = f"V{rng.integers(400)}"
             texts.append(" ".join(t))
-    got = by_id(near_dedup.near_duplicates(docs(spark, [(i, t, None) for i, t in enumerate(texts)]), shingle=size))
+    got = by_id(near_dedup.near_duplicates(docs(spark, [(i, t, None) for i, t in enumerate(texts)]), shingle=size, k=k))
     want, sizes = naive_components(texts, size, 80)
     assert [got[i][0]["component_id"] for i in range(len(texts))] == want
     assert [got[i][0]["n_shingles"] for i in range(len(texts))] == sizes
@@ -104,9 +104,9 @@ def naive_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,many", [(13, 1000), (4, 1000), (4, 2)])
-def test_substrings(spark, monkeypatch, window, many):
-    monkeypatch.setattr(substring_dedup, "MANY_REGIONS", many)
+@pytest.mark.parametrize("window,shard", [(13, 20_000), (4, 20_000), (4, 40), (4, 12)])
+def test_substrings(spark, monkeypatch, window, shard):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
     rng = np.random.default_rng(window)
     passages = [" ".join(f"q{x}" for x in rng.integers(0, 9, 30)) for _ in range(4)]
     rows = [(i, " ".join(passages[int(rng.integers(4))] if rng.random() < 0.3 else f"u{rng.integers(50)}" for _ in range(25))) for i in range(40)]
