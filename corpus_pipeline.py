@@ -3,33 +3,28 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows as Parquet and reads them again as the next one's ``docs``. All
 stages but the last return the columns of ``docs``. Rows that a stage keeps pass
-whole, null ids and texts included; an empty table passes through.
+whole, null ids and texts included; rows are told apart by doc_id and text, so of
+several texts of one doc_id only the one decided on goes or changes. An empty
+table passes through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewell.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
-from quirewell.llm.common import keep, only_ids, work_dir
+from quirewell.llm.common import BROADCAST_IDS, keep, work_dir
 
 #: A passage of so many words that an earlier document has goes.
 PASSAGE_WORDS = 50
-#: A column beside those of ``docs`` that tells rows of one doc_id apart.
-KEY = "__row"
 
 
-def _without(docs: DataFrame, gone: DataFrame, home: str) -> DataFrame:
-    """The rows of ``docs`` whose key is not in ``gone``, a table of one column that both have."""
-    key = gone.columns[0]
-    gone = keep(gone.distinct(), f"{home}/gone")
-    small = gone.count() <= 500_000
-    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti")
-
-
-def _dropped(decisions: DataFrame) -> DataFrame:
-    return decisions.where("NOT kept AND doc_id IS NOT NULL")
+def _without(docs: DataFrame, gone: DataFrame, mark: Column, home: str) -> DataFrame:
+    """The rows of ``docs`` but those whose doc_id and ``mark`` of the text are in ``gone``, ``doc_id, mark``; a null id is never."""
+    gone = keep(gone.distinct(), f"{home}/gone").toDF("gone_id", "gone_mark")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("gone_id")) & (mark == F.col("gone_mark")), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,29 +34,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original, then the smallest id, stays."""
-    # a doc_id may have several texts: only the one decided on goes
-    key = lambda digest: F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", digest)).alias(KEY)
-    gone = _dropped(exact_dedup.decide(docs)).select(key(F.col("text_sha256")))
-    return _without(docs.select("*", key(exact_dedup.digest(F.col("text")))), gone, work_dir(spark)).select(*docs.columns)
+    """Of equal texts the longest original, then the smallest id, stays. Rows with a null id can't be named, so they all stay."""
+    decided = exact_dedup.decide(docs)
+    return _without(docs, decided.where("NOT kept").select("doc_id", "text_sha256"), exact_dedup.digest(F.col("text")), work_dir(spark))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the smallest id stays."""
-    return _without(docs, _dropped(near_dedup.near_duplicates(docs)).select("doc_id"), work_dir(spark))
+    """Of each group of near copies (five words, 0.8) the smallest id stays; a row with a null id stays."""
+    decided = near_dedup.near_duplicates(docs)
+    return _without(docs, decided.where("NOT kept").select("doc_id", "row"), F.xxhash64("text"), work_dir(spark))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE_WORDS words or more that an earlier document has go; a text of which nothing is left stays as an empty one."""
     home = work_dir(spark)
     changed = substring_dedup.deduplicate_substrings(docs, window=PASSAGE_WORDS, with_text=True).where("n_removed > 0")
-    changed = keep(changed.select(F.col("row").alias(KEY), "kept_text").distinct(), f"{home}/changed")
-    keys = changed.select(KEY).distinct()
-    count = "n_chars" in docs.columns
-    columns = [F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and count else F.col(c) for c in docs.columns]
-    keyed = docs.withColumn(KEY, substring_dedup.row_key())
-    touched = only_ids(keyed, keys, KEY).join(changed, KEY).select(*columns)
-    return _without(keyed, keys, home).select(*docs.columns).unionByName(touched)
+    changed = keep(changed.select("doc_id", "row", "kept_text").distinct(), f"{home}/changed")
+    left = _without(docs, changed.select("doc_id", "row"), substring_dedup.row_key(), home)
+    few = changed.count() <= BROADCAST_IDS
+    keys = changed.select(F.col("doc_id").alias("changed_id"), F.col("row").alias("changed_row"), "kept_text")
+    same = (F.col("doc_id") == F.col("changed_id")) & (substring_dedup.row_key() == F.col("changed_row"))
+    only = keys.drop("kept_text")  # the few rows that change are found before texts are joined with texts
+    touched = docs.join(F.broadcast(only) if few else only, same, "left_semi").join(keys, same)
+    size = lambda c: F.length("kept_text").cast(docs.schema[c].dataType)
+    columns = [F.col("kept_text").alias(c) if c == "text" else size(c).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return left.unionByName(touched.select(*columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +76,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifier, the passages' removal and the packing are beyond SQL; tests compare the stages with brute force.
+#: The classifier, the passages' removal and the packing are beyond SQL; tests/llm/test_whole.py compares each stage's rows with a plain version.
 ORACLE_SQL = None
 
 

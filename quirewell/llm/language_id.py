@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, smallest, work_dir
 
 #: Training rows that the weights are fitted on at most, in all and for each language; their texts are taken whole.
 SAMPLE_ROWS, SAMPLE_PER_LANGUAGE = 8000, 1500
@@ -140,9 +140,8 @@ def fit(rows: DataFrame) -> LanguageModel:
     if not languages:
         return LanguageModel([], idf, np.zeros((1 << BITS, 0)), np.zeros(0))
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(languages)))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
-    chosen = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.length("text").alias("size")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= each)
-    picked = rows.withColumn("size", F.length("text")).join(F.broadcast(chosen.select("doc_id", "lang", "size").distinct()), ["doc_id", "lang", "size"])  # SAMPLE_ROWS at most
+    chosen = smallest(rows.select("doc_id", "lang", F.length("text").alias("size")), "lang", each)
+    picked = rows.withColumn("size", F.length("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang", "size"])  # SAMPLE_ROWS at most
     texts = [(r["text"], languages.index(r["lang"])) for r in picked.select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").collect()]
     data = [(*tf_idf(t, idf), y) for t, y in texts if LETTER.search(t)]
     fitted, held = [x for i, x in enumerate(data) if i % 5], data[::5]
@@ -159,6 +158,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     kept; only the id and the text are read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    work_dir(docs.sparkSession)  # for its bound on batches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import keep, pieces, work_dir
+from .common import keep, pieces, smallest, work_dir
 
 #: Labelled rows of each class that the model is fitted on at most; their texts are taken whole.
 SAMPLE_ROWS = 1200
@@ -142,14 +143,14 @@ def classify(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, i
 
 
 def keep_good(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose whole text scores ``threshold`` or more."""
+    """The rows of ``docs``, with all their columns, whose whole text scores ``threshold`` or more; only the text leaves the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, text_col):
-                yield batch.filter(pa.array([model.score(t) >= threshold for t in batch.column(text_col).to_pylist()], pa.bool_()))
+    @arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t) >= threshold for t in texts.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    work_dir(docs.sparkSession)  # for its bound on batches
+    return docs.where(good(F.col(text_col)))
 
 
 def held_out(doc_id: F.Column, folds: int, fold: int) -> F.Column:
@@ -162,8 +163,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[i
     own = own.where(~held_out(F.col("doc_id"), 5, 0))
     known = keep(docs.where("text IS NOT NULL").select("doc_id").join(own, "doc_id"), f"{work_dir(docs.sparkSession)}/labelled")
     # only ids among the smallest hashes can be sampled
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.dropDuplicates().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLE_ROWS).drop("rank")
+    few = smallest(known.dropDuplicates(), "quality", SAMPLE_ROWS)
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), _class_counts(known)  # 2 * SAMPLE_ROWS ids at most
 
 
