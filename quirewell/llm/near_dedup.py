@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, drop, keep, mix, only_ids, pieces, raw, tail_share, windows, work_dir, words_of
+from .common import BROADCAST_IDS, by_group, drop, keep, mix, only_ids, pieces, raw, tail_share, windows, work_dir, words_of
 from .components import components
 
-#: Members of a block and bytes of their sets.
-BLOCK, BLOCK_BYTES = 128, 2 << 20
+#: Members of a block and bytes of their sets: a group of n costs n / BLOCK copies of each, and a task holds two blocks.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 6.0
 #: Cells of a matrix of sketches that are handled at once.
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def _blocks(members: DataFrame, pct: int, weight: int) -> DataFrame:
+def _blocks(members: DataFrame, pct: int, weight: int, path: str) -> DataFrame:
     """Deal ``centre, node, size, component`` into groups ``centre, c, kind, i, j`` of two blocks at most; ``side`` tells the two apart.
 
     Every two members of a centre whose sizes allow the similarity meet in one
@@ -180,8 +180,10 @@ def _blocks(members: DataFrame, pct: int, weight: int) -> DataFrame:
     step = max(float(np.log(100 / pct)) * 1.0001, 1e-3)
     members = members.withColumn("c", F.floor(F.log("size") / step).cast("int"))
     n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * weight / BLOCK_BYTES)).cast("int")
-    count = members.groupBy("centre", "c").agg(n.alias("n"), (F.count(F.lit(1)) > 1).alias("several"))
-    near = lambda by, name: count.select("centre", (F.col("c") + by).alias("c"), F.col("n").alias(name))
+    count = keep(members.groupBy("centre", "c").agg(n.alias("n"), (F.count(F.lit(1)) > 1).alias("several")), path)
+    few = count.count() <= BROADCAST_IDS // 4
+    count = F.broadcast(count) if few else count
+    near = lambda by, name: (F.broadcast if few else lambda x: x)(count.select("centre", (F.col("c") + by).alias("c"), F.col("n").alias(name)))
     each = members.join(count, ["centre", "c"]).join(near(-1, "up"), ["centre", "c"], "left").join(near(1, "down"), ["centre", "c"], "left")
     each = each.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     group = lambda c, kind, i, j, side: F.struct(c.cast("int").alias("c"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
@@ -225,7 +227,7 @@ def _pairs(table: pa.Table, pct: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.triu(ok, 1))
 
 
-def _with_partner(members: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
+def _with_partner(members: DataFrame, nodes: DataFrame, k: int, pct: int, path: str) -> DataFrame:
     """``centre, node`` of the members that have another one, of another component, whose union sketch with them passes."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -249,11 +251,11 @@ def _with_partner(members: DataFrame, nodes: DataFrame, k: int, pct: int) -> Dat
             found = np.flatnonzero(has)
         return table.select(["centre", "node"]).take(pa.array(found))
 
-    dealt = _blocks(members, pct, 0).join(nodes.select("node", "sketch"), "node")
+    dealt = _blocks(members, pct, 0, path).join(nodes.select("node", "sketch"), "node")
     return by_group(dealt, GROUP, run, "centre bigint, node bigint")
 
 
-def _links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, pct: int, path: str) -> DataFrame:
     """Links ``a, b`` between members of one centre on their full sets: of those in a group as many as join its components."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -282,7 +284,7 @@ def _links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                     b.append(node[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return by_group(_blocks(members, pct, 8).join(sets, "node"), GROUP, run, "a bigint, b bigint")
+    return by_group(_blocks(members, pct, 8, path).join(sets, "node"), GROUP, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,10 +335,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80,
     members = members.select("centre", "node", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("centre")
     members = keep(members.join(mixed, "centre", "left_semi"), f"{home}/mixed")
-    left = keep(_with_partner(members, nodes, k, pct).distinct(), f"{home}/left")
+    left = keep(_with_partner(members, nodes, k, pct, f"{home}/blocks1").distinct(), f"{home}/left")
     members = keep(members.join(left, ["centre", "node"], "left_semi"), f"{home}/open")
     sets = _sets_of(members, docs, nodes, shingle, f"{home}/open_sets")
-    links = keep(edges.union(_links(members, sets, pct)), f"{home}/links")
+    links = keep(edges.union(_links(members, sets, pct, f"{home}/blocks2")), f"{home}/links")
     drop(spark, *(f"{home}/{x}" for x in ("members", "mixed", "left", "open", "open_sets")))
     found = keep(components(links, f"{home}/c2"), f"{home}/components")
     # rows whose component is not their own doc_id alone are joined with it

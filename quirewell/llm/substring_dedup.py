@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, drop, keep, mix, only_ids, partitions, pieces, raw, windows, work_dir, words_of
 
 #: Words of a reference shard, twice as many at most.
-SHARD_WORDS = 20_000
+SHARD_WORDS = 8_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
