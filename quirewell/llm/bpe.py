@@ -17,13 +17,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pieces
+from .common import pieces, work_dir
 
 #: Pre-tokens of byte-level BPE; white space is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Chunks and pairs that a worker remembers; beyond that it starts anew.
-REMEMBER = 250_000
-#: Longer chunks are encoded but not remembered.
+#: Pre-tokens and pairs that a worker remembers; beyond that it starts anew.
+REMEMBER = 400_000
+#: Longer pre-tokens are encoded but not remembered.
 REMEMBER_CHARS = 64
 
 
@@ -142,27 +142,30 @@ class Bpe:
     def both(self, text: str) -> tuple[bytes, bytes]:
         """Decimal ids joined by commas, and the decoded text.
 
-        A pre-token boundary stands before a lone space between two characters
-        that are not white space, so the chunks between such spaces are encoded
-        and decoded one by one and remembered. Other texts are encoded as a whole.
+        Pre-tokens are encoded and decoded one by one and remembered. Texts with
+        a special token are encoded as a whole.
         """
         if not text:
             return b"", b""
         if self.special_pattern is None or not self.special_pattern.search(text):
-            chunks = text.split(" ")
-            head = chunks[0]
-            chunks = [head, *map(" ".__add__, chunks[1:])]
+            chunks = self.pattern.findall(text)
             if len(self.ids_of) > REMEMBER:
                 self.ids_of.clear()
                 self.text_of.clear()
+            long: dict[str, tuple[bytes, bytes]] = {}
             for chunk in set(chunks).difference(self.ids_of):
-                inner = chunk[1:] if chunk[:1] == " " else chunk
-                if not inner or inner[0].isspace() or inner[-1].isspace() or len(inner) > REMEMBER_CHARS:
-                    break
-                ids = self.encode_plain(chunk)
-                self.ids_of[chunk], self.text_of[chunk] = ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
+                ids = self.encode_piece(chunk.encode())
+                found = ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
+                if len(chunk) > REMEMBER_CHARS:
+                    long[chunk] = found
+                else:
+                    self.ids_of[chunk], self.text_of[chunk] = found
+            if long:
+                each = [long.get(c) or (self.ids_of[c], self.text_of[c]) for c in chunks]
+                ids, plain = b",".join(x for x, _ in each), b"".join(x for _, x in each)
             else:
-                return b",".join(map(self.ids_of.__getitem__, chunks)), b"".join(map(self.text_of.__getitem__, chunks)).decode("utf-8", "replace").encode()
+                ids, plain = b",".join(map(self.ids_of.__getitem__, chunks)), b"".join(map(self.text_of.__getitem__, chunks))
+            return ids, plain.decode("utf-8", "replace").encode()
         ids = self.encode(text)
         return ",".join(map(str, ids)).encode(), self.decode(ids)
 
@@ -185,6 +188,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     rows and null ids are kept; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    work_dir(docs.sparkSession)  # for its bound on batches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
@@ -205,6 +209,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 def encode_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, ids array<int>``; null and empty texts have none."""
     kind = docs.schema[id_col].dataType.simpleString()
+    work_dir(docs.sparkSession)  # for its bound on batches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
