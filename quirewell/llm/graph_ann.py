@@ -26,6 +26,8 @@ from .common import keep, work_dir
 SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAXED = 8192, 24, 48, 96, 1.2
 #: Points or queries handled together, nodes expanded at once.
 TOGETHER, WIDE = 256, 4
+#: Blocks of queries that a shard is decoded for at once.
+BLOCKS = 32
 
 
 class Graph:
@@ -148,23 +150,31 @@ def build_index(nodes: DataFrame, shards: int) -> DataFrame:
         graph = build(_level(x))
         return pd.DataFrame({"shard": [int(f["shard"][0])], "ids": [f["node"].to_numpy().tobytes()], "vectors": [x.tobytes()], "edges": [graph.edges.tobytes()], "room": [graph.edges.shape[1]], "start": [graph.start]})
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).repartitionByRange(shards, "shard")  # a task for each
     return dealt.groupBy("shard").applyInPandas(run, "shard int, ids binary, vectors binary, edges binary, room int, start int")
 
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """``query, node, score`` of ``node, v``: the k best of each shard for every query, scored in double precision."""
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, -(-queries.count() // 512)))).cast("int")
+    blocks = max(1, -(-queries.count() // 512))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int")
     packed = queries.withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct("node", "v")).alias("q"))  # about 512 each
-    each = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    groups = -(-blocks // BLOCKS)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    graphs = index.select("shard", each(groups).alias("g"), "ids", "vectors", "edges", "start", F.lit(None).cast("array<struct<node:bigint,v:array<double>>>").alias("q"))
+    asked = packed.select(each(shards).alias("shard"), (F.col("block") % groups).alias("g"), *(F.lit(None).cast(t).alias(c) for c, t in (("ids", "binary"), ("vectors", "binary"), ("edges", "binary"), ("start", "bigint"))), "q")
+    # a shard comes before the blocks of queries that search it, so that it is decoded once for BLOCKS of them
+    dealt = graphs.withColumn("start", F.col("start").cast("bigint")).union(asked).repartitionByRange(shards * groups, "shard", "g").sortWithinPartitions("shard", "g", F.col("q").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                ids, x = np.frombuffer(row["ids"].as_buffer(), np.int64), np.frombuffer(row["vectors"].as_buffer(), np.float64)
-                x = x.reshape(len(ids), -1)
-                graph = Graph(_level(x), np.frombuffer(row["edges"].as_buffer(), np.int32).reshape(len(ids), -1), row["start"].as_py())
+                if not row["q"].is_valid:
+                    ids, x = np.frombuffer(row["ids"].as_py(), np.int64), np.frombuffer(row["vectors"].as_py(), np.float64)
+                    x = x.reshape(len(ids), -1)
+                    graph = Graph(_level(x), np.frombuffer(row["edges"].as_py(), np.int32).reshape(len(ids), -1), row["start"].as_py())
+                    continue
                 q = row["q"].values
                 name, v = q.field("node").to_numpy(), np.stack([np.asarray(y, np.float64) for y in q.field("v").to_pylist()])
                 out: list[tuple[np.ndarray, ...]] = []
@@ -179,7 +189,7 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, beam
                     out.append((np.repeat(name[s : s + TOGETHER], found.shape[1])[ok], ids[found].ravel()[ok], score.ravel()[ok]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query", "node", "score"])
 
-    return index.join(each, "shard").select("q", "ids", "vectors", "edges", "start").mapInArrow(run, "query bigint, node bigint, score double")
+    return dealt.mapInArrow(run, "query bigint, node bigint, score double")
 
 
 def nearest(rows: DataFrame, query_if: str, k: int = 20, shard_size: int = SHARD, beam: int = SEARCH_BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
