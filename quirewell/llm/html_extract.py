@@ -8,8 +8,10 @@ winning paths of its host.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +22,8 @@ from .common import keep, pieces, work_dir
 
 #: A path wins if it has this share of its host's votes; pages without a winning path use their own.
 WIN_SHARE = 0.05
+#: Elements of a path that are spelled out, from the innermost up.
+MOST_DEEP = 64
 #: Winning paths that may be broadcast: some 100 bytes each.
 BROADCAST_PATHS = 50_000
 
@@ -47,6 +51,8 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 ENDS_P = BLOCK - {"br", "body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption"}
+#: An inline end tag ends nothing outside the innermost of these.
+SCOPE = frozenset("article body main section div table td button".split())
 #: Words of classes, ids and roles of what is no article.
 OTHER = frozenset(
     "nav navbar navigation menu footer contentinfo sidebar aside complementary widget cookie cookies consent gdpr notice notification banner alert popup modal overlay"
@@ -63,7 +69,8 @@ class Page:
     """Elements of a page in arrays, and its texts in order."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.path, self.parent, self.drop, self.other, self.good = ["#root"], [""], [-1], [False], [False], [False]
+        self.tag, self.name, self.parent, self.drop, self.other, self.good = ["#root"], [""], [-1], [False], [False], [False]
+        self.inside, self.depth = [False], [0]  # of an article or main, and number of ancestors
         self.texts: list[tuple[int, str]] = []  # of an element; a None text is a break
         self._parse(source)
         if any(self.other):
@@ -86,7 +93,9 @@ class Page:
         if tag in KEEP:
             other = False
         self.tag.append(tag)
-        self.path.append(f"{self.path[at]}>{name}")
+        self.name.append(name)
+        self.inside.append(self.inside[at] or self.tag[at] in ("article", "main"))
+        self.depth.append(self.depth[at] + 1)
         self.parent.append(at)
         self.good.append(good)
         self.other.append(other)
@@ -127,11 +136,29 @@ class Page:
             self.drop = hard
 
     def _within_article(self, at: int) -> bool:
+        return self.inside[at] or self.tag[at] in ("article", "main")
+
+    def path(self, at: int) -> str:
+        """The generalised path of an element from the root; beyond MOST_DEEP elements their digest stands for the upper ones."""
+        names = []
         while at > 0:
-            if self.tag[at] in ("article", "main"):
-                return True
+            names.append(self.name[at])
             at = self.parent[at]
-        return False
+        names.reverse()
+        if len(names) > MOST_DEEP:
+            above = hashlib.blake2b(">".join(names[:-MOST_DEEP]).encode(), digest_size=8).hexdigest()
+            names = ["#" + above, *names[-MOST_DEEP:]]
+        return "".join(">" + x for x in names)
+
+    def having(self, paths: list[str]) -> tuple[str | None, set[int]]:
+        """The first of the paths that the page has, and the elements it leads to."""
+        ends = {(p.rpartition(">")[2], min(p.count(">"), MOST_DEEP + 1)) for p in paths}
+        at: dict[str, set[int]] = {}
+        for x in range(1, len(self.tag)):
+            if (self.name[x], min(self.depth[x], MOST_DEEP + 1)) in ends:
+                at.setdefault(self.path(x), set()).add(x)
+        found = next((p for p in paths if p in at), None)
+        return found, at.get(found, set())
 
     def _close(self, at: int, tags: set[str] | frozenset[str], until: set[str]) -> int:
         """The parent of the outermost open element of ``tags`` below ``until``."""
@@ -143,12 +170,35 @@ class Page:
         return found
 
     def _parse(self, source: str) -> None:
+        """Read the tags. What is open is counted, for the page and for the innermost container, so that no end tag is looked for in vain."""
         at = pos = 0
-        n, texts = len(source), self.texts
+        whole, texts = len(source), self.texts
+        n = source.rfind(">") + 1  # no tag ends beyond it
+        count: Counter[str] = Counter()
+        scopes: list[Counter[str]] = [Counter()]
+
+        def leave(x: int, to: int) -> int:
+            while x != to:
+                t = self.tag[x]
+                count[t] -= 1
+                if t in SCOPE:
+                    scopes.pop()
+                else:
+                    scopes[-1][t] -= 1
+                x = self.parent[x]
+            return to
+
+        def enter(x: int, t: str, attributes: str) -> int:
+            count[t] += 1
+            if t in SCOPE:
+                scopes.append(Counter())
+            else:
+                scopes[-1][t] += 1
+            return self._open(x, t, attributes)
+
         while pos < n:
-            m = TOKEN.search(source, pos)
+            m = TOKEN.search(source, pos, n)
             if m is None:
-                texts.append((at, source[pos:]))
                 break
             if m.start() > pos:
                 texts.append((at, source[pos : m.start()]))
@@ -157,36 +207,39 @@ class Page:
             if not tag:
                 if m[0].startswith("<![CDATA["):
                     texts.append((at, html.escape(m[0][9:].removesuffix("]]>"))))
+                    pos = pos if m[0].endswith("]]>") else whole
+                elif m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")) and len(m[0]) > 5:
+                    pos = whole
                 continue
             tag = tag.lower()
             if m[1]:
-                x = at
-                while x > 0 and self.tag[x] != tag:
-                    if self.tag[x] in ("article", "body", "main", "section", "div", "table", "td") and tag not in BLOCK:
-                        x = 0  # an inline end tag doesn't end blocks
-                        break
-                    x = self.parent[x]
-                if x > 0:
-                    at = self.parent[x]
+                if (count if tag in BLOCK else scopes[-1])[tag] > 0 or tag in SCOPE and count[tag] > 0:
+                    x = at
+                    while self.tag[x] != tag:
+                        x = self.parent[x]
+                    at = leave(at, self.parent[x])
                 if tag in BLOCK:
                     texts.append((at, ""))
                 continue
-            if tag in ENDS_P:
-                at = self._close(at, {"p"}, {"article", "body", "main", "section", "div", "table", "td", "button"})
-            if tag in ENDS:
-                at = self._close(at, *ENDS[tag])
+            if tag in ENDS_P and scopes[-1]["p"] > 0:
+                at = leave(at, self._close(at, {"p"}, SCOPE))
+            if tag in ENDS and any(count[t] > 0 for t in ENDS[tag][0]):
+                at = leave(at, self._close(at, *ENDS[tag]))
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, pos)
-                pos = end.end() if end else n
+                pos = end.end() if end else whole
                 continue
             if tag in BLOCK:
                 texts.append((at, ""))
             if tag not in VOID and not m[3].endswith("/"):
-                at = self._open(at, tag, m[3])
+                at = enter(at, tag, m[3])
             elif tag not in VOID and tag in BLOCK:
-                at = self._open(at, tag, m[3][:-1])  # HTML knows no <div/>
+                at = enter(at, tag, m[3][:-1])  # HTML knows no <div/>
             if tag in BLOCK:
                 texts.append((at, ""))
+        if pos < whole:  # a comment or declaration that is never closed takes the rest
+            rest = source[pos:]
+            texts.append((at, rest if "<!" not in rest else rest[: rest.index("<!")]))
 
     def best(self) -> int:
         """The container with most article text: 0, the root, if there is none."""
@@ -244,7 +297,7 @@ def votes(rows: DataFrame) -> DataFrame:
                 paths = []
                 for source in batch.column("html").to_pylist():
                     page = Page(source)
-                    paths.append(page.path[page.best()])
+                    paths.append(page.path(page.best()))
                 yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
     return rows.select("host", "html").mapInArrow(run, "host string, path string").where("path <> ''")
@@ -279,9 +332,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 out = []
                 for source, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
                     page = Page(source)
-                    have = set(page.path)
-                    path = next((p for p in paths or () if p in have), None)
-                    inside = {i for i, p in enumerate(page.path) if p == path and not page.drop[i]} if path else set()
+                    inside = {x for x in page.having(paths)[1] if not page.drop[x]} if paths else set()
                     text = page.text(inside) if inside else ""
                     out.append(text or page.text({page.best()}))
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
