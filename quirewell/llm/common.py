@@ -23,6 +23,7 @@ ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
 _own: dict[str, str] = {}
 _made: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -59,8 +60,17 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget(spark: SparkSession, table: str) -> None:
+    """A table that goes with the work folders."""
+    _tables[table] = spark
+
+
 def clean() -> None:
-    """Delete the work folders of this driver; results that are read from them end with them."""
+    """Delete the work folders and tables of this driver; results that are read from them end with them."""
+    for table, spark in list(_tables.items()):
+        del _tables[table]
+        with contextlib.suppress(Exception):  # the session may have ended
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path, spark in list(_made.items()):
         del _made[path]
         with contextlib.suppress(Exception):  # the session may have ended

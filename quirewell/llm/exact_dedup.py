@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, keep, partitions, work_dir
+from .common import ASCII_SPACE, forget, keep, partitions, work_dir
 
 #: A digest with this share of all rows is joined by broadcast: 1 / HOT_SHARE rows at most.
 HOT_SHARE = 1 / 2000
@@ -36,15 +36,18 @@ class DigestIndex:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, table: str | None = None, buckets: int | None = None) -> DigestIndex:
-        return cls(spark, table or f"digest_index_{uuid.uuid4().hex}", path, buckets or partitions(spark))
+        """The index of this table, an empty one if there is none."""
+        index = cls(spark, table or f"digest_index_{uuid.uuid4().hex}", path, buckets or partitions(spark))
+        if not spark.catalog.tableExists(index.table):
+            spark.sql(f"CREATE TABLE {index.table} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {index.buckets} BUCKETS LOCATION '{path}'")
+        return index
 
-    def read(self) -> DataFrame | None:
-        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
 
     def append(self, groups: DataFrame) -> None:
         """Add the digests that the index lacks; a sort-merge anti-join reads the index without a shuffle."""
-        old = self.read()
-        fresh = groups if old is None else groups.join(old.hint("merge"), "digest", "left_anti")
+        fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         (fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
          .write.format("parquet").mode("append").option("path", self.path)
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
@@ -70,11 +73,13 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
     # the greatest of (size, not null, -id) is the longest text with the smallest id
     best = F.max(F.struct("size", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("back")))
     groups = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", (-F.col("best.back")).alias("keep_id"), "group_size")
-    known = index.read() if index else None
-    before = known.select("digest", F.lit(True).alias("before")) if known is not None else None
-    if before is not None:  # remembered now: the index grows below
-        before = keep(before.join(rows.select("digest").distinct().hint("merge"), "digest", "left_semi"), f"{home}/before")
+    own = index is None
     index = index or DigestIndex.create(spark, f"{home}/index")
+    if own:
+        forget(spark, index.table)
+    # remembered now: the index grows below
+    before = index.read().select("digest").join(rows.select("digest").distinct().hint("merge"), "digest", "left_semi").withColumn("before", F.lit(True))
+    before = keep(before, f"{home}/before")
     index.append(groups)
     table = index.read()
     at_least = max(1000, int(rows.count() * HOT_SHARE))
@@ -84,7 +89,7 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
     rest = rows.join(F.broadcast(hot.select("digest")) if few else hot.select("digest"), "digest", "left_anti").join(table.hint("merge"), "digest")
     out = hot_rows.unionByName(rest)
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    if before is not None:
+    if not own:
         out, kept = out.join(before, "digest", "left"), kept & F.col("before").isNull()
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
