@@ -15,95 +15,153 @@ K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+#: Names of one dynasty; a query with one of the first three is searched for all.
+DYNASTY = ["清朝", "清代", "清史", "大清", "满清"]
+
+
+def _norm(text: str) -> str:
+    return re.sub(r"[\W_]", "", text.lower())
+
+
 def search_terms(query: str) -> list[str]:
-    """Normalised words and the bigrams of the whole query, longest first."""
-    norm = lambda s: re.sub(r"[\W_]", "", s.lower())
-    whole = norm(query)
-    found = {w for w in map(norm, query.split()) if w} | {whole[i : i + 2] for i in range(len(whole) - 1)}
+    """Normalised words, the bigrams of the whole query and the dynasty's names, longest first."""
+    whole = _norm(query)
+    found = {w for w in map(_norm, query.split()) if w} | {whole[i : i + 2] for i in range(len(whole) - 1)}
+    if any(x in whole for x in DYNASTY[:3]):
+        found |= set(DYNASTY)
     return sorted(found, key=lambda t: (-len(t), t))
 
 
 def match_terms(query: str, most: int = 12) -> list[str]:
-    """The terms that candidates are matched by."""
+    """The terms that candidates are matched by: the longest ones; none for a query of symbols only."""
     return search_terms(query)[:most]
 
 
+def all_terms(text: Column, query: str) -> Column:
+    """Whether the text has every word of the query."""
+    words = [w for w in map(_norm, query.split()) if w]
+    return reduce(Column.__and__, [F.contains(normalize_search(text), F.lit(w)) for w in words], F.lit(bool(words)))
+
+
+def _fields(fields: tuple[str, ...]) -> Column:
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields]))
+
+
 def postings(docs: DataFrame, id_col: str, *fields: str) -> DataFrame:
-    """``id, field, term, tf``: the inverted index of the fields' words in lower case."""
+    """``id, field, term, tf``: the inverted index of the fields' words in lower case.
+
+    Texts are dealt by id once; each document's words are then counted where
+    they are, which moves less than dealing out the words.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(F.col(f), F.lit(""))).alias("text")) for f in fields]))
-    words = docs.select(F.col(id_col).alias("id"), each.alias("x")).select("id", "x.field", F.explode(F.regexp_extract_all("x.text", F.lit(TOKEN), F.lit(0))).alias("term"))
+    dealt = docs.select(F.col(id_col).alias("id"), *fields).repartition("id")
+    words = dealt.select("id", each.alias("x")).select("id", "x.field", F.explode(F.regexp_extract_all("x.text", F.lit(TOKEN), F.lit(0))).alias("term"))
     return words.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
-    """``id, score`` of documents that have any of the terms.
+def bm25(docs: DataFrame, id_col: str, fields: str | tuple[str, ...], terms: list[str]) -> DataFrame | None:
+    """``id, score`` of documents that have any of the terms as a word in any of the fields; None if none has.
+
+    The corpus' counts (one row) are taken first, then the matching documents
+    are scored; both scans look for these terms only.
+    """
+    text = _fields((fields,) if isinstance(fields, str) else fields)
+    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
+    d = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    d = d.select("id", F.regexp_count("text", F.lit(TOKEN)).alias("len"), F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("hits"))
+    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.array_contains("hits", t)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
+    if not any(stats[f"df{i}"] for i in range(len(terms))):
+        return None
+
+    def part(i: int, t: str) -> Column:
+        f, df = F.size(F.filter("hits", lambda w: w == t)).cast("bigint"), stats[f"df{i}"]
+        return F.log(F.lit(1 + (stats["n"] - df + 0.5) / (df + 0.5))) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean"])))
+
+    return d.where(F.size("hits") > 0).select("id", reduce(Column.__add__, [part(i, t) for i, t in enumerate(terms)]).alias("score"))
+
+
+def has_term(terms: list[str], *fields: str) -> Column:
+    """Whether any of the terms is a word of a field."""
+    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
+    return F.rlike(_fields(fields), F.lit(word)) if terms else F.lit(False)
+
+
+def candidates(docs: DataFrame, id_col: str, fields: tuple[str, ...], query: str, matched: int, scanned: int) -> DataFrame:
+    """The rows of ``docs`` to be scored, with their ``relevance``: the ``matched`` best by BM25.
 
-    Only the terms' postings are built: the query's words are found by one scan
-    that also gives every document's length; nothing else is shuffled.
+    If the query has no terms or none matches, the first ``scanned`` rows by id.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    d = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-    tf = lambda t: F.size(F.filter("words", lambda w: w == t)).cast("bigint")
-    d = d.select("id", F.size("words").cast("bigint").alias("len"), *[tf(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    d = d.crossJoin(F.broadcast(stats))  # one row
+    terms = match_terms(query)
+    scored = bm25(docs, id_col, fields, terms) if terms else None
+    if scored is not None:
+        ids = scored.orderBy(F.desc("score"), "id").limit(matched)
+        return docs.join(F.broadcast(ids.select(F.col("id").alias(id_col), F.col("score").alias("relevance"))), id_col)  # ``matched`` rows at most
+    return docs.orderBy(id_col).limit(scanned).withColumn("relevance", F.lit(0.0))
 
-    def part(i: int) -> Column:
-        f, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("mean")))
 
-    score = reduce(Column.__add__, [part(i) for i in range(len(terms))])
-    return d.where(reduce(Column.__or__, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).select("id", score.alias("score"))
+def normalized(rows: DataFrame, *columns: str) -> DataFrame:
+    """``_column`` beside each column: its letters and numbers in lower case, made once for all terms."""
+    return rows.withColumns({f"_{c}": normalize_search(F.coalesce(F.col(c), F.lit(""))) for c in columns})
 
 
-def score_hybrid(query: str, terms: list[str], title: str = "title", chapter: str = "chapter", content: str = "content") -> Column:
-    """Whole query in the content 12; for each term title 5, chapter 3 and up to 4 occurrences; a blank query 1."""
-    norm = lambda c: normalize_search(F.coalesce(F.col(c), F.lit("")))
-    whole = re.sub(r"[\W_]", "", query.lower())
+def rule_score(terms: list[str], content: str, *fields: tuple[str, float]) -> Column:
+    """For each term the weight of every field that has it, and its occurrences in the content, 4 at most; columns are normalised."""
+    has = lambda c, t, w: F.when(F.contains(F.col(c), F.lit(t)), w).otherwise(0.0)
+    return reduce(Column.__add__, [reduce(Column.__add__, [has(c, t, w) for c, w in fields], occurrences(F.col(content), t)) for t in terms], F.lit(0.0))
+
+
+def score_hybrid(query: str, terms: list[str]) -> Column:
+    """On ``normalized`` title, chapter and content. Whole query in the content 12; for each term title 5, chapter 3 and occurrences; a blank query 1."""
+    whole = _norm(query)
     if not whole:
         return F.lit(1.0)
-    score = F.when(F.contains(norm(content), F.lit(whole)), 12.0).otherwise(0.0)
-    for t in terms:
-        score = score + F.when(F.contains(norm(title), F.lit(t)), 5.0).otherwise(0.0) + F.when(F.contains(norm(chapter), F.lit(t)), 3.0).otherwise(0.0) + occurrences(norm(content), t)
-    return score
+    return F.when(F.contains("_content", F.lit(whole)), 12.0).otherwise(0.0) + rule_score(terms, "_content", ("_title", 5.0), ("_chapter", 3.0))
+
 
+def score_candidate(query: str, terms: list[str], content: str, *fields: tuple[str, float]) -> Column:
+    """Relevance + content match (whole 12, any term 4, else 0 in all) + ``rule_score``, on normalised columns."""
+    some = reduce(Column.__or__, [F.contains(F.col(content), F.lit(t)) for t in terms], F.lit(False))
+    base = F.when(F.contains(F.col(content), F.lit(_norm(query))), 12.0).when(some, 4.0)
+    return F.coalesce(F.col("relevance") + base + rule_score(terms, content, *fields), F.lit(0.0))
 
-def score_note(query: str, terms: list[str], relevance: Column) -> Column:
-    """Relevance + content match (whole 12, any term 4, else 0 in all) + per term title 5, chapter 3, occurrences."""
-    norm = lambda c: normalize_search(F.coalesce(F.col(c), F.lit("")))
-    whole = re.sub(r"[\W_]", "", query.lower())
-    some = reduce(Column.__or__, [F.contains(norm("content"), F.lit(t)) for t in terms])
-    base = F.when(F.contains(norm("content"), F.lit(whole)), 12.0).when(some, 4.0)
-    extra = reduce(Column.__add__, [F.when(F.contains(norm("title"), F.lit(t)), 5.0).otherwise(0.0) + F.when(F.contains(norm("chapter"), F.lit(t)), 3.0).otherwise(0.0) + occurrences(norm("content"), t) for t in terms])
-    return F.coalesce(relevance + base + extra, F.lit(0.0))
+
+def book_boost(query: str) -> Column:
+    """On normalised title, author and category: equal 3, beginning 2, else title 1, author .8, category .4, isbn 2.5 where they have the query."""
+    whole = F.lit(_norm(query))
+    has = lambda c, w: F.when(F.contains(F.col(c), whole), w).otherwise(0.0)
+    other = has("_title", 1.0) + has("_author", 0.8) + has("_category", 0.4) + F.when(F.contains(F.coalesce("isbn", F.lit("")), whole), 2.5).otherwise(0.0)
+    return F.when(F.col("_title") == whole, 3.0).when(F.startswith("_title", whole), 2.0).otherwise(other)
 
 
 def score_block(query: str, terms: list[str], content: str) -> Column:
     """Whole query: 12 and the occurrences; else the occurrences and 4; else 0."""
     x = normalize_search(F.coalesce(F.col(content), F.lit("")))
-    whole = re.sub(r"[\W_]", "", query.lower())
+    whole = _norm(query)
     occ = reduce(Column.__add__, [occurrences(x, t) for t in terms])
     return F.when(F.contains(x, F.lit(whole)), 12.0 + occ).when(occ > 0, 4.0 + occ).otherwise(0.0)
 
 
-def diverse(rows: DataFrame, group: str, per_group: int, limit: int, *order: Column) -> DataFrame:
-    """The first ``per_group`` of each group in rank order, then what is over, up to ``limit``."""
+def diverse(rows: DataFrame, group: str, per_group: int, limit: int, *order: Column, only: str = "true") -> DataFrame:
+    """The first ``per_group`` of each group in rank order, then what is over, up to ``limit``.
+
+    ``only`` is a condition that rows fulfil before others in the order; asked
+    after ranking, it isn't evaluated again below.
+    """
     ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.orderBy(F.col("_rn") > per_group, *order).limit(limit).drop("_rn")
+    return ranked.where(only).orderBy(F.col("_rn") > per_group, *order).limit(limit).drop("_rn")
 
 
-def hybrid_search(notes: DataFrame, query: str, limit: int = 50, candidates: int = 5000, per_book: int = 8) -> DataFrame:
-    """Notes for a query: BM25 candidates (all notes if none match), rule score, at most ``per_book`` of a book first."""
+def hybrid_search(notes: DataFrame, query: str, limit: int = 50, most: int = 5000, per_book: int = 8, scanned: int = 800, book_ids: list[str] | None = None) -> DataFrame:
+    """Notes for a query: candidates, rule score, at most ``per_book`` of a book first unless books are given."""
+    notes = notes.where(F.col("book_id").isin(book_ids)) if book_ids else notes
     terms = search_terms(query)
-    words = [w for w in (re.sub(r"[\W_]", "", x.lower()) for x in query.split()) if w][:12]
-    found = notes
-    if words:
-        ids = bm25(notes, "note_id", "content", words).orderBy(F.desc("score"), "id").limit(candidates).select(F.col("id").alias("note_id"))
-        found = notes.join(ids, "note_id", "left_semi")
-    scored = found.withColumn("score", score_hybrid(query, terms)).where("score > 0")
+    found = candidates(notes, "note_id", ("title", "chapter", "content"), query, most, scanned)
+    scored = normalized(found, "title", "chapter", "content").withColumn("score", score_hybrid(query, terms))
+    scored = scored.select("note_id", "note_type", "book_id", "title", "chapter", "score")
     order = (F.desc("score"), F.asc("note_id"))
-    top = diverse(scored, "book_id", per_book, limit, *order) if limit > 20 else scored.orderBy(*order).limit(limit)
-    return top.select("note_id", "note_type", "book_id", "title", "chapter", "score")
+    if limit > 20 and not book_ids:
+        return diverse(scored, "book_id", per_book, limit, *order, only="score > 0")
+    return scored.orderBy(*order).limit(limit).where("score > 0")
 
 
 def combine_scores(lexical: Column, semantic: Column, rerank: Column | None = None) -> Column:
@@ -115,11 +173,13 @@ def combine_scores(lexical: Column, semantic: Column, rerank: Column | None = No
     return 0.85 * share(rerank) + 0.10 * share(lexical) + 0.05 * share(semantic)
 
 
-def peak_normalize(rows: DataFrame, column: str) -> DataFrame:
-    """``column`` over its maximum, 0 to 1. The maximum is one broadcast row, so rows stay where they are."""
+def peak_normalize(rows: DataFrame, column: str, keep_as: str | None = None) -> DataFrame:
+    """``column`` over its maximum, 0 to 1, the old value ``keep_as``. The maximum is one broadcast row, so rows stay where they are."""
     peak = rows.agg(F.max(column).alias("_peak"))
     x = F.when(F.col("_peak") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(column) / F.col("_peak")))).otherwise(0.0)
-    return rows.crossJoin(F.broadcast(peak)).withColumn(column, x).drop("_peak")
+    both = rows.crossJoin(F.broadcast(peak))
+    both = both.withColumn(keep_as, F.col(column)) if keep_as else both
+    return both.withColumn(column, x).drop("_peak")
 
 
 def dedup_evidence(rows: DataFrame, owner: str, target: str, content: str, *order: Column) -> DataFrame:

@@ -244,7 +244,6 @@ def _(s, d):
 
 # ---- retrieval ------------------------------------------------------------
 
-WORDS = ["the", "erhe"]
 
 
 def _hybrid_sql(query_text: str, terms: list[str], words: list[str], limit: int) -> str:
@@ -255,7 +254,7 @@ def _hybrid_sql(query_text: str, terms: list[str], words: list[str], limit: int)
     bm = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in range(len(words)))
     score = f"CASE WHEN contains(x, '{whole}') THEN 12.0 ELSE 0.0 END" + "".join(f" + CASE WHEN contains(xt, '{t}') THEN 5.0 ELSE 0.0 END + CASE WHEN contains(xc, '{t}') THEN 3.0 ELSE 0.0 END + least(4, (length(x) - length(replace(x, '{t}', ''))) // {len(t)})" for t in terms)
     return f""",
-w AS (SELECT *, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM norm),
+w AS (SELECT *, regexp_extract_all(lower(concat_ws(' ', title, coalesce(chapter, ''), coalesce(content, ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM norm),
 f AS (SELECT *, len(w) AS len, {tf} FROM w),
 st AS (SELECT count(*) AS n, avg(len) AS mean, {stat} FROM f),
 c AS (SELECT f.*, {bm} AS bm FROM f, st WHERE {some} ORDER BY bm DESC, note_id LIMIT 5000),
@@ -264,7 +263,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, not
 SELECT * EXCLUDE (rn) FROM r ORDER BY rn > 8, score DESC, note_id LIMIT {limit}"""
 
 
-@query("t_hybrid_search", _hybrid_sql("the erhe", R.search_terms("the erhe"), WORDS, 50))
+@query("t_hybrid_search", _hybrid_sql("the erhe", R.search_terms("the erhe"), R.match_terms("the erhe"), 50))
 def _(s, d):
     return R.hybrid_search(V.notes(s, d), "the erhe", 50)
 
@@ -281,7 +280,8 @@ def _(s, d):
 
 @query("t_score_note", "SELECT note_id, CAST(CASE WHEN contains(x, 'ther') THEN 13.5 WHEN contains(x, 'th') OR contains(x, 'en') THEN 5.5 END AS DOUBLE) + CASE WHEN contains(xt, 'th') THEN 5 ELSE 0 END + CASE WHEN contains(xt, 'en') THEN 5 ELSE 0 END + CASE WHEN contains(xc, 'th') THEN 3 ELSE 0 END + CASE WHEN contains(xc, 'en') THEN 3 ELSE 0 END + least(4, (length(x) - length(replace(x, 'th', ''))) // 2) + least(4, (length(x) - length(replace(x, 'en', ''))) // 2) AS s FROM norm".join(["SELECT note_id, coalesce(s, 0.0) AS score FROM (", ")"]))
 def _(s, d):
-    return V.notes(s, d).select("note_id", R.score_note("ther", ["th", "en"], F.lit(1.5)).cast("double").alias("score"))
+    n = R.normalized(V.notes(s, d).withColumn("relevance", F.lit(1.5)), "title", "chapter", "content")
+    return n.select("note_id", R.score_candidate("ther", ["th", "en"], "_content", ("_title", 5.0), ("_chapter", 3.0)).cast("double").alias("score"))
 
 
 @query("u_dedup_evidence", "SELECT note_id FROM (SELECT note_id, row_number() OVER (PARTITION BY book_id, note_type, substring(trim(content), 1, 80) ORDER BY note_id) AS rn FROM notes) WHERE rn = 1")
