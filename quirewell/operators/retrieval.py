@@ -164,13 +164,11 @@ def hybrid_search(notes: DataFrame, query: str, limit: int = 50, most: int = 500
     return scored.orderBy(*order).limit(limit).where("score > 0")
 
 
-def combine_scores(lexical: Column, semantic: Column, rerank: Column | None = None) -> Column:
-    """Scores divided by their peaks: rerank .85, lexical .10, semantic .05; without rerank .70 and .30."""
-    w = Window.partitionBy()
-    share = lambda c: F.when(F.max(c).over(w) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / F.max(c).over(w)))).otherwise(0.0)
+def combined(lexical: Column, semantic: Column, rerank: Column | None = None) -> Column:
+    """Scores that ``peak_normalize`` made shares: rerank .85, lexical .10, semantic .05; without rerank .70 and .30."""
     if rerank is None:
-        return 0.70 * share(lexical) + 0.30 * share(semantic)
-    return 0.85 * share(rerank) + 0.10 * share(lexical) + 0.05 * share(semantic)
+        return 0.70 * lexical + 0.30 * semantic
+    return 0.85 * rerank + 0.10 * lexical + 0.05 * semantic
 
 
 def peak_normalize(rows: DataFrame, column: str, keep_as: str | None = None) -> DataFrame:

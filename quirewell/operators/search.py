@@ -139,8 +139,10 @@ def source_evidence(sources: DataFrame, question: str, book_ids: list[str], mode
 def note_chars(mode: str, results: int, books: int) -> int:
     """How many characters of each note a prompt takes."""
     if mode == "ask":
-        return 220 if results > 120 else 700 if results > 30 else 1200
-    return 420 if books > 12 else 700
+        return 220 if results > 100 else 700 if results > 30 else 1200
+    if mode == "compare":
+        return 420 if books > 30 else 700
+    return 1200
 
 
 def prompt_lines(evidence: DataFrame, most: int, *order: Column) -> DataFrame:

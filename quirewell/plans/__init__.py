@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import more  # noqa: F401  registers its queries
+from . import found, kept, more  # noqa: F401  register their queries
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -245,7 +245,6 @@ def _(s, d):
 # ---- retrieval ------------------------------------------------------------
 
 
-
 def _hybrid_sql(query_text: str, terms: list[str], words: list[str], limit: int) -> str:
     whole = "".join(query_text.split())
     tf = ", ".join(f"len(list_filter(w, lambda t: t = '{x}')) AS tf{i}" for i, x in enumerate(words))
@@ -300,15 +299,6 @@ def _(s, d):
     return R.diverse(V.notes(s, d).select("note_id", "book_id", "created"), "book_id", 8, 100, F.desc("created"), F.asc("note_id")).select("note_id")
 
 
-@query("j_contains", "SELECT note_id, item_id FROM notes JOIN (SELECT item_id, split_part(text, ' ', 1) AS term FROM benchmark) ON length(term) >= 4 AND contains(lower(content), lower(term))")
-def _(s, d):
-    terms = V.table(s, d, "benchmark").select("item_id", F.lower(F.element_at(F.split("text", " "), 1)).alias("term")).where("char_length(term) >= 4")
-    n = V.notes(s, d).select("note_id", F.lower("content").alias("c"))
-    # the glossary is a bounded list: its size is checked before it is sent to the executors
-    small = terms.limit(100_001).count() <= 100_000
-    return n.join(F.broadcast(terms) if small else terms, F.contains("c", F.col("term"))).select("note_id", "item_id")
-
-
 # ---- graphs ---------------------------------------------------------------
 
 EMB = "WITH e AS (SELECT 'src' || (vec_id % 20) AS book_id, embedding AS v FROM embeddings), m AS (SELECT book_id, list(m ORDER BY i) AS mean FROM (SELECT book_id, i, avg(v[i]::DOUBLE) AS m FROM e, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1)"

@@ -68,24 +68,6 @@ def _(s, d):
     return V.table(s, d, "documents").join(F.broadcast(gone), "source", "left_anti").select("doc_id")
 
 
-@query("m_glossary_status", "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'ignored' ELSE 'confirmed' END AS status FROM benchmark", base=False)
-def _(s, d):
-    b = V.table(s, d, "benchmark").select("item_id", F.lit("confirmed").alias("status"))
-    return L.merge_upsert(b, b.where("item_id % 5 = 0").select("item_id", F.lit("ignored").alias("status")), ["item_id"])
-
-
-@query("m_alias_sync", "SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS aliases FROM part GROUP BY 1", base=False)
-def _(s, d):
-    return V.table(s, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_type")), "|").alias("aliases"))
-
-
-@query("s_rank_case", "SELECT p_partkey, CASE WHEN lower(p_name) = 'x' THEN 0 WHEN p_type = 'STANDARD' THEN 1 WHEN starts_with(lower(p_name), 's') THEN 3 ELSE 4 END AS tier FROM part ORDER BY tier, p_partkey LIMIT 100", base=False)
-def _(s, d):
-    name = F.lower("p_name")
-    tier = F.when(name == "x", 0).when(F.col("p_type") == "STANDARD", 1).when(F.startswith(name, F.lit("s")), 3).otherwise(4)
-    return V.table(s, d, "part").select("p_partkey", tier.alias("tier")).orderBy("tier", "p_partkey").limit(100)
-
-
 @query("l_has_more", "SELECT note_id, (SELECT count(*) FROM notes) > 25 AS has_more FROM notes ORDER BY created DESC, note_id LIMIT 25")
 def _(s, d):
     # one row more than the page tells whether there is another page
@@ -115,11 +97,6 @@ def _(s, d):
     return L.latest(x, ["k"], F.desc("src"))
 
 
-@query("u_dedup_docs", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(substring(trim(text), 1, 600))", base=False)
-def _(s, d):
-    return V.table(s, d, "documents").groupBy(F.md5(F.substring(F.trim("text"), 1, 600)).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-
-
 @query("j_title_conflict", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand", base=False)
 def _(s, d):
     p = V.table(s, d, "part")
@@ -135,12 +112,6 @@ def _(s, d):
     return e.join(hidden.toDF("a"), "a", "left_anti").join(hidden.toDF("b"), "b", "left_anti").select("a", "b")
 
 
-@query("w_citation_number", "SELECT note_id, CAST(row_number() OVER (ORDER BY created DESC, note_id) AS INTEGER) AS n FROM notes ORDER BY n LIMIT 12")
-def _(s, d):
-    top = V.notes(s, d).select("note_id", "created").orderBy(F.desc("created"), "note_id").limit(12)  # numbered after the limit
-    return top.select("note_id", F.row_number().over(Window.orderBy(F.desc("created"), "note_id")).alias("n"))
-
-
 @query("w_per_book_quota", "SELECT note_id FROM (SELECT note_id, row_number() OVER (PARTITION BY book_id ORDER BY created DESC, note_id) AS rn FROM notes) WHERE rn <= 3")
 def _(s, d):
     return L.top_per_group(V.notes(s, d).select("note_id", "book_id", "created"), "book_id", 3, F.desc("created"), F.asc("note_id")).select("note_id")
@@ -168,18 +139,6 @@ def _(s, d):
     return V.table(s, d, "events").groupBy("event_type", ((F.hour("ts") + 6) % 24).cast("int").alias("hour")).agg(F.round(F.sum("value") / 60, 4).alias("minutes"))
 
 
-@query("t_combine_scores", "SELECT doc_id, round(0.7 * n_chars / max(n_chars) OVER () + 0.3 * quality / max(quality) OVER (), 9) AS score FROM documents JOIN labels USING (doc_id)", base=False)
-def _(s, d):
-    x = V.table(s, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("lexical")).join(V.table(s, d, "labels").select("doc_id", F.col("quality").cast("double").alias("semantic")), "doc_id")
-    x = R.peak_normalize(R.peak_normalize(x, "lexical"), "semantic")
-    return x.select("doc_id", F.round(0.7 * F.col("lexical") + 0.3 * F.col("semantic"), 9).alias("score"))
-
-
-@query("t_citations", "SELECT item_id FROM benchmark WHERE contains('see [1], [3] and [12]', '[' || item_id || ']')", base=False)
-def _(s, d):
-    return V.table(s, d, "benchmark").where(F.contains(F.lit("see [1], [3] and [12]"), F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("]")))).select("item_id")
-
-
 @query("t_recent", "SELECT kind, id FROM (SELECT note_type AS kind, note_id AS id, created, row_number() OVER (PARTITION BY note_type ORDER BY created DESC, note_id) AS rn FROM notes) WHERE rn <= 10")
 def _(s, d):
     n = V.notes(s, d).select(F.col("note_type").alias("kind"), F.col("note_id").alias("id"), "created")
@@ -191,12 +150,6 @@ def _(s, d):
     return R.hybrid_search(V.notes(s, d).where("book_id = 'src4'"), "***", 800).select("note_id")
 
 
-@query("t_context_budget", "SELECT conv_id, turn, substring(text, 1, CASE role WHEN 'user' THEN 700 WHEN 'assistant' THEN 420 ELSE 220 END) AS text FROM conversations", base=False)
-def _(s, d):
-    most = F.when(F.col("role") == "user", 700).when(F.col("role") == "assistant", 420).otherwise(220)
-    return V.table(s, d, "conversations").select("conv_id", "turn", F.substring(F.col("text"), F.lit(1), most).alias("text"))
-
-
 @query("fn_core_title", "SELECT p_partkey, trim(regexp_extract(p_name || ' (' || p_brand || ')', '^([^(]*)', 1)) AS title FROM part", base=False)
 def _(s, d):
     return V.table(s, d, "part").select("p_partkey", T.core_title(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("title"))

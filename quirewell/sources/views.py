@@ -82,3 +82,31 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("page_id"), F.concat("p_name", F.lit("_"), key.cast("string")).alias("raw_title"), F.when(key % 13 == 0, 10).otherwise(0).alias("ns"),
         F.when(key % 4 != 0, (key * 3 + 1) % n).alias("target"), (key + 1000).alias("revision_id"), F.col("p_type").alias("summary"),
     )
+
+
+def search_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live books as the search index has them."""
+    b = books(spark, sf_dir).where(~F.col("is_deleted"))
+    n = F.substring("book_id", 4, 10).cast("bigint")
+    return b.select("book_id", "title", "author", "category", F.when(n % 3 == 0, F.concat(F.lit("978"), F.lpad(n.cast("string"), 10, "0"))).otherwise("").alias("isbn"), F.coalesce("read_update_time", F.lit(0)).alias("updated"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live imported passages: one of each page, tags blanked."""
+    p = table(spark, sf_dir, "pages").where("page_id % 23 <> 0")
+    key = F.col("page_id")
+    return p.select(
+        F.concat(F.lit("w"), key.cast("string")).alias("id"), F.col("url").alias("title"), F.when(key % 3 == 0, F.concat(F.lit("Section "), (key % 7).cast("string"))).otherwise("").alias("heading"),
+        F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ").alias("content"), (BASE_TIME + key * 30).alias("updated"),
+    )
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary of the benchmark's first words."""
+    b, key = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    return b.select(
+        key.alias("id"), word(1).alias("term"), F.when(key % 3 == 0, "").otherwise(word(2)).alias("canonical_name"), F.array(word(3), F.concat(F.lit("alias"), key.cast("string"))).alias("aliases"), F.col("text").alias("definition"),
+        F.when(key % 4 == 0, "encyclopedia").otherwise("manual").alias("source"), F.when(key % 5 == 0, "ignored").when(key % 5 == 1, "pending").otherwise("confirmed").alias("status"),
+        (key % 7 == 0).alias("manually_edited"), (BASE_TIME + (key * 37) % 1000).alias("updated_at"),
+    )
