@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -14,6 +15,12 @@ from pyspark.sql.types import StringType
 #: The unicode classes that search keeps, and where a title's core ends.
 NOT_ALNUM = r"[^\p{IsAlphabetic}\p{N}]"
 CORE_END = r"[：:（(【\[]"
+#: Two-character words that say nothing of a book.
+STOP_PAIRS = """
+我们 你们 他们 这个 那个 一个 什么 就是 因为 所以 但是 如果 可以 没有 不是 已经 自己 这种 这样 以及 对于 进行 需要 可能 时候 这里 其中 那些 这些 问题 认为 关系 之后 之前 只是 还是 很多 一些 一种
+如何 为什么 其实 非常 现在 发现 开始 能够 通过 方式 部分 一部 根据 有关 相关 方面 一定 不同 而且 并且 或者 应该 虽然 由于 因此 比如 例如 说明 表示 事实 情况 内容 作者 本书 书中 来说 关于 之间 主要 基本
+一般 整个 所有 其他 同时 甚至 仍然 如此 当时 后来 最后 第一 第二
+""".split()
 
 
 def normalize_search(text: Column) -> Column:
@@ -126,3 +133,52 @@ def title_key(title: Column) -> Column:
 def clean_cjk_space(text: Column) -> Column:
     """No blanks between Han characters or around their punctuation."""
     return F.regexp_replace(text, r"(?<=[\u4e00-\u9fff，。！？；：、]) +(?=[\u4e00-\u9fff，。！？；：、])", "")
+
+
+def graph_words(text: Column) -> Column:
+    """Words of a relation graph, repeated ones too: pairs of Han characters but those that say nothing, then Latin words of three letters or more."""
+    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{P}\p{S}\d]+", " ")
+    runs = F.regexp_extract_all(clean, F.lit(r"[\u3400-\u9fff]{2,}"), F.lit(0))
+    pairs = F.filter(F.flatten(F.transform(runs, char_pairs)), lambda w: ~w.isin(STOP_PAIRS))
+    return F.concat(pairs, F.regexp_extract_all(clean, F.lit("[a-z]{3,}"), F.lit(0)))
+
+
+def same_work(a: Column, b: Column) -> Column:
+    """Whether two titles' keys (``title_key``) of three characters or more are equal, or of four or more one within the other."""
+    n = F.least(F.char_length(a), F.char_length(b))
+    return (n >= 3) & ((a == b) | ((n >= 4) & (F.contains(a, b) | F.contains(b, a))))
+
+
+def version_key(title: Column) -> Column:
+    """The title up to a bracket or colon, without title marks and blanks; null if shorter than three characters."""
+    x = F.element_at(F.split(F.regexp_replace(F.lower(title), "[《》 ]", ""), r"[（(:：]"), 1)
+    return F.when(F.char_length(x) >= 3, x)
+
+
+def search_key(title: Column, compose: bool = True) -> Column:
+    return F.lower(wiki_title(title, compose))
+
+
+def split_list(text: Column, marks: str = r"[/,、·]") -> Column:
+    """The parts between the marks, trimmed, without blank ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), marks), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def translators(raw: Column) -> Column:
+    """Names of a JSON list of strings, or of a text with 、 , or / between them."""
+    listed = F.from_json(raw, "array<string>")
+    return F.when(F.startswith(F.trim(raw), F.lit("[")), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(split_list(raw, "[、,/]"))
+
+
+def highlight_terms(query: str) -> list[str]:
+    """What a page marks: the query's words and the pairs of words of three letters or more, longest first."""
+    words = query.split()
+    plain = [re.sub(r"[\W_]", "", w) for w in words]
+    return sorted(words + [w[i : i + 2] for w in plain if len(w) > 2 for i in range(len(w) - 1)], key=len, reverse=True)
+
+
+def first_line_title(text: Column, most: int = 60) -> Column:
+    """The first line that is no page number or page header, cut; null if there is none."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    told = F.filter(lines, lambda x: ~F.rlike(F.regexp_replace(x, r"\s", ""), F.lit("^([0-9]*|第[0-9页]*页)$")))
+    return F.substring(F.get(told, F.lit(0)), 1, most)

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, char_pairs, cosine, normalize_search
+from ..functions.text import bigrams, char_pairs, cosine, graph_words, normalize_search, same_work, title_key, version_key
+from .library import settle, top_per_group
 
 
 def posting_pairs(postings: DataFrame, key: str, node: str, least: int = 2, most: int = 50, *carry: str) -> DataFrame:
@@ -123,3 +124,137 @@ def merge_entities(relations: DataFrame, source: str, into: str) -> DataFrame:
     r = relations.select("id", put("a"), put("b"), "relation", "confidence").where("a <> b")
     w = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b"), "relation").orderBy("id")
     return r.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def book_terms(books: DataFrame, notes: DataFrame, newest: int = 250, chars: int = 800) -> DataFrame:
+    """``book_id, term, w``: words weighted by where they stand: title 1.2, author 2.5, category 4; of the newest notes chapter 1.5, content 1, own thoughts 2.2."""
+    n = top_per_group(notes, "book_id", newest, F.desc("created"), F.asc("note_id"))
+    part = lambda d, text, w: d.select("book_id", F.explode(graph_words(text)).alias("term"), w.alias("w"))
+    own = F.when(F.col("note_type") == "thought", 2.2).otherwise(1.0)
+    parts = [part(books, F.col("title"), F.lit(1.2)), part(books, F.col("author"), F.lit(2.5)), part(books, F.col("category"), F.lit(4.0)), part(n, F.col("chapter"), F.lit(1.5)), part(n, F.substring("content", 1, chars), own)]
+    words = parts[0]
+    for x in parts[1:]:
+        words = words.union(x)
+    return words.groupBy("book_id", "term").agg(F.round(F.sum("w"), 6).alias("w"))
+
+
+def note_matches(notes: DataFrame, keywords: list[str], chars: int = 1200) -> DataFrame:
+    """``note_id, matched, score``: the keywords in a note's chapter and beginning, .2 more for a thought; notes without any are left out."""
+    words = graph_words(F.concat_ws(" ", F.coalesce("chapter", F.lit("")), F.substring("content", 1, chars)))
+    matched = F.array_intersect(F.array(*[F.lit(k) for k in keywords]), words)
+    rows = notes.select("note_id", "book_id", "chapter", "note_type", matched.alias("matched")).where(F.size("matched") > 0)
+    return rows.withColumn("score", F.size("matched") + F.when(F.col("note_type") == "thought", 0.2).otherwise(0.0))
+
+
+def lexical_relations(books: DataFrame, notes: DataFrame, weights: DataFrame, least: float = 0.02, posting_most: int = 50, newest: int = 250, chars: int = 1200) -> DataFrame:
+    """``a, b, cosine, keywords, notes, chapters, score, relation`` of books that share terms and have notes of both sides to show for it.
+
+    Up to 16 shared terms, heaviest first; of them up to five that notes of both
+    books have are the keywords, two at least. Score: .55 cosine, .20 keywords,
+    .15 notes, .10 chapters. Two names of one work make no relation.
+    """
+    norms = weights.groupBy("book_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    about = books.join(norms, "book_id").select("book_id", "norm", "author", title_key(F.col("title")).alias("key"))
+    product = F.round(F.col("weight_a") * F.col("weight_b"), 9)
+    pairs = posting_pairs(weights, "term", "book_id", 2, posting_most, "weight").groupBy("a", "b").agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("dot"), F.array_sort(F.collect_list(F.struct((-product).alias("w"), "term"))).alias("terms"))  # 120 at most
+    side = lambda x: about.select(F.col("book_id").alias(x), F.col("norm").alias(f"n{x}"), F.col("author").alias(f"w{x}"), F.col("key").alias(f"k{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cosine", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6))
+    pairs = pairs.where((F.col("cosine") >= least) & (F.size("terms") >= 2) & ~same_work(F.col("ka"), F.col("kb")))
+    pairs = settle(pairs.select("a", "b", "cosine", F.slice("terms.term", 1, 16).alias("shared"), ((F.col("wa") == F.col("wb")) & (F.col("wa") != "")).alias("one_author")))
+    n = top_per_group(notes, "book_id", newest, F.desc("created"), F.asc("note_id"))
+    words = F.array_distinct(graph_words(F.concat_ws(" ", F.coalesce("chapter", F.lit("")), F.substring("content", 1, chars))))
+    # a note's words that can be shared are few: those of its book's heaviest terms
+    heavy = weights.groupBy("book_id").agg(F.collect_list("term").alias("heavy"))
+    n = n.join(heavy, "book_id").select("book_id", F.coalesce("chapter", F.lit("")).alias("chapter"), F.array_intersect(words, "heavy").alias("words"))
+    sides = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("book_id"))
+    hits = settle(sides.join(n, "book_id").select("a", "b", "book_id", "chapter", F.array_intersect("shared", "words").alias("matched")).where(F.size("matched") > 0))
+    told = hits.groupBy("a", "b", "book_id").agg(F.collect_set(F.array_join("matched", " ")).alias("sets")).select("a", "b", "book_id", F.array_distinct(F.split(F.array_join("sets", " "), " ")).alias("told"))
+    both = told.groupBy("a", "b").agg(F.collect_list("told").alias("t")).where(F.size("t") == 2)
+    keyed = pairs.join(both, ["a", "b"]).withColumn("keywords", F.slice(F.filter("shared", lambda w: F.array_contains(F.col("t")[0], w) & F.array_contains(F.col("t")[1], w)), 1, 5)).where(F.size("keywords") >= 2).drop("t", "shared")
+    shown = hits.join(keyed.select("a", "b", "keywords"), ["a", "b"]).where(F.arrays_overlap("matched", "keywords")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("notes"), F.count_distinct("book_id", "chapter").alias("chapters"))
+    share = lambda c, n: F.least(F.lit(1.0), c / F.lit(float(n)))
+    score = F.round(0.55 * F.col("cosine") + 0.20 * share(F.size("keywords"), 5) + 0.15 * share(F.col("notes"), 6) + 0.10 * share(F.col("chapters"), 4), 6)
+    out = keyed.join(shown, ["a", "b"]).withColumn("score", score)
+    relation = F.when(F.col("one_author"), "same author").when(F.col("score") >= 0.28, "much alike").when(F.col("score") >= 0.12, "alike").otherwise("perhaps related")
+    return out.select("a", "b", "cosine", "keywords", "notes", "chapters", "score", relation.alias("relation"))
+
+
+def version_edges(meta: DataFrame) -> DataFrame:
+    """Editions of one work (``book_id, title, isbn``): 2 to 12 books of one ``version_key``, not of one ISBN, weight .86."""
+    keyed = meta.select("book_id", F.coalesce("isbn", F.lit("")).alias("isbn"), version_key(F.col("title")).alias("key")).where("key IS NOT NULL")
+    pairs = posting_pairs(keyed, "key", "book_id", 2, 12, "isbn")
+    return pairs.where("isbn_a = '' OR isbn_a <> isbn_b").select("a", "b", F.lit(0.86).alias("score"))
+
+
+def filter_view(edges: DataFrame, books: DataFrame, least: float = 0.0, source: str = "all", kind: str = "all", focus: str | None = None, strength: str = "all") -> DataFrame:
+    """The edges ``id, a, b, score, relation`` that a view shows, best first.
+
+    ``source``: local, semantic or the name of a metadata source; ``kind``:
+    author, content, or analyzable (both books have notes); with a ``focus`` the
+    5, 10, 12 or 20 best of its edges (strong, balanced, standard, wide).
+    """
+    known = books.select("book_id")
+    e = edges.where(F.col("score") >= least).join(known.toDF("a"), "a", "left_semi").join(known.toDF("b"), "b", "left_semi")
+    if source == "local":
+        e = e.where(~F.startswith("id", F.lit("semantic:")) & ~F.startswith("id", F.lit("metadata:")))
+    elif source != "all":
+        e = e.where(F.startswith("id", F.lit("semantic:" if source == "semantic" else f"metadata:{source}:")))
+    if kind in ("author", "content"):
+        e = e.where(F.contains("relation", F.lit("author")) == F.lit(kind == "author"))
+    elif kind == "analyzable":
+        full = books.where("highlight_count + thought_count > 0").select("book_id")
+        e = e.join(full.toDF("a"), "a", "left_semi").join(full.toDF("b"), "b", "left_semi")
+    if strength == "all":
+        return e
+    most = {"strong": 5, "balanced": 10, "standard": 12}.get(strength, 20)
+    return e.where((F.col("a") == focus) | (F.col("b") == focus)).orderBy(F.desc("score"), "id").limit(most)
+
+
+def relation_pick(notes: DataFrame, left: str, right: str, keywords: list[str], most: int = 12) -> DataFrame:
+    """The ``most`` best notes of each of two books: ten for each keyword in content or chapter, one for a thought."""
+    n = notes.where(F.col("book_id").isin(left, right))
+    hits = sum((F.when(F.contains("content", F.lit(k)) | F.contains(F.coalesce("chapter", F.lit("")), F.lit(k)), 10).otherwise(0) for k in keywords if k), F.lit(0))
+    scored = n.withColumn("score", hits + F.when(F.col("note_type") == "thought", 1).otherwise(0))
+    return top_per_group(scored.select("book_id", "note_id", "score"), "book_id", most, F.desc("score"), F.asc("note_id")).select("book_id", "note_id", "score")
+
+
+def valid_claims(claims: DataFrame, notes: DataFrame, left: str, right: str, kinds: list[str], most: int = 3, most_ids: int = 4) -> DataFrame:
+    """``claim_id, kind, evidence``: the first ``most`` claims of a known kind with notes of both books; ids that are neither's go, ``most_ids`` stay."""
+    own = notes.where(F.col("book_id").isin(left, right)).select("note_id", F.col("book_id"))
+    each = claims.where(F.col("kind").isin(kinds)).select("claim_id", "kind", F.posexplode("evidence").alias("at", "note_id")).join(own, "note_id")
+    once = each.groupBy("claim_id", "kind", "note_id", "book_id").agg(F.min("at").alias("at"))
+    sides = once.groupBy("claim_id", "kind").agg(F.count_distinct("book_id").alias("sides"), F.slice(F.array_sort(F.collect_list(F.struct("at", "note_id"))), 1, most_ids).alias("e")).where("sides = 2")
+    return sides.orderBy("claim_id").limit(most).select("claim_id", "kind", F.col("e.note_id").alias("evidence"))
+
+
+def to_embed(notes: DataFrame, stored: DataFrame, model: str, chars: int = 1600) -> DataFrame:
+    """``note_id, text, content_hash`` of the notes whose text or model changed since they were embedded (``note_id, content_hash``)."""
+    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("chapter", F.lit("")), F.substring("content", 1, chars))
+    rows = notes.select("note_id", text.alias("text")).withColumn("content_hash", F.md5(F.concat(F.lit(model + "|"), "text")))
+    return rows.join(stored.select("note_id", "content_hash"), ["note_id", "content_hash"], "left_anti").select("note_id", "text", "content_hash")
+
+
+def embed(rows: DataFrame, embedder, together: int = 32) -> DataFrame:
+    """``note_id, content_hash, vector`` by a function from a list of texts to their vectors, called for ``together`` texts at once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), together):
+                part = f.iloc[at : at + together]
+                yield pd.DataFrame({"note_id": part["note_id"], "content_hash": part["content_hash"], "vector": list(embedder(part["text"].tolist()))})
+
+    return rows.mapInPandas(run, "note_id string, content_hash string, vector array<float>")
+
+
+def persist_entities(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """``id, kind, name, status`` after an extraction: stored ones stay as they are, names that none has (as name or alias, of either case) come as suggested."""
+    keys = stored.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k")).select(F.lower("k").alias("k")).distinct()
+    key = F.lower(F.trim("name"))
+    new = found.withColumn("k", key).join(keys, "k", "left_anti").groupBy("k").agg(F.min_by(F.struct("kind", "name"), F.struct("kind", "name")).alias("x"))
+    fresh = new.select(F.concat(F.col("x.kind"), F.lit(":"), F.md5(F.concat_ws("|", "k", "x.kind"))).alias("id"), "x.kind", "x.name", F.lit("suggested").alias("status"))
+    return stored.select("id", "kind", "name", "status").unionByName(fresh)
+
+
+def persist_evidence(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """``entity_id, note_id, quote, confidence``: found evidence takes the place of what is stored for the same entity and note."""
+    return stored.join(found.select("entity_id", "note_id"), ["entity_id", "note_id"], "left_anti").select("entity_id", "note_id", "quote", "confidence").unionByName(found.select("entity_id", "note_id", "quote", "confidence"))

@@ -12,6 +12,14 @@ from ..functions.text import when_text
 BLANK = "Uncategorised"
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """A table that several parts of a plan read: written to the session's checkpoint folder, so that it is computed once and outlives executors.
+
+    Without such a folder (local tests) it is only remembered.
+    """
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def like_any(pattern: str, *columns: Column | str) -> Column:
     """``%pattern%`` over any column; ASCII letters of either case, ``%`` and ``_`` of the caller act as wildcards."""
     cols = [F.col(c) if isinstance(c, str) else c for c in columns]
@@ -106,3 +114,43 @@ def mark_sweep(stored: DataFrame, seen: DataFrame, key: str, exempt_books: DataF
         s = s.withColumn("exempt", F.lit(None).cast("boolean"))
     gone = F.col("seen").isNull() & F.col("exempt").isNull()
     return s.withColumn("is_deleted", F.col("is_deleted") | gone).drop("seen", "exempt")
+
+
+def flatten_nested(rows: DataFrame, nested: str, fields: list[str], numbers: list[str]) -> DataFrame:
+    """Fields that are null at the top are taken from the struct ``nested``; number fields that are texts become numbers, what is none stays null."""
+    inner = rows.schema[nested].dataType.fieldNames()
+    value = lambda c: F.coalesce(F.col(c), F.col(f"{nested}.{c}")) if c in inner else F.col(c)
+    return rows.select(*[c for c in rows.columns if c not in fields and c != nested], *[(value(c).try_cast("double") if c in numbers else value(c)).alias(c) for c in fields])
+
+
+def with_metadata(books: DataFrame, metadata: DataFrame, source: str) -> DataFrame:
+    """Live books with the metadata of one source and the names and time of all: a book without any is ``missing``."""
+    one = metadata.where(F.col("source") == source).select("book_id", "isbn", "subjects")
+    every = metadata.groupBy("book_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("source"))).alias("sources"), F.max("fetched_at").alias("fetched_at"))
+    j = books.where(~F.col("is_deleted")).join(one, "book_id", "left").join(every, "book_id", "left")
+    return j.select("book_id", F.coalesce("isbn", F.lit("")).alias("isbn"), F.coalesce("sources", F.lit("")).alias("sources"), "fetched_at", F.when(F.col("fetched_at").isNull(), "missing").otherwise("ready").alias("state"))
+
+
+def by_priority(rows: DataFrame, key: str, column: str, priority: list[str]) -> DataFrame:
+    """The row of each key whose ``column`` stands first in ``priority``; others come last, by name."""
+    at = F.array_position(F.array(*[F.lit(x) for x in priority]), F.col(column))
+    return latest(rows, [key], F.when(at == 0, len(priority) + 1).otherwise(at).asc(), F.col(column).asc())
+
+
+def keep_detail(old: DataFrame, new: DataFrame, key: list[str], lists: list[str]) -> DataFrame:
+    """Upsert of metadata: null and, for ``lists``, empty arrays don't overwrite what is stored."""
+    n = new.select(*[F.when(F.size(c) > 0, F.col(c)).alias(c) if c in lists else F.col(c) for c in new.columns])
+    return merge_upsert(old, n, key)
+
+
+def merge_recommendation(detail: DataFrame, hit: DataFrame, key: str, override: list[str]) -> DataFrame:
+    """``detail`` with what it lacks from ``hit``; the ``override`` columns are the hit's where it has them."""
+    rest = [c for c in detail.columns if c != key]
+    h = hit.select(key, *[F.col(c).alias(f"h_{c}") for c in rest if c in hit.columns])
+    pick = lambda c: F.coalesce(f"h_{c}", c) if c in override else F.coalesce(c, f"h_{c}")
+    return detail.join(h, key, "left").select(key, *[(pick(c) if c in hit.columns else F.col(c)).alias(c) for c in rest])
+
+
+def append_new(shown: DataFrame, page: DataFrame, key: str) -> DataFrame:
+    """``shown``, then the rows of the next page that it lacks."""
+    return shown.unionByName(page.join(shown.select(key), key, "left_anti"))

@@ -15,7 +15,10 @@ SILENT = (
     "file", "image", "media", "video", "文件", "檔案", "图像", "圖像", "媒体", "category", "分类", "分類", "categorytree", "主题分类", "mediawiki",
     "template", "模板", "module", "模块", "help", "帮助", "wikipedia",
 )
-NOTES = "ref|sup|sub|gallery|math|timeline|imagemap|score|syntaxhighlight|source"
+NOTES = (
+    "references-list|references|reflist|ref|gallery|imagemap-inline|imagemapframe|imagemap|math|syntaxhighlight|source|pre|nowiki|timeline|score|templatestyles|poem|graph|mapframe|maplink|section"
+    "|includeonly|noinclude|onlyinclude|sup|sub"
+)
 ENDS = "。！？；!?;\n"
 REDIRECTS = ("#redirect", "#重定向", "#轉向")
 

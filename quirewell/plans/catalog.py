@@ -332,7 +332,7 @@ def _(s, d):
     return G.metadata_edges(V.metadata(s, d)).select("a", "b", F.col("score").cast("double").alias("score"))
 
 
-INTRO = """WITH t AS (SELECT 'd' || doc_id AS book_id, regexp_replace(lower(substring(text, 1, 300)), '[^\\p{L}\\p{N}]', '', 'g') AS x FROM documents WHERE length(text) >= 40),
+INTRO = """WITH t AS (SELECT 'd' || doc_id AS book_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS x FROM documents WHERE length(text) >= 40),
 g AS (SELECT book_id, list_distinct(list_transform(range(1, length(x)), lambda i: substring(x, i, 2))) AS g FROM t),
 p AS (SELECT book_id, len(g) AS size, unnest(g) AS k FROM g), kk AS (SELECT k FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60),
 q AS (SELECT a.book_id AS a, b.book_id AS b, a.size AS sa, b.size AS sb, count(*) AS n FROM p a JOIN p b ON a.k = b.k AND a.book_id < b.book_id WHERE a.k IN (FROM kk) GROUP BY ALL)
@@ -356,12 +356,7 @@ def _weights(s: SparkSession, d: str) -> DataFrame:
     n = V.notes(s, d)
     w = n.select("book_id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("term"), F.when(F.col("note_type") == "thought", 2.2).otherwise(1.0).alias("w"))
     tf = w.groupBy("book_id", "term").agg(F.round(F.sum("w"), 6).alias("w"))
-    return G.term_weights(tf, n.select("book_id").distinct().count())
-
-
-@query("a_tf_weighted", LEX + "SELECT * FROM wt")
-def _(s, d):
-    return _weights(s, d)
+    return L.settle(G.term_weights(tf, n.select("book_id").distinct().count()))
 
 
 @query("g_lexical", LEX + ", nn AS (SELECT book_id, sqrt(sum(weight * weight)) AS norm FROM wt GROUP BY 1), tt AS (SELECT term FROM wt GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), pp AS (SELECT a.book_id AS a, b.book_id AS b, sum(a.weight * b.weight) AS dot, count(*) AS shared FROM wt a JOIN wt b ON a.term = b.term AND a.book_id < b.book_id WHERE a.term IN (FROM tt) GROUP BY 1, 2) SELECT a, b, shared, round(dot / (x.norm * y.norm), 6) AS score FROM pp JOIN nn x ON x.book_id = a JOIN nn y ON y.book_id = b WHERE round(dot / (x.norm * y.norm), 6) >= 0.02 AND shared >= 2")
@@ -414,7 +409,3 @@ def _(s, d):
     return I.chunks(V.table(s, d, "documents"), "doc_id", "text")
 
 
-@query("e_missing", "SELECT p_partkey FROM part WHERE p_partkey % 7 = 0", base=False)
-def _(s, d):
-    p = V.table(s, d, "part")
-    return p.join(p.where("p_partkey % 7 <> 0").select("p_partkey"), "p_partkey", "left_anti").select("p_partkey")

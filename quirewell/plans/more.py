@@ -50,24 +50,6 @@ def _(s, d):
     return V.books(s, d).where("NOT is_deleted").join(have, "book_id", "left_anti").select("book_id", "title")
 
 
-@query("m_append_new_by_id", "SELECT doc_id, 1 AS page FROM documents WHERE doc_id < 60 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id BETWEEN 40 AND 100 AND doc_id >= 60", base=False)
-def _(s, d):
-    x = V.table(s, d, "documents").select("doc_id")
-    shown = x.where("doc_id < 60")
-    return shown.withColumn("page", F.lit(1)).union(x.where("doc_id BETWEEN 40 AND 100").join(shown, "doc_id", "left_anti").withColumn("page", F.lit(2)))
-
-
-@query("m_source_list", "SELECT source, count(*) AS chunks, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1", base=False)
-def _(s, d):
-    return V.table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("chars"))
-
-
-@query("m_source_delete", "SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2')", base=False)
-def _(s, d):
-    gone = s.createDataFrame([("src1",), ("src2",)], "source string")
-    return V.table(s, d, "documents").join(F.broadcast(gone), "source", "left_anti").select("doc_id")
-
-
 @query("l_has_more", "SELECT note_id, (SELECT count(*) FROM notes) > 25 AS has_more FROM notes ORDER BY created DESC, note_id LIMIT 25")
 def _(s, d):
     # one row more than the page tells whether there is another page
@@ -145,11 +127,6 @@ def _(s, d):
     return L.top_per_group(n, "kind", 10, F.desc("created"), F.asc("id")).select("kind", "id")
 
 
-@query("t_candidates_fallback", "SELECT note_id FROM notes WHERE book_id = 'src4' ORDER BY note_id LIMIT 800")
-def _(s, d):
-    return R.hybrid_search(V.notes(s, d).where("book_id = 'src4'"), "***", 800).select("note_id")
-
-
 @query("fn_core_title", "SELECT p_partkey, trim(regexp_extract(p_name || ' (' || p_brand || ')', '^([^(]*)', 1)) AS title FROM part", base=False)
 def _(s, d):
     return V.table(s, d, "part").select("p_partkey", T.core_title(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("title"))
@@ -168,11 +145,6 @@ def _(s, d):
     return V.table(s, d, "benchmark").select("item_id", T.normalize_name(F.col("text")).alias("name"))
 
 
-@query("g_versions", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey WHERE a.p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12)", base=False)
-def _(s, d):
-    return G.posting_pairs(V.table(s, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", 2, 12).select("a", "b")
-
-
 @query("w_best_evidence", "SELECT book_id, arg_min(note_id, (-len(content), note_id)) AS note_id FROM notes GROUP BY 1")
 def _(s, d):
     n = V.notes(s, d).select("book_id", "note_id", (-F.char_length("content")).alias("size"))
@@ -207,13 +179,6 @@ def _(s, d):
     return m.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-@query("e_stage", "SELECT page_id, max(revision) AS revision FROM (SELECT p_partkey AS page_id, 1 AS revision FROM part UNION ALL SELECT p_partkey, 2 FROM part WHERE p_partkey % 3 = 0) GROUP BY 1", base=False)
-def _(s, d):
-    p = V.table(s, d, "part")
-    old = p.select(F.col("p_partkey").alias("page_id"), F.lit(1).alias("revision"))
-    return L.merge_upsert(old, p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("page_id"), F.lit(2).alias("revision")), ["page_id"])
-
-
 @query("e_aliases", "SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS aliases FROM part WHERE p_brand <> p_type GROUP BY 1", base=False)
 def _(s, d):
     return V.table(s, d, "part").where("p_brand <> p_type").groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("aliases"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 #: Limits of archives and pages, containers that are dropped, and tags that end a line.
 MAX_FILE, MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_PAGE_TEXT, MIN_CHAPTER = 200 << 20, 5000, 8 << 20, 256 << 20, 4 << 20, 20
-DROPPED = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg", "iframe", "template"}
+DROPPED = {"script", "style", "noscript", "head", "title", "nav", "header", "footer", "aside", "iframe", "svg"}
 LINES = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "blockquote", "pre"}
 
 PAGE = T.StructType([

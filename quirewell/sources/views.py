@@ -71,7 +71,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intros(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("length(text) >= 40")
-    return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("book_id"), F.substring("text", 1, 300).alias("description"))
+    return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("book_id"), F.col("text").alias("description"))
 
 
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,18 +12,20 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.library import latest
 
 #: States of an import job and the states that each may go to.
+STAGES = ["pending", "downloading", "verifying", "parsing", "resolving_redirects", "validating", "ready_to_publish", "publishing"]
+TERMINAL = {"completed", "cancelled", "failed"}
+_ALWAYS = {"failed", "cancelled", "paused"}
 TRANSITIONS = {
-    "pending": {"downloading", "parsing", "cancelled", "failed"},
-    "downloading": {"paused", "parsing", "cancelled", "failed"},
-    "parsing": {"paused", "validating", "cancelled", "failed"},
-    "paused": {"downloading", "parsing", "validating", "publishing", "cancelled"},
-    "validating": {"paused", "ready", "cancelled", "failed"},
-    "ready": {"publishing", "cancelled", "failed"},
-    "publishing": {"paused", "completed", "partial_success", "cancelled", "failed"},
-    "completed": set(),
-    "partial_success": set(),
-    "failed": set(),
-    "cancelled": set(),
+    "pending": {"downloading", "verifying", "parsing"} | _ALWAYS,
+    "downloading": {"verifying"} | _ALWAYS,
+    "verifying": {"parsing"} | _ALWAYS,
+    "parsing": {"resolving_redirects"} | _ALWAYS,
+    "resolving_redirects": {"validating"} | _ALWAYS,
+    "validating": {"ready_to_publish"} | _ALWAYS,
+    "ready_to_publish": {"publishing", "completed"} | _ALWAYS,
+    "publishing": {"completed"} | _ALWAYS,
+    "paused": {*STAGES, "failed", "cancelled"},
+    **{state: set() for state in TERMINAL},
 }
 
 
@@ -34,6 +36,19 @@ def advance(state: str, to: str) -> str:
     return to
 
 
+def resume(paused_from: str) -> str:
+    """A paused job goes back to the stage that its checkpoint names."""
+    if paused_from not in STAGES:
+        raise ValueError(f"no stage to go back to: {paused_from}")
+    return advance("paused", paused_from)
+
+
+def maintain_index(index: DataFrame, changed: DataFrame, current: DataFrame) -> DataFrame:
+    """The postings after a batch: those of ``changed`` ids (``id``) go, what ``current`` has of them comes."""
+    ids = changed.select("id").distinct()
+    return index.join(ids, "id", "left_anti").unionByName(current.join(ids, "id", "left_semi"))
+
+
 def upsert_stream(events: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
     """Each micro-batch, reduced to its latest row per key, is appended as a version of its own; ``current`` reads the latest.
 

@@ -21,6 +21,9 @@ def test_fold(spark):
 
 def test_sse_and_states():
     assert list(sync.sse_lines([b"data: a\nda", b"ta: b\r\n\n", b"data: [DONE]\ndata: c\n"])) == ["a", "b"]
-    assert sync.advance("parsing", "validating") == "validating"
+    assert sync.advance("parsing", "resolving_redirects") == "resolving_redirects" and sync.advance("pending", "paused") == "paused"
+    assert sync.resume("validating") == "validating"
+    with pytest.raises(ValueError):
+        sync.advance("downloading", "parsing")
     with pytest.raises(ValueError):
         sync.advance("completed", "parsing")
