@@ -363,10 +363,10 @@ def _(s, d):
     return J.mark_missing(t, t.where("id % 3 = 0").select("term"), True).select("id", "status")
 
 
-@query("st_progress", "WITH e AS (SELECT user_id AS job_id, event_id, (event_id * 7) % 90 AS done, 80 AS total FROM events) SELECT job_id, event_id AS "at", CAST(max(CASE WHEN done >= total THEN 100 ELSE floor(10 + 80 * least(1.0, done / total::DOUBLE)) END) OVER (PARTITION BY job_id ORDER BY event_id) AS INTEGER) AS percent FROM e", base=False)
+@query("st_progress", "WITH e AS (SELECT user_id AS job_id, event_id, (event_id * 7) % 90 AS done, 80 AS total FROM events) SELECT job_id, event_id AS step, CAST(max(CASE WHEN done >= total THEN 100 ELSE floor(10 + 80 * least(1.0, done / total::DOUBLE)) END) OVER (PARTITION BY job_id ORDER BY event_id) AS INTEGER) AS percent FROM e", base=False)
 def _(s, d):
     e = V.table(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("at"), (F.col("event_id") * 7 % 90).alias("done"), F.lit(80).alias("total"))
-    return J.progress(e)
+    return J.progress(e).withColumnRenamed("at", "step")
 
 
 @query("st_index_maintenance", ", c AS (SELECT note_id AS id, CASE WHEN CAST(substring(note_id, 2) AS BIGINT) % 10 = 0 THEN 'changed text' ELSE content END AS content FROM notes WHERE CAST(substring(note_id, 2) AS BIGINT) % 20 <> 0) SELECT id, 'content' AS field, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM c) GROUP BY 1, 2, 3")
