@@ -1,5 +1,6 @@
 """What is bounded is the fitting sample only: statistics, texts and rows are taken whole."""
 
+import time
 import zlib
 
 import corpus_pipeline
@@ -7,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quirewell.llm import html_extract, language_id, quality, substring_dedup
+from quirewell.llm import html_extract, language_id, near_dedup, quality, substring_dedup
 
 
 @pytest.mark.parametrize("query", [quality.op9_quality, lambda s, d: corpus_pipeline.quality_stage(s, s.read.parquet(f"{d}/documents.parquet"), d)])
@@ -47,6 +48,42 @@ def test_rows_of_one_id(spark):
     assert texts(left) == sorted([r for r in rows if r != (2, copied)], key=repr)
 
 
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_near_rows_of_one_id(spark, order):
+    """Texts that share a doc_id are linked by what they say, in any order of the rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(9, a), (9, b), (3, a + " end"), (12, b), (20, c), (None, c)]
+    rows = rows[order:] + rows[:order]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1))
+    found = {(r["doc_id"], r["row"]): (r["component_id"], r["kept"]) for r in got.collect()}
+    ids = {}
+    for (i, _), x in found.items():
+        ids.setdefault(i, set()).add(x)
+    assert ids == {9: {(3, False), (9, True)}, 3: {(3, True)}, 12: {(9, False)}, 20: {(20, True)}, None: {(None, True)}}
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(((r[0] or 0, r[1]) for r in kept.collect())) == sorted([(9, b), (3, a + " end"), (20, c), (0, c)])
+
+
+@pytest.mark.parametrize("html", ["<div class=a>" * 30_000 + "x", "<a " * 20_000, "</x " * 20_000, "<ul><li>" * 8000 + "y", "<span>" * 20_000 + "</b>" * 20_000, "<p>t</p>" + "<a " * 20_000 + "<!-- x"])
+def test_html_without_end(html):
+    """Deep nesting and tags that never close take linear time."""
+    began = time.process_time()
+    page = html_extract.Page(html)
+    page.text({page.best()})
+    assert time.process_time() - began < 5
+
+
+def test_smallest(spark):
+    """Hash-bounded samples are exactly the rows with the smallest hashes."""
+    from quirewell.llm.common import smallest
+
+    rows = spark.range(5000).selectExpr("id AS doc_id", "IF(id % 50 = 0, 'few', 'many') AS lang")
+    got = {(r["lang"], r["doc_id"]) for r in smallest(rows, "lang", 120).collect()}
+    h = rows.selectExpr("lang", "doc_id", "pmod(xxhash64(doc_id), 1099511627776L) AS h").collect()
+    want = {("few", r["doc_id"]) for r in h if r["lang"] == "few"} | {(r["lang"], r["doc_id"]) for r in sorted((r for r in h if r["lang"] == "many"), key=lambda r: r["h"])[:120]}
+    assert got == want
+
+
 COMMENTS = "<div id='comments'><article class='comment'><p>a comment that is longer than the text itself</p></article></div>"
 
 
