@@ -63,9 +63,9 @@ def plain_text(source: str) -> str:
     """The lead section's text without markup."""
     t = re.sub(r"<!--.*?(?:-->|\Z)", "", source, flags=re.S)
     before = None
-    while before != t:  # parameters, templates and tables may nest in each other
+    while before != t:  # a table ends only where no template is open: what "{{x|}}" ends is none
         before = t
-        t = TABLE.sub("", TEMPLATE.sub(_shown, PARAMETER.sub(lambda m: m[2] or "", t)))
+        t = TABLE.sub("", _settle(TEMPLATE, _shown, _settle(PARAMETER, lambda m: m[2] or "", t)))
     t = re.sub(r"\{[{|].*\Z", "", t, flags=re.S)  # never closed
     head = HEADING.search(t)
     t = t[: head.start()] if head else t
