@@ -259,12 +259,11 @@ def _cut(regions: DataFrame, window: int) -> DataFrame:
     return regions.mapInArrow(run, "anchor bigint, region bigint, i int, piece bigint, least bigint, words binary")
 
 
-def _spans(occurrences: DataFrame, found: DataFrame, single: DataFrame) -> DataFrame:
-    """``doc_id, row, at``: the windows that go, a list for each row; ``found`` has the regions' smallest ids as lists, ``single`` one by one."""
+def _spans(occurrences: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, row, at``: the windows that go, a list for each row."""
     hit = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     rows = occurrences.join(found, ["anchor", "region"]).select("doc_id", "row", hit.alias("at")).where(F.size("at") > 0)
-    more = occurrences.join(single.withColumnRenamed("least", "x"), ["anchor", "region"]).where("x < doc_id").select("doc_id", "row", F.array(F.col("start") + F.col("i")).alias("at"))
-    return rows.union(more).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("at")).alias("at"))  # a row's own windows
+    return rows.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("at")).alias("at"))  # a row's own windows
 
 
 def _apply(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -333,8 +332,10 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, with_text: bool =
     single = single.join(large_too, "anchor").select("anchor", F.pmod("piece", "buckets").cast("int").alias("bucket"), "piece", "least", "words")
     found = keep(_solve(plain, window).withColumnRenamed("piece", "region"), f"{home}/found")
     single = keep(_solve(single, window).select("anchor", "piece", F.element_at("least", 1).alias("least")), f"{home}/single")
-    single = keep(cut.select("anchor", "region", "i", "piece").join(single, ["anchor", "piece"]).select("anchor", "region", "i", "least"), f"{home}/placed")
-    spans = keep(_spans(regions.select("anchor", "region", "doc_id", "row", "start"), found, single), f"{home}/spans")
+    placed = cut.select("anchor", "region", "i", "piece").join(single, ["anchor", "piece"])
+    placed = placed.groupBy("anchor", "region").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("x"))  # a region's own windows
+    placed = keep(placed.select("anchor", "region", F.col("x.least").alias("least")), f"{home}/placed")
+    spans = keep(_spans(regions.select("anchor", "region", "doc_id", "row", "start"), found.union(placed)), f"{home}/spans")
     drop(spark, *(f"{home}/{x}" for x in ("regions", "keys", "cut", "found", "single", "placed")))
     # copies lose all, documents with spans are joined with them, the others are taken as they are
     hit = keep(spans.select(*key), f"{home}/hit")
