@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -86,24 +87,54 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def degree_cap(edges: DataFrame, cap: int) -> DataFrame:
-    """Edges by falling score, each kept if both ends still have fewer than ``cap``.
+    """Edges by falling score, each kept if both ends still have fewer than ``cap``: what a scan in that order keeps.
 
-    The scan is sequential by nature and runs in one task, holding a counter for
-    each node: callers pass edges between books, already pruned by score.
+    Decided in rounds: an edge stays for certain if at both ends the kept edges
+    and the open ones before it are fewer than ``cap``, and goes once an end is
+    full. The first open edge is always decided, so the rounds end; mostly
+    each decides many of every node's edges. Ties go to the smaller ends. An
+    edge that is listed twice counts twice.
     """
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used: dict[str, int] = {}
-        for f in frames:
-            ok = []
-            for a, b in zip(f["a"], f["b"], strict=True):
-                ok.append(used.get(a, 0) < cap and used.get(b, 0) < cap)
-                if ok[-1]:
-                    used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-            yield f[ok]
-
-    e = edges.select("a", "b", "score")
-    return e.orderBy(F.desc("score"), "a", "b").coalesce(1).mapInPandas(scan, e.schema)
+    open_, kept = settle(edges.select("a", "b", "score").withColumn("no", F.monotonically_increasing_id())), []
+    order = [F.desc("score"), F.asc("a"), F.asc("b"), F.asc("no")]
+    while not open_.isEmpty():
+        ends = open_.select("*", F.explode(F.array("a", "b")).alias("node"))
+        rank = ends.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(*order)))
+        used = _used(kept)
+        rank = rank.join(used, "node", "left") if used is not None else rank.withColumn("used", F.lit(0))
+        taken = F.coalesce("used", F.lit(0))
+        state = rank.groupBy("no", "a", "b", "score").agg(F.max(taken + F.col("rank")).alias("place"), F.max(taken).alias("used"))
+        state = settle(state.where(F.col("used") < cap))
+        kept.append(state.where(F.col("place") <= cap).select("a", "b", "score"))
+        open_ = settle(state.where(F.col("place") > cap).select("a", "b", "score", "no"))
+    return reduce(DataFrame.union, kept) if kept else edges.select("a", "b", "score")
+
+
+def _used(kept: list[DataFrame]) -> DataFrame | None:
+    """``node, used``: how many of the kept edges a node has."""
+    return degree(reduce(DataFrame.union, kept)).withColumnRenamed("degree", "used") if kept else None
+
+
+def best_evidence(embeddings: DataFrame, edges: DataFrame) -> DataFrame:
+    """``book_id, other, note_id``: for both books of an edge the note nearest, by cosine, to the other book's mean; ties to the smaller id."""
+    both = edges.select(F.col("a").alias("book_id"), F.col("b").alias("other")).union(edges.select("b", "a"))
+    means = mean_vectors(embeddings).select(F.col("book_id").alias("other"), "mean")
+    near = F.round(cosine(F.col("vector"), F.col("mean")), 9)
+    rows = embeddings.join(both.join(means, "other"), "book_id").select("book_id", "other", "note_id", near.alias("near"))
+    return rows.groupBy("book_id", "other").agg(F.min_by("note_id", F.struct(-F.col("near"), F.col("note_id"))).alias("note_id"))
+
+
+def concept_graph(entities: DataFrame, evidence: DataFrame, kinds: list[str] | None = None, least: float = 0.0, many: int = 500, raised: float = 0.45, most: int = 2000) -> DataFrame:
+    """``id, kind, confidence, truncated`` of the entities with evidence, of the given kinds and ``least`` confidence, best first.
+
+    If there are more than ``many`` of them, the confidence asked for rises to
+    ``raised`` and the answer says that it is truncated.
+    """
+    e = entities.where(F.col("confidence") >= least)
+    e = (e.where(F.col("kind").isin(kinds)) if kinds else e).join(evidence.select("id"), "id", "left_semi")
+    n = e.agg((F.count(F.lit(1)) > many).alias("truncated"))
+    shown = e.crossJoin(F.broadcast(n)).where(~F.col("truncated") | (F.col("confidence") >= raised))  # one row
+    return shown.orderBy(F.desc("confidence"), "id").limit(most).select("id", "kind", "confidence", "truncated")
 
 
 def bigram_candidates(texts: DataFrame, text: str, least: int = 2, top: int = 60) -> DataFrame:

@@ -83,6 +83,14 @@ def resolve_redirects(pages: DataFrame, depth: int = 10) -> DataFrame:
     return done.select("page_id", F.col("at").alias("final"), outcome.alias("outcome"))
 
 
+def aliases(pages: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``page_id, aliases``: the titles of the redirects (``resolve_redirects``) that end at a page, sorted, each once, its own left out."""
+    title = pages.select("page_id", F.col("title"))
+    ends = resolved.where("outcome = 'ok'").select("page_id", "final").join(title, "page_id").select(F.col("final").alias("page_id"), F.col("title").alias("alias"))
+    named = ends.join(title, "page_id").where("alias <> title")
+    return named.groupBy("page_id").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+
+
 def publish(stored: DataFrame, staged: DataFrame) -> DataFrame:
     """What happens to each staged page: insert, skip, snapshot, update or conflict.
 

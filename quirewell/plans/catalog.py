@@ -369,7 +369,13 @@ def _(s, d):
     return G.degree(G.author_edges(V.books(s, d)))
 
 
-@query("w_degree_cap")
+DEGREE = EMB.replace("WITH e", "WITH RECURSIVE e") + """, x AS (SELECT a.book_id AS a, b.book_id AS b, round(list_cosine_similarity(a.mean, b.mean), 6) AS score FROM m a JOIN m b ON a.book_id < b.book_id),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS i FROM x),
+st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used UNION ALL SELECT o.i, CASE WHEN len(list_filter(used, lambda u: u = a)) < 12 AND len(list_filter(used, lambda u: u = b)) < 12 THEN used || [a, b] ELSE used END FROM st JOIN o ON o.i = st.i + 1)
+SELECT a, b, score FROM (SELECT i, len(used) > lag(len(used)) OVER (ORDER BY i) AS kept FROM st) JOIN o USING (i) WHERE kept"""
+
+
+@query("w_degree_cap", DEGREE, base=False)
 def _(s, d):
     return G.degree_cap(G.semantic_edges(V.note_embeddings(s, d), -1.0), 12)
 
@@ -390,7 +396,14 @@ def _(s, d):
     return w.select("page_id", I.classify(F.col("raw_title"), F.col("target"), F.col("summary"), no, F.lower("raw_title").rlike(r"list_\d+$"), no).alias("outcome"))
 
 
-@query("e_redirects")
+REDIRECTS = """WITH RECURSIVE pg AS (SELECT p_partkey AS id, p_name || '_' || p_partkey AS title, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey * 3 + 1) % (SELECT count(*) FROM part) END AS target FROM part),
+w AS (SELECT id AS page_id, target AS here, [target] AS seen, 0 AS i, NULL::VARCHAR AS outcome FROM pg WHERE target IS NOT NULL
+  UNION ALL SELECT page_id, CASE WHEN o IS NULL THEN next ELSE here END, CASE WHEN o IS NULL THEN list_append(seen, next) ELSE seen END, i + 1, o
+  FROM (SELECT w.*, pg.target AS next, CASE WHEN pg.target IS NULL THEN 'ok' WHEN i = 10 THEN 'too_deep' WHEN list_contains(seen, pg.target) THEN 'loop' END AS o FROM w LEFT JOIN pg ON pg.id = w.here WHERE w.outcome IS NULL)),
+ends AS (SELECT page_id, here AS final, CASE WHEN outcome = 'ok' AND here NOT IN (SELECT id FROM pg) THEN 'broken' ELSE outcome END AS outcome FROM w WHERE outcome IS NOT NULL) """
+
+
+@query("e_redirects", REDIRECTS + "SELECT * FROM ends", base=False)
 def _(s, d):
     return I.resolve_redirects(V.wiki_pages(s, d).select("page_id", "target"))
 
@@ -404,7 +417,14 @@ def _(s, d):
     return I.publish(old, staged)
 
 
-@query("e_chunk")
+CHUNKS = """WITH RECURSIVE w AS (SELECT doc_id AS id, text, 0::BIGINT AS here, 0 AS i, NULL::VARCHAR AS content FROM documents WHERE length(text) > 0
+  UNION ALL SELECT id, text, CASE WHEN s >= length(text) OR s - here <= 150 THEN s ELSE s - 150 END, i + 1, regexp_replace(substring(text, here + 1, s - here), '^\\s+|\\s+$', '', 'g')
+  FROM (SELECT id, text, here, i, CASE WHEN q > 0 AND length(p) - q + 1 >= 2 THEN here + length(p) - q + 1 ELSE least(length(text), here + 1200) END AS s
+        FROM (SELECT *, instr(reverse(p), chr(10)) AS q FROM (SELECT id, text, here, i, substring(text, here + 1, 1200) AS p FROM w WHERE here < length(text)))))
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS INTEGER) AS position, content FROM w WHERE content <> ''"""
+
+
+@query("e_chunk", CHUNKS, base=False)
 def _(s, d):
     return I.chunks(V.table(s, d, "documents"), "doc_id", "text")
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import ingest as I
 from ..operators import library as L
 from ..operators import retrieval as R
 from ..operators import wikitext as W
 from ..sources import documents as D
 from ..sources import views as V
-from .catalog import LEX, _listed, _weights, query
+from .catalog import EMB, LEX, REDIRECTS, _listed, _weights, query
 
 
 @query("m_book_detail", "SELECT book_id, title, highlight_count, thought_count, reading_status FROM listed WHERE book_id = 'src7'")
@@ -111,9 +112,11 @@ def _(s, d):
     return _weights(s, d).groupBy("book_id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"))
 
 
-@query("a_text_quality", "SELECT doc_id, len(regexp_extract_all(text, '[^\\p{L}\\p{N}\\s]'))::BIGINT AS marks FROM documents", base=False)
+@query("a_text_quality", "SELECT doc_id, n > 0 AND ((n - bad - ctl) / n < 0.80 OR bad / n > 0.05 OR ctl / n > 0.10) AS garbled FROM (SELECT doc_id, length(x)::DOUBLE AS n, length(x) - length(replace(x, chr(65533), '')) AS bad, length(x) - length(regexp_replace(x, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS ctl FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(text, 'e', chr(65533)) WHEN 1 THEN translate(text, 'aio', repeat(chr(1), 3)) ELSE text END AS x FROM documents))", base=False)
 def _(s, d):
-    return V.table(s, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s]")).cast("bigint").alias("marks"))
+    k = F.col("doc_id") % 5
+    text = F.when(k == 0, F.replace("text", F.lit("e"), F.lit("�"))).when(k == 1, F.translate("text", "aio", "\x01\x01\x01")).otherwise(F.col("text"))  # replaced and control characters as of a bad extraction
+    return V.table(s, d, "documents").select("doc_id", D.garbled(text).alias("garbled"))
 
 
 @query("a_reading_stats", "SELECT event_type, CAST((date_part('hour', ts) + 6) % 24 AS INTEGER) AS hour, round(sum(value) / 60, 4) AS minutes FROM events GROUP BY 1, 2", base=False)
@@ -145,10 +148,17 @@ def _(s, d):
     return V.table(s, d, "benchmark").select("item_id", T.normalize_name(F.col("text")).alias("name"))
 
 
-@query("w_best_evidence", "SELECT book_id, arg_min(note_id, (-len(content), note_id)) AS note_id FROM notes GROUP BY 1")
+EVIDENCE = EMB + """, x AS (SELECT a.book_id AS a, b.book_id AS b FROM m a JOIN m b ON a.book_id < b.book_id WHERE round(list_cosine_similarity(a.mean, b.mean), 6) >= 0.1),
+p AS (SELECT a AS book_id, b AS other FROM x UNION ALL SELECT b, a FROM x),
+n AS (SELECT 'src' || (vec_id % 20) AS book_id, 'v' || vec_id AS note_id, embedding::DOUBLE[] AS v FROM embeddings),
+r AS (SELECT book_id, other, note_id, round(list_cosine_similarity(v, mean), 9) AS near FROM n JOIN p USING (book_id) JOIN (SELECT book_id AS other, mean FROM m) USING (other))
+SELECT book_id, other, arg_min(note_id, (-near, note_id)) AS note_id FROM r GROUP BY 1, 2"""
+
+
+@query("w_best_evidence", EVIDENCE, base=False)
 def _(s, d):
-    n = V.notes(s, d).select("book_id", "note_id", (-F.char_length("content")).alias("size"))
-    return n.groupBy("book_id").agg(F.min_by("note_id", F.struct("size", "note_id")).alias("note_id"))
+    e = V.note_embeddings(s, d)
+    return G.best_evidence(e, G.semantic_edges(e, 0.1))
 
 
 @query("k_unchanged", "SELECT note_id FROM notes WHERE md5(content) IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
@@ -165,11 +175,15 @@ def _(s, d):
     return e.withColumn("rn", rn).select("kind", "name", verdict.alias("verdict"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)))).alias("confidence"))
 
 
-@query("k_graph_query", "SELECT p_partkey FROM part WHERE p_retailprice / 2000 >= CASE WHEN (SELECT count(*) FROM part) > 500 THEN 0.45 ELSE 0.1 END ORDER BY p_partkey LIMIT 2000", base=False)
+GRAPH = "WITH e AS (SELECT p_partkey AS id, p_brand AS kind, p_retailprice / 2000 AS confidence FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)), a AS (SELECT *, (SELECT count(*) FROM e WHERE confidence >= 0.1) > 500 AS truncated FROM e WHERE confidence >= 0.1), b AS (SELECT *, (SELECT count(*) FROM e WHERE confidence >= 0.5 AND kind IN ('Brand#11', 'Brand#12', 'Brand#13')) > 5 AS truncated FROM e WHERE confidence >= 0.5 AND kind IN ('Brand#11', 'Brand#12', 'Brand#13')) "
+
+
+@query("k_graph_query", GRAPH + "SELECT 'all' AS view, * FROM (SELECT * FROM a WHERE NOT truncated OR confidence >= 0.45 ORDER BY confidence DESC, id LIMIT 2000) UNION ALL SELECT 'kinds', * FROM b WHERE NOT truncated OR confidence >= 0.6", base=False)
 def _(s, d):
-    p = V.table(s, d, "part")
-    least = F.when(F.col("n") > 500, 0.45).otherwise(0.1)
-    return p.crossJoin(F.broadcast(p.agg(F.count(F.lit(1)).alias("n")))).where(F.col("p_retailprice") / 2000 >= least).orderBy("p_partkey").select("p_partkey").limit(2000)  # one row
+    e = V.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), (F.col("p_retailprice") / 2000).alias("confidence"))
+    evidence = V.table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
+    kinds = G.concept_graph(e, evidence, ["Brand#11", "Brand#12", "Brand#13"], 0.5, many=5, raised=0.6, most=1_000_000)
+    return G.concept_graph(e, evidence, least=0.1).select(F.lit("all").alias("view"), "*").union(kinds.select(F.lit("kinds"), "*"))
 
 
 @query("k_merge", "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT CASE WHEN x.book_id = 'src3' THEN 'src10' ELSE x.book_id END AS a, CASE WHEN y.book_id = 'src3' THEN 'src10' ELSE y.book_id END AS b FROM books x JOIN books y ON x.author = y.author AND x.book_id < y.book_id) WHERE a <> b")
@@ -179,9 +193,11 @@ def _(s, d):
     return m.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-@query("e_aliases", "SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS aliases FROM part WHERE p_brand <> p_type GROUP BY 1", base=False)
+@query("e_aliases", REDIRECTS + "SELECT final AS page_id, string_agg(DISTINCT r.title, '|' ORDER BY r.title) AS aliases FROM ends JOIN pg r ON r.id = ends.page_id JOIN pg f ON f.id = final WHERE outcome = 'ok' AND r.title <> f.title GROUP BY 1", base=False)
 def _(s, d):
-    return V.table(s, d, "part").where("p_brand <> p_type").groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("aliases"))
+    w = V.wiki_pages(s, d)
+    found = I.aliases(w.select("page_id", F.col("raw_title").alias("title")), I.resolve_redirects(w.select("page_id", "target")))
+    return found.select("page_id", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query("e_validate_batch", "SELECT p_name AS title, count(*) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1", base=False)
@@ -215,6 +231,14 @@ def _(s, d):
     return W.summaries(V.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
 
 
-@query("p_reader_id")
+READER = """WITH i AS (SELECT DISTINCT source AS id FROM documents UNION ALL SELECT p_partkey::VARCHAR FROM part),
+p AS (SELECT id, md5(id) AS d, regexp_full_match(id, '[0-9]*') AS digits FROM i),
+g AS (SELECT *, CASE WHEN digits THEN [lower(to_hex(TRY_CAST(substring(id, 9 * k + 1, 9) AS BIGINT))) FOR k IN range(0, (greatest(length(id), 1) + 8) // 9)] ELSE [array_to_string([lower(to_hex(ord(c))) FOR c IN string_split(id, '')], '')] END AS parts FROM p),
+w AS (SELECT id, d, substring(d, 1, 3) || CASE WHEN digits THEN '3' ELSE '4' END || '2' || substring(d, 31, 2) || array_to_string([lpad(lower(to_hex(length(x))), 2, '0') || x FOR x IN parts], 'g') AS w FROM g),
+z AS (SELECT id, w || substring(d, 1, greatest(0, 20 - length(w))) AS z FROM w)
+SELECT id AS book_id, z || substring(md5(z), 1, 3) AS reader_id FROM z"""
+
+
+@query("p_reader_id", READER, base=False)
 def _(s, d):
     return V.books(s, d).select("book_id", T.reader_id(F.col("book_id")).alias("reader_id")).union(V.table(s, d, "part").select(F.col("p_partkey").cast("string"), T.reader_id(F.col("p_partkey").cast("string"))))

@@ -1,5 +1,8 @@
 """Operators on small inputs."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from quirewell.functions import text as T
@@ -55,6 +58,19 @@ def test_degree_cap(spark):
     assert {(r["a"], r["b"]) for r in G.degree_cap(e, 1).collect()} == {("a", "b")}
 
 
+def test_degree_cap_is_the_scan(spark):
+    rng = random.Random(3)
+    rows = [(f"n{a}", f"n{b}", rng.randint(0, 9) / 10) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.5]
+    for cap in (1, 3, 40):
+        used, want = Counter(), []
+        for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+            if used[a] < cap and used[b] < cap:
+                used.update([a, b])
+                want.append((a, b, s))
+        assert sorted(map(tuple, G.degree_cap(spark.createDataFrame(rows, "a string, b string, score double"), cap).collect())) == sorted(want)
+    assert G.degree_cap(spark.createDataFrame([], "a string, b string, score double"), 2).count() == 0
+
+
 def test_merge_entities(spark):
     r = spark.createDataFrame([(1, "x", "y", "related", 0.5), (2, "z", "y", "related", 0.4), (3, "x", "z", "related", 0.3)], "id int, a string, b string, relation string, confidence double")
     assert [tuple(x) for x in G.merge_entities(r, "z", "x").select("id", "a", "b").collect()] == [(1, "x", "y")]
