@@ -46,11 +46,16 @@ norm AS (SELECT *, regexp_replace(lower(content), '[^\\p{L}\\p{N}]', '', 'g') AS
 """
 
 
-def query(name: str, sql: str | None = None, base: bool = True) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, base: bool = True, lists: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query and its SQL; both give the columns in ``lists`` with | between their elements, as single values can be compared anywhere."""
+
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        joined = {c: F.array_join(F.col(c).cast("array<string>"), "|") for c in lists}
+        QUERIES[name] = (lambda s, d: f(s, d).withColumns(joined)) if lists else f
         if sql:
-            SQL[name] = (BASE if base else "") + sql
+            whole = (BASE if base else "") + sql
+            each = ", ".join(f"array_to_string(CAST({c} AS VARCHAR[]), '|') AS {c}" for c in lists)
+            SQL[name] = f"SELECT * REPLACE ({each}) FROM ({whole})" if lists else whole
         return f
 
     return put

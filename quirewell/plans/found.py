@@ -271,7 +271,7 @@ def _(s, d):
 SELECT t.id, coalesce(e.term, t.term) AS term, trim(coalesce(e.definition, t.definition)) AS definition, CASE WHEN e.id IS NULL OR t.source = 'encyclopedia' THEN t.source ELSE 'manual' END AS source, CASE WHEN e.id IS NULL THEN t.status ELSE coalesce(nullif(e.status, ''), t.status) END AS status,
  CASE WHEN e.id IS NULL THEN t.aliases WHEN t.source = 'encyclopedia' THEN list_sort(list_distinct(list_concat(t.aliases, e.aliases))) ELSE e.aliases END AS aliases,
  CASE WHEN e.id IS NULL THEN t.manually_edited WHEN t.source = 'encyclopedia' THEN t.manually_edited OR e.definition <> t.definition ELSE TRUE END AS manually_edited FROM terms t LEFT JOIN (SELECT * FROM e WHERE id BETWEEN 1 AND 99999) e ON e.id = t.id
-UNION ALL SELECT (SELECT max(id) FROM terms) + row_number() OVER (ORDER BY term), term, trim(definition), 'manual', coalesce(nullif(status, ''), 'pending'), aliases, TRUE FROM e WHERE id > 99999 OR id = 0""")
+UNION ALL SELECT (SELECT max(id) FROM terms) + row_number() OVER (ORDER BY term), term, trim(definition), 'manual', coalesce(nullif(status, ''), 'pending'), aliases, TRUE FROM e WHERE id > 99999 OR id = 0""", lists=("aliases",))
 def _(s, d):
     t = V.terms(s, d)
     k = F.col("id")
@@ -282,7 +282,7 @@ def _(s, d):
     return Y.save(t, edits, F.lit(1800000000).cast("bigint")).select("id", "term", F.trim("definition").alias("definition"), "source", "status", "aliases", "manually_edited")
 
 
-@query("m_alias_sync", MORE + ", a AS (SELECT id, trim(unnest(aliases)) AS alias FROM terms UNION ALL SELECT id, 'Alias' || id FROM terms WHERE id % 2 = 0), o AS (SELECT id, lower(alias) AS k, min(alias) AS alias FROM a WHERE alias <> '' GROUP BY 1, 2) SELECT id AS term_id, list(alias ORDER BY alias) AS aliases FROM o GROUP BY 1")
+@query("m_alias_sync", MORE + ", a AS (SELECT id, trim(unnest(aliases)) AS alias FROM terms UNION ALL SELECT id, 'Alias' || id FROM terms WHERE id % 2 = 0), o AS (SELECT id, lower(alias) AS k, min(alias) AS alias FROM a WHERE alias <> '' GROUP BY 1, 2) SELECT id AS term_id, list(alias ORDER BY alias) AS aliases FROM o GROUP BY 1", lists=("aliases",))
 def _(s, d):
     t = V.terms(s, d)
     manual = t.where("id % 2 = 0").select(F.col("id").alias("term_id"), F.concat(F.lit("Alias"), F.col("id").cast("string")).alias("alias"))

@@ -22,7 +22,7 @@ KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 # ---- text functions -------------------------------------------------------
 
 
-@query("fn_graph_words", f"SELECT note_id, {GRAPH_WORDS.format('content')} AS words FROM notes UNION ALL SELECT 'han', ['历史', '史书', 'abc']")
+@query("fn_graph_words", f"SELECT note_id, {GRAPH_WORDS.format('content')} AS words FROM notes UNION ALL SELECT 'han', ['历史', '史书', 'abc']", lists=("words",))
 def _(s, d):
     notes = V.notes(s, d).select("note_id", "content").union(s.createDataFrame([("han", "历史书，我们 abc 12ab")], "note_id string, content string"))
     return notes.select("note_id", T.graph_words(F.col("content")).alias("words"))
@@ -54,12 +54,12 @@ def _(s, d):
     return V.table(s, d, "part").select("p_partkey", T.search_key(F.concat("p_name", F.lit("_"), "p_brand")).alias("key"))
 
 
-@query("fn_split_subjects", "SELECT p_partkey, [p_type, p_brand, p_name, 'x'] AS subjects FROM part", base=False)
+@query("fn_split_subjects", "SELECT p_partkey, [p_type, p_brand, p_name, 'x'] AS subjects FROM part", base=False, lists=("subjects",))
 def _(s, d):
     return V.table(s, d, "part").select("p_partkey", T.split_list(F.concat("p_type", F.lit("/ "), "p_brand", F.lit(",,"), "p_name", F.lit("、 ·x·"))).alias("subjects"))
 
 
-@query("fn_split_translators", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN [p_brand, ' kept '] ELSE [p_brand, p_type] END AS names FROM part", base=False)
+@query("fn_split_translators", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN [p_brand, ' kept '] ELSE [p_brand, p_type] END AS names FROM part", base=False, lists=("names",))
 def _(s, d):
     raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('["'), "p_brand", F.lit('"," kept "]'))).otherwise(F.concat("p_brand", F.lit("、 /"), "p_type"))
     return V.table(s, d, "part").select("p_partkey", T.translators(raw).alias("names"))
@@ -148,7 +148,7 @@ def _(s, d):
     return R.hybrid_search(V.notes(s, d), "***", 800).select("note_id")
 
 
-@query("e_meta_upsert", f"WITH {ROWS}, new AS (SELECT * REPLACE (CASE WHEN isbn::BIGINT % 2 = 0 THEN isbn || 'n' END AS isbn, CASE WHEN isbn::BIGINT % 5 = 0 THEN [] ELSE ['new'] END AS subjects) FROM meta WHERE isbn::BIGINT % 7 <> 0) SELECT m.book_id, m.source, coalesce(n.isbn, m.isbn) AS isbn, CASE WHEN len(n.subjects) > 0 THEN n.subjects ELSE m.subjects END AS subjects FROM meta m LEFT JOIN new n ON n.book_id = m.book_id AND n.source = m.source", base=False)
+@query("e_meta_upsert", f"WITH {ROWS}, new AS (SELECT * REPLACE (CASE WHEN isbn::BIGINT % 2 = 0 THEN isbn || 'n' END AS isbn, CASE WHEN isbn::BIGINT % 5 = 0 THEN [] ELSE ['new'] END AS subjects) FROM meta WHERE isbn::BIGINT % 7 <> 0) SELECT m.book_id, m.source, coalesce(n.isbn, m.isbn) AS isbn, CASE WHEN len(n.subjects) > 0 THEN n.subjects ELSE m.subjects END AS subjects FROM meta m LEFT JOIN new n ON n.book_id = m.book_id AND n.source = m.source", base=False, lists=("subjects",))
 def _(s, d):
     m = _metadata(s, d)
     k = F.col("isbn").cast("bigint")
@@ -210,12 +210,12 @@ sc AS (SELECT a, b, cosine, one, keywords, notes, chapters, round(0.55 * cosine
 """
 
 
-@query("g_lexical_score", LEXICAL + "SELECT a, b, cosine, keywords, notes, chapters, score, CASE WHEN one THEN 'same author' WHEN score >= 0.28 THEN 'much alike' WHEN score >= 0.12 THEN 'alike' ELSE 'perhaps related' END AS relation FROM sc")
+@query("g_lexical_score", LEXICAL + "SELECT a, b, cosine, keywords, notes, chapters, score, CASE WHEN one THEN 'same author' WHEN score >= 0.28 THEN 'much alike' WHEN score >= 0.12 THEN 'alike' ELSE 'perhaps related' END AS relation FROM sc", lists=("keywords",))
 def _(s, d):
     return G.lexical_relations(*_book_weights(s, d))
 
 
-@query("a_pair_dot", LEXICAL + "SELECT a, b, round(dot, 6) AS dot, terms[1:16] AS shared FROM pp")
+@query("a_pair_dot", LEXICAL + "SELECT a, b, round(dot, 6) AS dot, terms[1:16] AS shared FROM pp", lists=("shared",))
 def _(s, d):
     w = _book_weights(s, d)[2]
     x = G.posting_pairs(w, "term", "book_id", 2, 50, "weight")
@@ -224,7 +224,7 @@ def _(s, d):
     return g.select("a", "b", "dot", F.col("t.term").alias("shared"))
 
 
-@query("g_note_matches", f"SELECT note_id, matched, len(matched) + CASE WHEN note_type = 'thought' THEN 0.2 ELSE 0.0 END::DOUBLE AS score FROM (SELECT note_id, note_type, list_filter(['the', 'and', 'fra', 'oned'], lambda k: list_contains({GRAPH_WORDS.format(chr(99) + 'oncat_ws(chr(32), coalesce(chapter, chr(32)), substring(content, 1, 1200))')}, k)) AS matched FROM notes) WHERE len(matched) > 0")
+@query("g_note_matches", f"SELECT note_id, matched, len(matched) + CASE WHEN note_type = 'thought' THEN 0.2 ELSE 0.0 END::DOUBLE AS score FROM (SELECT note_id, note_type, list_filter(['the', 'and', 'fra', 'oned'], lambda k: list_contains({GRAPH_WORDS.format(chr(99) + 'oncat_ws(chr(32), coalesce(chapter, chr(32)), substring(content, 1, 1200))')}, k)) AS matched FROM notes) WHERE len(matched) > 0", lists=("matched",))
 def _(s, d):
     return G.note_matches(V.notes(s, d), ["the", "and", "fra", "oned"]).select("note_id", "matched", F.col("score").cast("double").alias("score"))
 
@@ -246,7 +246,7 @@ def _(s, d):
     return ego.union(G.filter_view(edges, books, 0.3, "local", "author").select(F.lit("local"), "id", "a", "b", "score"))
 
 
-@query("g_pair_context", ", c AS (SELECT doc_id AS claim_id, CASE doc_id % 3 WHEN 0 THEN 'agree' WHEN 1 THEN 'differ' ELSE 'noise' END AS kind, [CASE WHEN (doc_id + i) % 3 <> 0 THEN 'h' ELSE 't' END || (doc_id + i) FOR i IN range(0, 40)] AS ev FROM documents), u AS (SELECT claim_id, kind, unnest(ev) AS note_id, unnest(range(0, 40)) AS pos FROM c WHERE kind <> 'noise'), o AS (SELECT claim_id, kind, note_id, book_id, pos FROM u JOIN notes USING (note_id) WHERE book_id IN ('src3', 'src4')) SELECT claim_id, kind, list(note_id ORDER BY pos)[1:4] AS evidence FROM o GROUP BY 1, 2 HAVING count(DISTINCT book_id) = 2 ORDER BY claim_id LIMIT 3")
+@query("g_pair_context", ", c AS (SELECT doc_id AS claim_id, CASE doc_id % 3 WHEN 0 THEN 'agree' WHEN 1 THEN 'differ' ELSE 'noise' END AS kind, [CASE WHEN (doc_id + i) % 3 <> 0 THEN 'h' ELSE 't' END || (doc_id + i) FOR i IN range(0, 40)] AS ev FROM documents), u AS (SELECT claim_id, kind, unnest(ev) AS note_id, unnest(range(0, 40)) AS pos FROM c WHERE kind <> 'noise'), o AS (SELECT claim_id, kind, note_id, book_id, pos FROM u JOIN notes USING (note_id) WHERE book_id IN ('src3', 'src4')) SELECT claim_id, kind, list(note_id ORDER BY pos)[1:4] AS evidence FROM o GROUP BY 1, 2 HAVING count(DISTINCT book_id) = 2 ORDER BY claim_id LIMIT 3", lists=("evidence",))
 def _(s, d):
     k = F.col("doc_id")
     at = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.when((k + i) % 3 != 0, "h").otherwise("t"), (k + i).cast("string")))
@@ -336,7 +336,7 @@ def _(s, d):
     return left.join(n, "job_id", "left").select("job_id", "status", F.coalesce("n", F.lit(0)).alias("staged"))
 
 
-@query("e_report", f"WITH {JOBS}, h AS (SELECT job_id, bool_or(code IN ('parse_error', 'conflict')) AS bad FROM iss GROUP BY 1), a AS (SELECT job_id, count(*) FILTER (filter_status = 'accepted') AS accepted, count(*) FILTER (filter_status <> 'accepted') AS filtered FROM stg GROUP BY 1), x AS (SELECT job_id, list(issue_id ORDER BY issue_id)[1:20] AS examples FROM iss GROUP BY 1), c AS (SELECT job_id, list(code || '=' || n ORDER BY code) AS codes FROM (SELECT job_id, code, count(*) AS n FROM iss GROUP BY 1, 2) GROUP BY 1) SELECT jb.job_id, CASE WHEN status = 'completed' AND coalesce(bad, FALSE) THEN 'partial_success' WHEN status = 'completed' THEN 'success' WHEN status IN ('cancelled', 'paused', 'failed') THEN status ELSE 'in_progress' END AS conclusion, coalesce(accepted, 0) AS accepted, coalesce(filtered, 0) AS filtered, codes, examples FROM jb LEFT JOIN h USING (job_id) LEFT JOIN a USING (job_id) LEFT JOIN x USING (job_id) LEFT JOIN c USING (job_id)", base=False)
+@query("e_report", f"WITH {JOBS}, h AS (SELECT job_id, bool_or(code IN ('parse_error', 'conflict')) AS bad FROM iss GROUP BY 1), a AS (SELECT job_id, count(*) FILTER (filter_status = 'accepted') AS accepted, count(*) FILTER (filter_status <> 'accepted') AS filtered FROM stg GROUP BY 1), x AS (SELECT job_id, list(issue_id ORDER BY issue_id)[1:20] AS examples FROM iss GROUP BY 1), c AS (SELECT job_id, list(code || '=' || n ORDER BY code) AS codes FROM (SELECT job_id, code, count(*) AS n FROM iss GROUP BY 1, 2) GROUP BY 1) SELECT jb.job_id, CASE WHEN status = 'completed' AND coalesce(bad, FALSE) THEN 'partial_success' WHEN status = 'completed' THEN 'success' WHEN status IN ('cancelled', 'paused', 'failed') THEN status ELSE 'in_progress' END AS conclusion, coalesce(accepted, 0) AS accepted, coalesce(filtered, 0) AS filtered, codes, examples FROM jb LEFT JOIN h USING (job_id) LEFT JOIN a USING (job_id) LEFT JOIN x USING (job_id) LEFT JOIN c USING (job_id)", base=False, lists=("codes", "examples"))
 def _(s, d):
     r = J.report(*_jobs(s, d))
     return r.select("job_id", "conclusion", "accepted", "filtered", F.transform("codes", lambda c: F.concat(c["what"], F.lit("="), c["n"].cast("string"))).alias("codes"), "examples")
