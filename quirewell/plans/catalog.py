@@ -50,8 +50,8 @@ def query(name: str, sql: str | None = None, base: bool = True, lists: tuple[str
     """Register a query and its SQL; both give the columns in ``lists`` with | between their elements, as single values can be compared anywhere."""
 
     def put(f: Query) -> Query:
-        joined = {c: F.array_join(F.col(c).cast("array<string>"), "|") for c in lists}
-        QUERIES[name] = (lambda s, d: f(s, d).withColumns(joined)) if lists else f
+        joined = lambda s, d: f(s, d).withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in lists})
+        QUERIES[name] = joined if lists else f
         if sql:
             whole = (BASE if base else "") + sql
             each = ", ".join(f"array_to_string(CAST({c} AS VARCHAR[]), '|') AS {c}" for c in lists)
