@@ -7,10 +7,12 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .graph_ann import op3_ann
 from .html_extract import op2_html
 from .language_id import op4_language
+from .lexical_rank import OP12_SQL, op12_lexical_rank
 from .near_dedup import op1_minhash
 from .packing import op7_packing
 from .quality import op9_quality
 from .substring_dedup import op8_substring
+from .token_count import op11_token_count
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_token_count": op11_token_count,
+    "op12_lexical_rank": op12_lexical_rank,
 }
 
-SQL = {"op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL}
+SQL = {"op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL, "op12_lexical_rank": OP12_SQL}
