@@ -96,6 +96,27 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
 
 
+#: Keys with more than this share of the rows are dealt out over as many parts.
+HOT_SHARE, HOT_PARTS = 1 / 1000, 64
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """``many`` joined with ``one`` (a row for each of the keys), without a task that gets all rows of a hot key.
+
+    Keys with more than HOT_SHARE of the rows of ``many``, so at most 1000 of
+    them, are found by a count first; their rows go to HOT_PARTS places by a hash
+    of the column ``spread``, and their row of ``one`` to each of these.
+    """
+    h = F.xxhash64(*keys)
+    most = max(1000, many.count() * HOT_SHARE)
+    hot = [r["h"] for r in many.groupBy(h.alias("h")).count().where(F.col("count") > most).collect()]
+    if not hot:
+        return many.join(one, keys)
+    part = F.when(h.isin(hot), F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS)).cast("int")).otherwise(0)
+    parts = F.when(h.isin(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return many.withColumn("__part", part).join(one.withColumn("__part", F.explode(parts)), [*keys, "__part"]).drop("__part")
+
+
 def smallest(rows: DataFrame, group: str, n: int) -> DataFrame:
     """Of each group of ``rows`` (with a doc_id) the n rows with the smallest hashes, ties by all columns.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .graph_ann import op3_ann
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_extract import op2_html
 from .language_id import op4_language
 from .lexical_rank import OP12_SQL, op12_lexical_rank
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_token_count": op11_token_count,
     "op12_lexical_rank": op12_lexical_rank,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-SQL = {"op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL, "op12_lexical_rank": OP12_SQL}
+SQL = {"op6_exact_dedup": OP6_SQL, "op10_warc": OP10_SQL, "op12_lexical_rank": OP12_SQL, "op13_hard_negatives": OP13_SQL}
