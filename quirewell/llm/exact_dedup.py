@@ -3,7 +3,8 @@
 The index is a table bucketed and sorted by digest, one row per distinct text.
 New rows are reduced to one row per digest (partial aggregation first, so a hot
 text shrinks before it is shuffled), anti-joined against the index by sort-merge
-and appended. DataFrame functions only.
+and appended with the name of their batch, so that a batch decided again (its
+result was lost) gets the same decisions. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def digest(text: Column) -> Column:
 
 @dataclass
 class DigestIndex:
-    """``digest string, keep_id, group_size``: one row for each text seen, bucketed and sorted by digest."""
+    """``digest string, keep_id, group_size, batch string``: one row for each text seen, bucketed and sorted by digest."""
 
     spark: SparkSession
     table: str
@@ -39,28 +40,37 @@ class DigestIndex:
         """The index of this table, an empty one if there is none."""
         index = cls(spark, table or f"digest_index_{uuid.uuid4().hex}", path, buckets or partitions(spark))
         if not spark.catalog.tableExists(index.table):
-            spark.sql(f"CREATE TABLE {index.table} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {index.buckets} BUCKETS LOCATION '{path}'")
+            spark.sql(f"CREATE TABLE {index.table} (digest STRING, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {index.buckets} BUCKETS LOCATION '{path}'")
         return index
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add the digests that the index lacks; a sort-merge anti-join reads the index without a shuffle."""
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add the digests that the index lacks as those of ``batch``; a sort-merge anti-join reads the index without a shuffle."""
         fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
+        (fresh.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")).repartition(self.buckets, "digest")
          .write.format("parquet").mode("append").option("path", self.path)
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
 
-def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def batch_name(rows: DataFrame) -> str:
+    """A name that equal sets of rows share, whatever their order."""
+    h = F.xxhash64(*rows.columns)
+    r = rows.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.sum((h % 1_000_003) * (h % 999_983))).first()
+    return "-".join(str(x or 0) for x in r)
+
+
+def decide(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after deleting ASCII white space. Of equal
     texts the one with the most code points in the original, then the smallest
     id, stays. With an ``index`` that already holds a text, the earlier keep_id
     stands and no new row of that text is kept; group_size is that of the batch
-    which first brought the text.
+    which first brought the text. A batch may be decided again, even after its
+    digests were appended in whole or in part: what the index holds of the same
+    ``batch`` (by default a fingerprint of the batch's ids and texts) is its own.
 
     Null and empty texts are equal to one another. A null id loses every tie; a
     group of null ids only has a null keep_id and keeps its rows. Repeated rows
@@ -77,10 +87,8 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
     index = index or DigestIndex.create(spark, f"{home}/index")
     if own:
         forget(spark, index.table)
-    # remembered now: the index grows below
-    before = index.read().select("digest").join(rows.select("digest").distinct().hint("merge"), "digest", "left_semi").withColumn("before", F.lit(True))
-    before = keep(before, f"{home}/before")
-    index.append(groups)
+    batch = batch or batch_name(rows)
+    index.append(groups, batch)
     table = index.read()
     at_least = max(1000, int(rows.count() * HOT_SHARE))
     hot = keep(table.filter(F.col("group_size") >= at_least), f"{home}/hot")
@@ -88,9 +96,7 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
     hot_rows = rows.join(F.broadcast(hot) if few else hot, "digest")
     rest = rows.join(F.broadcast(hot.select("digest")) if few else hot.select("digest"), "digest", "left_anti").join(table.hint("merge"), "digest")
     out = hot_rows.unionByName(rest)
-    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    if not own:
-        out, kept = out.join(before, "digest", "left"), kept & F.col("before").isNull()
+    kept = (F.col("batch") == batch) & F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 

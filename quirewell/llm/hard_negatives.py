@@ -252,7 +252,7 @@ def mine(rows: DataFrame, anchor_if: str, positives: int = 5, negatives: int = 3
     other = F.slice(F.filter("near", lambda y: y["vec_id"] != F.col("vec_id")), 1, positives)
     each = each.select(F.col("vec_id").alias("anchor_id"), F.explode(other).alias("p"), "against")
     each = each.select("anchor_id", F.col("p.vec_id").alias("positive_id"), (-F.col("p.down")).alias("positive_score"), "against")
-    of_it = F.filter("against", lambda y: y["key"] == F.col("positive_score"))[0]["of"]
+    of_it = F.get(F.filter("against", lambda y: y["key"] == F.col("positive_score")), 0)["of"]  # null: none
     each = each.withColumn("n", F.explode(of_it))
     return each.select("anchor_id", "positive_id", F.col("n.rn").cast("int").alias("rank"), F.col("n.vec_id").alias("negative_id"), "positive_score", F.col("n.score").alias("negative_score"))
 

@@ -45,6 +45,28 @@ def test_exact_index_grows(spark):
     assert index.read().count() == 3
 
 
+def test_exact_batch_again(spark):
+    """A batch whose result was lost after the index had grown, in whole or in part, is decided alike."""
+    from pyspark.sql import functions as F
+
+    home = work_dir(spark)
+    index = exact_dedup.DigestIndex.create(spark, home, buckets=2)
+    batch = docs(spark, [(1, "a", None), (2, "b", None), (3, "a", None), (None, "c", None)])
+    flags = lambda df: sorted(((r["doc_id"] or 0, r["kept"]) for r in df.collect()))
+    want = [(0, True), (1, True), (2, True), (3, False)]
+    assert flags(exact_dedup.decide(batch, index)) == want
+    assert flags(exact_dedup.decide(batch.repartition(3), index)) == want and index.read().count() == 3
+    later = docs(spark, [(1, "a", None), (4, "b", None), (5, "d", None)])
+    assert flags(exact_dedup.decide(later, index)) == [(1, False), (4, False), (5, True)]
+    assert flags(exact_dedup.decide(later, index)) == [(1, False), (4, False), (5, True)]
+    assert flags(exact_dedup.decide(batch, index)) == want
+    # only some of the digests had been written when the batch was lost
+    part = exact_dedup.DigestIndex.create(spark, work_dir(spark), buckets=2)
+    part.append(batch.where("doc_id = 1").select(exact_dedup.digest(F.col("text")).alias("digest"), F.lit(1).cast("bigint").alias("keep_id"), F.lit(2).cast("bigint").alias("group_size")), "monday")
+    assert flags(exact_dedup.decide(batch, part, batch="monday")) == want
+    assert flags(exact_dedup.decide(batch, part, batch="tuesday")) == [(0, False), (1, False), (2, False), (3, False)]
+
+
 def test_near(spark):
     got = by_id(near_dedup.near_duplicates(docs(spark, ROWS)))
     assert got[1][0]["n_shingles"] == got[3][0]["n_shingles"] == 0 and got[3][0]["kept"]
