@@ -8,16 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import when_text
+from ..sources import folders
 
 BLANK = "Uncategorised"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A table that several parts of a plan read: written to the session's checkpoint folder, so that it is computed once and outlives executors.
-
-    Without such a folder (local tests) it is only remembered.
-    """
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """A table that several parts of a plan read: written to a shared work folder, so that it is computed once and outlives executors."""
+    return folders.write(df, folders.work_folder(df.sparkSession))
 
 
 def like_any(pattern: str, *columns: Column | str) -> Column:

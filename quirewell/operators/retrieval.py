@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_search, occurrences
-
-#: Usual constants of BM25.
-K1, B = 1.2, 0.75
-TOKEN = r"[\p{L}\p{N}]+"
+from .search_index import SearchIndex, fold, words
 
 
 #: Names of one dynasty; a query with one of the first three is searched for all.
@@ -33,8 +30,8 @@ def search_terms(query: str) -> list[str]:
 
 
 def match_terms(query: str, most: int = 12) -> list[str]:
-    """The terms that candidates are matched by: the longest ones; none for a query of symbols only."""
-    return search_terms(query)[:most]
+    """The terms that candidates are matched by: the longest ones, without marks; none for a query of symbols only."""
+    return list(dict.fromkeys(map(fold, search_terms(query)[:most])))
 
 
 def all_terms(text: Column, query: str) -> Column:
@@ -43,60 +40,35 @@ def all_terms(text: Column, query: str) -> Column:
     return reduce(Column.__and__, [F.contains(normalize_search(text), F.lit(w)) for w in words], F.lit(bool(words)))
 
 
-def _fields(fields: tuple[str, ...]) -> Column:
-    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields]))
-
-
 def postings(docs: DataFrame, id_col: str, *fields: str) -> DataFrame:
-    """``id, field, term, tf``: the inverted index of the fields' words in lower case.
+    """``id, field, term, tf``: the inverted index of each field's words, in lower case without marks.
 
     Texts are dealt by id once; each document's words are then counted where
     they are, which moves less than dealing out the words.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(F.col(f), F.lit(""))).alias("text")) for f in fields]))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(f).alias("w")) for f in fields]))
     dealt = docs.select(F.col(id_col).alias("id"), *fields).repartition("id")
-    words = dealt.select("id", each.alias("x")).select("id", "x.field", F.explode(F.regexp_extract_all("x.text", F.lit(TOKEN), F.lit(0))).alias("term"))
-    return words.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = dealt.select("id", each.alias("x")).select("id", "x.field", F.explode("x.w").alias("term"))
+    return found.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, id_col: str, fields: str | tuple[str, ...], terms: list[str]) -> DataFrame | None:
-    """``id, score`` of documents that have any of the terms as a word in any of the fields; None if none has.
+def candidates(docs: DataFrame, index: SearchIndex, id_col: str, query: str, matched: int, scanned: int, only: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` to be scored, with their ``relevance``: the ``matched`` best of the index by BM25.
 
-    The corpus' counts (one row) are taken first, then the matching documents
-    are scored; both scans look for these terms only.
+    If the query has no terms or no document has one, the first ``scanned`` rows
+    by id. ``only`` (``id``) restricts both.
     """
-    text = _fields((fields,) if isinstance(fields, str) else fields)
-    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
-    d = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    d = d.select("id", F.regexp_count("text", F.lit(TOKEN)).alias("len"), F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("hits"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.array_contains("hits", t)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
-    if not any(stats[f"df{i}"] for i in range(len(terms))):
-        return None
-
-    def part(i: int, t: str) -> Column:
-        f, df = F.size(F.filter("hits", lambda w: w == t)).cast("bigint"), stats[f"df{i}"]
-        return F.log(F.lit(1 + (stats["n"] - df + 0.5) / (df + 0.5))) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean"])))
-
-    return d.where(F.size("hits") > 0).select("id", reduce(Column.__add__, [part(i, t) for i, t in enumerate(terms)]).alias("score"))
+    found = index.match(match_terms(query), matched, only)
+    if found is not None and (only is None or not found.isEmpty()):
+        ids = found.select(F.col("id").alias(id_col), F.col("score").alias("relevance"))
+        return docs.join(F.broadcast(ids), id_col)  # ``matched`` rows at most
+    rows = docs if only is None else docs.join(only.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    return rows.orderBy(id_col).limit(scanned).withColumn("relevance", F.lit(0.0))
 
 
 def has_term(terms: list[str], *fields: str) -> Column:
     """Whether any of the terms is a word of a field."""
-    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
-    return F.rlike(_fields(fields), F.lit(word)) if terms else F.lit(False)
-
-
-def candidates(docs: DataFrame, id_col: str, fields: tuple[str, ...], query: str, matched: int, scanned: int) -> DataFrame:
-    """The rows of ``docs`` to be scored, with their ``relevance``: the ``matched`` best by BM25.
-
-    If the query has no terms or none matches, the first ``scanned`` rows by id.
-    """
-    terms = match_terms(query)
-    scored = bm25(docs, id_col, fields, terms) if terms else None
-    if scored is not None:
-        ids = scored.orderBy(F.desc("score"), "id").limit(matched)
-        return docs.join(F.broadcast(ids.select(F.col("id").alias(id_col), F.col("score").alias("relevance"))), id_col)  # ``matched`` rows at most
-    return docs.orderBy(id_col).limit(scanned).withColumn("relevance", F.lit(0.0))
+    return F.arrays_overlap(words(*fields), F.array(*map(F.lit, terms))) if terms else F.lit(False)
 
 
 def normalized(rows: DataFrame, *columns: str) -> DataFrame:
@@ -151,14 +123,29 @@ def diverse(rows: DataFrame, group: str, per_group: int, limit: int, *order: Col
     return ranked.where(only).orderBy(F.col("_rn") > per_group, *order).limit(limit).drop("_rn")
 
 
-def hybrid_search(notes: DataFrame, query: str, limit: int = 50, most: int = 5000, per_book: int = 8, scanned: int = 800, book_ids: list[str] | None = None) -> DataFrame:
-    """Notes for a query: candidates, rule score, at most ``per_book`` of a book first unless books are given."""
-    notes = notes.where(F.col("book_id").isin(book_ids)) if book_ids else notes
-    terms = search_terms(query)
-    found = candidates(notes, "note_id", ("title", "chapter", "content"), query, most, scanned)
-    scored = normalized(found, "title", "chapter", "content").withColumn("score", score_hybrid(query, terms))
-    scored = scored.select("note_id", "note_type", "book_id", "title", "chapter", "score")
+def hybrid_scores(notes: DataFrame, index: SearchIndex, query: str, most: int = 5000, scanned: int = 800, kind: str | None = None) -> DataFrame:
+    """``note_id, note_type, book_id, title, chapter, score`` of the candidates among all notes that score anything."""
+    rows = notes.where(F.col("note_type") == kind) if kind else notes
+    only = rows.select(F.col("note_id").alias("id")) if kind else None
+    found = candidates(rows, index, "note_id", query, most, scanned, only)
+    scored = normalized(found, "title", "chapter", "content").withColumn("score", score_hybrid(query, search_terms(query)))
+    return scored.select("note_id", "note_type", "book_id", "title", "chapter", "score")
+
+
+def hybrid_search(notes: DataFrame, index: SearchIndex, query: str, limit: int = 50, most: int = 5000, per_book: int = 8, scanned: int = 800, book_ids: list[str] | None = None, kind: str | None = None) -> DataFrame:
+    """Notes for a query: candidates of the whole index, rule score, at most ``per_book`` of a book first unless books are given.
+
+    The books choose among the candidates, after these are taken from all notes.
+    A blank query gives the first notes by id, of the first book if any is given.
+    """
     order = (F.desc("score"), F.asc("note_id"))
+    if not query.strip():
+        rows = notes.where(F.col("note_type") == kind) if kind else notes
+        rows = rows.where(F.col("book_id") == book_ids[0]) if book_ids else rows
+        scored = rows.orderBy("note_id").limit(limit).select("note_id", "note_type", "book_id", "title", "chapter", F.lit(1.0).alias("score"))
+    else:
+        scored = hybrid_scores(notes, index, query, most, scanned, kind)
+        scored = scored.where(F.col("book_id").isin(book_ids)) if book_ids else scored
     if limit > 20 and not book_ids:
         return diverse(scored, "book_id", per_book, limit, *order, only="score > 0")
     return scored.orderBy(*order).limit(limit).where("score > 0")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_search, snippet, when_text
 from . import retrieval as R
+from .search_index import SearchIndex
 
 TYPES = ("book", "highlight", "thought", "source")
 #: Most rows of a page, largest offset, fewest and most candidates of a kind.
@@ -61,12 +62,13 @@ def recent(notes: DataFrame, books: DataFrame, sources: DataFrame, types: list[s
     return found.orderBy(F.desc("updated_at"), "title", "id").offset(offset).limit(limit).select(*RESULT)
 
 
-def global_search(notes: DataFrame, books: DataFrame, sources: DataFrame, query: str, types: list[str] | None = None, book_id: str | None = None, limit: int = 30, offset: int = 0) -> DataFrame:
+def global_search(notes: DataFrame, books: DataFrame, sources: DataFrame, indexes: dict[str, SearchIndex], query: str, types: list[str] | None = None, book_id: str | None = None, limit: int = 30, offset: int = 0) -> DataFrame:
     """A page of books, notes and sources, best first; scores are shares of the best one's.
 
-    Each kind brings its candidates by BM25 (or its first rows if nothing
-    matches) and its own rule score; what scores nothing goes. A filter by book
-    leaves sources out. A blank query shows what is newest.
+    Each kind brings its candidates from its index (``indexes`` has those of
+    ``notes``, ``books`` and ``sources``), or its first rows if nothing matches,
+    and its own rule score; what scores nothing goes. A filter by book leaves
+    sources out. A blank query shows what is newest.
     """
     kinds, limit, offset = checked_types(types), min(MOST_ROWS, max(1, limit)), min(MOST_OFFSET, max(0, offset))
     if not query.strip():
@@ -75,13 +77,16 @@ def global_search(notes: DataFrame, books: DataFrame, sources: DataFrame, query:
     found_notes = found_books = found_sources = None
     note_kinds = [k for k in kinds if k in ("highlight", "thought")]
     if note_kinds:
-        c = R.candidates(_notes(notes, note_kinds, book_id), "note_id", ("title", "chapter", "content"), query, most, most)
+        some = len(note_kinds) < 2 or book_id
+        only = _notes(notes, note_kinds, book_id).select(F.col("note_id").alias("id")) if some else None
+        c = R.candidates(notes, indexes["notes"], "note_id", query, most, most, only)
         found_notes = R.normalized(c, "title", "chapter", "content").withColumn("score", R.score_candidate(query, terms, "_content", ("_title", 5.0), ("_chapter", 3.0)))
     if "source" in kinds and not book_id:
-        c = R.candidates(sources, "id", ("title", "heading", "content"), query, most, most)
+        c = R.candidates(sources, indexes["sources"], "id", query, most, most)
         found_sources = R.normalized(c, "title", "heading", "content").withColumn("score", R.score_candidate(query, terms, "_content", ("_title", 4.0), ("_heading", 2.5)))
     if "book" in kinds:
-        c = R.candidates(books.where(F.col("book_id") == book_id) if book_id else books, "book_id", ("title", "author", "category", "isbn"), query, most, most)
+        only = books.where(F.col("book_id") == book_id).select(F.col("book_id").alias("id")) if book_id else None
+        c = R.candidates(books, indexes["books"], "book_id", query, most, most, only)
         found_books = R.normalized(c, "title", "author", "category").withColumn("score", F.col("relevance") + R.book_boost(query))
     found = _as_results(found_notes, found_books, found_sources)
     top = found.orderBy(F.desc("score"), F.desc("updated_at"), "id").limit(offset + limit)  # the best one is on the first page
@@ -89,27 +94,28 @@ def global_search(notes: DataFrame, books: DataFrame, sources: DataFrame, query:
     return best.where("raw > 0").orderBy(F.desc("raw"), F.desc("updated_at"), "id").offset(offset).limit(limit).select(*RESULT)
 
 
-def rag_search(notes: DataFrame, question: str, mode: str, book_ids: list[str]) -> DataFrame:
+def quota(books: int) -> int:
+    """Notes of each book in an answer about several: 5 for up to 12 books, 3 for up to 30, else 1."""
+    return 5 if books <= 12 else 3 if books <= 30 else 1
+
+
+def rag_search(notes: DataFrame, index: SearchIndex, question: str, mode: str, book_ids: list[str]) -> DataFrame:
     """Notes for an answer: 200 of one book or of all, else a quota for each book, so that none is left out.
 
-    The quota is 5 for up to 12 books, 3 for up to 30, else 1. Modes other than
-    ``ask`` search for nothing in particular. Each book is searched by itself:
-    its matching notes, or its first 800 if none matches.
+    Modes other than ``ask`` search for nothing in particular. Candidates are
+    those of all notes, once; each of the books then takes its best. A book of
+    which no note is among them has none.
     """
     query = question if mode == "ask" else ""
     if len(book_ids) <= 1:
-        return R.hybrid_search(notes, query, 200, book_ids=book_ids)
-    quota = 5 if len(book_ids) <= 12 else 3 if len(book_ids) <= 30 else 1
-    rows = notes.where(F.col("book_id").isin(book_ids))
-    hit = R.has_term(R.match_terms(query), "title", "chapter", "content")
-    rows = rows.withColumn("hit", hit)
-    by_book = Window.partitionBy("book_id")
-    rows = rows.withColumn("any", F.max("hit").over(by_book)).where("hit OR NOT any")
-    rows = rows.withColumn("rn", F.row_number().over(by_book.orderBy("note_id"))).where("any OR rn <= 800")
-    terms = R.search_terms(query)
-    scored = R.normalized(rows, "title", "chapter", "content").withColumn("score", R.score_hybrid(query, terms)).select("note_id", "note_type", "book_id", "title", "chapter", "score")
-    ranked = scored.withColumn("rn", F.row_number().over(by_book.orderBy(F.desc("score"), "note_id")))
-    return ranked.where((F.col("rn") <= quota) & (F.col("score") > 0)).drop("rn")
+        return R.hybrid_search(notes, index, query, 200, book_ids=book_ids)
+    if query.strip():
+        scored = R.hybrid_scores(notes, index, query)
+    else:
+        scored = notes.select("note_id", "note_type", "book_id", "title", "chapter", F.lit(1.0).alias("score"))
+    by_book = Window.partitionBy("book_id").orderBy(F.desc("score"), "note_id")
+    ranked = scored.where(F.col("book_id").isin(book_ids)).withColumn("rn", F.row_number().over(by_book))
+    return ranked.where((F.col("rn") <= quota(len(book_ids))) & (F.col("score") > 0)).drop("rn")
 
 
 def like_any_term(rows: DataFrame, terms: list[str], most: int, id_col: str, *columns: str) -> DataFrame:
@@ -118,7 +124,7 @@ def like_any_term(rows: DataFrame, terms: list[str], most: int, id_col: str, *co
     return rows.where(reduce(Column.__or__, some, F.lit(False))).orderBy(id_col).limit(most)
 
 
-def source_evidence(sources: DataFrame, question: str, book_ids: list[str], mode: str = "ask") -> DataFrame:
+def source_evidence(sources: DataFrame, index: SearchIndex, question: str, book_ids: list[str], mode: str = "ask") -> DataFrame:
     """Passages of imported sources: 12 for a question, else 6; none if books are chosen or nothing is asked.
 
     Candidates match by word, or contain a term if none does; ``score_block`` ranks them.
@@ -127,9 +133,9 @@ def source_evidence(sources: DataFrame, question: str, book_ids: list[str], mode
     if book_ids or not terms:
         return sources.limit(0).select("id", "title", "content", F.lit(0.0).alias("score"))
     most = min(5000, max(200, 8 * limit))
-    scored = R.bm25(sources, "id", ("title", "heading", "content"), R.match_terms(question))
+    scored = index.match(R.match_terms(question), most)
     if scored is not None:
-        found = sources.join(F.broadcast(scored.orderBy(F.desc("score"), "id").limit(most).select("id")), "id")
+        found = sources.join(F.broadcast(scored.select("id")), "id")
     else:
         found = like_any_term(sources, terms, most, "id", "content", "heading", "title")
     found = found.select("id", "title", "content", R.score_block(question, terms, "content").cast("double").alias("score"))

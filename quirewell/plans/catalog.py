@@ -258,7 +258,7 @@ def _hybrid_sql(query_text: str, terms: list[str], words: list[str], limit: int)
     bm = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in range(len(words)))
     score = f"CASE WHEN contains(x, '{whole}') THEN 12.0 ELSE 0.0 END" + "".join(f" + CASE WHEN contains(xt, '{t}') THEN 5.0 ELSE 0.0 END + CASE WHEN contains(xc, '{t}') THEN 3.0 ELSE 0.0 END + least(4, (length(x) - length(replace(x, '{t}', ''))) // {len(t)})" for t in terms)
     return f""",
-w AS (SELECT *, regexp_extract_all(lower(concat_ws(' ', title, coalesce(chapter, ''), coalesce(content, ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM norm),
+w AS (SELECT *, regexp_extract_all(strip_accents(lower(concat_ws(' ', title, coalesce(chapter, ''), coalesce(content, '')))), '[\\p{{L}}\\p{{N}}]+') AS w FROM norm),
 f AS (SELECT *, len(w) AS len, {tf} FROM w),
 st AS (SELECT count(*) AS n, avg(len) AS mean, {stat} FROM f),
 c AS (SELECT f.*, {bm} AS bm FROM f, st WHERE {some} ORDER BY bm DESC, note_id LIMIT 5000),
@@ -269,10 +269,10 @@ SELECT * EXCLUDE (rn) FROM r ORDER BY rn > 8, score DESC, note_id LIMIT {limit}"
 
 @query("t_hybrid_search", _hybrid_sql("the erhe", R.search_terms("the erhe"), R.match_terms("the erhe"), 50))
 def _(s, d):
-    return R.hybrid_search(V.notes(s, d), "the erhe", 50)
+    return R.hybrid_search(V.notes(s, d), V.index(s, d, "notes"), "the erhe", 50)
 
 
-@query("t_index_notes", "SELECT note_id AS id, 'content' AS field, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM notes".join(["SELECT id, field, term, count(*) AS tf FROM (", ") GROUP BY ALL"]))
+@query("t_index_notes", "SELECT note_id AS id, 'content' AS field, unnest(regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+')) AS term FROM notes".join(["SELECT id, field, term, count(*) AS tf FROM (", ") GROUP BY ALL"]))
 def _(s, d):
     return R.postings(V.notes(s, d), "note_id", "content")
 

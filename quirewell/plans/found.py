@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import glossary as Y
@@ -36,7 +38,7 @@ def _candidates(name: str, table: str, key: str, fields: list[str], terms: list[
     stat = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
     some = " OR ".join(f"tf{i} > 0" for i in range(len(terms)))
     bm = " + ".join(f"ln(1 + (sn - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(len(terms)))
-    return f"""{name}_w AS (SELECT *, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}),
+    return f"""{name}_w AS (SELECT *, regexp_extract_all(strip_accents(lower({text})), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}),
 {name}_f AS (SELECT * EXCLUDE (w), len(w) AS dl, {tf} FROM {name}_w),
 {name}_s AS (SELECT count(*) AS sn, avg(dl) AS mean, {stat} FROM {name}_f),
 {name} AS (SELECT f.*, {bm} AS relevance FROM {name}_f f, {name}_s WHERE {some} ORDER BY relevance DESC, {key} LIMIT {limit})"""
@@ -68,38 +70,52 @@ SELECT id, entity_type, book_id, title, subtitle, snippet, round(least(1, raw /
 
 @query("t_global_search", GLOBAL)
 def _(s, d):
-    return S.global_search(V.notes(s, d), V.search_books(s, d), V.sources(s, d), QUESTION, limit=30, offset=5).withColumn("score", F.round("score", 9))
+    return S.global_search(V.notes(s, d), V.search_books(s, d), V.sources(s, d), V.indexes(s, d), QUESTION, limit=30, offset=5).withColumn("score", F.round("score", 9))
 
 
 @query("t_score_book", MORE + ", " + _candidates("cb", "sbooks", "book_id", ["title", "author", "category", "isbn"], R.match_terms("book src1"), 500) + f", z AS (SELECT book_id, relevance + {BOOST.replace(WHOLE, 'booksrc1')} AS score FROM (SELECT *, {_plain('title')} AS xt, {_plain('author')} AS xa, {_plain('category')} AS xk FROM cb)) SELECT book_id, round(score, 9) AS score FROM z")
 def _(s, d):
-    c = R.candidates(V.search_books(s, d), "book_id", ("title", "author", "category", "isbn"), "book src1", 500, 500)
+    c = R.candidates(V.search_books(s, d), V.index(s, d, "books"), "book_id", "book src1", 500, 500)
     return R.normalized(c, "title", "author", "category").select("book_id", F.round(F.col("relevance") + R.book_boost("book src1"), 9).alias("score"))
 
 
 @query("t_score_source", MORE + ", " + _candidates("cs", "srcs", "id", ["title", "heading", "content"], R.match_terms("the section"), 500) + f" SELECT id, round({_candidate_score(R.search_terms('the section'), 'thesection', ('xt', 4.0), ('xh', 2.5))}, 9) AS score FROM (SELECT *, {_plain('content')} AS x, {_plain('title')} AS xt, {_plain('heading')} AS xh FROM cs)")
 def _(s, d):
-    c = R.candidates(V.sources(s, d), "id", ("title", "heading", "content"), "the section", 500, 500)
+    c = R.candidates(V.sources(s, d), V.index(s, d, "sources"), "id", "the section", 500, 500)
     return R.normalized(c, "title", "heading", "content").select("id", F.round(R.score_candidate("the section", R.search_terms("the section"), "_content", ("_title", 4.0), ("_heading", 2.5)), 9).alias("score"))
 
 
 @query("j_fts_doc", MORE + ", " + _candidates("cs", "srcs", "id", ["title", "heading", "content"], ["the"], 40) + " SELECT id, title, heading, round(relevance, 9) AS relevance FROM cs")
 def _(s, d):
     src = V.sources(s, d)
-    ids = R.bm25(src, "id", ("title", "heading", "content"), ["the"]).orderBy(F.desc("score"), "id").limit(40)
-    return src.join(F.broadcast(ids), "id").select("id", "title", "heading", F.round("score", 9).alias("relevance"))
+    return src.join(F.broadcast(V.index(s, d, "sources").match(["the"], 40)), "id").select("id", "title", "heading", F.round("score", 9).alias("relevance"))
 
 
 BOOKS = [f"src{i}" for i in range(1, 15)]
 QUOTA = ", ".join(f"'{b}'" for b in BOOKS)
-HIT = f"len(list_filter(regexp_extract_all(lower(concat_ws(' ', title, coalesce(chapter, ''), content)), '[\\p{{L}}\\p{{N}}]+'), lambda t: t IN ({', '.join(repr(t) for t in R.match_terms('the er'))}))) > 0"
+RAG = "SELECT note_id, book_id, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, note_id) AS rn FROM {} WHERE score > 0 AND book_id IN ({})) WHERE rn <= {}"
+
+
+def _scored(name: str, table: str, terms: list[str], whole: str) -> str:
+    """A common table expression ``name``: the hybrid score of the candidates in ``table``."""
+    return f"{name} AS (SELECT *, CASE WHEN contains(x, '{whole}') THEN 12.0 ELSE 0.0 END + {_rule(terms, 'x', ('xt', 5.0), ('xc', 3.0))} AS score FROM {table})"
+
+
+@query("t_rag_search", ", " + _candidates("cr", "norm", "note_id", ["title", "chapter", "content"], R.match_terms("the er"), 5000) + ", " + _scored("z", "cr", R.search_terms("the er"), "theer") + ", " + RAG.format("z", QUOTA, 3))
+def _(s, d):
+    return S.rag_search(V.notes(s, d), V.index(s, d, "notes"), "the er", "ask", BOOKS).select("note_id", "book_id", F.col("score").cast("double").alias("score"))
 
 
-@query("t_rag_search", f""", h AS (SELECT *, {HIT} AS hit FROM norm WHERE book_id IN ({QUOTA})), a AS (SELECT *, bool_or(hit) OVER (PARTITION BY book_id) AS anyhit FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY note_id) AS rn FROM a WHERE hit OR NOT anyhit),
-z AS (SELECT note_id, book_id, CASE WHEN contains(x, 'theer') THEN 12.0 ELSE 0.0 END + {_rule(R.search_terms('the er'), 'x', ('xt', 5.0), ('xc', 3.0))} AS score FROM k WHERE anyhit OR rn <= 800), r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, note_id) AS rn FROM z)
-SELECT note_id, book_id, score::DOUBLE AS score FROM r WHERE rn <= 3 AND score > 0""")
+@query("t_rag_branches", ", n AS (SELECT note_id, book_id, 1.0 AS score FROM notes), " + _candidates("cr", "norm", "note_id", ["title", "chapter", "content"], R.match_terms("the er"), 5000) + ", " + _scored("z", "cr", R.search_terms("the er"), "theer")
+       + ", q AS (SELECT *, 5.0 AS x5 FROM norm ORDER BY note_id LIMIT 800), " + _scored("y", "q", R.search_terms("zzqx"), "zzqx")
+       + f" SELECT 'compare' AS mode, * FROM ({RAG.format('n', QUOTA, 3)}) UNION ALL SELECT 'one', note_id, book_id, score::DOUBLE FROM (SELECT * FROM z WHERE book_id = 'src4' AND score > 0 ORDER BY score DESC, note_id LIMIT 200)"
+       + f" UNION ALL SELECT 'few', * FROM ({RAG.format('z', chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39), 5)}) UNION ALL SELECT 'nowhere', * FROM ({RAG.format('y', QUOTA, 3)})")
 def _(s, d):
-    return S.rag_search(V.notes(s, d), "the er", "ask", BOOKS).select("note_id", "book_id", F.col("score").cast("double").alias("score"))
+    """Every way a search for an answer can go: nothing asked, one book, a few, words that no note has."""
+    n, index = V.notes(s, d), V.index(s, d, "notes")
+    cases = [("compare", "", "compare", BOOKS), ("one", "the er", "ask", ["src4"]), ("few", "the er", "ask", ["src1", "src2"]), ("nowhere", "zzqx", "ask", BOOKS)]
+    parts = [S.rag_search(n, index, question, mode, books).select(F.lit(case).alias("mode"), "note_id", "book_id", F.col("score").cast("double").alias("score")) for case, question, mode, books in cases]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _block(terms: list[str], whole: str) -> str:
@@ -108,7 +124,7 @@ def _block(terms: list[str], whole: str) -> str:
 
 @query("t_source_evidence", MORE + ", " + _candidates("cs", "srcs", "id", ["title", "heading", "content"], R.match_terms("the er"), 200) + f" SELECT id, title, score FROM (SELECT id, title, CAST({_block(R.search_terms('the er'), 'theer')} AS DOUBLE) AS score FROM (SELECT *, {_rule(R.search_terms('the er'), 'x')} AS o FROM (SELECT *, {_plain('content')} AS x FROM cs))) WHERE score > 0 ORDER BY score DESC, id LIMIT 12")
 def _(s, d):
-    return S.source_evidence(V.sources(s, d), "the er", []).select("id", "title", "score")
+    return S.source_evidence(V.sources(s, d), V.index(s, d, "sources"), "the er", []).select("id", "title", "score")
 
 
 @query("t_like_fallback", MORE + " SELECT id FROM srcs WHERE contains(lower(content), 'tion') OR contains(lower(heading), 'tion') OR contains(lower(title), 'tion') ORDER BY id LIMIT 5000")
@@ -121,7 +137,7 @@ def _(s, d):
     return V.notes(s, d).where(R.all_terms(F.col("content"), "the er")).select("note_id")
 
 
-@query("fn_match_expr", "SELECT note_id FROM (SELECT note_id, regexp_extract_all(lower(concat_ws(' ', title, coalesce(chapter, ''), content)), '[\\p{L}\\p{N}]+') AS w FROM notes) WHERE list_has_any(w, ['the', 'er', 'th', 'he', 'ee'])")
+@query("fn_match_expr", "SELECT note_id FROM (SELECT note_id, regexp_extract_all(strip_accents(lower(concat_ws(' ', title, coalesce(chapter, ''), content))), '[\\p{L}\\p{N}]+') AS w FROM notes) WHERE list_has_any(w, ['the', 'er', 'th', 'he', 'ee'])")
 def _(s, d):
     return V.notes(s, d).where(R.has_term(R.match_terms("the er"), "title", "chapter", "content")).select("note_id")
 

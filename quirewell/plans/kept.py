@@ -10,6 +10,8 @@ from ..operators import graph as G
 from ..operators import jobs as J
 from ..operators import library as L
 from ..operators import retrieval as R
+from ..operators.search_index import SearchIndex
+from ..sources import folders
 from ..sources import views as V
 from ..streaming import sync
 from .catalog import query
@@ -145,7 +147,7 @@ def _(s, d):
 
 @query("t_candidates_fallback", "SELECT note_id FROM notes ORDER BY note_id LIMIT 800")
 def _(s, d):
-    return R.hybrid_search(V.notes(s, d), "***", 800).select("note_id")
+    return R.hybrid_search(V.notes(s, d), V.index(s, d, "notes"), "***", 800).select("note_id")
 
 
 @query("e_meta_upsert", f"WITH {ROWS}, new AS (SELECT * REPLACE (CASE WHEN isbn::BIGINT % 2 = 0 THEN isbn || 'n' END AS isbn, CASE WHEN isbn::BIGINT % 5 = 0 THEN [] ELSE ['new'] END AS subjects) FROM meta WHERE isbn::BIGINT % 7 <> 0) SELECT m.book_id, m.source, coalesce(n.isbn, m.isbn) AS isbn, CASE WHEN len(n.subjects) > 0 THEN n.subjects ELSE m.subjects END AS subjects FROM meta m LEFT JOIN new n ON n.book_id = m.book_id AND n.source = m.source", base=False, lists=("subjects",))
@@ -369,12 +371,14 @@ def _(s, d):
     return J.progress(e).withColumnRenamed("at", "step")
 
 
-@query("st_index_maintenance", ", c AS (SELECT note_id AS id, CASE WHEN CAST(substring(note_id, 2) AS BIGINT) % 10 = 0 THEN 'changed text' ELSE content END AS content FROM notes WHERE CAST(substring(note_id, 2) AS BIGINT) % 20 <> 0) SELECT id, 'content' AS field, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS term FROM c) GROUP BY 1, 2, 3")
+@query("st_index_maintenance", ", c AS (SELECT note_id AS id, CASE WHEN CAST(substring(note_id, 2) AS BIGINT) % 7 = 1 THEN 'changed text' ELSE content END AS content FROM notes WHERE CAST(substring(note_id, 2) AS BIGINT) % 20 <> 0) SELECT id, 'content' AS field, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+')) AS term FROM c) GROUP BY 1, 2, 3")
 def _(s, d):
     n, k = V.notes(s, d), F.substring("note_id", 2, 20).cast("bigint")
-    now = n.where(k % 20 != 0).withColumn("content", F.when(k % 10 == 0, "changed text").otherwise(F.col("content")))  # some are gone, some have changed
-    changed = n.where(k % 10 == 0).select(F.col("note_id").alias("id"))
-    return sync.maintain_index(R.postings(n, "note_id", "content"), changed, R.postings(now.where(k % 10 == 0), "note_id", "content"))
+    index = SearchIndex.build(n, folders.work_folder(s), "note_id", ("content",))
+    changed = n.where((k % 7 == 1) & (k % 20 != 0)).withColumn("content", F.lit("changed text"))
+    gone = n.where(k % 20 == 0).select(F.col("note_id").alias("id"))
+    index.update(changed, gone, "note_id", ("content",))
+    return index.entries().select("id", F.lit("content").alias("field"), "term", F.col("tf").cast("bigint").alias("tf"))
 
 
 @query("st_job_fsm", "SELECT * FROM (VALUES ('pending', 6), ('downloading', 4), ('verifying', 4), ('parsing', 4), ('resolving_redirects', 4), ('validating', 4), ('ready_to_publish', 5), ('publishing', 4), ('paused', 10), ('completed', 0), ('cancelled', 0), ('failed', 0)) t(state, next)", base=False)

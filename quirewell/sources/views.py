@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import folders
+
 BASE_TIME = 1700000000
+_indexes: dict[tuple, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,3 +113,22 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 == 0, "encyclopedia").otherwise("manual").alias("source"), F.when(key % 5 == 0, "ignored").when(key % 5 == 1, "pending").otherwise("confirmed").alias("status"),
         (key % 7 == 0).alias("manually_edited"), (BASE_TIME + (key * 37) % 1000).alias("updated_at"),
     )
+
+
+def index(spark: SparkSession, sf_dir: str, kind: str):
+    """The search index of ``notes``, ``books`` or ``sources``, made when it is first asked for and read from then on."""
+    from ..operators.search_index import SearchIndex
+
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _indexes:
+        rows, id_col, fields = {
+            "notes": (notes, "note_id", ("title", "chapter", "content")),
+            "books": (search_books, "book_id", ("title", "author", "category", "isbn")),
+            "sources": (sources, "id", ("title", "heading", "content")),
+        }[kind]
+        _indexes[key] = SearchIndex.build(rows(spark, sf_dir), folders.work_folder(spark), id_col, fields)
+    return _indexes[key]
+
+
+def indexes(spark: SparkSession, sf_dir: str) -> dict:
+    return {k: index(spark, sf_dir, k) for k in ("notes", "books", "sources")}

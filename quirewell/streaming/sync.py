@@ -43,12 +43,6 @@ def resume(paused_from: str) -> str:
     return advance("paused", paused_from)
 
 
-def maintain_index(index: DataFrame, changed: DataFrame, current: DataFrame) -> DataFrame:
-    """The postings after a batch: those of ``changed`` ids (``id``) go, what ``current`` has of them comes."""
-    ids = changed.select("id").distinct()
-    return index.join(ids, "id", "left_anti").unionByName(current.join(ids, "id", "left_semi"))
-
-
 def upsert_stream(events: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
     """Each micro-batch, reduced to its latest row per key, is appended as a version of its own; ``current`` reads the latest.
 
