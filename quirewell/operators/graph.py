@@ -124,39 +124,6 @@ def best_evidence(embeddings: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "other").agg(F.min_by("note_id", F.struct(-F.col("near"), F.col("note_id"))).alias("note_id"))
 
 
-def concept_graph(entities: DataFrame, evidence: DataFrame, kinds: list[str] | None = None, least: float = 0.0, many: int = 500, raised: float = 0.45, most: int = 2000) -> DataFrame:
-    """``id, kind, confidence, truncated`` of the entities with evidence, of the given kinds and ``least`` confidence, best first.
-
-    If there are more than ``many`` of them, the confidence asked for rises to
-    ``raised`` and the answer says that it is truncated.
-    """
-    e = entities.where(F.col("confidence") >= least)
-    e = (e.where(F.col("kind").isin(kinds)) if kinds else e).join(evidence.select("id"), "id", "left_semi")
-    n = e.agg((F.count(F.lit(1)) > many).alias("truncated"))
-    shown = e.crossJoin(F.broadcast(n)).where(~F.col("truncated") | (F.col("confidence") >= raised))  # one row
-    return shown.orderBy(F.desc("confidence"), "id").limit(most).select("id", "kind", "confidence", "truncated")
-
-
-def bigram_candidates(texts: DataFrame, text: str, least: int = 2, top: int = 60) -> DataFrame:
-    """Frequent two-character windows with a Han character, most frequent first."""
-    each = F.explode(char_pairs(F.col(text)))
-    g = texts.select(each.alias("term")).where(F.col("term").rlike("[\\u4e00-\\u9fff]")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return g.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(top)
-
-
-def induced(relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Relations with both ends among the nodes."""
-    return relations.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
-
-
-def merge_entities(relations: DataFrame, source: str, into: str) -> DataFrame:
-    """Endpoints rewritten, self loops dropped, one relation per undirected pair and kind: the first by id."""
-    put = lambda c: F.when(F.col(c) == source, into).otherwise(F.col(c)).alias(c)
-    r = relations.select("id", put("a"), put("b"), "relation", "confidence").where("a <> b")
-    w = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b"), "relation").orderBy("id")
-    return r.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def book_terms(books: DataFrame, notes: DataFrame, newest: int = 250, chars: int = 800) -> DataFrame:
     """``book_id, term, w``: words weighted by where they stand: title 1.2, author 2.5, category 4; of the newest notes chapter 1.5, content 1, own thoughts 2.2."""
     n = top_per_group(notes, "book_id", newest, F.desc("created"), F.asc("note_id"))
@@ -275,17 +242,3 @@ def embed(rows: DataFrame, embedder, together: int = 32) -> DataFrame:
                 yield pd.DataFrame({"note_id": part["note_id"], "content_hash": part["content_hash"], "vector": list(embedder(part["text"].tolist()))})
 
     return rows.mapInPandas(run, "note_id string, content_hash string, vector array<float>")
-
-
-def persist_entities(stored: DataFrame, found: DataFrame) -> DataFrame:
-    """``id, kind, name, status`` after an extraction: stored ones stay as they are, names that none has (as name or alias, of either case) come as suggested."""
-    keys = stored.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k")).select(F.lower("k").alias("k")).distinct()
-    key = F.lower(F.trim("name"))
-    new = found.withColumn("k", key).join(keys, "k", "left_anti").groupBy("k").agg(F.min_by(F.struct("kind", "name"), F.struct("kind", "name")).alias("x"))
-    fresh = new.select(F.concat(F.col("x.kind"), F.lit(":"), F.md5(F.concat_ws("|", "k", "x.kind"))).alias("id"), "x.kind", "x.name", F.lit("suggested").alias("status"))
-    return stored.select("id", "kind", "name", "status").unionByName(fresh)
-
-
-def persist_evidence(stored: DataFrame, found: DataFrame) -> DataFrame:
-    """``entity_id, note_id, quote, confidence``: found evidence takes the place of what is stored for the same entity and note."""
-    return stored.join(found.select("entity_id", "note_id"), ["entity_id", "note_id"], "left_anti").select("entity_id", "note_id", "quote", "confidence").unionByName(found.select("entity_id", "note_id", "quote", "confidence"))

@@ -385,12 +385,6 @@ def _(s, d):
     return G.degree_cap(G.semantic_edges(V.note_embeddings(s, d), -1.0), 12)
 
 
-@query("k_relations_between", "SELECT a.book_id AS a, b.book_id AS b FROM books a JOIN books b ON a.author = b.author AND a.book_id < b.book_id WHERE a.category <> '' AND b.category <> ''")
-def _(s, d):
-    b = V.books(s, d)
-    return G.induced(G.author_edges(b), b.where("category <> ''").select(F.col("book_id").alias("id"))).select("a", "b")
-
-
 # ---- ingestion ------------------------------------------------------------
 
 

@@ -267,14 +267,6 @@ def _(s, d):
     return made.select("note_id", "content_hash", F.col("vector")[0].alias("first"))
 
 
-@query("k_persist", "WITH st AS (SELECT 'concept:' || p_brand AS id, 'concept' AS kind, p_brand AS name, 'confirmed' AS status FROM part GROUP BY p_brand), f AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'person' ELSE 'concept' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) WHEN p_partkey % 3 = 1 THEN 'alias of ' || lower(p_brand) ELSE p_name END AS name FROM part), n AS (SELECT lower(trim(name)) AS k, min({'kind': kind, 'name': name}) AS x FROM f WHERE lower(trim(name)) NOT IN (SELECT lower(name) FROM st) AND lower(trim(name)) NOT IN (SELECT 'alias of ' || lower(name) FROM st) GROUP BY 1) SELECT * FROM st UNION ALL SELECT x.kind || ':' || md5(k || '|' || x.kind), x.kind, x.name, 'suggested' FROM n", base=False)
-def _(s, d):
-    p, k = V.table(s, d, "part"), F.col("p_partkey")
-    stored = p.select("p_brand").distinct().select(F.concat(F.lit("concept:"), "p_brand").alias("id"), F.lit("concept").alias("kind"), F.col("p_brand").alias("name"), F.lit("confirmed").alias("status"), F.array(F.concat(F.lit("Alias of "), "p_brand")).alias("aliases"))
-    found = p.select(F.when(k % 2 == 0, "person").otherwise("concept").alias("kind"), F.when(k % 3 == 0, F.upper("p_brand")).when(k % 3 == 1, F.concat(F.lit("alias of "), F.lower("p_brand"))).otherwise(F.col("p_name")).alias("name"))
-    return G.persist_entities(stored, found)
-
-
 # ---- imports and jobs -----------------------------------------------------
 
 SOURCES = "so AS (SELECT source AS source_id, max(doc_id) % 4 = 0 AS is_deleted FROM documents GROUP BY 1 UNION ALL SELECT 'none', FALSE), ch AS (SELECT source AS source_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS position, text AS content, md5(text) AS hash FROM documents)"

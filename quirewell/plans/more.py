@@ -161,38 +161,6 @@ def _(s, d):
     return G.best_evidence(e, G.semantic_edges(e, 0.1))
 
 
-@query("k_unchanged", "SELECT note_id FROM notes WHERE md5(content) IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
-def _(s, d):
-    known = V.table(s, d, "documents").where("doc_id % 2 = 0").select(F.md5("text").alias("h")).distinct()
-    return V.notes(s, d).select("note_id", F.md5("content").alias("h")).join(known, "h", "left_semi").select("note_id")
-
-
-@query("k_validate", "SELECT kind, name, CASE WHEN kind NOT IN ('a', 'b', 'c') THEN 'kind' WHEN name = '' THEN 'name' WHEN rn > 1 THEN 'repeated' ELSE 'accepted' END AS verdict, greatest(0, least(1, coalesce(confidence, 0.5)))::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS rn FROM (SELECT event_id AS id, substring(event_type, 1, 1) AS kind, 'user ' || user_id AS name, CASE WHEN event_id % 7 <> 0 THEN value END AS confidence FROM events))", base=False)
-def _(s, d):
-    e = V.table(s, d, "events").select(F.col("event_id").alias("id"), F.substring("event_type", 1, 1).alias("kind"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("name"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("confidence"))
-    rn = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("id"))
-    verdict = F.when(~F.col("kind").isin("a", "b", "c"), "kind").when(F.col("name") == "", "name").when(F.col("rn") > 1, "repeated").otherwise("accepted")
-    return e.withColumn("rn", rn).select("kind", "name", verdict.alias("verdict"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)))).alias("confidence"))
-
-
-GRAPH = "WITH e AS (SELECT p_partkey AS id, p_brand AS kind, p_retailprice / 2000 AS confidence FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)), a AS (SELECT *, (SELECT count(*) FROM e WHERE confidence >= 0.1) > 500 AS truncated FROM e WHERE confidence >= 0.1), b AS (SELECT *, (SELECT count(*) FROM e WHERE confidence >= 0.5 AND kind IN ('Brand#11', 'Brand#12', 'Brand#13')) > 5 AS truncated FROM e WHERE confidence >= 0.5 AND kind IN ('Brand#11', 'Brand#12', 'Brand#13')) "
-
-
-@query("k_graph_query", GRAPH + "SELECT 'all' AS view, * FROM (SELECT * FROM a WHERE NOT truncated OR confidence >= 0.45 ORDER BY confidence DESC, id LIMIT 2000) UNION ALL SELECT 'kinds', * FROM b WHERE NOT truncated OR confidence >= 0.6", base=False)
-def _(s, d):
-    e = V.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), (F.col("p_retailprice") / 2000).alias("confidence"))
-    evidence = V.table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
-    kinds = G.concept_graph(e, evidence, ["Brand#11", "Brand#12", "Brand#13"], 0.5, many=5, raised=0.6, most=1_000_000)
-    return G.concept_graph(e, evidence, least=0.1).select(F.lit("all").alias("view"), "*").union(kinds.select(F.lit("kinds"), "*"))
-
-
-@query("k_merge", "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT CASE WHEN x.book_id = 'src3' THEN 'src10' ELSE x.book_id END AS a, CASE WHEN y.book_id = 'src3' THEN 'src10' ELSE y.book_id END AS b FROM books x JOIN books y ON x.author = y.author AND x.book_id < y.book_id) WHERE a <> b")
-def _(s, d):
-    e = G.author_edges(V.books(s, d)).select(F.concat_ws("-", "a", "b").alias("id"), "a", "b", F.lit("author").alias("relation"), F.lit(1.0).alias("confidence"))
-    m = G.merge_entities(e, "src3", "src10")
-    return m.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
 @query("e_aliases", REDIRECTS + "SELECT final AS page_id, string_agg(DISTINCT r.title, '|' ORDER BY r.title) AS aliases FROM ends JOIN pg r ON r.id = ends.page_id JOIN pg f ON f.id = final WHERE outcome = 'ok' AND r.title <> f.title GROUP BY 1", base=False)
 def _(s, d):
     w = V.wiki_pages(s, d)

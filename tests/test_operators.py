@@ -71,16 +71,6 @@ def test_degree_cap_is_the_scan(spark):
     assert G.degree_cap(spark.createDataFrame([], "a string, b string, score double"), 2).count() == 0
 
 
-def test_merge_entities(spark):
-    r = spark.createDataFrame([(1, "x", "y", "related", 0.5), (2, "z", "y", "related", 0.4), (3, "x", "z", "related", 0.3)], "id int, a string, b string, relation string, confidence double")
-    assert [tuple(x) for x in G.merge_entities(r, "z", "x").select("id", "a", "b").collect()] == [(1, "x", "y")]
-
-
-def test_han_candidates(spark):
-    d = spark.createDataFrame([("历史历史 ab",), ("历史",)], "t string")
-    assert [tuple(r) for r in G.bigram_candidates(d, "t").collect()][0] == ("历史", 3)
-
-
 def test_unknown_sort():
     import pytest
 
