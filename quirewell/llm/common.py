@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text that one Python batch holds at most, unless a single text is longer.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 #: Distinct ids that may be broadcast: 8 bytes each, 4 MB at most.
 BROADCAST_IDS = 500_000
 ASCII_SPACE = "[\\x20\\x09-\\x0D]"
@@ -178,7 +178,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
         full = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         full[0] = 1
         have = _powers[name] = np.cumprod(full, dtype=np.uint64)
-        if len(have) > 1 << 23:  # a very long text: not kept
+        if len(have) > 1 << 20:  # a long text: not kept
             del _powers[name]
     return have[:n]
 

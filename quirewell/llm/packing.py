@@ -27,7 +27,7 @@ from .common import keep, partitions, pieces, work_dir
 
 SMOOTH = 0.9  # weight of the best dual prices so far
 #: Words that a worker remembers the ids of; beyond that it starts anew.
-REMEMBER, REMEMBER_BYTES = 500_000, 64
+REMEMBER, REMEMBER_BYTES = 200_000, 64
 #: A full stop or comma between a letter and white space: a token of its own.
 STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
