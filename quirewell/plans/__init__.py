@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import concepts, found, kept, more  # noqa: F401  register their queries
+from . import concepts, found, kept, more, streams  # noqa: F401  register their queries
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -371,8 +371,3 @@ def _(s, d):
     gone = n.where(k % 20 == 0).select(F.col("note_id").alias("id"))
     index.update(changed, gone, "note_id", ("content",))
     return index.entries().select("id", F.lit("content").alias("field"), "term", F.col("tf").cast("bigint").alias("tf"))
-
-
-@query("st_job_fsm", "SELECT * FROM (VALUES ('pending', 6), ('downloading', 4), ('verifying', 4), ('parsing', 4), ('resolving_redirects', 4), ('validating', 4), ('ready_to_publish', 5), ('publishing', 4), ('paused', 10), ('completed', 0), ('cancelled', 0), ('failed', 0)) t(state, next)", base=False)
-def _(s, d):
-    return s.createDataFrame([(state, len(to)) for state, to in sync.TRANSITIONS.items()], "state string, next int")

@@ -1,48 +1,15 @@
-"""Incremental sync as Structured Streaming: latest-wins upserts, sweeps, windows, and a fold by request."""
+"""Incremental sync as Structured Streaming: latest-wins upserts, windows, and the lines of server-sent streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.library import latest
 
-#: States of an import job and the states that each may go to.
-STAGES = ["pending", "downloading", "verifying", "parsing", "resolving_redirects", "validating", "ready_to_publish", "publishing"]
-TERMINAL = {"completed", "cancelled", "failed"}
-_ALWAYS = {"failed", "cancelled", "paused"}
-TRANSITIONS = {
-    "pending": {"downloading", "verifying", "parsing"} | _ALWAYS,
-    "downloading": {"verifying"} | _ALWAYS,
-    "verifying": {"parsing"} | _ALWAYS,
-    "parsing": {"resolving_redirects"} | _ALWAYS,
-    "resolving_redirects": {"validating"} | _ALWAYS,
-    "validating": {"ready_to_publish"} | _ALWAYS,
-    "ready_to_publish": {"publishing", "completed"} | _ALWAYS,
-    "publishing": {"completed"} | _ALWAYS,
-    "paused": {*STAGES, "failed", "cancelled"},
-    **{state: set() for state in TERMINAL},
-}
-
-
-def advance(state: str, to: str) -> str:
-    """The next state of a job; an error if it may not go there."""
-    if to not in TRANSITIONS.get(state, set()):
-        raise ValueError(f"a job can't go from {state} to {to}")
-    return to
-
-
-def resume(paused_from: str) -> str:
-    """A paused job goes back to the stage that its checkpoint names."""
-    if paused_from not in STAGES:
-        raise ValueError(f"no stage to go back to: {paused_from}")
-    return advance("paused", paused_from)
-
-
 def upsert_stream(events: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
     """Each micro-batch, reduced to its latest row per key, is appended as a version of its own; ``current`` reads the latest.
 
@@ -66,26 +33,6 @@ def daily_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 day
     return once.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("w.start", "event_type", "n")
 
 
-def fold_deltas(events: DataFrame) -> DataFrame:
-    """``request_id, text, state`` of rows ``request_id, seq, kind, text``: deltas in order, none after a stop.
-
-    A request's own events are folded together; requests are bounded by the size of an answer.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        text, state = [], "streaming"
-        for kind, part in frame.sort_values("seq")[["kind", "text"]].itertuples(index=False):
-            if state != "streaming":
-                break
-            if kind == "delta":
-                text.append(part or "")
-            elif kind in ("done", "stopped", "error"):
-                state = kind
-        return pd.DataFrame({"request_id": [frame["request_id"].iloc[0]], "text": ["".join(text)], "state": [state]})
-
-    return events.groupBy("request_id").applyInPandas(run, "request_id string, text string, state string")
-
-
 def sse_lines(chunks: Iterator[bytes], most: int = 16 << 20) -> Iterator[str]:
     """The data fields of a server-sent stream whose lines may be cut anywhere; ends at ``[DONE]``."""
     rest, size = b"", 0
