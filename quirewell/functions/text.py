@@ -22,6 +22,14 @@ STOP_PAIRS = """
 一般 整个 所有 其他 同时 甚至 仍然 如此 当时 后来 最后 第一 第二
 """.split()
 
+#: What a title's key goes without: marks, runs of numbers, words for an edition.
+TITLE_MARKS = r"[《》〈〉「」『』【】()（）\[\]\s·:：,，.。!！?？\-—_]"
+TITLE_NUMBERS = r"第?[一二三四五六七八九十百千万\d]+[册卷部]?"
+TITLE_EDITIONS = r"全[一二三四五六七八九十百千万\d]+册|全集|全本|珍藏版|典藏版|精装版|新版|修订版|插图版|青少版|少儿版|人民文学版|电子书"
+#: Han characters with their punctuation and symbols, and the marks before which no blank stands.
+HAN = r"\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
+HAN_MARKS = "。，、；：？！“”‘’（）《》【】…—·"
+
 
 def normalize_search(text: Column) -> Column:
     """Lower case, letters and numbers only."""
@@ -124,15 +132,16 @@ def reader_id(book_id: Column) -> Column:
 
 
 def title_key(title: Column) -> Column:
-    """A work's name without brackets, punctuation and volume or edition marks."""
-    x = F.regexp_replace(F.lower(title), r"[（(【\[《].*?[）)】\]》]", "")
-    x = F.regexp_replace(x, r"(第?[一二三四五六七八九十百0-9]+[卷册冊部版])|(vol\.?\s*[0-9]+)|(修订版|全集|珍藏版)", "")
-    return F.regexp_replace(x, r"[^\p{L}\p{N}]", "")
+    """A work's name without marks, then without numbers of volumes, then without words for an edition."""
+    x = F.lower(title)
+    for what in (TITLE_MARKS, TITLE_NUMBERS, TITLE_EDITIONS):
+        x = F.regexp_replace(x, what, "")
+    return x
 
 
 def clean_cjk_space(text: Column) -> Column:
-    """No blanks between Han characters or around their punctuation."""
-    return F.regexp_replace(text, r"(?<=[\u4e00-\u9fff，。！？；：、]) +(?=[\u4e00-\u9fff，。！？；：、])", "")
+    """No blanks between Han characters, before Han punctuation, or between it and a Han character."""
+    return F.regexp_replace(text, rf"(?<=[{HAN}{HAN_MARKS}]) +(?=[{HAN}])| +(?=[{HAN_MARKS}])", "")
 
 
 def graph_words(text: Column) -> Column:
@@ -170,11 +179,13 @@ def translators(raw: Column) -> Column:
     return F.when(F.startswith(F.trim(raw), F.lit("[")), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(split_list(raw, "[、,/]"))
 
 
-def highlight_terms(query: str) -> list[str]:
-    """What a page marks: the query's words and the pairs of words of three letters or more, longest first."""
-    words = query.split()
-    plain = [re.sub(r"[\W_]", "", w) for w in words]
-    return sorted(words + [w[i : i + 2] for w in plain if len(w) > 2 for i in range(len(w) - 1)], key=len, reverse=True)
+def highlighted(query: Column) -> Column:
+    """What a page marks of a query: its words, and the pairs of characters of words of three letters or more, longest first, else as they come."""
+    words = F.filter(F.split(query, r"\s+"), lambda w: w != "")
+    plain = F.filter(F.transform(words, lambda w: F.regexp_replace(w, NOT_ALNUM, "")), lambda w: F.char_length(w) > 2)
+    each = F.concat(words, F.flatten(F.transform(plain, char_pairs)))
+    placed = F.transform(each, lambda t, i: F.struct((-F.char_length(t)).alias("n"), i.alias("i"), t.alias("t")))
+    return F.transform(F.array_sort(placed), lambda x: x["t"])
 
 
 def first_line_title(text: Column, most: int = 60) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,16 +55,23 @@ def save(terms: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
 
     An encyclopedia's term keeps its source and is marked as edited only when
     its text changes; other terms take everything and are marked. A blank
-    state keeps the old one. Edits without a term or definition are left out;
-    an id that isn't there makes a new term, numbered after the largest id.
+    state keeps the old one, an unknown one is an error. Edits without a term or
+    definition are left out; an id that isn't there makes a new term, numbered
+    after the largest id. Of several edits of one term the last by ``seq`` stands.
     """
-    e = edits.where("trim(coalesce(term, '')) <> '' AND trim(coalesce(definition, '')) <> ''")
-    e = e.select("id", F.trim("term").alias("n_term"), F.trim("canonical_name").alias("n_name"), F.trim("definition").alias("n_definition"), F.col("source").alias("n_source"), F.col("status").alias("n_status"), F.col("aliases").alias("n_aliases"))
+    unknown = edits.where((F.coalesce("status", F.lit("")) != "") & ~F.col("status").isin(*STATUSES)).select("status").first()
+    if unknown:
+        checked_status(unknown["status"])
+    e = edits if "seq" in edits.columns else edits.withColumn("seq", F.lit(0))
+    e = e.where("trim(coalesce(term, '')) <> '' AND trim(coalesce(definition, '')) <> ''")
+    e = e.select("id", "seq", F.trim("term").alias("n_term"), F.trim("canonical_name").alias("n_name"), F.trim("definition").alias("n_definition"), F.col("source").alias("n_source"), F.col("status").alias("n_status"), F.col("aliases").alias("n_aliases"))
     by_term = terms.select(F.col("term").alias("n_term"), F.col("id").alias("term_id"))
     known = terms.select("id", F.col("id").alias("own_id"))
     e = e.join(known, "id", "left").join(by_term, "n_term", "left")
     at = F.when(F.coalesce("id", F.lit(0)) > 0, F.col("own_id")).otherwise(F.col("term_id"))
     e = e.withColumn("at", at).drop("id", "own_id", "term_id")
+    one = Window.partitionBy("at", F.when(F.col("at").isNull(), F.col("n_term"))).orderBy(F.desc("seq"), F.desc("n_term"), F.desc("n_definition"))
+    e = e.withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn", "seq")
     changed = terms.join(e.where("at IS NOT NULL"), F.col("id") == F.col("at"), "left")
     hit, wiki = F.col("at").isNotNull(), F.col("source") == "encyclopedia"
     pick = lambda new, old: F.when(hit, new).otherwise(old)
@@ -75,12 +83,12 @@ def save(terms: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
         pick(F.when(wiki, F.array_sort(F.array_union("aliases", F.coalesce("n_aliases", F.array().cast("array<string>"))))).otherwise(F.col("n_aliases")), F.col("aliases")).alias("aliases"),
         pick(F.when(wiki, F.col("manually_edited") | text_changed).otherwise(F.lit(True)), F.col("manually_edited")).alias("manually_edited"), pick(now, F.col("updated_at")).alias("updated_at"),
     )
-    new = e.where("at IS NULL").select("n_term", "n_name", "n_definition", "n_source", "n_status", "n_aliases").dropDuplicates(["n_term"])
+    new = e.where("at IS NULL").select("n_term", "n_name", "n_definition", "n_source", "n_status", "n_aliases")
     largest = terms.agg(F.coalesce(F.max("id"), F.lit(0)).alias("largest"))
     number = F.col("largest") + F.row_number().over(Window.orderBy("n_term"))  # a user's edits: few rows
     fresh = new.crossJoin(F.broadcast(largest)).select(  # one row
         number.alias("id"), F.col("n_term").alias("term"), F.col("n_name").alias("canonical_name"), F.col("n_definition").alias("definition"), F.coalesce(F.nullif("n_source", F.lit("")), F.lit("manual")).alias("source"),
-        F.coalesce(F.nullif("n_status", F.lit("")), F.lit("pending")).alias("status"), F.col("n_aliases").alias("aliases"), F.lit(True).alias("manually_edited"), now.alias("updated_at"),
+        F.coalesce(F.nullif("n_status", F.lit("")), F.lit("confirmed")).alias("status"), F.col("n_aliases").alias("aliases"), F.lit(True).alias("manually_edited"), now.alias("updated_at"),
     )
     return stored.unionByName(fresh)
 
@@ -102,34 +110,39 @@ def named_in(terms: DataFrame, text: str, most: int = 8) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")).alias("n"), display.alias("term"), F.substring("definition", 1, 8000).alias("definition"))
 
 
+#: Bytes of the terms that one automaton holds.
+AUTOMATON_BYTES = 4 << 20
+
+
 def named_pairs(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, term_id`` for every text and the terms (``term_id, term``, lower case) that it contains, by an automaton over all terms.
 
-    Terms beyond 4 MB are dealt into shards of that size, each one row; a text
-    is streamed through every shard.
+    Terms are dealt into shards of AUTOMATON_BYTES or so; each goes to every
+    task once, as a broadcast variable, and texts are streamed past it where they
+    are. Nothing is sent along with a text. A null text names nothing.
     """
-    weigh = terms.select("term_id", "term").where("term <> ''").agg(F.sum(F.octet_length("term") + 16).alias("n")).first()["n"] or 0
-    shards = max(1, -(-int(weigh) // (4 << 20)))
-    packed = terms.where("term <> ''").select(F.pmod(F.xxhash64("term_id"), F.lit(shards)).alias("shard"), F.struct("term_id", "term").alias("t")).groupBy("shard").agg(F.collect_list("t").alias("terms"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        made: dict = {}
-        for f in frames:
-            out = []
-            for i, text, shard, listed in zip(f["id"], f["text"], f["shard"], f["terms"], strict=True):
-                if shard not in made:
-                    a, by = ahocorasick.Automaton(), {}
-                    for t in listed:
-                        by.setdefault(t["term"], []).append(t["term_id"])
-                    for k, v in by.items():
-                        a.add_word(k, v)
-                    a.make_automaton()
-                    made = {shard: a}
-                out += [(i, t) for t in sorted({t for _, v in made[shard].iter(text or "") for t in v})]
-            yield pd.DataFrame(out, columns=["id", "term_id"])
-
-    rows = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    spark = texts.sparkSession
+    named = terms.select("term_id", "term").where("term <> ''")
+    weigh = named.agg(F.sum(F.octet_length("term") + 16).alias("n")).first()["n"] or 0
+    shards = max(1, -(-int(weigh) // AUTOMATON_BYTES))
+    rows = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where("text IS NOT NULL")
     kinds = f"id {rows.schema['id'].dataType.simpleString()}, term_id {terms.schema['term_id'].dataType.simpleString()}"
-    return rows.crossJoin(F.broadcast(packed)).mapInPandas(run, kinds)  # 4 MB a row, as many rows as there are shards
+
+    def search(shard: int) -> DataFrame:
+        held = named.where(F.pmod(F.xxhash64("term"), F.lit(shards)) == shard)
+        listed = spark.sparkContext.broadcast([(r["term"], r["ids"]) for r in held.groupBy("term").agg(F.array_sort(F.collect_set("term_id")).alias("ids")).collect()])  # AUTOMATON_BYTES or so
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for term, ids in listed.value:
+                automaton.add_word(term, ids)
+            automaton.make_automaton()
+            for f in frames:
+                found = [(i, t) for i, text in zip(f["id"], f["text"], strict=True) for t in sorted({t for _, ids in automaton.iter(text) for t in ids})] if len(automaton) else []
+                yield pd.DataFrame(found, columns=["id", "term_id"])
+
+        return rows.mapInPandas(run, kinds)
+
+    return reduce(DataFrame.unionByName, map(search, range(shards)))

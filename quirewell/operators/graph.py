@@ -41,26 +41,69 @@ def semantic_label(score):
     return F.when(score >= 0.72, "strong").when(score >= 0.52, "related").otherwise("weak")
 
 
-def author_edges(books: DataFrame, least: int = 2, most: int = 80) -> DataFrame:
-    """Books of one author, weight .92."""
-    return posting_pairs(books.where("trim(coalesce(author, '')) <> ''"), "author", "book_id", least, most).select("a", "b", "author", F.lit(0.92).alias("score"))
+def author_edges(books: DataFrame, least: int = 2, most: int = 80, works_too: bool = False) -> DataFrame:
+    """Books of one author, weight .92; two names of one work make no relation, unless ``works_too``."""
+    keyed = books.where("trim(coalesce(author, '')) <> ''").withColumn("key", title_key(F.col("title")))
+    pairs = posting_pairs(keyed, "author", "book_id", least, most, "key")
+    pairs = pairs if works_too else pairs.where(~same_work(F.col("key_a"), F.col("key_b")))
+    return pairs.select("a", "b", "author", F.lit(0.92).alias("score"))
 
 
-def metadata_edges(meta: DataFrame) -> DataFrame:
-    """Shared author .94, shared subjects min(.88, .48 + .08 n); the better one stands."""
-    authors = posting_pairs(meta.select("book_id", F.explode("authors").alias("k")).distinct(), "k", "book_id", 2, 80).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    subjects = posting_pairs(meta.select("book_id", F.explode("subjects").alias("k")).distinct(), "k", "book_id", 2, 80).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    x = authors.select("a", "b", F.lit(0.94).alias("score")).union(subjects.select("a", "b", F.least(F.lit(0.88), F.round(0.48 + 0.08 * F.col("n"), 6)).alias("score")))
-    return x.groupBy("a", "b").agg(F.max("score").alias("score"))
+def metadata_edges(meta: DataFrame, least: int = 2, most: int = 80, labels: int = 6) -> DataFrame:
+    """``a, b, kind, score, labels``: an edge for each kind of what two books share.
+
+    ``authors`` .94, ``translators`` .90, ``subjects`` .48 + .08 for each of them,
+    .88 at most. Names are trimmed and in lower case; up to ``labels`` of them,
+    in order, are told and count.
+    """
+    kinds = {"author": "authors", "translator": "translators", "subject": "subjects"}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("names")) for k, c in kinds.items()]))
+    named = meta.select("book_id", each.alias("x")).select("book_id", "x.kind", F.explode("x.names").alias("label"))
+    named = named.select("book_id", "kind", F.lower(F.trim("label")).alias("label")).where("label <> ''").distinct()
+    pairs = posting_pairs(named.withColumn("k", F.struct("kind", "label")), "k", "book_id", least, most)
+    told = pairs.groupBy("a", "b", F.col("k.kind").alias("kind")).agg(F.slice(F.array_sort(F.collect_list("k.label")), 1, labels).alias("labels"))
+    score = F.when(F.col("kind") == "author", 0.94).when(F.col("kind") == "translator", 0.90).otherwise(F.least(F.lit(0.88), F.round(0.48 + 0.08 * F.size("labels"), 6)))
+    return told.select("a", "b", "kind", score.alias("score"), "labels")
+
+
+def same_works(titles: DataFrame, gram: int = 4) -> DataFrame:
+    """``a, b, books_a, books_b``: pairs of different keys (``key``) of which one contains the other, both of four characters or more.
+
+    A key that is contained has all its runs of four characters in the other,
+    so it meets only keys that have the rarest of them: no pair is looked at that
+    doesn't share it. Books of equal keys are one work and counted in ``books``.
+    """
+    keys = settle(titles.where(F.char_length("key") >= gram).groupBy("key").agg(F.count(F.lit(1)).alias("books")))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("key") - (gram - 1)), lambda i: F.substring(F.col("key"), i, F.lit(gram))))
+    held = settle(keys.select("key", "books", F.explode(runs).alias("run")))
+    often = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = held.join(often, "run").groupBy("key").agg(F.min_by("run", F.struct("n", "run")).alias("run"), F.first("books").alias("books"))
+    near = rarest.select(F.col("key").alias("short"), F.col("books").alias("n_short"), "run").join(held.select(F.col("key").alias("long"), F.col("books").alias("n_long"), "run"), "run")
+    near = near.where((F.char_length("long") > F.char_length("short")) & F.contains("long", F.col("short")))
+    first = F.col("short") < F.col("long")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return near.select(pick("short", "long").alias("a"), pick("long", "short").alias("b"), pick("n_short", "n_long").alias("books_a"), pick("n_long", "n_short").alias("books_b"))
 
 
 def intro_edges(intros: DataFrame, shared: int = 4, least: float = 0.18, posting_most: int = 60) -> DataFrame:
-    """Introductions by the share of their distinct bigrams: n / sqrt(size a * size b), .92 at most."""
-    d = intros.where("char_length(description) >= 40").select("book_id", bigrams(normalize_search(F.col("description"))).alias("g"))
-    p = d.select("book_id", F.size("g").alias("size"), F.explode("g").alias("k"))
-    pairs = posting_pairs(p, "k", "book_id", 2, posting_most, "size").groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"))
-    score = F.col("n") / F.sqrt(F.col("size_a").cast("double") * F.col("size_b").cast("double"))
-    return pairs.where((F.col("n") >= shared) & (score >= least)).select("a", "b", "n", F.round(F.least(F.lit(0.92), score), 6).alias("score"))
+    """Introductions by the share of their distinct bigrams: n / sqrt(size a * size b), .92 at most.
+
+    A book's bigrams are distinct, so postings are plain counts; only rare
+    ones (2 to ``posting_most`` books) make pairs, and these carry no sizes:
+    pairs with ``shared`` of them get those at the end.
+    """
+    d = settle(intros.where("char_length(description) >= 40").select("book_id", bigrams(normalize_search(F.col("description"))).alias("g")))
+    p = d.select(F.xxhash64("book_id").alias("h"), F.explode("g").alias("k"))
+    holders = p.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, posting_most)).select("k")
+    rare = p.join(F.broadcast(holders) if holders.count() <= 200_000 else holders, "k")
+    lists = rare.groupBy("k").agg(F.sort_array(F.collect_list("h")).alias("l"))  # posting_most at most
+    mates = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, posting_most), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = lists.select(F.explode(mates).alias("p")).groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared)
+    size = d.select("book_id", F.xxhash64("book_id").alias("h"), F.size("g").cast("double").alias("size"))
+    side = lambda k: size.select(F.col("h").alias(k), F.col("book_id").alias(f"b_{k}"), F.col("size").alias(f"s_{k}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    score = F.col("n") / F.sqrt(F.col("s_x") * F.col("s_y"))
+    return both.where(score >= least).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b"), "n", F.round(F.least(F.lit(0.92), score), 6).alias("score"))
 
 
 def term_weights(words: DataFrame, books: int, top: int = 120, common: float = 0.45) -> DataFrame:

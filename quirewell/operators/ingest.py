@@ -105,5 +105,46 @@ def publish(stored: DataFrame, staged: DataFrame) -> DataFrame:
     return j.select("page_id", "title", act.alias("action"))
 
 
+def apply_publish(stored: DataFrame, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The terms after publishing, and the conflicts ``page_id, title, old_page``.
+
+    ``stored``: title, page_id, hash, edited, text, snapshot; ``staged``: title,
+    page_id, hash, text. New titles come; an unedited term takes text, snapshot
+    and hash; an edited one keeps its text and takes the others; equal hashes
+    change nothing; another page's title is a conflict and stays.
+    """
+    acts = publish(stored, staged).where("action <> 'skip'")
+    new = staged.join(acts, ["page_id", "title"])
+    fresh = new.where("action = 'insert'").select("title", "page_id", "hash", F.lit(False).alias("edited"), "text", F.col("text").alias("snapshot"))
+    put = new.where("action IN ('update', 'snapshot')").select("title", "action", F.col("hash").alias("n_hash"), F.col("text").alias("n_text"))
+    j = stored.join(put, "title", "left")
+    text = F.when(F.col("action") == "update", F.col("n_text")).otherwise(F.col("text"))
+    kept = j.select("title", "page_id", F.coalesce("n_hash", "hash").alias("hash"), "edited", text.alias("text"), F.coalesce("n_text", "snapshot").alias("snapshot"))
+    conflicts = acts.where("action = 'conflict'").join(stored.select("title", F.col("page_id").alias("old_page")), "title").select("page_id", "title", "old_page")
+    return kept.unionByName(fresh), conflicts
+
+
+def validate_batch(staging: DataFrame, terms: DataFrame) -> DataFrame:
+    """``job_id, accepted, redirects, filtered, title_conflicts, alias_conflicts, publishable`` of staged pages.
+
+    ``staging``: job_id, page_id, title, outcome; ``terms``: term, source,
+    page_id. A title conflicts if a term of another source or page has it; a
+    redirect's if another page of the encyclopedia has. What is accepted and has
+    no conflict can be published.
+    """
+    t = terms.select(F.col("term").alias("title"), F.col("source").alias("t_source"), F.col("page_id").alias("t_page"))
+    other = F.col("t_page").isNull() | (F.col("t_page") != F.col("page_id"))
+    j = staging.join(t, "title", "left")
+    wiki = F.col("t_source") == "encyclopedia"
+    clash = F.col("t_source").isNotNull()
+    marked = j.groupBy("job_id", "page_id", "title", "outcome").agg(F.count_if(clash & (~wiki | other)).alias("titles"), F.count_if(clash & wiki & F.col("t_page").isNotNull() & other).alias("aliases"))
+    is_ = lambda x: F.col("outcome") == x
+    counts = marked.groupBy("job_id").agg(
+        F.count_if(is_("accepted")).alias("accepted"), F.count_if(is_("redirect")).alias("redirects"), F.count_if(~F.col("outcome").isin("accepted", "redirect")).alias("filtered"),
+        F.coalesce(F.sum(F.when(is_("accepted"), F.col("titles"))), F.lit(0)).alias("title_conflicts"), F.coalesce(F.sum(F.when(is_("redirect"), F.col("aliases"))), F.lit(0)).alias("alias_conflicts"),
+    )
+    return counts.withColumn("publishable", F.greatest(F.lit(0), F.col("accepted") - F.col("title_conflicts")))
+
+
 def content_hash(kind: Column, title: Column, body: Column) -> Column:
     return F.md5(F.concat_ws("|", kind, F.lower(F.trim(title)), body))

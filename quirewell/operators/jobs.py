@@ -38,6 +38,12 @@ def delete_jobs(jobs: DataFrame, children: DataFrame, ids: DataFrame) -> tuple[D
     return purge(jobs, gone, "job_id"), purge(children, gone, "job_id")
 
 
+def prune(jobs: DataFrame, children: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """``children`` (``job_id``) without those of jobs that ended more than ``days`` days ago; jobs stay, as do rows of unknown jobs."""
+    old = jobs.where(F.col("status").isin(*TERMINAL) & (F.col("finished_at") < now - F.lit(days * 86400))).select("job_id")
+    return purge(children, old, "job_id")
+
+
 def preview(chunks: DataFrame, known: DataFrame) -> DataFrame:
     """The first chunks of each import, cut, and whether its content (``hash``) is known."""
     first = chunks.where(F.col("position") < PREVIEW_CHUNKS).select("source_id", "position", F.substring("content", 1, PREVIEW_CHARS).alias("content"), "hash")

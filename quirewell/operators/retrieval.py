@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_search, occurrences
+from ..functions.text import char_pairs, normalize_search, occurrences
 from .search_index import SearchIndex, fold, words
 
 
@@ -29,6 +29,16 @@ def search_terms(query: str) -> list[str]:
     return sorted(found, key=lambda t: (-len(t), t))
 
 
+def terms_of(query: Column) -> Column:
+    """``search_terms`` of a column of queries."""
+    whole = normalize_search(query)
+    words = F.filter(F.transform(F.split(query, r"\s+"), normalize_search), lambda w: w != "")
+    pairs = F.when(F.char_length(whole) >= 2, F.array_distinct(F.concat(words, char_pairs(whole)))).otherwise(F.array_distinct(words))
+    dynasty = reduce(Column.__or__, [F.contains(whole, F.lit(x)) for x in DYNASTY[:3]])
+    every = F.when(dynasty, F.array_union(pairs, F.array(*map(F.lit, DYNASTY)))).otherwise(pairs)
+    return F.transform(F.array_sort(F.transform(every, lambda t: F.struct((-F.char_length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+
+
 def match_terms(query: str, most: int = 12) -> list[str]:
     """The terms that candidates are matched by: the longest ones, without marks; none for a query of symbols only."""
     return list(dict.fromkeys(map(fold, search_terms(query)[:most])))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_search, snippet, when_text
+from ..functions.text import core_title, normalize_search, snippet, when_text
 from . import retrieval as R
 from .search_index import SearchIndex
 
@@ -142,19 +142,16 @@ def source_evidence(sources: DataFrame, index: SearchIndex, question: str, book_
     return found.orderBy(F.desc("score"), "id").limit(limit).where("score > 0")
 
 
-def note_chars(mode: str, results: int, books: int) -> int:
+def note_chars(mode: Column, results: Column, books: Column) -> Column:
     """How many characters of each note a prompt takes."""
-    if mode == "ask":
-        return 220 if results > 100 else 700 if results > 30 else 1200
-    if mode == "compare":
-        return 420 if books > 30 else 700
-    return 1200
+    ask = F.when(results > 100, 220).when(results > 30, 700).otherwise(1200)
+    return F.when(mode == "ask", ask).when(mode == "compare", F.when(books > 30, 420).otherwise(700)).otherwise(1200)
 
 
-def prompt_lines(evidence: DataFrame, most: int, *order: Column) -> DataFrame:
+def prompt_lines(evidence: DataFrame, most: Column, *order: Column) -> DataFrame:
     """``n, line``: the evidence numbered in ``order``, one text each; the evidence of one prompt, so few rows."""
     n = F.row_number().over(Window.orderBy(*order))
-    body = F.substring(F.trim(F.coalesce("content", F.lit(""))), 1, most)
+    body = F.substring(F.trim(F.coalesce("content", F.lit(""))), F.lit(1), most)
     return evidence.select(n.alias("n"), F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.when(F.coalesce("chapter", F.lit("")) != "", F.concat(F.lit(" / "), "chapter")).otherwise(""), F.lit("\n"), body).alias("line"))
 
 
@@ -177,17 +174,26 @@ def metadata_context(metadata: DataFrame, book_ids: list[str], priority: list[st
     return first.select("book_id", "source", rank.cast("int").alias("rank"), line.alias("line"))
 
 
-def fuzzy_best(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """For each ``id, title, author`` of ``wanted`` the best of ``found`` (``key, id, title, author``), joined by id.
+def fuzzy_best(wanted: DataFrame, found: DataFrame, by: str = "authors") -> DataFrame:
+    """For each ``id, title, author`` of ``wanted`` the best of ``found`` (``id, key, title, author``), the last ``key`` of equal ones.
 
-    Equal titles 100, one within the other 60, else nothing; the author adds 30 if equal, 20 if one has the other.
+    Core titles, letters and digits only: equal 100, one within the other 60.
+    By ``authors``: 20 more if one author has the other; a blank title is within
+    none, and an answer that only shares the author counts. By ``abstract``
+    (``author`` of ``found`` is a text): 30 more if it names the author; the
+    best one goes if its title has nothing of the wanted one.
     """
-    n = lambda c: normalize_search(F.coalesce(c, F.lit("")))
-    f = found.select("id", "key", n(F.col("title")).alias("t2"), n(F.col("author")).alias("a2"))
-    j = wanted.select("id", n(F.col("title")).alias("t1"), n(F.col("author")).alias("a1")).join(f, "id")
-    within = lambda a, b: (F.char_length(a) > 0) & (F.char_length(b) > 0) & (F.contains(a, b) | F.contains(b, a))
+    plain = lambda c: normalize_search(core_title(F.coalesce(c, F.lit(""))))
+    name = lambda c: normalize_search(F.coalesce(c, F.lit("")))
+    f = found.select("id", "key", plain(F.col("title")).alias("t2"), name(F.col("author")).alias("a2"))
+    j = wanted.select("id", plain(F.col("title")).alias("t1"), name(F.col("author")).alias("a1")).join(f, "id")
     t1, t2, a1, a2 = (F.col(c) for c in ("t1", "t2", "a1", "a2"))
-    base = F.when((t1 == t2) & (F.char_length(t1) > 0), 100).when(within(t1, t2), 60).otherwise(0)
-    more = F.when((a1 == a2) & (F.char_length(a1) > 0), 30).when(within(a1, a2), 20).otherwise(0)
-    scored = j.select("id", "key", F.when(base > 0, base + more).otherwise(0).alias("score")).where("score > 0")
-    return scored.groupBy("id").agg(F.min_by("key", F.struct(-F.col("score"), "key")).alias("key"), F.max("score").alias("score"))
+    near = F.contains(t1, t2) | F.contains(t2, t1)
+    if by == "authors":
+        score = F.when(t1 == t2, 100).when((t1 != "") & near, 60).otherwise(0) + F.when((a1 != "") & (F.contains(a1, a2) | F.contains(a2, a1)), 20).otherwise(0)
+        told = score > 0
+    else:
+        score = F.when(t1 == t2, 100).when(near, 60).otherwise(0) + F.when((a1 != "") & F.contains(a2, a1), 30).otherwise(0)
+        told = near
+    best = j.groupBy("id").agg(F.max_by(F.struct("key", score.alias("score"), told.alias("told")), F.struct(score, F.col("key"))).alias("x"))
+    return best.where("x.told").select("id", "x.key", "x.score")

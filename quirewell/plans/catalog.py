@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import ingest as I
+from ..operators import jobs as J
 from ..operators import library as L
 from ..operators import retrieval as R
 from ..sources import views as V
@@ -206,10 +207,13 @@ def _(s, d):
     return L.latest(V.table(s, d, "events"), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "props")
 
 
-@query("snk_prune", "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderdate < DATE '1995-01-01')", base=False)
+@query("snk_prune", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderdate < DATE '1998-01-01' - INTERVAL 30 DAY)", base=False)
 def _(s, d):
     o = V.table(s, d, "orders")
-    return o.where(~((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1995-01-01").cast("date")))).select("o_orderkey", "o_orderstatus")
+    day = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("parsing").alias("status"), day(F.col("o_orderdate")).alias("finished_at"))
+    staged = V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_linenumber", "l_partkey")
+    return J.prune(jobs, staged, day(F.lit("1998-01-01")), 30).withColumnRenamed("job_id", "l_orderkey")
 
 
 # ---- functions ------------------------------------------------------------
@@ -319,22 +323,26 @@ def _(s, d):
     return G.semantic_edges(V.note_embeddings(s, d), 0.1)
 
 
-@query("g_author", "SELECT a.book_id AS a, b.book_id AS b, a.author, 0.92::DOUBLE AS score FROM books a JOIN books b ON a.author = b.author AND a.book_id < b.book_id")
+@query("g_author", "SELECT a.book_id AS a, b.book_id AS b, a.author, 0.92::DOUBLE AS score FROM books a JOIN books b ON a.author = b.author AND a.book_id < b.book_id WHERE NOT (CAST(substring(a.book_id, 4) AS BIGINT) % 5 = 0 AND CAST(substring(b.book_id, 4) AS BIGINT) % 5 = 0)")
 def _(s, d):
-    return G.author_edges(V.books(s, d)).select("a", "b", "author", F.col("score").cast("double").alias("score"))
+    from .kept import _work_titles
 
+    return G.author_edges(_work_titles(V.books(s, d))).select("a", "b", "author", F.col("score").cast("double").alias("score"))
 
-META = """WITH m AS (SELECT 'p' || p_partkey AS book_id, p_brand AS brand, [p_type, list_last(string_split(p_name, ' '))] AS subjects FROM part),
-k AS (SELECT DISTINCT book_id, unnest(subjects) AS k FROM m), kb AS (SELECT k FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 80),
-bb AS (SELECT brand FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 80),
-x AS (SELECT a.book_id AS a, b.book_id AS b, 0.94::DOUBLE AS score FROM m a JOIN m b ON a.brand = b.brand AND a.book_id < b.book_id WHERE a.brand IN (FROM bb)
- UNION ALL SELECT a.book_id, b.book_id, least(0.88, round(0.48 + 0.08 * count(*), 6))::DOUBLE FROM k a JOIN k b ON a.k = b.k AND a.book_id < b.book_id WHERE a.k IN (FROM kb) GROUP BY 1, 2)
-SELECT a, b, max(score) AS score FROM x GROUP BY 1, 2"""
 
+META = """WITH m AS (SELECT 'p' || p_partkey AS book_id, [' ' || upper(p_brand)] AS authors, [p_type, list_last(string_split(p_name, ' ')), p_brand, ' '] AS subjects, CASE WHEN p_partkey % 3 = 0 THEN ['Tr ' || p_size] WHEN p_partkey % 3 = 1 THEN ['Tr ' || p_size, 'B' || p_size] ELSE [] END AS translators FROM part),
+k AS (SELECT DISTINCT book_id, kind, lower(trim(label)) AS label FROM (SELECT book_id, 'author' AS kind, unnest(authors) AS label FROM m UNION ALL SELECT book_id, 'subject', unnest(subjects) FROM m UNION ALL SELECT book_id, 'translator', unnest(translators) FROM m) WHERE trim(label) <> ''),
+h AS (SELECT kind, label FROM k GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 80),
+x AS (SELECT a.book_id AS a, b.book_id AS b, a.kind, list(a.label ORDER BY a.label)[1:6] AS labels FROM k a JOIN k b ON a.kind = b.kind AND a.label = b.label AND a.book_id < b.book_id WHERE (a.kind, a.label) IN (SELECT (kind, label) FROM h) GROUP BY 1, 2, 3)
+SELECT a, b, kind, CASE kind WHEN 'author' THEN 0.94 WHEN 'translator' THEN 0.9 ELSE least(0.88, round(0.48 + 0.08 * len(labels), 6)) END::DOUBLE AS score, labels FROM x"""
 
-@query("g_metadata", META, base=False)
+
+@query("g_metadata", META, base=False, lists=("labels",))
 def _(s, d):
-    return G.metadata_edges(V.metadata(s, d)).select("a", "b", F.col("score").cast("double").alias("score"))
+    m, k = V.table(s, d, "part"), F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit('["Tr '), F.col("p_size").cast("string"), F.lit('"]'))).when(k == 1, F.concat(F.lit("Tr "), F.col("p_size").cast("string"), F.lit("、 B"), F.col("p_size").cast("string"), F.lit("/ ")))
+    meta = m.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("book_id"), F.array(F.concat(F.lit(" "), F.upper("p_brand"))).alias("authors"), F.array("p_type", F.element_at(F.split("p_name", " "), -1), "p_brand", F.lit(" ")).alias("subjects"), T.translators(raw).alias("translators"))
+    return G.metadata_edges(meta).select("a", "b", "kind", F.col("score").cast("double").alias("score"), "labels")
 
 
 INTRO = """WITH t AS (SELECT 'd' || doc_id AS book_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS x FROM documents WHERE length(text) >= 40),
@@ -371,7 +379,7 @@ def _(s, d):
 
 @query("a_degree", "SELECT node, count(*) AS degree FROM (SELECT a.book_id AS node FROM books a JOIN books b ON a.author = b.author AND a.book_id < b.book_id UNION ALL SELECT b.book_id FROM books a JOIN books b ON a.author = b.author AND a.book_id < b.book_id) GROUP BY 1")
 def _(s, d):
-    return G.degree(G.author_edges(V.books(s, d)))
+    return G.degree(G.author_edges(V.books(s, d), works_too=True))
 
 
 DEGREE = EMB.replace("WITH e", "WITH RECURSIVE e") + """, x AS (SELECT a.book_id AS a, b.book_id AS b, round(list_cosine_similarity(a.mean, b.mean), 6) AS score FROM m a JOIN m b ON a.book_id < b.book_id),
@@ -416,6 +424,26 @@ def _(s, d):
     return I.publish(old, staged)
 
 
+PUBLISHED = """, st AS (SELECT p_partkey AS page_id, p_name || '_' || (p_partkey // 2) AS title, md5(p_type) AS hash, p_type AS text FROM part),
+od AS (SELECT title, page_id, md5(was) AS hash, page_id % 6 = 0 AS edited, was || CASE WHEN page_id % 6 = 0 THEN ' mine' ELSE '' END AS text, was AS snapshot FROM (SELECT p_partkey AS page_id, p_name || '_' || (p_partkey // 2) AS title, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '' END || p_type AS was FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 < 3)),
+j AS (SELECT o.*, s.hash AS nh, s.text AS nt FROM od o LEFT JOIN st s ON s.title = o.title AND s.page_id = o.page_id)
+SELECT 'term' AS part, title, page_id, coalesce(nh, hash) AS hash, edited, CASE WHEN nh <> hash AND NOT edited THEN nt ELSE text END AS text, CASE WHEN nh <> hash THEN nt ELSE snapshot END AS snapshot FROM j
+UNION ALL SELECT 'term', title, page_id, hash, FALSE, text, text FROM st WHERE title NOT IN (SELECT title FROM od)
+UNION ALL SELECT 'conflict', s.title, s.page_id, '', FALSE, o.page_id::VARCHAR, '' FROM st s JOIN od o ON o.title = s.title AND o.page_id <> s.page_id"""
+
+
+@query("e_publish_applied", "WITH z AS (SELECT 1)" + PUBLISHED, base=False)
+def _(s, d):
+    p, k = V.table(s, d, "part"), F.col("p_partkey")
+    title = F.concat("p_name", F.lit("_"), F.floor(k / 2).cast("string")).alias("title")
+    staged = p.select(k.alias("page_id"), title, F.md5("p_type").alias("hash"), F.col("p_type").alias("text"))
+    was = F.concat(F.when(k % 3 == 0, "x").otherwise(""), F.col("p_type"))
+    stored = p.where((k % 2 == 0) & (k % 5 < 3)).select(title, k.alias("page_id"), F.md5(was).alias("hash"), (k % 6 == 0).alias("edited"), F.concat(was, F.when(k % 6 == 0, " mine").otherwise("")).alias("text"), was.alias("snapshot"))
+    terms, conflicts = I.apply_publish(stored, staged)
+    blank = F.lit("")
+    return terms.select(F.lit("term").alias("part"), "title", "page_id", "hash", "edited", "text", "snapshot").union(conflicts.select(F.lit("conflict"), "title", "page_id", blank, F.lit(False), F.col("old_page").cast("string"), blank))
+
+
 CHUNKS = """WITH RECURSIVE w AS (SELECT doc_id AS id, text, 0::BIGINT AS here, 0 AS i, NULL::VARCHAR AS content FROM documents WHERE length(text) > 0
   UNION ALL SELECT id, text, CASE WHEN s >= length(text) OR s - here <= 150 THEN s ELSE s - 150 END, i + 1, regexp_replace(substring(text, here + 1, s - here), '^\\s+|\\s+$', '', 'g')
   FROM (SELECT id, text, here, i, CASE WHEN q > 0 AND length(p) - q + 1 >= 2 THEN here + length(p) - q + 1 ELSE least(length(text), here + 1200) END AS s

@@ -142,9 +142,14 @@ def _(s, d):
     return V.notes(s, d).where(R.has_term(R.match_terms("the er"), "title", "chapter", "content")).select("note_id")
 
 
-@query("fn_search_terms", "SELECT * FROM (VALUES (1, 'erhe'), (2, 'the'), (3, 'ee'), (4, 'er'), (5, 'he'), (6, 'rh'), (7, 'th')) t(i, term)", base=False)
+TERM_SQL = """WITH q AS (SELECT item_id, substring(text, 1, 30) AS t FROM benchmark), n AS (SELECT item_id, regexp_replace(lower(t), '[^\\p{L}\\p{N}]', '', 'g') AS whole, list_filter(list_transform(string_split_regex(t, '\\s+'), lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g')), lambda x: x <> '') AS w FROM q),
+x AS (SELECT item_id, list_distinct(w || list_transform(range(1, length(whole)), lambda i: substring(whole, i, 2))) AS t FROM n)
+SELECT item_id, list_transform(list_sort(list_transform(t, lambda y: {'n': -length(y), 't': y})), lambda z: z.t) AS terms FROM x"""
+
+
+@query("fn_search_terms", TERM_SQL, base=False, lists=("terms",))
 def _(s, d):
-    return s.createDataFrame(list(enumerate(R.search_terms("the erhe"), 1)), "i int, term string")
+    return V.table(s, d, "benchmark").select("item_id", R.terms_of(F.substring("text", 1, 30)).alias("terms"))
 
 
 @query("t_metadata_context", """WITH m AS (SELECT 'p' || p_partkey AS book_id, CASE WHEN p_partkey % 3 = 0 THEN 'shelf' WHEN p_partkey % 3 = 1 THEN 'review' ELSE 'other' END AS source, p_name AS title, p_brand AS a, p_type AS b, p_name || ' ' || p_type AS description FROM part)
@@ -158,13 +163,14 @@ def _(s, d):
 @query("p_prompt_text", "SELECT n, '[' || n || '] ' || title || CASE WHEN chapter <> '' THEN ' / ' || chapter ELSE '' END || chr(10) || substring(trim(content), 1, 700) AS line FROM (SELECT *, CAST(row_number() OVER (ORDER BY created DESC, note_id) AS INTEGER) AS n FROM notes ORDER BY created DESC, note_id LIMIT 40)")
 def _(s, d):
     top = V.notes(s, d).orderBy(F.desc("created"), "note_id").limit(40)
-    return S.prompt_lines(top, S.note_chars("ask", 40, 0), F.desc("created"), F.asc("note_id"))
+    return S.prompt_lines(top, S.note_chars(F.lit("ask"), F.lit(40), F.lit(0)), F.desc("created"), F.asc("note_id"))
 
 
-@query("t_context_budget", "SELECT * FROM (VALUES ('ask', 120, 0, 220), ('ask', 31, 0, 700), ('ask', 30, 0, 1200), ('compare', 5, 31, 420), ('compare', 5, 30, 700), ('outline', 200, 50, 1200)) t(mode, results, books, chars)", base=False)
+@query("t_context_budget", "SELECT user_id, n, m, event_type, CASE event_type WHEN 'click' THEN CASE WHEN n > 100 THEN 220 WHEN n > 30 THEN 700 ELSE 1200 END WHEN 'view' THEN CASE WHEN m > 30 THEN 420 ELSE 700 END ELSE 1200 END AS chars FROM (SELECT user_id, event_type, count(*) * 3 AS n, count(DISTINCT event_id % 50) AS m FROM events GROUP BY 1, 2)", base=False)
 def _(s, d):
-    cases = [("ask", 120, 0), ("ask", 31, 0), ("ask", 30, 0), ("compare", 5, 31), ("compare", 5, 30), ("outline", 200, 50)]
-    return s.createDataFrame([(*c, S.note_chars(*c)) for c in cases], "mode string, results int, books int, chars int")
+    g = V.table(s, d, "events").groupBy("user_id", "event_type").agg((F.count(F.lit(1)) * 3).alias("n"), F.count_distinct(F.col("event_id") % 50).alias("m"))
+    mode = F.when(F.col("event_type") == "click", "ask").when(F.col("event_type") == "view", "compare").otherwise("outline")
+    return g.select("user_id", "n", "m", "event_type", S.note_chars(mode, F.col("n"), F.col("m")).alias("chars"))
 
 
 @query("p_locator_label", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'p. ' || page_id WHEN page_id % 4 = 1 THEN 'ch. ' || (page_id % 9) WHEN page_id % 4 = 2 THEN 'web page' ELSE coalesce(url, '') END AS label FROM pages", base=False)
@@ -287,7 +293,7 @@ def _(s, d):
 SELECT t.id, coalesce(e.term, t.term) AS term, trim(coalesce(e.definition, t.definition)) AS definition, CASE WHEN e.id IS NULL OR t.source = 'encyclopedia' THEN t.source ELSE 'manual' END AS source, CASE WHEN e.id IS NULL THEN t.status ELSE coalesce(nullif(e.status, ''), t.status) END AS status,
  CASE WHEN e.id IS NULL THEN t.aliases WHEN t.source = 'encyclopedia' THEN list_sort(list_distinct(list_concat(t.aliases, e.aliases))) ELSE e.aliases END AS aliases,
  CASE WHEN e.id IS NULL THEN t.manually_edited WHEN t.source = 'encyclopedia' THEN t.manually_edited OR e.definition <> t.definition ELSE TRUE END AS manually_edited FROM terms t LEFT JOIN (SELECT * FROM e WHERE id BETWEEN 1 AND 99999) e ON e.id = t.id
-UNION ALL SELECT (SELECT max(id) FROM terms) + row_number() OVER (ORDER BY term), term, trim(definition), 'manual', coalesce(nullif(status, ''), 'pending'), aliases, TRUE FROM e WHERE id > 99999 OR id = 0""", lists=("aliases",))
+UNION ALL SELECT (SELECT max(id) FROM terms) + row_number() OVER (ORDER BY term), term, trim(definition), 'manual', coalesce(nullif(status, ''), 'confirmed'), aliases, TRUE FROM e WHERE id > 99999 OR id = 0""", lists=("aliases",))
 def _(s, d):
     t = V.terms(s, d)
     k = F.col("id")
@@ -319,12 +325,21 @@ def _(s, d):
     return Y.named_pairs(V.notes(s, d), t, "note_id", "content").select(F.col("id").alias("note_id"), F.col("term_id").alias("item_id"))
 
 
-@query("j_fuzzy_best", "WITH c AS (SELECT p_partkey AS id, p_partkey * 3 + i AS key, CASE i WHEN 0 THEN p_name WHEN 1 THEN p_name || ' extra' ELSE 'none of these' END AS title, CASE WHEN p_partkey % 2 = i % 2 THEN p_brand ELSE substring(p_brand, 1, 7) || 'zz' END AS author FROM part, range(0, 3) r(i) WHERE NOT (i = 0 AND p_partkey % 5 = 0)), n AS (SELECT c.id, key, " + "regexp_replace(lower(c.title), '[^\\p{L}\\p{N}]', '', 'g') AS t2, regexp_replace(lower(c.author), '[^\\p{L}\\p{N}]', '', 'g') AS a2, regexp_replace(lower(p.p_name), '[^\\p{L}\\p{N}]', '', 'g') AS t1, regexp_replace(lower(p.p_brand), '[^\\p{L}\\p{N}]', '', 'g') AS a1 FROM c JOIN part p ON p.p_partkey = c.id), s AS (SELECT id, key, CASE WHEN t1 = t2 THEN 100 WHEN contains(t1, t2) OR contains(t2, t1) THEN 60 ELSE 0 END AS b, CASE WHEN a1 = a2 THEN 30 WHEN contains(a1, a2) OR contains(a2, a1) THEN 20 ELSE 0 END AS m FROM n) SELECT id, arg_min(key, (-(b + m), key)) AS key, max(b + m) AS score FROM s WHERE b > 0 GROUP BY 1", base=False)
+FUZZY = """WITH c AS (SELECT p_partkey AS id, p_partkey * 5 + i AS key, CASE i WHEN 0 THEN p_name || '：a subtitle' WHEN 1 THEN p_name || ' extra' WHEN 2 THEN 'none of these' WHEN 3 THEN '(' || p_name || ')' ELSE NULL END AS title,
+  CASE WHEN p_partkey % 2 = i % 2 THEN 'By ' || p_brand WHEN p_partkey % 7 = 0 THEN '' ELSE 'zz' END AS author FROM part, range(0, 5) r(i) WHERE NOT (i < 2 AND p_partkey % 5 < 2) AND NOT (i = 4 AND p_partkey % 3 > 0)),
+n AS (SELECT c.id, key, T2 AS t2, A2 AS a2, T1 AS t1, A1 AS a1 FROM c JOIN part p ON p.p_partkey = c.id),
+s AS (SELECT id, key, contains(t1, t2) OR contains(t2, t1) AS near, CASE WHEN t1 = t2 THEN 100 WHEN t1 <> '' AND (contains(t1, t2) OR contains(t2, t1)) THEN 60 ELSE 0 END + CASE WHEN a1 <> '' AND (contains(a1, a2) OR contains(a2, a1)) THEN 20 ELSE 0 END AS x, CASE WHEN t1 = t2 THEN 100 WHEN contains(t1, t2) OR contains(t2, t1) THEN 60 ELSE 0 END + CASE WHEN a1 <> '' AND contains(a2, a1) THEN 30 ELSE 0 END AS y FROM n)
+SELECT 'authors' AS by, id, arg_max(key, (x, key)) AS key, max(x) AS score FROM s GROUP BY id HAVING max(x) > 0
+UNION ALL SELECT 'abstract', id, key, y FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY y DESC, key DESC) AS rn FROM s) WHERE rn = 1 AND near""".replace("T2", _plain("trim(regexp_extract(c.title, '^[^：:（(【\\[]*'))")).replace("A2", _plain("c.author")).replace("T1", _plain("p.p_name")).replace("A1", _plain("p.p_brand"))
+
+
+@query("j_fuzzy_best", FUZZY, base=False)
 def _(s, d):
     p = V.table(s, d, "part").select("p_partkey", "p_name", "p_brand")
     wanted = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"))
     i, k = F.col("i"), F.col("p_partkey")
-    c = p.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where(~((i == 0) & (k % 5 == 0)))
-    title = F.when(i == 0, F.col("p_name")).when(i == 1, F.concat("p_name", F.lit(" extra"))).otherwise("none of these")
-    author = F.when(k % 2 == i % 2, F.col("p_brand")).otherwise(F.concat(F.substring("p_brand", 1, 7), F.lit("zz")))
-    return S.fuzzy_best(wanted, c.select(k.alias("id"), (k * 3 + i).alias("key"), title.alias("title"), author.alias("author")))
+    c = p.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).where(~((i < 2) & (k % 5 < 2)) & ~((i == 4) & (k % 3 > 0)))
+    title = F.when(i == 0, F.concat("p_name", F.lit("：a subtitle"))).when(i == 1, F.concat("p_name", F.lit(" extra"))).when(i == 2, "none of these").when(i == 3, F.concat(F.lit("("), "p_name", F.lit(")")))
+    author = F.when(k % 2 == i % 2, F.concat(F.lit("By "), "p_brand")).when(k % 7 == 0, "").otherwise("zz")
+    found = c.select(k.alias("id"), (k * 5 + i).alias("key"), title.alias("title"), author.alias("author"))
+    return reduce(DataFrame.unionByName, [S.fuzzy_best(wanted, found, by).select(F.lit(by).alias("by"), "*") for by in ("authors", "abstract")])

@@ -18,7 +18,22 @@ from .catalog import query
 from .found import MORE
 
 GRAPH_WORDS = "regexp_extract_all(regexp_replace(lower({}), '[\\s\\p{{P}}\\p{{S}}\\d]+', ' ', 'g'), '[a-z]{{3,}}')"
-KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def key_sql(title: str) -> str:
+    """A title's key in SQL."""
+    out = f"lower({title})"
+    for what in (T.TITLE_MARKS, T.TITLE_NUMBERS, T.TITLE_EDITIONS):
+        out = f"regexp_replace({out}, '{what}', '', 'g')"
+    return out
+
+
+#: Titles of a library in which every fifth book is a volume of one work.
+WORK = "CASE WHEN CAST(substring({0}, 4) AS BIGINT) % 5 = 0 THEN '《同一部作品》第' || substring({0}, 4) || '卷' ELSE translate({1}, '0123456789', 'abcdefghij') END"
+
+
+def _work_titles(books):
+    return books.withColumn("title", F.when(F.substring("book_id", 4, 10).cast("bigint") % 5 == 0, F.concat(F.lit("《同一部作品》第"), F.substring("book_id", 4, 10), F.lit("卷"))).otherwise(F.translate("title", "0123456789", "abcdefghij")))
 
 
 # ---- text functions -------------------------------------------------------
@@ -30,18 +45,24 @@ def _(s, d):
     return notes.select("note_id", T.graph_words(F.col("content")).alias("words"))
 
 
-@query("fn_title_key", f"SELECT p_partkey, {KEY.format('p_name')} AS key FROM part UNION ALL SELECT -1, '红楼梦'", base=False)
+TITLES = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '《' || p_name || '》典藏版' WHEN 1 THEN '【' || p_brand || '】' || p_name || ' 第三卷' WHEN 2 THEN p_name || '（全集）' WHEN 3 THEN '红楼梦·' || p_name || '：全' || p_size || '册' WHEN 4 THEN p_name || ' - ' || p_type ELSE p_name END AS title FROM part"""
+
+
+def _titles(s, d):
+    k, lit = F.col("p_partkey") % 6, F.lit
+    t = F.when(k == 0, F.concat(lit("《"), "p_name", lit("》典藏版"))).when(k == 1, F.concat(lit("【"), "p_brand", lit("】"), "p_name", lit(" 第三卷"))).when(k == 2, F.concat("p_name", lit("（全集）")))
+    t = t.when(k == 3, F.concat(lit("红楼梦·"), "p_name", lit("：全"), F.col("p_size").cast("string"), lit("册"))).when(k == 4, F.concat("p_name", lit(" - "), "p_type")).otherwise(F.col("p_name"))
+    return V.table(s, d, "part").select("p_partkey", t.alias("title"))
+
+
+@query("fn_title_key", f"SELECT p_partkey, {key_sql('title')} AS key FROM ({TITLES})", base=False)
 def _(s, d):
-    rows = V.table(s, d, "part").select("p_partkey", F.concat(F.lit("《"), F.col("p_brand"), F.lit("》"), "p_name", F.lit(" vol. 3")).alias("t"))
-    return rows.union(s.createDataFrame([(-1, "红楼梦（珍藏版）第2册")], "p_partkey bigint, t string")).select("p_partkey", T.title_key(F.col("t")).alias("key"))
+    return _titles(s, d).select("p_partkey", T.title_key(F.col("title")).alias("key"))
 
 
-@query("fn_same_work", f"SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, {KEY.format('p_name')} AS k FROM part) a JOIN (SELECT p_partkey, {KEY.format('p_name')} AS k FROM part WHERE p_partkey % 50 = 0) b ON a.p_partkey <> b.p_partkey AND least(length(a.k), length(b.k)) >= 3 AND (a.k = b.k OR (least(length(a.k), length(b.k)) >= 4 AND (contains(a.k, b.k) OR contains(b.k, a.k))))", base=False)
+@query("fn_same_work", f"WITH k AS (SELECT {key_sql('title')} AS k, count(*) AS n FROM ({TITLES}) GROUP BY 1) SELECT a.k AS a, b.k AS b, a.n AS books_a, b.n AS books_b FROM k a JOIN k b ON a.k < b.k AND least(length(a.k), length(b.k)) >= 4 AND (contains(a.k, b.k) OR contains(b.k, a.k))", base=False)
 def _(s, d):
-    p = V.table(s, d, "part").select("p_partkey", T.title_key(F.col("p_name")).alias("k"))
-    few = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("b"), F.col("k").alias("kb"))
-    rows = p.select(F.col("p_partkey").alias("a"), F.col("k").alias("ka")).join(few, F.col("a") != F.col("b"))  # a stated set of titles against all
-    return rows.where(T.same_work(F.col("ka"), F.col("kb"))).select("a", "b")
+    return G.same_works(_titles(s, d).select(T.title_key(F.col("title")).alias("key")))
 
 
 @query("fn_version_key", "SELECT p_partkey, CASE WHEN length(k) >= 3 THEN k END AS key FROM (SELECT p_partkey, split_part(regexp_replace(lower(CASE WHEN p_partkey % 3 = 0 THEN '《' || p_name || '》(' || p_brand || ')' WHEN p_partkey % 3 = 1 THEN p_name || '：' || p_brand ELSE 'Ab (x)' END), '[《》 ]', '', 'g').replace('（', '(').replace(':', '(').replace('：', '('), '(', 1) AS k FROM part)", base=False)
@@ -67,9 +88,11 @@ def _(s, d):
     return V.table(s, d, "part").select("p_partkey", T.translators(raw).alias("names"))
 
 
-@query("fn_highlight_terms", "SELECT * FROM (VALUES (0, 'alpha!'), (1, 'be'), (2, 'al'), (3, 'lp'), (4, 'ph'), (5, 'ha')) t(i, term)", base=False)
+@query("fn_highlight_terms", """WITH q AS (SELECT item_id, list_filter(string_split_regex(substring(text, 1, 40), '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT item_id, w || flatten(list_transform(list_filter(list_transform(w, lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')), lambda x: length(x) > 2), lambda x: list_transform(range(1, length(x)), lambda i: substring(x, i, 2)))) AS t FROM q)
+SELECT item_id, list_transform(list_sort(list_transform(range(1, len(t) + 1), lambda i: {'n': -length(t[i]), 'i': i})), lambda z: t[z.i]) AS terms FROM p""", base=False, lists=("terms",))
 def _(s, d):
-    return s.createDataFrame(list(enumerate(T.highlight_terms("alpha! be"))), "i int, term string")
+    return V.table(s, d, "benchmark").select("item_id", T.highlighted(F.substring("text", 1, 40)).alias("terms"))
 
 
 @query("fn_first_line_title", "SELECT doc_id, substring(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: NOT regexp_full_match(regexp_replace(x, '\\s', '', 'g'), '[0-9]*|第[0-9页]*页'))[1], 1, 60) AS title FROM documents UNION ALL SELECT -1, 'The title'", base=False)
@@ -78,10 +101,11 @@ def _(s, d):
     return rows.select("doc_id", T.first_line_title(F.col("text")).alias("title"))
 
 
-@query("fn_clean_cjk_space", "SELECT * FROM (VALUES (1, '中文 a b。是'), (2, 'plain words'), (3, '一二三')) t(i, text)", base=False)
+@query("fn_clean_cjk_space", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '中文' || p_name || ' 是' WHEN 1 THEN p_brand || '。' || p_name WHEN 2 THEN '一二三，四' || p_name WHEN 3 THEN p_name || ' ' || p_brand ELSE '书 a' || p_brand || '》' END AS text FROM part", base=False)
 def _(s, d):
-    rows = s.createDataFrame([(1, "中 文 a b。 是"), (2, "plain words"), (3, "一 二  三")], "i int, text string")
-    return rows.select("i", T.clean_cjk_space(F.col("text")).alias("text"))
+    k, lit = F.col("p_partkey") % 5, F.lit
+    t = F.when(k == 0, F.concat(lit("中 文"), "p_name", lit(" 是"))).when(k == 1, F.concat("p_brand", lit(" 。"), "p_name")).when(k == 2, F.concat(lit("一 二  三 ， 四"), "p_name")).when(k == 3, F.concat("p_name", lit(" "), "p_brand")).otherwise(F.concat(lit("书 a"), "p_brand", lit(" 》")))
+    return V.table(s, d, "part").select("p_partkey", T.clean_cjk_space(t).alias("text"))
 
 
 @query("p_coalesce_fallback", "SELECT book_id, coalesce(nullif(trim(category), ''), nullif(trim(author), ''), title) AS label FROM books")
@@ -201,7 +225,7 @@ def _(s, d):
 
 LEXICAL = WORDED + f""", norms AS (SELECT book_id, sqrt(sum(weight * weight)) AS norm FROM bw GROUP BY 1), post AS (SELECT term FROM bw GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
 pp AS (SELECT a.book_id AS a, b.book_id AS b, sum(a.weight * b.weight) AS dot, list(a.term ORDER BY round(a.weight * b.weight, 9) DESC, a.term) AS terms FROM bw a JOIN bw b ON a.term = b.term AND a.book_id < b.book_id WHERE a.term IN (FROM post) GROUP BY 1, 2),
-pc AS (SELECT a, b, round(dot / (x.norm * y.norm), 6) AS cosine, terms[1:16] AS shared, p.author = q.author AND p.author <> '' AS one, {KEY.format('p.title')} AS ka, {KEY.format('q.title')} AS kb FROM pp JOIN norms x ON x.book_id = a JOIN norms y ON y.book_id = b JOIN books p ON p.book_id = a JOIN books q ON q.book_id = b WHERE len(terms) >= 2),
+pc AS (SELECT a, b, round(dot / (x.norm * y.norm), 6) AS cosine, terms[1:16] AS shared, p.author = q.author AND p.author <> '' AS one, {key_sql(WORK.format('p.book_id', 'p.title'))} AS ka, {key_sql(WORK.format('q.book_id', 'q.title'))} AS kb FROM pp JOIN norms x ON x.book_id = a JOIN norms y ON y.book_id = b JOIN books p ON p.book_id = a JOIN books q ON q.book_id = b WHERE len(terms) >= 2),
 pd AS (SELECT a, b, cosine, shared, one FROM pc WHERE cosine >= 0.02 AND NOT (least(length(ka), length(kb)) >= 3 AND (ka = kb OR (least(length(ka), length(kb)) >= 4 AND (contains(ka, kb) OR contains(kb, ka)))))),
 nw AS (SELECT book_id, note_id, coalesce(chapter, '') AS chapter, list_intersect(list_distinct({GRAPH_WORDS.format("concat_ws(' ', coalesce(chapter, ''), substring(content, 1, 1200))")}), (SELECT list(term) FROM bw WHERE bw.book_id = newest.book_id)) AS words FROM newest),
 hits AS (SELECT a, b, book_id, chapter, list_filter(shared, lambda w: list_contains(words, w)) AS matched FROM pd JOIN nw ON nw.book_id IN (a, b) WHERE list_has_any(shared, words)),
@@ -214,7 +238,8 @@ sc AS (SELECT a, b, cosine, one, keywords, notes, chapters, round(0.55 * cosine
 
 @query("g_lexical_score", LEXICAL + "SELECT a, b, cosine, keywords, notes, chapters, score, CASE WHEN one THEN 'same author' WHEN score >= 0.28 THEN 'much alike' WHEN score >= 0.12 THEN 'alike' ELSE 'perhaps related' END AS relation FROM sc", lists=("keywords",))
 def _(s, d):
-    return G.lexical_relations(*_book_weights(s, d))
+    books, notes, weights = _book_weights(s, d)
+    return G.lexical_relations(_work_titles(books), notes, weights)
 
 
 @query("a_pair_dot", LEXICAL + "SELECT a, b, round(dot, 6) AS dot, terms[1:16] AS shared FROM pp", lists=("shared",))

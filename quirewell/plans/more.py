@@ -10,10 +10,12 @@ from ..operators import graph as G
 from ..operators import ingest as I
 from ..operators import library as L
 from ..operators import retrieval as R
+from ..operators import search as S
 from ..operators import wikitext as W
 from ..sources import documents as D
 from ..sources import views as V
 from .catalog import EMB, LEX, REDIRECTS, _listed, _weights, query
+from .found import MORE
 
 
 @query("m_book_detail", "SELECT book_id, title, highlight_count, thought_count, reading_status FROM listed WHERE book_id = 'src7'")
@@ -61,7 +63,7 @@ def _(s, d):
 
 @query("u_neighbors", "SELECT DISTINCT CASE WHEN a.book_id = 'src3' THEN b.book_id ELSE a.book_id END AS node FROM books a JOIN books b ON a.author = b.author AND a.book_id < b.book_id WHERE a.book_id = 'src3' OR b.book_id = 'src3'")
 def _(s, d):
-    e = G.author_edges(V.books(s, d))
+    e = G.author_edges(V.books(s, d), works_too=True)
     return e.where("a = 'src3'").select(F.col("b").alias("node")).union(e.where("b = 'src3'").select("a")).distinct()
 
 
@@ -91,7 +93,7 @@ def _(s, d):
 def _(s, d):
     books = V.books(s, d)
     hidden = books.where("is_deleted").select("book_id")
-    e = G.author_edges(books).select("a", "b")
+    e = G.author_edges(books, works_too=True).select("a", "b")
     return e.join(hidden.toDF("a"), "a", "left_anti").join(hidden.toDF("b"), "b", "left_anti").select("a", "b")
 
 
@@ -124,10 +126,19 @@ def _(s, d):
     return V.table(s, d, "events").groupBy("event_type", ((F.hour("ts") + 6) % 24).cast("int").alias("hour")).agg(F.round(F.sum("value") / 60, 4).alias("minutes"))
 
 
-@query("t_recent", "SELECT kind, id FROM (SELECT note_type AS kind, note_id AS id, created, row_number() OVER (PARTITION BY note_type ORDER BY created DESC, note_id) AS rn FROM notes) WHERE rn <= 10")
+RECENT = "strftime(make_timestamp({} * 1000000), '%Y-%m-%d %H:%M:%S')"
+
+
+@query("t_recent", MORE + f""", h AS (SELECT note_id AS id, note_type AS entity_type, book_id, title, {RECENT.format('created')} AS updated_at, row_number() OVER (PARTITION BY note_type ORDER BY created DESC, note_id) AS rn FROM notes),
+b AS (SELECT book_id AS id, 'book' AS entity_type, book_id, title, {RECENT.format('updated')} AS updated_at, row_number() OVER (ORDER BY updated DESC, book_id) AS rn FROM sbooks),
+s AS (SELECT id, 'source' AS entity_type, '' AS book_id, title, {RECENT.format('updated')} AS updated_at, row_number() OVER (ORDER BY updated DESC, id) AS rn FROM srcs),
+a AS (SELECT * FROM h UNION ALL SELECT * FROM b UNION ALL SELECT * FROM s)
+SELECT 'all' AS view, id, entity_type, book_id, updated_at FROM (SELECT * FROM a WHERE rn <= 36 ORDER BY updated_at DESC, title, id LIMIT 30 OFFSET 5)
+UNION ALL SELECT 'book', id, entity_type, book_id, updated_at FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY updated_at DESC, id) AS r FROM a WHERE book_id = 'src3' AND entity_type IN ('book', 'thought')) WHERE r <= 11 ORDER BY updated_at DESC, title, id LIMIT 10)""")
 def _(s, d):
-    n = V.notes(s, d).select(F.col("note_type").alias("kind"), F.col("note_id").alias("id"), "created")
-    return L.top_per_group(n, "kind", 10, F.desc("created"), F.asc("id")).select("kind", "id")
+    notes, books, sources = V.notes(s, d), V.search_books(s, d), V.sources(s, d)
+    view = lambda name, rows: rows.select(F.lit(name).alias("view"), "id", "entity_type", "book_id", "updated_at")
+    return view("all", S.recent(notes, books, sources, None, None, 30, 5)).union(view("book", S.recent(notes, books, sources, ["book", "thought"], "src3", 10)))
 
 
 @query("fn_core_title", "SELECT p_partkey, trim(regexp_extract(p_name || ' (' || p_brand || ')', '^([^(]*)', 1)) AS title FROM part", base=False)
@@ -168,9 +179,20 @@ def _(s, d):
     return found.select("page_id", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("e_validate_batch", "SELECT p_name AS title, count(*) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1", base=False)
-def _(s, d):
-    return V.table(s, d, "part").groupBy(F.col("p_name").alias("title")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_brand").alias("b")).where("b > 1").drop("b")
+@query("e_validate_batch", """WITH st AS (SELECT p_partkey % 5 AS job_id, p_partkey AS page_id, p_name || '_' || p_partkey AS title, CASE p_partkey % 7 WHEN 0 THEN 'redirect' WHEN 1 THEN 'too_short' WHEN 2 THEN 'list_page' ELSE 'accepted' END AS outcome FROM part),
+te AS (SELECT p_name || '_' || p_partkey AS term, CASE WHEN p_partkey % 3 = 0 THEN 'manual' ELSE 'encyclopedia' END AS source, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN p_partkey ELSE p_partkey + 1 END AS page_id FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 1),
+j AS (SELECT st.*, te.source, te.page_id AS t FROM st LEFT JOIN te ON te.term = st.title),
+c AS (SELECT job_id, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'redirect') AS redirects, count(*) FILTER (outcome NOT IN ('accepted', 'redirect')) AS filtered,
+ count(*) FILTER (outcome = 'accepted' AND source IS NOT NULL AND (source <> 'encyclopedia' OR t IS NULL OR t <> page_id)) AS title_conflicts, count(*) FILTER (outcome = 'redirect' AND source = 'encyclopedia' AND t <> page_id) AS alias_conflicts FROM j GROUP BY 1)
+SELECT *, greatest(0, accepted - title_conflicts) AS publishable FROM c""", base=False)
+def _(s, d):
+    p, k = V.table(s, d, "part"), F.col("p_partkey")
+    title = F.concat("p_name", F.lit("_"), k.cast("string"))
+    outcome = F.when(k % 7 == 0, "redirect").when(k % 7 == 1, "too_short").when(k % 7 == 2, "list_page").otherwise("accepted")
+    staging = p.select((k % 5).alias("job_id"), k.alias("page_id"), title.alias("title"), outcome.alias("outcome"))
+    page = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, k).otherwise(k + 1)
+    terms = p.where((k % 2 == 0) | (k % 3 == 1)).select(title.alias("term"), F.when(k % 3 == 0, "manual").otherwise("encyclopedia").alias("source"), page.alias("page_id"))
+    return I.validate_batch(staging, terms)
 
 
 @query("e_title", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages", base=False)
