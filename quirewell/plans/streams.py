@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..sources import folders
 from ..sources import views as V
+from ..sources.cursor import FIRST, LandedPages
+from ..sources.versions import VersionedTable
 from ..streaming import answers as A
 from ..streaming import jobs as J
+from ..streaming import sync
 from .catalog import query
 
 #: What a job is asked for, in turn.
@@ -63,3 +66,54 @@ def _turn_events(s, d):
 @query("st_event_reducer", TURNS, base=False)
 def _(s, d):
     return A.fold_answers(_turn_events(s, d))
+
+
+#: Items of a landed page.
+PAGE = 100
+
+
+def _land(s, rows, by_items: bool):
+    """Pages of ``chain, sort, id``, newest first, as they land: a file for each, under the cursor that leads to it."""
+    n = F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("sort")))
+    paged = rows.withColumn("p", F.floor((n - 1) / PAGE).cast("int"))
+    page = paged.groupBy("chain", "p").agg(F.sort_array(F.collect_list(F.struct("sort", "id")), asc=False).alias("items"))  # PAGE at most
+    chain = Window.partitionBy("chain").orderBy("p")
+    last = F.element_at("items", -1)["sort"].cast("string")
+    before = last if by_items else F.concat(F.lit("key"), F.col("p").cast("string"))
+    page = page.withColumns({"cursor": F.coalesce(F.lag(before).over(chain), F.lit(FIRST)), "has_more": F.lead(F.lit(1), 1, 0).over(chain)})
+    body = F.to_json(F.struct("items", "has_more", F.concat(F.lit("key"), F.col("p").cast("string")).alias("next")))
+    path = folders.work_folder(s)
+    page.select("chain", "cursor", body.alias("value")).write.partitionBy("chain", "cursor").text(path)
+    return path
+
+
+def _landed(s, rows, by_items: bool):
+    s.dataSource.register(LandedPages)
+    stream = s.readStream.format("landed_pages").option("path", _land(s, rows, by_items)).option("cursor", "items" if by_items else "next").load()
+    item = F.from_json("item", "sort bigint, id string")
+    return J.to_end(stream, folders.work_folder(s)).select("chain", "cursor", "position", item["id"].alias("id"))
+
+
+CURSORS = """WITH o AS (SELECT {chain} AS chain, {sort} AS sort, {id} AS id, row_number() OVER (PARTITION BY {chain} ORDER BY {sort} DESC) - 1 AS n FROM {table})
+SELECT chain, CASE WHEN n < 100 THEN 'first' ELSE {cursor} END AS cursor, CAST(n % 100 AS INTEGER) AS position, id FROM o"""
+
+
+@query("src_cursor_notebooks", CURSORS.format(chain="'shelf ' || (o_custkey % 3)", sort="o_orderkey", id="'b' || o_custkey", table="orders", cursor="max(sort) FILTER (n % 100 = 99) OVER (PARTITION BY chain ORDER BY n // 100 RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)::VARCHAR"), base=False)
+def _(s, d):
+    o = V.table(s, d, "orders")
+    return _landed(s, o.select(F.concat(F.lit("shelf "), (F.col("o_custkey") % 3).cast("string")).alias("chain"), F.col("o_orderkey").alias("sort"), F.concat(F.lit("b"), F.col("o_custkey").cast("string")).alias("id")), True)
+
+
+@query("src_synckey_thoughts", CURSORS.format(chain="event_type", sort="event_id", id="'r' || event_id", table="events", cursor="'key' || (n // 100 - 1)"), base=False)
+def _(s, d):
+    e = V.table(s, d, "events")
+    return _landed(s, e.select(F.col("event_type").alias("chain"), F.col("event_id").alias("sort"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id")), False)
+
+
+@query("st_sync_upsert", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_id % 5 <> 0", base=False)
+def _(s, d):
+    events = V.table(s, d, "events")
+    table = VersionedTable(s, folders.work_folder(s), ["user_id", "event_type"], events.select("user_id", "event_type", "event_id", "value").schema)
+    stream = s.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet").withColumn("is_deleted", F.col("event_id") % 5 == 0)
+    sync.upsert_stream(stream, table, f"{folders.work_folder(s)}/checkpoint", "event_id").awaitTermination()
+    return table.read()

@@ -7,14 +7,6 @@ import pytest
 from quirewell.streaming import answers, jobs, sync
 
 
-def test_upsert_is_latest_wins(spark, tmp_path):
-    for i, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(1, "c", 2), (3, "d", 2)]]):
-        spark.createDataFrame(rows, "k int, v string, at int").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-        stream = spark.readStream.schema("k int, v string, at int").parquet(f"{tmp_path}/in/*")
-        sync.upsert_stream(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", ["k"], "at").awaitTermination(60)
-    assert sorted(map(tuple, sync.current(spark, f"{tmp_path}/out", ["k"], "at").collect())) == [(1, "c", 2), (2, "b", 1), (3, "d", 2)]
-
-
 EVENT = "session string, seq int, kind string, request_id string, text string"
 EVENTS = [
     ("a", 1, "delta", "q1", "early"), ("a", 2, "start", "q1", None), ("a", 3, "delta", "q1", "one "), ("a", 4, "delta", "q0", "stale"), ("a", 5, "delta", "q1", "two"), ("a", 6, "stop", "q1", None), ("a", 7, "delta", "q1", "after"),
