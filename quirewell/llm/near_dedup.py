@@ -308,11 +308,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80,
     spark, pct, t = docs.sparkSession, threshold_pct, tail_share(k, threshold_pct)
     home = work_dir(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = keep(sketches(docs.withColumn("row", F.xxhash64("text")), shingle, k), f"{home}/rows")
+    rows = keep(sketches(docs.withColumn("row", F.xxhash64("text")), shingle, k), f"{home}/sketched")
     some = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     # one node for equal sets, numbered as it is written
     equal = some.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = keep(equal.withColumn("node", F.monotonically_increasing_id()), f"{home}/nodes")
+    rows = keep(rows.select("doc_id", "n_shingles", "same", "row"), f"{home}/rows")  # the nodes have the sketches
+    drop(spark, f"{home}/sketched")
     listed = nodes.select("node", F.explode("sketch").alias("value"))
     common = keep(listed.groupBy("value").count().where("count > 1"), f"{home}/common")
     # the rarest values: those of one document come first and link nothing
