@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import math
 import shutil
 import tempfile
@@ -83,6 +84,23 @@ def keep(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: it stays alive for later stages, and their memory counts together."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """``run``, a function of batches, followed by ``give_back``."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return all_of
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -269,4 +287,4 @@ def by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
         if held:
             yield from run(pa.Table.from_batches(held)).to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(each), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, by_group, drop, keep, mix, only_ids, pieces, raw, tail_share, windows, work_dir, words_of
+from .common import BROADCAST_IDS, by_group, drop, keep, lean, mix, only_ids, pieces, raw, tail_share, windows, words_of, work_dir
 from .components import components
 
 #: Members of a block and bytes of their sets: a group of n costs n / BLOCK copies of each, and a task holds two blocks.
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
                         low.append(x[:k].view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "row", "n_shingles", "same", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, same binary, sketch array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, row bigint, n_shingles bigint, same binary, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -88,7 +88,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 same = [hashlib.blake2b(x, digest_size=16).digest() for x in items]
                 yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), pa.array(items, pa.binary())], ["same", "items"])
 
-    return docs.mapInArrow(run, "same binary, items binary")
+    return docs.mapInArrow(lean(run), "same binary, items binary")
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ def _passing(pairs: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
 
     one = nodes.select("node", "n_shingles", "sketch")
     full = pairs.join(one.toDF("a", "na", "sa"), "a").join(one.toDF("b", "nb", "sb"), "b")
-    return full.mapInArrow(run, "a bigint, b bigint")
+    return full.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, path: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     full = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
-    return full.mapInArrow(run, "a bigint, b bigint")
+    return full.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _blocks(members: DataFrame, pct: int, weight: int, path: str) -> DataFrame:

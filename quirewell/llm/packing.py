@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, partitions, pieces, work_dir
+from .common import keep, lean, partitions, pieces, work_dir
 
 SMOOTH = 0.9  # weight of the best dual prices so far
-#: Words that a worker remembers the ids of; beyond that it starts anew.
-REMEMBER, REMEMBER_BYTES = 200_000, 64
+#: Words that a worker remembers the ids of, in each of two generations: those in use move to the new one before the old one goes.
+REMEMBER, REMEMBER_BYTES = 250_000, 64
 #: A full stop or comma between a letter and white space: a token of its own.
 STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
@@ -42,14 +42,16 @@ class WordIds:
     by the tokenizers library once and remembered.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remember: int = REMEMBER) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.remember = remember
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -62,9 +64,14 @@ class WordIds:
         if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
             data = STOP.sub(rb" \1", data.lower())
         words = data.split()
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
+        if len(self.known) > self.remember:
+            self.known, self.old = {}, self.known
+        new, old = [], self.old
+        for w in set(words).difference(self.known):
+            if w in old:
+                self.known[w] = old[w]
+            else:
+                new.append(w)
         long = [w for w in new if len(w) > REMEMBER_BYTES]
         new = [w for w in new if len(w) <= REMEMBER_BYTES]
         if new:
@@ -78,7 +85,7 @@ class WordIds:
 _loaded: dict[str, WordIds] = {}
 
 
-def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool, remember: int = REMEMBER) -> DataFrame:
     """Full pieces of ``capacity`` ids and the remainder of each document: ``doc_id, start, length, ids_crc32, doc_tokens[, ids]``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = np.array([end_id], dtype="<u4").tobytes()
@@ -87,6 +94,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids:
         if vocabulary not in _loaded:
             _loaded[vocabulary] = WordIds(vocabulary)
         ids = _loaded[vocabulary]
+        ids.remember = remember
         for whole in batches:
             for batch in pieces(whole, "text"):
                 at, start, length, crc, total, held = [], [], [], [], [], []
@@ -107,7 +115,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids:
                     columns.append(pa.array(held, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
 
 
 # ---- cutting stock --------------------------------------------------------
@@ -257,18 +265,20 @@ def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size", "lo", "hi", "first", "each", "slot"]).sort_values(["size", "lo"], ignore_index=True)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, most_classes: int = 256, unit: int = 8, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, most_classes: int = 256, unit: int = 8, with_ids: bool = False, remember: int = REMEMBER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]``.
 
     Lengths are rounded up to at most ``most_classes`` sizes, whole numbers of
     ``unit`` ids, in the plan only: pieces lie in their sequence without gaps. Null and empty texts are a document of one id,
     the end. Every row is a document of its own, repeated ones and those with a
     null id too. An empty table gives no pieces. Other columns are not read.
+    Workers ``remember`` so many words twice over, some 200 bytes each; it
+    changes the speed only.
     """
     spark = docs.sparkSession
     home = work_dir(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cuts = keep(cut(rows, vocabulary, capacity, end_id, with_ids), f"{home}/cuts")
+    cuts = keep(cut(rows, vocabulary, capacity, end_id, with_ids, remember), f"{home}/cuts")
     found = cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").toPandas()  # as many rows as the capacity at most
     found["size"] = classes(found["length"].to_numpy(), found["n"].to_numpy(), most_classes, unit)
     histogram = found.groupby("size")["n"].sum().to_dict()

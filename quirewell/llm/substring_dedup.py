@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, drop, keep, mix, only_ids, partitions, pieces, raw, windows, work_dir, words_of
+from .common import BROADCAST_IDS, drop, keep, lean, mix, only_ids, partitions, pieces, raw, windows, words_of, work_dir
 
 #: Words of a reference shard, twice as many at most.
 SHARD_WORDS = 20_000
@@ -136,7 +136,7 @@ def _sequences(docs: DataFrame, window: int) -> DataFrame:
                 same = [hashlib.blake2b(words[s:e].tobytes(), digest_size=16).digest() if e - s >= window else None for s, e in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(same, pa.binary())], ["doc_id", "row", "n_words", "same"])
 
-    return docs.mapInArrow(run, "doc_id bigint, row bigint, n_words bigint, same binary")
+    return docs.mapInArrow(lean(run), "doc_id bigint, row bigint, n_words bigint, same binary")
 
 
 def _shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _shared_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         anchor = np.concatenate([lead[out], read("known", np.uint64)]).view(np.int64)
         return pa.table({"doc_id": np.concatenate([owner[out], read("known_owner", np.int64)]), "anchor": anchor})
 
-    packed = docs.mapInArrow(emit, "bucket int, lead binary, owner binary, done binary, known binary, known_owner binary")
+    packed = docs.mapInArrow(lean(emit), "bucket int, lead binary, owner binary, done binary, known binary, known_owner binary")
     return packed.groupBy("bucket").applyInArrow(meet, "doc_id bigint, anchor bigint")
 
 
@@ -207,7 +207,7 @@ def _regions(docs: DataFrame, window: int) -> DataFrame:
                 ids, keys = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(region, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64()), pa.array(begin - first[row], pa.int64()), pa.array(count, pa.int32()), pa.array(held, pa.binary())], ["anchor", "region", "doc_id", "row", "start", "windows", "words"])
 
-    return docs.mapInArrow(run, "anchor bigint, region bigint, doc_id bigint, row bigint, start bigint, windows int, words binary")
+    return docs.mapInArrow(lean(run), "anchor bigint, region bigint, doc_id bigint, row bigint, start bigint, windows int, words binary")
 
 
 def _solve(pieces_: DataFrame, window: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _solve(pieces_: DataFrame, window: int) -> DataFrame:
             yield solve(rows)
 
     dealt = pieces_.repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket")
-    return dealt.select("anchor", "bucket", "piece", "least", "words").mapInArrow(run, "anchor bigint, piece bigint, least array<bigint>")
+    return dealt.select("anchor", "bucket", "piece", "least", "words").mapInArrow(lean(run), "anchor bigint, piece bigint, least array<bigint>")
 
 
 def _cut(regions: DataFrame, window: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _cut(regions: DataFrame, window: int) -> DataFrame:
                 place = np.concatenate([np.arange(c) for c in count])
                 yield pa.RecordBatch.from_arrays([batch.column("anchor").take(row), batch.column("region").take(row), pa.array(place, pa.int32()), pa.array(hashes), batch.column("least").take(row), pa.array(held, pa.binary())], ["anchor", "region", "i", "piece", "least", "words"])
 
-    return regions.mapInArrow(run, "anchor bigint, region bigint, i int, piece bigint, least bigint, words binary")
+    return regions.mapInArrow(lean(run), "anchor bigint, region bigint, i int, piece bigint, least bigint, words binary")
 
 
 def _spans(occurrences: DataFrame, found: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def _apply(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
                     left.append((text if not gone[-1] else kept.decode()) if with_text else None)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(left, pa.string()), batch.column("row")], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "row"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, row bigint")
+    return docs.mapInArrow(lean(run), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, row bigint")
 
 
 def deduplicate_substrings(docs: DataFrame, window: int = 13, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
