@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quirewell.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
 from quirewell.llm.common import BROADCAST_IDS, keep, work_dir
 
+#: Words that packing remembers, fewer than by itself: executors come to it with what other stages left in memory.
+PACKING_WORDS = 50_000
 #: A passage of so many words that an earlier document has goes.
 PASSAGE_WORDS = 50
 
@@ -65,7 +67,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of all documents with their sequences."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=PACKING_WORDS)
 
 
 STAGES = [
