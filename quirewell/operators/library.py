@@ -48,8 +48,8 @@ def book_list(books: DataFrame, highlights: DataFrame, thoughts: DataFrame) -> D
 SORTS = {"highlights": [F.desc, "highlight_count"], "thoughts": [F.desc, "thought_count"], "title": [F.asc, "title"], "recent": [F.desc, "read_update_time"]}
 
 
-def book_page(listed: DataFrame, query: str = "", category: str = "all", status: str = "all", with_highlights: bool = False, with_thoughts: bool = False, sort_by: str = "recent", limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of ``book_list``; null-like arguments ('all', '') switch their predicate off."""
+def book_page(listed: DataFrame, query: str = "", category: str = "all", status: str = "all", with_highlights: bool = False, with_thoughts: bool = False, sort_by: str = "recent", limit: int | None = 50, offset: int = 0) -> DataFrame:
+    """A page of ``book_list``; null-like arguments ('all', '') switch their predicate off, no limit gives all rows in no order."""
     if sort_by not in SORTS:
         raise ValueError(f"unknown sort: {sort_by}")
     if status not in ("all", "finished", "reading", "unread"):
@@ -61,11 +61,33 @@ def book_page(listed: DataFrame, query: str = "", category: str = "all", status:
         d = d.where(F.col("reading_status") == status)
     if with_highlights or with_thoughts:
         d = d.where((F.lit(with_highlights) & (F.col("highlight_count") > 0)) | (F.lit(with_thoughts) & (F.col("thought_count") > 0)))
+    if limit is None:
+        return d
     way, column = SORTS[sort_by]
     key = F.lower(column) if sort_by == "title" else F.coalesce(F.col(column), F.lit(0))
     return d.orderBy(way(key), "book_id").offset(max(0, offset)).limit(min(500, max(1, limit)))
 
 
+def page_with_facets(listed: DataFrame, facets: tuple[str, ...] = ("category", "reading_status"), **page) -> DataFrame:
+    """``part, value, n, place``: the page's rows, how many there are in all, and how many of each value of the facets, in one result.
+
+    ``page`` are the arguments of ``book_page``. Total and facets are grouping
+    sets of one pass over the filtered rows, which are made once.
+    """
+    limit, offset = min(500, max(1, page.pop("limit", 50))), max(0, page.pop("offset", 0))
+    found = settle(book_page(listed, limit=None, **page))
+    sets = found.groupingSets([[F.col(c)] for c in facets] + [[]], *facets).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    which = {(1 << len(facets)) - 1 - (1 << (len(facets) - 1 - i)): c for i, c in enumerate(facets)}
+    name = F.coalesce(*[F.when(F.col("g") == g, c) for g, c in which.items()], F.lit("total"))
+    value = F.coalesce(*[F.when(F.col("g") == g, F.col(c).cast("string")) for g, c in which.items()], F.lit(""))
+    counts = sets.select(name.alias("part"), value.alias("value"), "n", F.lit(0).alias("place"))
+    way, column = SORTS[page.get("sort_by", "recent")]
+    key = F.lower(column) if column == "title" else F.coalesce(F.col(column), F.lit(0))
+    rows = found.orderBy(way(key), "book_id").offset(offset).limit(limit)
+    place = F.row_number().over(Window.orderBy(way(key), "book_id"))  # of one page
+    return rows.select(F.lit("page").alias("part"), F.col("book_id").alias("value"), F.lit(1).cast("bigint").alias("n"), place.alias("place")).unionByName(counts)
+
+
 def note_counts(books: DataFrame, highlights: DataFrame, thoughts: DataFrame) -> DataFrame:
     """One row of live counts; each table is reduced to a number before they meet."""
     one = lambda d, name: d.select(F.count_if(~F.col("is_deleted")).alias(name))

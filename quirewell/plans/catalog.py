@@ -110,6 +110,13 @@ def _(s, d):
     return L.book_page(listed, sort_by="highlights", limit=5, offset=2).select("book_id", "highlight_count", "reading_status")
 
 
+@query("l_page_facets", """, f AS (SELECT * FROM listed WHERE (lower(title) LIKE '%1%' OR lower(author) LIKE '%1%') AND (highlight_count > 0))
+SELECT 'page' AS part, book_id AS value, 1::BIGINT AS n, CAST(row_number() OVER (ORDER BY highlight_count DESC, book_id) AS INTEGER) AS place FROM (SELECT * FROM f ORDER BY highlight_count DESC, book_id LIMIT 4 OFFSET 1)
+UNION ALL SELECT 'total', '', count(*), 0 FROM f UNION ALL SELECT 'category', category, count(*), 0 FROM f GROUP BY category UNION ALL SELECT 'reading_status', reading_status, count(*), 0 FROM f GROUP BY reading_status""")
+def _(s, d):
+    return L.page_with_facets(_listed(s, d), query="1", with_highlights=True, sort_by="highlights", limit=4, offset=1)
+
+
 @query("f_optional", "SELECT book_id, title, updated_at FROM listed WHERE reading_status = 'reading' AND thought_count > 0 ORDER BY lower(title), book_id LIMIT 500")
 def _(s, d):
     return L.book_page(_listed(s, d), status="reading", with_thoughts=True, sort_by="title", limit=500).select("book_id", "title", "updated_at")

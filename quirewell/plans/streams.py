@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..sources import documents as D
 from ..sources import folders
 from ..sources import views as V
 from ..sources.cursor import FIRST, LandedPages
@@ -117,3 +118,24 @@ def _(s, d):
     stream = s.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet").withColumn("is_deleted", F.col("event_id") % 5 == 0)
     sync.upsert_stream(stream, table, f"{folders.work_folder(s)}/checkpoint", "event_id").awaitTermination()
     return table.read()
+
+
+@query("src_dump_bz2", """SELECT doc_id AS page_id, 'Page & ' || doc_id AS raw_title, CASE WHEN doc_id % 7 = 0 THEN 'To "' || (doc_id + 1) || '"' ELSE '' END AS redirect_title, doc_id + 1000 AS revision_id, CASE WHEN octet_length(encode(t)) > 20000 THEN 'oversized' ELSE '' END AS issue, CASE WHEN octet_length(encode(t)) > 20000 THEN '' ELSE md5(text) END AS hash
+FROM (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents) WHERE doc_id % 13 <> 0""", base=False)
+def _(s, d):
+    """Documents written as a packed dump and read back: other namespaces go, long ones are issues."""
+    k = F.col("doc_id")
+    text = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    id_ = k.cast("string")
+    redirect = F.when(k % 7 == 0, F.concat(F.lit('<redirect title="To &quot;'), (k + 1).cast("string"), F.lit('&quot;" />'))).otherwise("")
+    xml = F.concat(
+        F.lit("<page>\n<title>Page &amp; "), id_, F.lit("</title>\n<ns>"), F.when(k % 13 == 0, "10").otherwise("0"), F.lit("</ns>\n<id>"), id_, F.lit("</id>\n"), redirect,
+        F.lit("<revision>\n<id>"), (k + 1000).cast("string"), F.lit('</id>\n<timestamp>2024-01-01T00:00:00Z</timestamp>\n<text bytes="1" xml:space="preserve">'), text, F.lit("</text>\n</revision>\n</page>"),
+    )
+    path = folders.work_folder(s)
+    V.table(s, d, "documents").select(xml.alias("value")).write.option("compression", "bzip2").text(path)
+    pages = D.read_guarded_dump(s, path, most_page=20_000)
+    blank = F.lit("")
+    return pages.select("page_id", "raw_title", F.coalesce("redirect_title", blank).alias("redirect_title"), "revision_id", F.coalesce("issue", blank).alias("issue"), F.coalesce(F.md5("text"), blank).alias("hash"))

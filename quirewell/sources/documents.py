@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bz2
 import html
 import io
 import re
@@ -39,6 +40,143 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return pages.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_PAGE_TEXT)
 
 
+#: Bytes that a dump may produce, how many times its own size, and how often that is looked at.
+MOST_PRODUCED, MOST_RATIO, LOOK = 64 << 30, 200, 32 << 20
+#: Columns of a guarded dump: a page, or an issue where ``issue`` isn't null.
+DUMP = "path string, page_id bigint, raw_title string, redirect_title string, revision_id bigint, revised_at string, text string, issue string"
+_FIELD = {
+    "raw_title": rb"<title>([^<]*)</title>", "page_id": rb"<id>(\d+)</id>", "redirect_title": rb'<redirect title="([^"]*)"', "ns": rb"<ns>(-?\d+)</ns>",
+    "revision_id": rb"<revision>\s*<id>(\d+)</id>", "revised_at": rb"<timestamp>([^<]*)</timestamp>", "text": rb"<text[^>]*?(?:/>|>(.*?)</text>)",
+}
+_FIELD = {k: re.compile(v, re.S) for k, v in _FIELD.items()}
+
+
+class Guard:
+    """Chunks of an archive, counted as they go in and come out; ends with a ``reason`` where too much comes out or it can't be read."""
+
+    def __init__(self, most: int = MOST_PRODUCED, ratio: float = MOST_RATIO, look: int = LOOK) -> None:
+        self.most, self.ratio, self.look, self.reason = most, ratio, look, None
+        self.came = self.produced = 0
+
+    def _unpacked(self, read, size: int) -> Iterator[bytes]:
+        """bz2, several streams one after another too, ``size`` bytes at most at once."""
+        unpack = bz2.BZ2Decompressor()
+        while True:
+            data = b""
+            if unpack.eof and unpack.unused_data:
+                data, unpack = unpack.unused_data, bz2.BZ2Decompressor()
+            elif unpack.eof or unpack.needs_input:
+                data = read(size)
+                if not data:
+                    self.reason = None if unpack.eof else "unreadable"
+                    return
+                self.came += len(data)
+                unpack = bz2.BZ2Decompressor() if unpack.eof else unpack
+            try:
+                yield unpack.decompress(data, size)
+            except OSError:
+                self.reason = "unreadable"
+                return
+
+    def _plain(self, read, size: int) -> Iterator[bytes]:
+        while data := read(size):
+            self.came += len(data)
+            yield data
+
+    def chunks(self, read, packed: bool, size: int = 1 << 20) -> Iterator[bytes]:
+        """What ``read`` gives, unpacked if it is ``packed``."""
+        seen = 0
+        for out in (self._unpacked if packed else self._plain)(read, size):
+            self.produced += len(out)
+            if self.produced > self.most:
+                self.reason = "too much comes out"
+                return
+            if self.produced - seen >= self.look:
+                seen = self.produced
+                if self.produced > self.ratio * self.came:
+                    self.reason = "too much comes out of little"
+                    return
+            if out:
+                yield out
+
+
+def dump_pages(chunks: Iterator[bytes], most: int) -> Iterator[dict]:
+    """Articles of a stream of XML; a page with more than ``most`` bytes of text is an issue, and no more of it than that is held."""
+    rest, skipping = b"", None
+    room = most + (1 << 16)
+    for chunk in chunks:
+        rest += chunk
+        while True:
+            if skipping is not None:
+                end = rest.find(b"</page>")
+                if end < 0:
+                    rest = rest[-6:]
+                    break
+                rest, page = rest[end + 7 :], skipping
+                skipping = None
+                yield page
+                continue
+            begin = rest.find(b"<page>")
+            if begin < 0:
+                rest = rest[-5:]
+                break
+            end = rest.find(b"</page>", begin)
+            whole = rest[begin:end] if end >= 0 else rest[begin:]
+            if end < 0 and len(whole) <= room:
+                rest = whole
+                break
+            found = {k: (m[1] if (m := p.search(whole[:room])) else None) for k, p in _FIELD.items()}
+            plain = {k: html.unescape(v.decode("utf-8", "replace")) if v is not None else None for k, v in found.items()}
+            page = {k: int(v) if v is not None and k in ("page_id", "ns", "revision_id") else v for k, v in plain.items()}
+            big = end < 0 or len(found["text"] or b"") > most or len(whole) > room
+            page |= {"issue": "oversized", "text": None} if big else {"issue": None, "text": page["text"] or ""}
+            if page.pop("ns") != 0:
+                page = None
+            if end < 0:
+                rest, skipping = b"", page or {}
+                continue
+            rest = rest[end + 7 :]
+            if page:
+                yield page
+
+
+def read_guarded_dump(spark: SparkSession, path: str, most_page: int = MAX_PAGE_TEXT, most: int = MOST_PRODUCED, ratio: float = MOST_RATIO, look: int = LOOK) -> DataFrame:
+    """Articles of dumps that aren't trusted, and what is wrong with them as rows beside them (``issue``).
+
+    Each file is streamed by one task, so memory doesn't grow with it: a page
+    with more than ``most_page`` bytes of text is an issue (oversized), as is a
+    file of which more than ``most`` bytes or ``ratio`` times its own size come
+    out, or that can't be unpacked; what came before stays. For trusted dumps
+    ``read_dump`` splits files over tasks.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        kinds = {"string": pa.string(), "bigint": pa.int64()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in DUMP.split(", "))])
+        for batch in batches:
+            for uri in batch.column("path").to_pylist():
+                fs, at = pafs.FileSystem.from_uri(uri)
+                guard = Guard(most, ratio, look)
+                rows, size = [], 0
+                with fs.open_input_stream(at, compression=None) as f:
+                    for page in dump_pages(guard.chunks(f.read, at.endswith(".bz2")), most_page):
+                        if page:
+                            rows.append({"path": uri, **page})
+                            size += len(page["text"] or "")
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+                if guard.reason:
+                    rows.append({"path": uri, "issue": guard.reason})
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.repartition("path").mapInArrow(run, DUMP)
+
+
 def file_gate(files: DataFrame) -> DataFrame:
     """``path, kind, fingerprint`` of binary files that may be imported: by extension and first bytes, 200 MB at most."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))

@@ -57,3 +57,33 @@ def test_garbled_and_manifest(spark):
     assert [r[0] for r in df.select(D.garbled(F.col("t"))).collect()] == [False, True]
     lines = spark.createDataFrame([("0" * 32 + "  a.bz2",), ("no",)], "value string")
     assert [tuple(r) for r in D.manifest(lines).collect()] == [("0" * 32, "a.bz2")]
+
+
+def _page(i, text, ns=0):
+    return f"<page><title>T{i} &amp; &lt;b&gt;</title><ns>{ns}</ns><id>{i}</id><revision><id>{i + 100}</id><timestamp>2024-01-01T00:00:00Z</timestamp><text>{text}</text></revision></page>\n"
+
+
+def test_guarded_dump(spark, tmp_path):
+    """Oversized pages and archives of which too much comes out are rows beside what is good."""
+    import bz2
+
+    good = "<mediawiki>" + _page(1, "one &amp; two\n") + _page(2, "x" * 90_000) + _page(3, "other", 10) + "<page><title>T4</title><ns>0</ns><id>4</id><revision><id>5</id><text/></revision></page>" + _page(5, "five") + "</mediawiki>"
+    half = len(good) // 2
+    (tmp_path / "good.xml.bz2").write_bytes(bz2.compress(good[:half].encode()) + bz2.compress(good[half:].encode()))
+    (tmp_path / "plain.xml").write_text(_page(6, "six"))
+    (tmp_path / "bomb.xml.bz2").write_bytes(bz2.compress((_page(7, "seven") + " " * 6_000_000 + _page(8, "never")).encode()))
+    (tmp_path / "broken.xml.bz2").write_bytes(bz2.compress(_page(9, "y" * 10).encode())[:-8] + b"no archive")
+    rows = D.read_guarded_dump(spark, str(tmp_path), most_page=1000, ratio=50, look=2 << 20).collect()
+    got = {(r["path"].rsplit("/", 1)[1], r["page_id"]): (r["text"], r["issue"]) for r in rows}
+    want = {("good.xml.bz2", 1): ("one & two\n", None), ("good.xml.bz2", 2): (None, "oversized"), ("good.xml.bz2", 4): ("", None), ("good.xml.bz2", 5): ("five", None), ("plain.xml", 6): ("six", None), ("bomb.xml.bz2", 7): ("seven", None), ("bomb.xml.bz2", None): (None, "too much comes out of little")}
+    assert {k: v for k, v in got.items() if not k[0].startswith("broken")} == want
+    assert got["broken.xml.bz2", None] == (None, "unreadable")
+    assert next(r["raw_title"] for r in rows if r["page_id"] == 1) == "T1 & <b>"
+    few = D.read_guarded_dump(spark, f"{tmp_path}/good.xml.bz2", most_page=1000, most=50_000).collect()
+    assert [r["issue"] for r in few if r["page_id"] is None] == ["too much comes out"]
+
+
+def test_long_page_is_not_held():
+    """A page of which the text never ends is read past in bounded memory."""
+    chunks = iter([b"<page><title>a</title><ns>0</ns><id>1</id><revision><id>2</id><text>", *[b"z" * 1000] * 500, b"</te", b"xt></revision></pa", b"ge>", _page(2, "two").encode()])
+    assert [(p["page_id"], p["issue"]) for p in D.dump_pages(chunks, 2000)] == [(1, "oversized"), (2, None)]
