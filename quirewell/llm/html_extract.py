@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, pieces, work_dir
@@ -24,8 +24,8 @@ from .common import keep, pieces, work_dir
 WIN_SHARE = 0.05
 #: Elements of a path that are spelled out, from the innermost up.
 MOST_DEEP = 64
-#: Winning paths that may be broadcast: some 100 bytes each.
-BROADCAST_PATHS = 50_000
+#: Bytes of hosts and winning paths that may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -304,11 +304,23 @@ def votes(rows: DataFrame) -> DataFrame:
 
 
 def winners(voted: DataFrame) -> DataFrame:
-    """``host, paths``: the host's winning paths, most votes first, ties in order."""
-    counts = voted.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") >= WIN_SHARE * F.sum("n").over(Window.partitionBy("host"))
+    """``host, paths``: the host's winning paths, most votes first, ties in order.
+
+    A host's votes are summed up apart from its paths, so that a host with very
+    many of them makes no large group: only the few that win are gathered.
+    """
+    home = work_dir(voted.sparkSession)
+    counts = keep(voted.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), f"{home}/counts")
+    totals = keep(counts.groupBy("host").agg(F.sum("n").alias("all")), f"{home}/totals")
+    small = _bytes(totals, F.octet_length("host")) <= BROADCAST_BYTES
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))  # 1 / WIN_SHARE at most
-    return counts.where("path IS NOT NULL").withColumn("wins", share).where("wins").groupBy("host").agg(ordered.alias("x")).select("host", F.col("x.path").alias("paths"))
+    won = counts.where("path IS NOT NULL").join(F.broadcast(totals) if small else totals, "host").where(F.col("n") >= WIN_SHARE * F.col("all"))
+    return won.groupBy("host").agg(ordered.alias("x")).select("host", F.col("x.path").alias("paths"))
+
+
+def _bytes(rows: DataFrame, each: Column) -> int:
+    """About how much memory a broadcast of the rows takes."""
+    return rows.agg(F.sum(each + 64)).first()[0] or 0
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -323,7 +335,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = pages.schema[id_col].dataType.simpleString()
     rows = _read(pages, id_col, url_col, html_col)
     won = keep(winners(votes(rows)), f"{work_dir(pages.sparkSession)}/paths")
-    small = won.count() <= BROADCAST_PATHS
+    small = _bytes(won, F.octet_length("host") + F.octet_length(F.array_join("paths", " "))) <= BROADCAST_BYTES
     joined = rows.join(F.broadcast(won) if small else won, "host", "left").select("page_id", "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,10 @@ _loaded: dict[str, WordIds] = {}
 
 
 def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool, remember: int = REMEMBER) -> DataFrame:
-    """Full pieces of ``capacity`` ids and the remainder of each document: ``doc_id, start, length, ids_crc32, doc_tokens[, ids]``."""
+    """Full pieces of ``capacity`` ids and the remainder of each document: ``doc_id, start, length, ids_crc32, doc_tokens, spread[, ids]``.
+
+    ``spread`` tells pieces of null ids apart, whose other columns may all be equal.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = np.array([end_id], dtype="<u4").tobytes()
 
@@ -110,12 +113,14 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids:
                         total.append(n)
                         if with_ids:
                             held.append(np.frombuffer(piece, dtype="<u4").astype(np.int32))
-                columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+                ids_ = batch.column("doc_id").take(pa.array(at, pa.int64()))
+                spread = pa.array(np.where(np.asarray(ids_.is_null()), np.arange(len(at)), 0), pa.int32())
+                columns = [ids_, *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), spread]
                 if with_ids:
                     columns.append(pa.array(held, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread", *["ids"] * with_ids])
 
-    return docs.mapInArrow(lean(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, spread int" + ", ids array<int>" * with_ids)
 
 
 # ---- cutting stock --------------------------------------------------------
@@ -285,7 +290,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
     sizes = spark.createDataFrame(found[["length", "size"]].astype("int64"), "length bigint, size bigint")
     blocks = partitions(spark)
     # a class may hold most pieces: they are ranked by block, then across blocks
-    cuts = cuts.join(F.broadcast(sizes), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+    cuts = cuts.join(F.broadcast(sizes), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "spread"), F.lit(blocks)))
     counts = cuts.groupBy("size", "block").agg(F.count(F.lit(1)).alias("n"))
     counts = keep(counts.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))), f"{home}/counts")
     runs = plan(histogram, capacity // unit)
@@ -300,9 +305,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
             f["slot"] = at["slot"][k] + r % at["each"][k]
             yield f.drop(columns=["size", "rank"])
 
-    local = F.row_number().over(Window.partitionBy("size", "block").orderBy(F.col("doc_id").asc_nulls_last(), "start", "ids_crc32")) - 1
+    local = F.row_number().over(Window.partitionBy("size", "block").orderBy(F.col("doc_id").asc_nulls_last(), "start", "ids_crc32", "spread")) - 1
     ranked = cuts.withColumn("local", local).join(counts.select("size", "block", "before"), ["size", "block"])
-    ranked = ranked.withColumn("rank", (F.col("local") + F.coalesce(F.col("before"), F.lit(0))).cast("long")).drop("local", "before", "block")
+    ranked = ranked.withColumn("rank", (F.col("local") + F.coalesce(F.col("before"), F.lit(0))).cast("long")).drop("local", "before", "block", "spread")
     fields = [f"{c} {t}" for c, t in ranked.dtypes if c not in ("size", "rank")]
     placed = ranked.mapInPandas(place, ", ".join([*fields, "sequence_id bigint", "slot bigint"]))
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))

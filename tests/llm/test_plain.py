@@ -202,3 +202,23 @@ def test_op2(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.op2_html(spark, str(tmp_path)).collect()}
     assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_op2_hot_host(spark):
+    """Thousands of paths of one host: only winners are gathered."""
+    rows = [("hot", f"div.p{i}") for i in range(20_000)] + [("hot", "article")] * 3000 + [("cold", "main")] * 2 + [("cold", "div")]
+    got = {r["host"]: r["paths"] for r in html_extract.winners(spark.createDataFrame(rows, "host string, path string").repartition(8)).collect()}
+    assert got == {"hot": ["article"], "cold": ["main", "div"]}
+
+
+def test_packing_null_ids(spark):
+    """Pieces of null ids with one text are ranked in many blocks."""
+    docs = spark.createDataFrame([(None, "one two three")] * 3000 + [(1, "one")], "doc_id bigint, text string").repartition(4)
+    cuts = packing.cut(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, 2, False)
+    assert cuts.where("doc_id IS NULL").select("spread").distinct().count() > 300
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(rows) == 3001 and "spread" not in rows[0].asDict()
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
