@@ -37,8 +37,13 @@ def semantic_edges(embeddings: DataFrame, least: float = 0.35) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least)
 
 
-def semantic_label(score):
-    return F.when(score >= 0.72, "strong").when(score >= 0.52, "related").otherwise("weak")
+def semantic_relations(embeddings: DataFrame, least: float = 0.35, thoughts: float = 0.48) -> DataFrame:
+    """``id, a, b, score, relation``: books near by all their notes, and those near by their readers' own thoughts alone."""
+    all_ = semantic_edges(embeddings, least)
+    label = F.when(F.col("score") >= 0.72, "much alike").when(F.col("score") >= 0.52, "alike").otherwise("perhaps related")
+    own = semantic_edges(embeddings.where("note_type = 'thought'"), thoughts)
+    named = lambda d, start, relation: d.select(F.concat(F.lit(start), "a", F.lit(":"), "b").alias("id"), "a", "b", "score", relation.alias("relation"))
+    return named(all_, "semantic:", label).unionByName(named(own, "semantic:thought:", F.lit("readers' thoughts")))
 
 
 def author_edges(books: DataFrame, least: int = 2, most: int = 80, works_too: bool = False) -> DataFrame:

@@ -72,7 +72,7 @@ def page_with_facets(listed: DataFrame, facets: tuple[str, ...] = ("category", "
     """``part, value, n, place``: the page's rows, how many there are in all, and how many of each value of the facets, in one result.
 
     ``page`` are the arguments of ``book_page``. Total and facets are grouping
-    sets of one pass over the filtered rows, which are made once.
+    sets of one pass over the filtered rows, which are made once; a null value is shown as a blank one.
     """
     limit, offset = min(500, max(1, page.pop("limit", 50))), max(0, page.pop("offset", 0))
     found = settle(book_page(listed, limit=None, **page))
@@ -107,6 +107,36 @@ def browse(notes: DataFrame, books: DataFrame, query: str, limit: int = 50, offs
     return d.orderBy(F.desc("created_at"), "id").offset(max(0, offset)).limit(min(100, max(1, limit)))
 
 
+#: Tables that may be browsed: what is searched, and the key, title, two details and the time that are shown (``t`` is the table, ``b`` its book).
+BROWSED = {
+    "books": (["title", "author", "book_id"], ["book_id", "title", "coalesce(author, '')", "coalesce(category, '')", "read_update_time"]),
+    "highlights": (["mark_text", "chapter_title", "book_title"], ["bookmark_id", "mark_text", "coalesce(book_title, '')", "coalesce(chapter_title, '')", "create_time"]),
+    "thoughts": (["content", "chapter_name", "book_title"], ["review_id", "content", "coalesce(book_title, '')", "coalesce(chapter_name, '')", "create_time"]),
+    "sessions": (["source", "status", "error"], ["id", "status", "source", "concat_ws(' · ', concat('books ', books), concat('highlights ', highlights), concat('thoughts ', thoughts))", "started_at"]),
+    "metadata": (["book_title", "source", "publisher", "authors", "book_id"], ["book_id", "coalesce(book_title, title, book_id)", "source", "coalesce(nullif(publisher, ''), authors, '')", "fetched_at"]),
+    "terms": (["term", "canonical_name", "definition"], ["CAST(id AS string)", "term", "canonical_name", "substring(definition, 1, 200)", "updated_at"]),
+}
+
+
+def browse_table(name: str, rows: DataFrame, books: DataFrame, query: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
+    """``id, primary, secondary, detail, created_at, total``: a page of one of the BROWSED tables, newest first, and how many rows match in all.
+
+    Other tables are an error. Deleted rows are left out; a row stays if its
+    book is missing. A page has 1 to 100 rows.
+    """
+    if name not in BROWSED:
+        raise ValueError(f"no table to browse: {name}")
+    searched, shown = BROWSED[name]
+    d = rows.where("NOT coalesce(is_deleted, false)") if "is_deleted" in rows.columns else rows
+    if "book_title" in searched:
+        d = d.join(books.select("book_id", F.col("title").alias("book_title")), "book_id", "left")
+    d = d.where(like_any(query, *searched))
+    found = d.select(*[F.expr(x).alias(c) for x, c in zip(shown, ("id", "primary", "secondary", "detail", "at"), strict=True)])
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    page = found.orderBy(F.desc_nulls_last("at"), "id").offset(max(0, offset)).limit(min(100, max(1, limit)))
+    return page.crossJoin(F.broadcast(total)).select("id", "primary", "secondary", "detail", when_text(F.col("at")).alias("created_at"), "total")  # one row
+
+
 def merge_upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old_if_null: bool = True) -> DataFrame:
     """``old`` with the rows of ``new`` put in: by key, the new value where there is one."""
     rest = [c for c in old.columns if c not in keys]

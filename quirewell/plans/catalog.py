@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,32 @@ def _(s, d):
     return L.browse(V.all_notes(s, d), V.books(s, d), "th", 50, 10)
 
 
+WHEN_AT = "coalesce(strftime(make_timestamp({} * 1000000), '%Y-%m-%d %H:%M:%S'), '')"
+BROWSE = f""", g AS (SELECT item_id AS id, split_part(text, ' ', 1) AS term, split_part(text, ' ', 2) AS name, text AS definition, 1700000000 + item_id AS at FROM benchmark),
+se AS (SELECT event_id AS id, event_type AS status, 'src' || (user_id % 3) AS source, 1700000000 + event_id AS at, event_id % 5 AS b, event_id % 7 AS h, event_id % 11 AS t FROM events),
+me AS (SELECT 'src' || (p_partkey % 25) AS book_id, p_brand AS source, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS publisher, p_brand AS authors, 1700000000 + p_partkey AS at FROM part),
+r AS (SELECT 'books' AS tab, book_id AS id, title AS "primary", coalesce(author, '') AS secondary, coalesce(category, '') AS detail, read_update_time AS at FROM books WHERE NOT is_deleted AND (lower(title) LIKE '%1%' OR lower(author) LIKE '%1%' OR lower(book_id) LIKE '%1%')
+UNION ALL SELECT note_type || 's', note_id, content, coalesce(title, ''), coalesce(chapter, ''), created FROM all_notes n LEFT JOIN books USING (book_id) WHERE NOT n.is_deleted AND (lower(content) LIKE '%1%' OR lower(chapter) LIKE '%1%' OR lower(coalesce(title, '')) LIKE '%1%')
+UNION ALL SELECT 'sessions', id::VARCHAR, status, source, 'books ' || b || ' · highlights ' || h || ' · thoughts ' || t, at FROM se WHERE lower(source) LIKE '%1%' OR lower(status) LIKE '%1%'
+UNION ALL SELECT 'metadata', book_id, coalesce(b.title, me.title, book_id), source, coalesce(nullif(publisher, ''), authors, ''), at FROM me LEFT JOIN books b USING (book_id) WHERE lower(coalesce(b.title, '')) LIKE '%1%' OR lower(source) LIKE '%1%' OR lower(publisher) LIKE '%1%' OR lower(authors) LIKE '%1%' OR book_id LIKE '%1%'
+UNION ALL SELECT 'terms', id::VARCHAR, term, name, substring(definition, 1, 200), at FROM g WHERE lower(term) LIKE '%1%' OR lower(name) LIKE '%1%' OR lower(definition) LIKE '%1%'),
+n AS (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY at DESC NULLS LAST, id) AS rn, count(*) OVER (PARTITION BY tab) AS total FROM r)
+SELECT tab, id, "primary", secondary, detail, {WHEN_AT.format('at')} AS created_at, total FROM n WHERE rn BETWEEN 4 AND 23""".replace(" at FROM", ' "at" FROM').replace(" AS at", ' AS "at"').replace("ORDER BY at", 'ORDER BY "at"').replace("(at *", '("at" *')
+
+
+@query("scan_tables", BROWSE)
+def _(s, d):
+    b, lit = V.books(s, d), F.lit
+    e, k = V.table(s, d, "events"), F.col("event_id")
+    sessions = e.select(k.cast("string").alias("id"), F.col("event_type").alias("status"), F.concat(lit("src"), (F.col("user_id") % 3).cast("string")).alias("source"), lit(None).cast("string").alias("error"), (k % 5).alias("books"), (k % 7).alias("highlights"), (k % 11).alias("thoughts"), (k + V.BASE_TIME).alias("started_at"))
+    p, q = V.table(s, d, "part"), F.col("p_partkey")
+    meta = p.select(F.concat(lit("src"), (q % 25).cast("string")).alias("book_id"), F.col("p_brand").alias("source"), F.col("p_name").alias("title"), F.when(q % 2 == 0, F.col("p_type")).otherwise("").alias("publisher"), F.col("p_brand").alias("authors"), (q + V.BASE_TIME).alias("fetched_at"))
+    m, i = V.table(s, d, "benchmark"), F.col("item_id")
+    terms = m.select(i.alias("id"), F.split_part("text", lit(" "), lit(1)).alias("term"), F.split_part("text", lit(" "), lit(2)).alias("canonical_name"), F.col("text").alias("definition"), (i + V.BASE_TIME).alias("updated_at"))
+    tables = {"books": b, "highlights": V.highlights(s, d), "thoughts": V.thoughts(s, d), "sessions": sessions, "metadata": meta, "terms": terms}
+    return reduce(DataFrame.unionByName, [L.browse_table(name, rows, b, "1", 20, 3).select(lit(name).alias("tab"), "*") for name, rows in tables.items()])
+
+
 @query("u_notes_union", "SELECT note_id, note_type, book_id, chapter, created FROM notes")
 def _(s, d):
     return V.notes(s, d).select("note_id", "note_type", "book_id", "chapter", "created")
@@ -325,9 +352,16 @@ def _(s, d):
     return G.mean_vectors(V.note_embeddings(s, d)).select("book_id", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("g_semantic", EMB + " SELECT a.book_id AS a, b.book_id AS b, round(list_cosine_similarity(a.mean, b.mean), 6) AS score FROM m a JOIN m b ON a.book_id < b.book_id WHERE list_cosine_similarity(a.mean, b.mean) >= 0.1", base=False)
+NEAR = """, tm AS (SELECT book_id, list(m ORDER BY i) AS mean FROM (SELECT 'src' || (vec_id % 20) AS book_id, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) WHERE vec_id % 4 = 0 GROUP BY 1, 2) GROUP BY 1),
+x AS (SELECT a.book_id AS a, b.book_id AS b, round(list_cosine_similarity(a.mean, b.mean), 6) AS score FROM m a JOIN m b ON a.book_id < b.book_id),
+y AS (SELECT a.book_id AS a, b.book_id AS b, round(list_cosine_similarity(a.mean, b.mean), 6) AS score FROM tm a JOIN tm b ON a.book_id < b.book_id)
+SELECT 'semantic:' || a || ':' || b AS id, a, b, score, CASE WHEN score >= 0.72 THEN 'much alike' WHEN score >= 0.52 THEN 'alike' ELSE 'perhaps related' END AS relation FROM x WHERE score >= -0.3
+UNION ALL SELECT 'semantic:thought:' || a || ':' || b, a, b, score, 'readers'' thoughts' FROM y WHERE score >= 0.1"""
+
+
+@query("g_semantic", EMB + NEAR, base=False)
 def _(s, d):
-    return G.semantic_edges(V.note_embeddings(s, d), 0.1)
+    return G.semantic_relations(V.note_embeddings(s, d), -0.3, 0.1)
 
 
 @query("g_author", "SELECT a.book_id AS a, b.book_id AS b, a.author, 0.92::DOUBLE AS score FROM books a JOIN books b ON a.author = b.author AND a.book_id < b.book_id WHERE NOT (CAST(substring(a.book_id, 4) AS BIGINT) % 5 = 0 AND CAST(substring(b.book_id, 4) AS BIGINT) % 5 = 0)")

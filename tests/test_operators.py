@@ -182,3 +182,27 @@ def test_named_pairs(spark, monkeypatch):
         got = [tuple(r) for r in Y.named_pairs(texts, terms, "id", "text").collect()]
         assert len(got) == len(want) and set(got) == want
     assert Y.named_pairs(texts, terms.limit(0), "id", "text").count() == 0
+
+
+def test_browse(spark):
+    import pytest
+
+    books = spark.createDataFrame([("b1", "Title", "An", "cat", 5, False), ("b2", "Other", None, None, None, False), ("b3", "Title 3", "x", "y", 9, True)], "book_id string, title string, author string, category string, read_update_time bigint, is_deleted boolean")
+    got = L.browse_table("books", books, books, "t", 1).collect()
+    assert [(r["id"], r["secondary"], r["total"]) for r in got] == [("b1", "An", 2)]
+    assert [r["id"] for r in L.browse_table("books", books, books, "", 500, 1).collect()] == ["b2"]
+    thoughts = spark.createDataFrame([("t1", "none", "c", "x", 1, False)], "review_id string, book_id string, chapter_name string, content string, create_time bigint, is_deleted boolean")
+    assert L.browse_table("thoughts", thoughts, books, "x").first()["secondary"] == ""
+    with pytest.raises(ValueError):
+        L.browse_table("books; drop", books, books)
+
+
+def test_page_with_facets(spark):
+    rows = [(f"b{i}", f"T{i}", "a", "even" if i % 2 == 0 else None, i, 0, "reading" if i < 4 else "unread", i) for i in range(9)]
+    listed = spark.createDataFrame(rows, "book_id string, title string, author string, category string, highlight_count int, thought_count int, reading_status string, read_update_time int")
+    got = L.page_with_facets(listed, sort_by="highlights", limit=3, offset=1).collect()
+    part = lambda name: [(r["value"], r["n"]) for r in sorted(got, key=lambda r: r["place"]) if r["part"] == name]
+    assert [v for v, _ in part("page")] == ["b7", "b6", "b5"] and part("total") == [("", 9)]
+    assert set(part("reading_status")) == {("reading", 4), ("unread", 5)} and set(part("category")) == {("even", 5), ("", 4)}
+    empty = L.page_with_facets(listed.limit(0)).collect()
+    assert [(r["part"], r["n"]) for r in empty] == [("total", 0)]
