@@ -80,7 +80,8 @@ def page_with_facets(listed: DataFrame, facets: tuple[str, ...] = ("category", "
     which = {(1 << len(facets)) - 1 - (1 << (len(facets) - 1 - i)): c for i, c in enumerate(facets)}
     name = F.coalesce(*[F.when(F.col("g") == g, c) for g, c in which.items()], F.lit("total"))
     value = F.coalesce(*[F.when(F.col("g") == g, F.col(c).cast("string")) for g, c in which.items()], F.lit(""))
-    counts = sets.select(name.alias("part"), value.alias("value"), "n", F.lit(0).alias("place"))
+    nothing = found.sparkSession.range(1).select(F.lit("total").alias("part"), F.lit("").alias("value"), F.lit(0).cast("bigint").alias("n"))  # without rows there are no sets
+    counts = sets.select(name.alias("part"), value.alias("value"), "n").union(nothing).groupBy("part", "value").agg(F.sum("n").alias("n"), F.lit(0).alias("place"))
     way, column = SORTS[page.get("sort_by", "recent")]
     key = F.lower(column) if column == "title" else F.coalesce(F.col(column), F.lit(0))
     rows = found.orderBy(way(key), "book_id").offset(offset).limit(limit)
