@@ -268,9 +268,11 @@ def _(s, d):
     return V.notes(s, d).select("note_id", T.occurrences(T.normalize_search(F.col("content")), "er").alias("n"))
 
 
-@query("fn_wiki_title", "SELECT p_partkey, upper(substring(t, 1, 1)) || substring(t, 2) AS title FROM (SELECT p_partkey, trim(regexp_replace(replace(p_name || '_' || p_partkey, '_', ' '), '\\s+', ' ', 'g')) AS t FROM part)", base=False)
+@query("fn_wiki_title", "SELECT p_partkey, upper(substring(t, 1, 1)) || substring(t, 2) AS title FROM (SELECT p_partkey, nfc_normalize(trim(regexp_replace(replace(CASE WHEN p_partkey % 2 = 0 THEN 'e' || chr(769) || '_' ELSE '  ' END || p_name || '__' || p_partkey || 'u' || chr(776), '_', ' '), '\\s+', ' ', 'g'))) AS t FROM part)", base=False)
 def _(s, d):
-    return V.wiki_pages(s, d).select(F.col("page_id").alias("p_partkey"), T.wiki_title(F.col("raw_title"), compose=False).alias("title"))
+    k = F.col("page_id")
+    title = F.concat(F.when(k % 2 == 0, "e\u0301_").otherwise("  "), F.regexp_replace("raw_title", "_[0-9]+$", ""), F.lit("__"), k.cast("string"), F.lit("u\u0308"))
+    return V.wiki_pages(s, d).select(k.alias("p_partkey"), T.wiki_title(title).alias("title"))
 
 
 @query("fn_page_url", "SELECT p_partkey, 'https://example.org/wiki/' || url_encode(replace(p_name, ' ', '_')) AS url FROM part", base=False)
@@ -437,11 +439,13 @@ def _(s, d):
 # ---- ingestion ------------------------------------------------------------
 
 
-@query("e_classify", "SELECT page_id, CASE WHEN redirect THEN 'redirect' WHEN ends_with(t, 'list') THEN 'list_page' WHEN length(trim(summary)) < 12 THEN 'too_short' ELSE 'accepted' END AS outcome FROM (SELECT p_partkey AS page_id, p_partkey % 4 <> 0 AS redirect, lower(p_name) AS t, p_type AS summary FROM part WHERE p_partkey % 13 <> 0)", base=False)
+@query("e_classify", """SELECT page_id, CASE WHEN trim(title) = '' THEN 'empty_title' WHEN redirect THEN 'redirect' WHEN page_id % 11 = 0 THEN 'soft_redirect' WHEN contains(summary, 'COPPER') THEN 'disambiguation' WHEN ends_with(title, 'list') THEN 'list_page' WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) < 12 THEN 'too_short' ELSE 'accepted' END AS outcome
+FROM (SELECT p_partkey AS page_id, CASE WHEN p_partkey % 29 = 0 THEN '  ' WHEN p_partkey % 9 = 0 THEN lower(p_name) || ' list' ELSE lower(p_name) END AS title, p_partkey % 4 = 1 AS redirect, p_type AS summary, CASE WHEN p_partkey % 7 = 0 THEN ' ' WHEN p_partkey % 5 = 0 THEN substring(p_type, 1, 9) ELSE p_type END AS text FROM part)""", base=False)
 def _(s, d):
-    w = V.wiki_pages(s, d).where("ns = 0")
-    no = F.lit(False)
-    return w.select("page_id", I.classify(F.col("raw_title"), F.col("target"), F.col("summary"), no, F.lower("raw_title").rlike(r"list_\d+$"), no).alias("outcome"))
+    p, k = V.table(s, d, "part"), F.col("p_partkey")
+    title = F.when(k % 29 == 0, "  ").when(k % 9 == 0, F.concat(F.lower("p_name"), F.lit(" list"))).otherwise(F.lower("p_name"))
+    text = F.when(k % 7 == 0, " ").when(k % 5 == 0, F.substring("p_type", 1, 9)).otherwise(F.col("p_type"))
+    return p.select(k.alias("page_id"), I.classify(title, F.when(k % 4 == 1, k), text, F.contains("p_type", F.lit("COPPER")), F.endswith(title, F.lit("list")), k % 11 == 0).alias("outcome"))
 
 
 REDIRECTS = """WITH RECURSIVE pg AS (SELECT p_partkey AS id, p_name || '_' || p_partkey AS title, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey * 3 + 1) % (SELECT count(*) FROM part) END AS target FROM part),
