@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80,
     found = keep(components(edges, f"{home}/c1"), f"{home}/found")
     # then members in different components; the smallest one has met them all
     several = members.groupBy("centre").count().where("count > 1").select("centre")
-    members = members.select("centre", "node", "size").join(several, "centre", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = members.select("centre", "node", "size").join(several, "centre").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("centre")
     members = keep(members.join(mixed, "centre", "left_semi"), f"{home}/mixed")
     left = keep(_with_partner(members, nodes, k, pct, f"{home}/blocks1").distinct(), f"{home}/left")
