@@ -6,14 +6,17 @@ for (a shelf, a book); its first page has the cursor ``first``. With the option
 ``cursor`` = ``items`` the next page's cursor is the last item's ``sort``,
 otherwise it is the page's own ``next``, which must move on.
 
-Every page is read by a task of its own. The offset of a stream is the cursor
-that each chain goes on from, so a restarted query reads on where it stopped.
+Tasks read up to PAGES pages of a chain. The offset of a stream is the cursor
+that each chain goes on from, so a restarted query reads on where it stopped. A
+stream takes all that has landed: Spark asks once where a source ends when it
+runs one to its end, so an offset short of that would leave the rest out.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -21,8 +24,8 @@ import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 FIRST = "first"
-#: Pages of a chain that a stream takes at once.
-TOGETHER = 100
+#: Pages of a chain that one task reads.
+PAGES = 50
 
 
 def escaped(name: str) -> str:
@@ -35,9 +38,9 @@ class CursorError(ValueError):
 
 
 @dataclass
-class Page(InputPartition):
+class Pages(InputPartition):
     chain: str
-    cursor: str
+    cursors: list[str]
 
 
 class Folder:
@@ -72,67 +75,83 @@ class Folder:
             raise CursorError(f"{chain}: the cursor stands at {cursor}")
         return str(following)
 
-    def walk(self, chain: str, cursor: str | None, most: int | None = None) -> tuple[list[str], str | None]:
-        """The cursors of the landed pages from ``cursor`` on, and the one to go on from (None: the chain has ended)."""
-        found: list[str] = []
-        while cursor is not None and (most is None or len(found) < most):
+    def walk(self, chain: str, cursor: str | None, until: str | None = None) -> tuple[list[str], str | None]:
+        """The cursors of the landed pages from ``cursor`` on, before ``until``, and the one to go on from (None: the chain has ended)."""
+        found: dict[str, None] = {}
+        while cursor is not None and cursor != until:
             page = self.body(chain, cursor)
             if page is None:
                 break
             if cursor in found:
                 raise CursorError(f"{chain}: the cursor comes back to {cursor}")
-            found.append(cursor)
+            found[cursor] = None
             cursor = self.after(chain, cursor, page)
-        return found, cursor
+        return list(found), cursor
 
-    def rows(self, page: Page) -> Iterator[tuple[str, str, int, str]]:
-        body = self.body(page.chain, page.cursor) or {}
-        for i, item in enumerate(body.get("items") or []):
-            yield page.chain, page.cursor, i, json.dumps(item, ensure_ascii=False)
+    def walk_all(self, begin: dict[str, str | None]) -> dict[str, tuple[list[str], str | None]]:
+        """``walk`` for every chain, from its cursor in ``begin`` or its first; chains side by side, as each waits for its files."""
+        chains = self.chains()
+        with ThreadPoolExecutor(8) as pool:
+            return dict(zip(chains, pool.map(lambda c: self.walk(c, begin.get(c, FIRST)), chains), strict=True))
+
+    @staticmethod
+    def dealt(walked: dict[str, list[str]]) -> list[Pages]:
+        return [Pages(chain, cursors[i : i + PAGES]) for chain, cursors in walked.items() for i in range(0, len(cursors), PAGES)] or [Pages("", [])]
+
+    def rows(self, pages: Pages) -> Iterator[tuple[str, str, int, str]]:
+        for cursor in pages.cursors:
+            body = self.body(pages.chain, cursor) or {}
+            for i, item in enumerate(body.get("items") or []):
+                yield pages.chain, cursor, i, json.dumps(item, ensure_ascii=False)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         folder = Folder(self.options)
-        return [Page(chain, cursor) for chain in folder.chains() for cursor in folder.walk(chain, FIRST)[0]] or [Page("", "")]
+        return folder.dealt({chain: found for chain, (found, _) in folder.walk_all({}).items()})
 
-    def read(self, page: Page) -> Iterator[tuple]:
-        return Folder(self.options).rows(page) if page.cursor else iter(())
+    def read(self, pages: Pages) -> Iterator[tuple]:
+        return Folder(self.options).rows(pages)
 
 
 class _StreamReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
         self.at: dict[str, str | None] = {}
+        self.walked: dict[str, list[str]] = {}  # pages up to ``at`` that no batch has taken yet, so that they aren't followed twice
 
     def initialOffset(self) -> dict:
         return {"chains": "{}"}
 
     def latestOffset(self) -> dict:
-        folder = Folder(self.options)
-        for chain in folder.chains():
-            self.at[chain] = folder.walk(chain, self.at.get(chain, FIRST), TOGETHER)[1]
+        for chain, (found, cursor) in Folder(self.options).walk_all(self.at).items():
+            self.at[chain] = cursor
+            self.walked.setdefault(chain, []).extend(found)
         return {"chains": json.dumps(self.at, sort_keys=True)}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         folder, begin, until = Folder(self.options), json.loads(start["chains"]), json.loads(end["chains"])
-        self.at = dict(until)
-        out = []
+        out = {}
         for chain, stop in until.items():
-            for cursor in folder.walk(chain, begin.get(chain, FIRST))[0]:
-                if cursor == stop:
-                    break
-                out.append(Page(chain, cursor))
-        return out or [Page("", "")]
-
-    def read(self, page: Page) -> Iterator[tuple]:
-        return Folder(self.options).rows(page) if page.cursor else iter(())
+            first = begin.get(chain, FIRST)
+            if chain in begin and first == stop:
+                continue
+            known = self.walked.get(chain, [])
+            if stop == self.at.get(chain) and first in known:
+                out[chain] = known[known.index(first) :]
+            else:  # a batch of before a restart
+                out[chain] = folder.walk(chain, first, stop)[0]
+        return folder.dealt(out)
+
+    def read(self, pages: Pages) -> Iterator[tuple]:
+        return Folder(self.options).rows(pages)
 
     def commit(self, end: dict) -> None:
-        pass
+        if json.loads(end["chains"]) == self.at:
+            self.walked.clear()
 
 
 class LandedPages(DataSource):
