@@ -41,14 +41,16 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     """``answer_id, entities, relations, readable`` of ``answer_id, text``: the JSON between the first { and the last }.
 
     Words or fences around it don't matter. Fields of another type than
-    expected are null; an answer without readable JSON has no items.
+    expected are null; an answer without readable JSON has no items. Answers are
+    parsed once and kept: entities and relations are judged apart.
     """
-    first, back = F.instr("text", "{"), F.instr(F.reverse("text"), "}")
-    body = F.when((first > 0) & (back > 0), F.expr("substring(text, instr(text, '{'), length(text) - instr(reverse(text), '}') - instr(text, '{') + 2)"))
+    first = F.instr("text", "{")
+    inside = F.char_length("text") - F.char_length(F.substring_index("text", "}", -1)) - first + 1  # up to the last }
+    body = F.when((first > 0) & (F.instr("text", "}") > 0), F.substring(F.col("text"), first, inside))
     v = F.try_parse_json(body)
     rows = answers.select("answer_id", v.alias("v"))
     items = lambda name: F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")).alias(name)
-    return rows.select("answer_id", items("entities"), items("relations"), F.col("v").isNotNull().alias("readable"))
+    return settle(rows.select("answer_id", items("entities"), items("relations"), F.col("v").isNotNull().alias("readable")))
 
 
 def _text(name: str) -> Column:
