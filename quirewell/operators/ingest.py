@@ -60,34 +60,47 @@ def classify(title: Column, redirect: Column, text: Column, disambiguation: Colu
     )
 
 
+#: Pages of one task where pages are joined with pages.
+TASK_PAGES = 100_000
+
+
+def _dealt(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    """One side of a join on ``key`` in ``tasks`` parts; never broadcast, as files of pages look smaller than their rows are."""
+    return rows.repartition(tasks, key).hint("merge")
+
+
 def resolve_redirects(pages: DataFrame, depth: int = 10) -> DataFrame:
     """``page_id, final, outcome`` of each redirect: ok, loop, too_deep or broken.
 
     A walk begins at the redirect's target and takes ``depth`` steps at most,
     each a join on the page's key; a page met twice is a loop, and a walk that
-    stands on a redirect after its last step is too deep. Only ids take part.
+    stands on a redirect after its last step is too deep. Only ids take part,
+    in tasks of about TASK_PAGES pages.
     """
+    tasks = 1 + pages.count() // TASK_PAGES
     hop = pages.where("target IS NOT NULL").select(F.col("page_id").alias("at"), F.col("target").alias("next"))
     known = pages.select(F.col("page_id").alias("at"), F.lit(True).alias("known"))
     walk = hop.select(F.col("at").alias("page_id"), F.col("next").alias("at"), F.array("next").alias("seen"), F.lit(None).cast("string").alias("outcome"))
+    hop = _dealt(hop, "at", tasks)
     for i in range(depth + 1):
-        step = walk.join(hop, "at", "left")
+        step = _dealt(walk, "at", tasks).join(hop, "at", "left")
         state = F.when(F.col("next").isNull(), "ok")
         state = state.when(F.array_contains("seen", F.col("next")), "loop") if i < depth else state.otherwise("too_deep")
         walk = step.withColumn("outcome", F.coalesce("outcome", state)).select(
             "page_id", F.when(F.col("outcome").isNull(), F.col("next")).otherwise(F.col("at")).alias("at"),
             F.when(F.col("outcome").isNull(), F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"), "outcome",
         )
-    done = walk.join(known, "at", "left")
+    done = _dealt(walk, "at", tasks).join(_dealt(known, "at", tasks), "at", "left")
     outcome = F.when((F.col("outcome") == "ok") & F.col("known").isNull(), "broken").otherwise(F.col("outcome"))
     return done.select("page_id", F.col("at").alias("final"), outcome.alias("outcome"))
 
 
 def aliases(pages: DataFrame, resolved: DataFrame) -> DataFrame:
     """``page_id, aliases``: the titles of the redirects (``resolve_redirects``) that end at a page, sorted, each once, its own left out."""
-    title = pages.select("page_id", F.col("title"))
-    ends = resolved.where("outcome = 'ok'").select("page_id", "final").join(title, "page_id").select(F.col("final").alias("page_id"), F.col("title").alias("alias"))
-    named = ends.join(title, "page_id").where("alias <> title")
+    tasks = 1 + pages.count() // TASK_PAGES
+    title = _dealt(pages.select("page_id", "title"), "page_id", tasks)
+    ends = _dealt(resolved.where("outcome = 'ok'").select("page_id", "final"), "page_id", tasks).join(title, "page_id").select(F.col("final").alias("page_id"), F.col("title").alias("alias"))
+    named = _dealt(ends, "page_id", tasks).join(title, "page_id").where("alias <> title")
     return named.groupBy("page_id").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
 
 
